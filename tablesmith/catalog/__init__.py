@@ -35,7 +35,10 @@ QUANT_SHIFT = 0.2371
 
 
 def quantize(col, digits: int = 6):
-    m = float(10 ** digits)
+    """10^-d grid with d = min(digits, max(0, 10 − floor(log10|x|))): about eleven
+    significant digits for large values, ``digits`` decimals for small ones."""
+    d = F.least(F.lit(digits), F.greatest(F.lit(0), F.lit(10) - F.floor(F.log10(F.abs(col) + F.lit(1e-300)))))
+    m = F.pow(F.lit(10.0), d)
     return F.round(col * m - QUANT_SHIFT) / m + F.lit(0.0)   # + 0.0 turns -0.0 into 0.0
 
 
@@ -50,8 +53,10 @@ def sql_round(inner: str, cols: list[str], digits: int = 6) -> str:
     """DuckDB: round the named double columns of ``inner``."""
     if not cols:
         return inner
-    m = float(10 ** digits)
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE) * {m} - {QUANT_SHIFT}) / {m} + 0.0 AS {c}" for c in cols)
+    def q(x):
+        m = f"pow(10.0, least({digits}, greatest(0, 10 - floor(log10(abs(CAST({x} AS DOUBLE)) + 1e-300)))))"
+        return f"round(CAST({x} AS DOUBLE) * {m} - {QUANT_SHIFT}) / {m} + 0.0"
+    rep = ", ".join(f"{q(c)} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({inner}) AS _r"
 
 

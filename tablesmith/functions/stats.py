@@ -34,7 +34,7 @@ def rnd(x: Column, digits: int) -> Column:
     """round(x, d) computed as round(x·10^d)/10^d on doubles (half away from zero on the
     binary value) — the reports' rounding, identical to DuckDB's ``round``."""
     m = float(10 ** digits)
-    return F.round(x.cast("double") * m) / m
+    return F.round(x.cast("double") * m) / m + F.lit(0.0)   # no negative zero
 
 
 def log2(x: Column) -> Column:
