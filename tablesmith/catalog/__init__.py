@@ -66,5 +66,5 @@ def sql_union(template: str, cols: list[str]) -> str:
 
 
 def load_all() -> None:
-    from . import (profile_q, relate_q, sample_q, prep_q, features_q, metrics_q,  # noqa: F401
+    from . import (profile_q, relate_q, prep_q, plan_q, features_q, metrics_q,  # noqa: F401
                    model_q, misc_q)

@@ -47,3 +47,10 @@ def range_bucket(df: DataFrame, col: str, bounds: list, out: str) -> DataFrame:
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
     return b.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp) \
         .withColumn(out, F.col(out).cast("int"))
+
+
+def materialize_small(df: DataFrame, limit: int = MAX_PARAM_ROWS) -> DataFrame:
+    """Compute a small result (evidence, plan, parameters: one row per column) once and
+    keep it as a local relation, so later steps do not recompute its lineage."""
+    rows = param_rows(df, limit)
+    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -19,7 +19,8 @@ from ..operators import impute as N
 from ..operators import outliers as O
 from ..operators import sample as D
 from ..operators import scale as K
-from ..operators.common import param_rows
+from ..operators.common import materialize_small, param_rows
+from ..session import checkpoint
 from . import column_plan as L
 
 
@@ -42,8 +43,8 @@ def preprocess_dynamic(df: DataFrame, target: str, override: DataFrame | None =
     """Ten steps: inspect → plan → split → missing → outliers → encode → scale →
     normalise → balance → validate.  Every fit uses train rows only."""
     steps = []
-    ev = L.evidence(df, target)
-    tev = L.target_evidence(df, target)
+    ev = materialize_small(L.evidence(df, target))
+    tev = materialize_small(L.target_evidence(df, target))
     plan = L.default_plan(ev)
     if override is not None:
         plan = L.validate_plan(L.merge_plan(plan, override), L.default_plan(ev))
@@ -59,11 +60,13 @@ def preprocess_dynamic(df: DataFrame, target: str, override: DataFrame | None =
     feats = [k for k, r in rows.items() if not r["drop"]]
     dropped = [k for k, r in rows.items() if r["drop"]]
     data = D.dedupe_exact(df, [n for n in df.columns if not n.startswith("_")])
-    data = data.where(c(target).isNotNull()).drop(*dropped)
+    data = checkpoint(data.where(c(target).isNotNull()).drop(*dropped))
     if t["task_type"] == "classification":
         data = D.split_stratified(data, target, test_size, seed)
     else:
         data = D.split_random(data, test_size, seed)
+    # cut the lineage once: every fit below reads the split table, not the raw plan
+    data = checkpoint(data)
     steps.append(("split", "success", f"dropped={','.join(sorted(dropped))}"))
 
     # missing values
@@ -123,7 +126,7 @@ def preprocess_static(df: DataFrame, target: str, policy: DataFrame | None = Non
     the whole table as the static path does; the default fits on train rows."""
     from pyspark.sql import types as T
     steps = []
-    ev = L.evidence(df, target, static=True)
+    ev = materialize_small(L.evidence(df, target, static=True))
     isnum = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
     pol = policy if policy is not None else L.safeguards(L.default_policy(ev, isnum), ev)
     rows = {r["column"]: r.asDict() for r in param_rows(pol)}
@@ -136,6 +139,7 @@ def preprocess_static(df: DataFrame, target: str, policy: DataFrame | None = Non
     if fit_scope == "train":
         data = D.split_stratified(data, target, test_size, seed) if not isnum.get(target) else \
             D.split_random(data, test_size, seed)
+    data = checkpoint(data)
     methods = {k: rows[k]["missing"] for k in feats}
     data = N.apply_impute(data, N.fit_impute(data, methods, quantiles))
     steps.append(("impute", "success", f"{len(methods)} columns"))
