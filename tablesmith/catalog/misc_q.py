@@ -1 +1,306 @@
-"""Checked queries."""
+"""Checked queries: projections and casts, balancing, readiness, joins, reuse,
+sources/sinks, normality and the end-to-end stage flow (PF-*, B-*, V-*, J-*, H-*, IO-*, P-8,
+P-19, P-21, P-22, P-24, L-2, L-6)."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from ..functions import types as TY
+from ..operators import balance as B
+from ..operators import profile as P
+from ..operators import ready as V
+from ..operators import sample as D
+from ..operators import score as Z
+from ..plans import column_plan as L
+from ..session import ensure_checkpoint_dir
+from ..sources import io as IO
+from ..sources import store as H
+from ..sources.tables import view, with_views
+from . import register, rounded, sql_round
+
+T = "l_returnflag"
+
+
+def _scratch(spark, name):
+    """A fresh folder under the shared checkpoint directory (never machine-local on a cluster)."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/{name}-{next(tempfile._get_candidate_names())}"
+
+
+# ------------------------------------------------------------------ PF-3 … PF-12, IO-4
+
+@register("drop_planned_columns", with_views("SELECT _rid, l_quantity, l_discount, l_tax, l_returnflag FROM li", "li"))
+def drop_planned_columns(spark, sf):
+    d = view(spark, sf, "li").select("_rid", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+                                      "l_shipdate")
+    return d.drop("l_extendedprice", "l_shipdate")
+
+
+@register("filter_missing_target", with_views("SELECT _rid, quality FROM docs WHERE quality IS NOT NULL", "docs"))
+def filter_missing_target(spark, sf):
+    return view(spark, sf, "docs").where(F.col("quality").isNotNull()).select("_rid", "quality")
+
+
+@register("drop_rows_any_missing", with_views("""
+SELECT count(*)::BIGINT AS n FROM li WHERE l_quantity IS NOT NULL AND l_tax IS NOT NULL AND l_linestatus IS NOT NULL""", "li"))
+def drop_rows_any_missing(spark, sf):
+    return view(spark, sf, "li").dropna(subset=["l_quantity", "l_tax", "l_linestatus"]).agg(
+        F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("na_tokens", with_views(sql_round("""
+SELECT _rid, CASE WHEN trim(o_code) = '?' THEN NULL ELSE CAST(trim(o_code) AS DOUBLE) END AS o_code FROM ord""",
+    ["o_code"]), "ord"))
+def na_tokens(spark, sf):
+    d = view(spark, sf, "ord").select("_rid", "o_code")
+    return rounded(TY.apply_na_tokens(d, ["?"]))
+
+
+@register("safe_numeric", with_views(sql_round("""
+SELECT _rid, CASE WHEN regexp_matches(s, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$')
+                  THEN TRY_CAST(trim(s) AS DOUBLE) END AS x
+FROM (SELECT _rid, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_totalprice AS VARCHAR) || 'd'
+                        WHEN o_orderkey % 7 = 1 THEN ' ' || CAST(o_totalprice AS VARCHAR) || ' '
+                        ELSE CAST(o_totalprice AS VARCHAR) END AS s FROM ord)""", ["x"]), "ord"))
+def safe_numeric(spark, sf):
+    d = view(spark, sf, "ord")
+    s = (F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.col("o_totalprice").cast("string"), F.lit("d")))
+         .when(F.col("o_orderkey") % 7 == 1, F.concat(F.lit(" "), F.col("o_totalprice").cast("string"), F.lit(" ")))
+         .otherwise(F.col("o_totalprice").cast("string")))
+    return rounded(d.select("_rid", TY.safe_numeric(s).alias("x")))
+
+
+@register("coerce_all_numeric", with_views(sql_round("""
+SELECT _rid, CAST(o_totalprice AS FLOAT) AS o_totalprice, CAST(CASE WHEN trim(o_code) = '?' THEN NULL ELSE o_code END AS FLOAT) AS o_code,
+       CAST(NULL AS FLOAT) AS o_orderstatus FROM ord""", ["o_totalprice", "o_code", "o_orderstatus"]), "ord"))
+def coerce_all_numeric(spark, sf):
+    d = view(spark, sf, "ord").select("_rid", "o_totalprice", "o_code", "o_orderstatus")
+    out = d.select("_rid", *[TY.safe_numeric(F.col(x), d.schema[x].dataType).cast("float").alias(x)
+                             for x in ["o_totalprice", "o_code", "o_orderstatus"]])
+    return rounded(out)
+
+
+@register("sanitize_floats", with_views(sql_round("""
+SELECT _rid, CASE WHEN l_tax = 0 THEN NULL ELSE l_discount / l_tax END AS ratio FROM li""", ["ratio"]), "li"))
+def sanitize_floats(spark, sf):
+    """IEEE ratio with explicit ±Infinity / NaN where the tax is zero, then PF-12."""
+    d = view(spark, sf, "li")
+    x, y = F.col("l_discount").cast("double"), F.col("l_tax").cast("double")
+    ieee = (F.when(y == 0, F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf")))
+                   .otherwise(F.lit(float("nan"))))
+            .otherwise(x / y))
+    return rounded(TY.sanitize_floats(d.select("_rid", ieee.alias("ratio"))))
+
+
+@register("align_features", with_views("""
+SELECT _rid, coalesce(l_quantity, 0) AS l_quantity, 0 AS unseen_feature, coalesce(l_tax, 0) AS l_tax FROM li""", "li"))
+def align_features(spark, sf):
+    d = view(spark, sf, "li")
+    out = Z.align_features(d, ["l_quantity", "unseen_feature", "l_tax"], keep=["_rid"])
+    return out.withColumn("unseen_feature", F.col("unseen_feature").cast("int"))
+
+
+@register("guard_alignment")
+def guard_alignment(spark, sf):
+    s = D.split_random(view(spark, sf, "li"), 0.2, 42)
+    return Z.guard_alignment(s.where("_split = 'train'"), s.where("_split = 'test'"))
+
+
+# ------------------------------------------------------------------ J-1, J-2, IO-7
+
+@register("attach_target", with_views("""
+SELECT d.doc_id, d.n_chars, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id""", "docs"))
+def attach_target(spark, sf):
+    x = view(spark, sf, "documents").select("doc_id", "n_chars")
+    y = view(spark, sf, "labels").select("doc_id", "quality")
+    return x.join(y, "doc_id", "inner")
+
+
+@register("rebuild_clean", with_views("SELECT _rid, l_quantity, l_returnflag FROM li", "li"))
+def rebuild_clean(spark, sf):
+    s = D.split_random(view(spark, sf, "li").select("_rid", "l_quantity", "l_returnflag"), 0.2, 42)
+    return IO.rebuild_clean(s.where("_split = 'train'"), s.where("_split = 'test'")).drop("_split")
+
+
+# ------------------------------------------------------------------ B-1 … B-4, B-7
+
+@register("class_weights", with_views(sql_round("""
+WITH c AS (SELECT source, count(*) AS n FROM docs GROUP BY 1)
+SELECT source, n::BIGINT AS n, (SELECT max(n) FROM c) / greatest(n, 1) AS class_weight FROM c""", ["class_weight"]), "docs"))
+def class_weights(spark, sf):
+    d = view(spark, sf, "docs").select("_rid", "source")
+    w = B.class_weights(d, "source")
+    return rounded(w.groupBy("source").agg(F.count(F.lit(1)).cast("long").alias("n"), F.first("class_weight").alias("class_weight")))
+
+
+@register("undersample", with_views("""
+SELECT _rid, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY ('0x' || substr(md5('42:' || CAST(_rid AS VARCHAR)), 1, 8))::BIGINT, _rid) AS r
+                         FROM docs) WHERE r <= (SELECT min(k) FROM (SELECT count(*) AS k FROM docs GROUP BY toxic))""", "docs"))
+def undersample(spark, sf):
+    return B.undersample(view(spark, sf, "docs").select("_rid", "toxic"), "toxic")
+
+
+@register("undersample_guarded", with_views("SELECT count(*)::BIGINT AS n FROM docs", "docs"))
+def undersample_guarded(spark, sf):
+    """The null/0/1 toxic classes are far apart: undersampling would keep < 60 % → no-op."""
+    out = B.undersample_guarded(view(spark, sf, "docs").select("_rid", "toxic"), "toxic")
+    return out.agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("oversample", with_views("""
+SELECT quality, (SELECT max(k) FROM (SELECT count(*) AS k FROM docs WHERE quality IS NOT NULL GROUP BY quality))::BIGINT AS n
+FROM docs WHERE quality IS NOT NULL GROUP BY quality""", "docs"))
+def oversample(spark, sf):
+    d = view(spark, sf, "docs").where(F.col("quality").isNotNull()).select("_rid", "quality", "n_chars")
+    return B.oversample(d, "quality").groupBy("quality").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("balance_report", with_views("""
+SELECT 'before' AS stage, CAST(toxic AS VARCHAR) AS class, count(*)::BIGINT AS count FROM docs WHERE toxic IS NOT NULL GROUP BY 2
+UNION ALL
+SELECT 'after', CAST(toxic AS VARCHAR), (SELECT min(k) FROM (SELECT count(*) AS k FROM docs WHERE toxic IS NOT NULL GROUP BY toxic))::BIGINT
+FROM docs WHERE toxic IS NOT NULL GROUP BY 2""", "docs"))
+def balance_report(spark, sf):
+    d = view(spark, sf, "docs").where(F.col("toxic").isNotNull()).select("_rid", "toxic")
+    return B.balance_report(d, B.undersample(d, "toxic"), "toxic")
+
+
+# ------------------------------------------------------------------ V-1, V-2, P-21, P-24
+
+@register("readiness", with_views("""
+SELECT 'l_quantity' AS "column", true AS is_numeric, count(*) FILTER (WHERE l_quantity IS NULL)::BIGINT AS missing,
+       0::BIGINT AS infinite, CASE WHEN count(*) FILTER (WHERE l_quantity IS NULL) > 0 THEN 'missing_values' END AS blocker FROM li
+UNION ALL SELECT 'l_discount', true, 0::BIGINT, 0::BIGINT, NULL FROM li GROUP BY ALL
+UNION ALL SELECT 'l_linestatus', false, count(*) FILTER (WHERE l_linestatus IS NULL)::BIGINT, 0::BIGINT, 'non_numeric' FROM li""", "li"))
+def readiness(spark, sf):
+    return V.readiness(view(spark, sf, "li").select("_rid", "l_quantity", "l_discount", "l_linestatus", T), T)
+
+
+@register("prep_summary", with_views("""
+SELECT count(*)::BIGINT AS rows, 3::BIGINT AS features,
+       count(*) FILTER (WHERE r > ceil(n * 0.2))::BIGINT AS train_rows, count(*) FILTER (WHERE r <= ceil(n * 0.2))::BIGINT AS test_rows,
+       0::BIGINT AS rows_removed
+FROM (SELECT row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || CAST(_rid AS VARCHAR)), 1, 8))::BIGINT, _rid) AS r,
+             count(*) OVER () AS n FROM li)""", "li"))
+def prep_summary(spark, sf):
+    d = D.split_random(view(spark, sf, "li").select("_rid", "l_quantity", "l_discount", "l_tax", T), 0.2, 42)
+    return V.prep_summary(d, T)
+
+
+@register("profile_digest")
+def profile_digest(spark, sf):
+    return rounded(V.profile_digest(view(spark, sf, "li"), "l_extendedprice"))
+
+
+@register("report_audit")
+def report_audit(spark, sf):
+    d = view(spark, sf, "li")
+    stored = P.numeric_profile(d.where(F.col("l_discount") < 0.1))   # a stale report of part of the table
+    return rounded(V.report_audit(stored, d))
+
+
+@register("quality_warnings_dynamic")
+def quality_warnings_dynamic(spark, sf):
+    return rounded(V.quality_warnings(view(spark, sf, "docs"), "quality", static=False))
+
+
+# ------------------------------------------------------------------ P-8
+
+@register("shapiro_flag")
+def shapiro_flag(spark, sf):
+    from ..operators.normality import shapiro_flags
+    return rounded(shapiro_flags(view(spark, sf, "li"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+# ------------------------------------------------------------------ P-19, L-2, L-6, P-22
+
+@register("evidence_static")
+def evidence_static(spark, sf):
+    d = view(spark, sf, "ord").select("_rid", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "o_code",
+                                      F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_datestr"))
+    return rounded(L.evidence(d, "o_orderstatus", static=True))
+
+
+def _static_plan(spark, sf):
+    from pyspark.sql import types as T_
+    d = view(spark, sf, "ord").select("_rid", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_code",
+                                      F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("o_cust"),
+                                      F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_datestr"))
+    ev = L.evidence(d, "o_orderstatus", static=True)
+    isnum = {f.name: isinstance(f.dataType, T_.NumericType) for f in d.schema.fields}
+    return d, ev, L.default_policy(ev, isnum)
+
+
+@register("plan_default_static")
+def plan_default_static(spark, sf):
+    return _static_plan(spark, sf)[2]
+
+
+@register("plan_safeguards")
+def plan_safeguards(spark, sf):
+    d, ev, pol = _static_plan(spark, sf)
+    return L.safeguards(pol, ev)
+
+
+@register("eda_report")
+def eda_report(spark, sf):
+    """P-22: the stage report as (section, column, metric, value) rows."""
+    d = view(spark, sf, "li")
+    num = P.numeric_profile(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    parts = [num.unpivot(["column"], ["mean", "std", "min", "max", "median", "skewness", "kurtosis"], "metric", "value")
+             .select(F.lit("numeric_profile").alias("section"), "column", "metric", "value"),
+             P.missing_profile(d).select(F.lit("missing").alias("section"), "column", F.lit("missing_ratio").alias("metric"),
+                                         F.col("missing_ratio").alias("value"))]
+    out = parts[0].unionByName(parts[1])
+    return rounded(out)
+
+
+# ------------------------------------------------------------------ H-1, H-2, IO-1 … IO-10
+
+@register("fingerprint")
+def fingerprint(spark, sf):
+    d = view(spark, sf, "orders")
+    a = H.fingerprint(d, "o_totalprice")
+    b = H.fingerprint(d.repartition(7).orderBy(F.rand(3)), "o_totalprice")
+    return a.select("n_rows", "fingerprint").unionByName(b.select("n_rows", "fingerprint")).distinct()
+
+
+@register("stage_reuse")
+def stage_reuse(spark, sf):
+    d = view(spark, sf, "li")
+    fp = H.fingerprint(d, T).first()["fingerprint"]
+    root = _scratch(spark, "store")
+    first, hit1 = H.reuse_or_compute(spark, root, "profile", fp, lambda: P.missing_profile(d))
+    second, hit2 = H.reuse_or_compute(spark, root, "profile", fp, lambda: P.missing_profile(d))
+    return second.withColumn("first_hit", F.lit(hit1)).withColumn("second_hit", F.lit(hit2))
+
+
+@register("load_roundtrip")
+def load_roundtrip(spark, sf):
+    d = view(spark, sf, "orders")
+    root = _scratch(spark, "io")
+    rows = []
+    for fmt in ("csv", "json", "parquet"):
+        path = IO.write_table(d, f"{root}/orders.{fmt}", fmt)
+        back = IO.load_table(spark, path, fmt)
+        rows.append((fmt, back.count(), len(back.columns)))
+    return spark.createDataFrame(rows, "format string, n_rows long, n_columns long")
+
+
+@register("split_roundtrip")
+def split_roundtrip(spark, sf):
+    s = D.split_random(view(spark, sf, "li").select("_rid", "l_quantity", T), 0.2, 42)
+    root = _scratch(spark, "splits")
+    IO.save_split(s, root, "raw")
+    return IO.load_split(spark, root, "raw", "test").groupBy("_split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("report_sink")
+def report_sink(spark, sf):
+    d = view(spark, sf, "li")
+    root = _scratch(spark, "report")
+    IO.write_report({"missing": P.missing_profile(d), "summary": P.dataset_summary(d, T)}, root)
+    return spark.read.json(f"{root}/missing")

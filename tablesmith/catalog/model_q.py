@@ -1 +1,200 @@
-"""Checked queries."""
+"""Rows-checked queries: MLlib training, search, scoring, nearest neighbours and the
+end-to-end stage flow (M-*, Z-*, J-5, N-8, N-9, B-5, B-6, K-10, E-1c, IO-9, IO-10, H-3).
+Model fitting is iterative, so these carry property checks in ``tests/`` instead of a
+SQL oracle; ``training_plan`` is a projection and has one."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from ..operators import knn as NN
+from ..operators import sample as D
+from ..operators import score as Z
+from ..operators import train as M
+from ..session import ensure_checkpoint_dir
+from ..sources import io as IO
+from ..sources.tables import view, with_views
+from . import register, rounded
+
+DOC_F = ["n_chars", "text_len"]
+LI_F = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _docs(spark, sf):
+    d = view(spark, sf, "docs").where(F.col("quality").isNotNull()).select("_rid", *DOC_F, "quality", "toxic", "lang")
+    return D.split_stratified(d, "quality", 0.2, 42)
+
+
+def _li(spark, sf):
+    d = view(spark, sf, "li").select("_rid", *LI_F, "l_extendedprice").fillna(0.0, ["l_quantity", "l_tax"])
+    return D.split_random(d, 0.2, 42)
+
+
+def _scratch(spark, name):
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/{name}-{next(tempfile._get_candidate_names())}"
+
+
+@register("train_each_model")
+def train_each_model(spark, sf):
+    t = M.train_simple(_docs(spark, sf), "quality", DOC_F, "classification",
+                       models=("RandomForest", "GradientBoosting", "LogisticRegression"), refit=False)
+    return rounded(t.leaderboard)
+
+
+@register("train_simple")
+def train_simple(spark, sf):
+    t = M.train_simple(_li(spark, sf), "l_extendedprice", LI_F, "regression",
+                       models=("RandomForest", "LinearRegression"))
+    return rounded(t.leaderboard.withColumn("best", F.col("model") == F.lit(t.best_name)))
+
+
+@register("train_search")
+def train_search(spark, sf):
+    return rounded(M.train_search(_docs(spark, sf), "quality", DOC_F, "classification",
+                                  models=("RandomForest", "LogisticRegression"), n_trials=3))
+
+
+@register("search_preprocess_model")
+def search_preprocess_model(spark, sf):
+    """M-3 / K-10: imputer × scaler combos × 2 models, scored by hash folds."""
+    d = view(spark, sf, "docs").where(F.col("quality").isNotNull()).select("_rid", *DOC_F, "lang", "quality")
+    return rounded(M.search_preprocess_model(d, "quality", DOC_F, ["lang"], "classification", folds=3))
+
+
+@register("train_portfolio")
+def train_portfolio(spark, sf):
+    return rounded(M.train_portfolio(_docs(spark, sf), "quality", DOC_F, "classification"))
+
+
+@register("train_gbt_large")
+def train_gbt_large(spark, sf):
+    t = M.train_gbt_large(_li(spark, sf), "l_extendedprice", LI_F, "regression", max_iter=20, partitions=8)
+    return rounded(t.leaderboard)
+
+
+@register("training_plan", with_views("""
+SELECT CASE WHEN count(*) > 700000 THEN 'large' WHEN count(*) > 10000 OR 11 > 20 THEN 'portfolio' ELSE 'simple' END AS approach,
+       'RandomForest,GradientBoosting,LogisticRegression' AS models, 180 AS budget, 'balanced' AS preset FROM li""", "li"))
+def training_plan(spark, sf):
+    from ..operators.ready import compact_profile
+    return M.training_plan(compact_profile(view(spark, sf, "li"), "l_returnflag"))
+
+
+@register("feature_importance")
+def feature_importance(spark, sf):
+    t = M.train_simple(_li(spark, sf), "l_extendedprice", LI_F, "regression", models=("RandomForest",))
+    rows = M.feature_importance(t.model, LI_F)
+    return rounded(spark.createDataFrame(rows, "feature string, importance double"))
+
+
+@register("batch_score")
+def batch_score(spark, sf):
+    t = M.train_simple(_li(spark, sf), "l_extendedprice", LI_F, "regression", models=("LinearRegression",))
+    new = view(spark, sf, "li").select("_rid", "l_quantity", "l_tax", "l_discount", "l_returnflag")
+    return rounded(Z.batch_score(new, t.model, LI_F))
+
+
+@register("model_roundtrip")
+def model_roundtrip(spark, sf):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    d = _li(spark, sf)
+    va = VectorAssembler(inputCols=LI_F, outputCol=M.FEATURES)
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+    pm = Pipeline(stages=[va, LinearRegression(featuresCol=M.FEATURES, labelCol="l_extendedprice")]).fit(
+        d.where("_split = 'train'"))
+    path = IO.save_model(pm, _scratch(spark, "model"))
+    back = PipelineModel.load(path)
+    a = pm.transform(d).select("_rid", F.col("prediction").alias("p1"))
+    b = back.transform(d).select("_rid", F.col("prediction").alias("p2"))
+    return a.join(b, "_rid").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_diff"))
+
+
+@register("export_transformed")
+def export_transformed(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    d = _li(spark, sf)
+    v = VectorAssembler(inputCols=LI_F, outputCol="vec").transform(d).select("_rid", "_split", "vec")
+    root = _scratch(spark, "export")
+    IO.export_transformed(v, root, "vec", LI_F)
+    return spark.read.parquet(f"{root}/transformed").groupBy("_split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ml_impute_stage")
+def ml_impute_stage(spark, sf):
+    """N-9: MLlib Imputer (median) as a stage; fitted on train rows."""
+    from ..operators.impute import ml_imputer
+    d = D.split_random(view(spark, sf, "li").select("_rid", "l_quantity", "l_tax"), 0.2, 42)
+    m = ml_imputer(["l_quantity", "l_tax"], "median").fit(d.where("_split = 'train'"))
+    return rounded(m.transform(d).select("_rid", "l_quantity_imp", "l_tax_imp"))
+
+
+@register("ml_onehot_stage")
+def ml_onehot_stage(spark, sf):
+    """E-1c: StringIndexer(keep) + OneHotEncoder(dropLast) → unseen categories are zeros."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    from ..operators.encode import ml_onehot_stages
+    d = view(spark, sf, "li").select("_rid", "l_linestatus", "l_shipdate")
+    tr = d.where(F.year("l_shipdate") < 2000)
+    m = Pipeline(stages=ml_onehot_stages(["l_linestatus"])).fit(tr.fillna("missing", ["l_linestatus"]))
+    out = m.transform(d.fillna("missing", ["l_linestatus"]))
+    return out.select("_rid", vector_to_array("l_linestatus__ohe").alias("ohe"))
+
+
+@register("kfold_cv_folds")
+def kfold_cv_folds(spark, sf):
+    d = view(spark, sf, "docs").where(F.col("quality").isNotNull()).select("_rid", "quality")
+    return D.kfold_assign(d, 5, "quality").groupBy("quality", "_fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ J-5, N-8, B-5, B-6
+
+def _emb(spark, sf, dims=16):
+    e = view(spark, sf, "embeddings")
+    return NN.to_vectors(e.select(F.col("vec_id").alias("_rid"), "label",
+                                  F.slice("embedding", 1, dims).alias("emb")), array_col="emb")
+
+
+@register("knn_join_lsh")
+def knn_join_lsh(spark, sf):
+    v = _emb(spark, sf).withColumnRenamed("_rid", "id")
+    return rounded(NN.knn_join(v, v, k=5, radius=3.0, bucket_length=2.0, tables=8))
+
+
+@register("impute_knn_lsh")
+def impute_knn_lsh(spark, sf):
+    d = D.split_random(view(spark, sf, "docs").select("_rid", "n_chars", "text_len", "quality"), 0.2, 42)
+    return rounded(NN.impute_knn(d, ["n_chars", "text_len", "quality"], k=5))
+
+
+@register("smote_lsh")
+def smote_lsh(spark, sf):
+    v = _emb(spark, sf).where(F.col("label") < 3)
+    out = NN.smote(v, "label", radius=3.0, bucket_length=2.0)
+    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("adasyn")
+def adasyn(spark, sf):
+    v = _emb(spark, sf).where(F.col("label") < 3)
+    return rounded(NN.adasyn_allocation(v, "label", radius=3.0, bucket_length=2.0))
+
+
+# ------------------------------------------------------------------ H-3, streaming
+
+@register("stages_end_to_end")
+def stages_end_to_end(spark, sf):
+    from ..plans.stages import run_stages
+    res = run_stages(view(spark, sf, "docs").select("_rid", "lang", "source", "n_chars", "text_len", "toxic"), "toxic")
+    return res
+
+
+@register("stream_score")
+def stream_score(spark, sf):
+    from ..streaming.score_stream import score_stream_once
+    return rounded(score_stream_once(spark, sf))

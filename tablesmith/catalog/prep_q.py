@@ -13,6 +13,7 @@ from ..operators import sample as D
 from ..operators import scale as K
 from ..plans import column_plan as L
 from ..plans import preprocess as PP
+from ..session import checkpoint
 from ..sources.tables import view, with_views
 from . import register, rounded, sql_round, sql_union
 
@@ -20,7 +21,9 @@ T = "l_returnflag"
 
 
 def li_split(spark, sf):
-    return D.split_stratified(view(spark, sf, "li"), T, 0.2, 42)
+    """The stratified split, written once to the checkpoint folder: every fit and apply
+    below reads it instead of recomputing the hash split."""
+    return checkpoint(D.split_stratified(view(spark, sf, "li"), T, 0.2, 42))
 
 
 # li with the stratified split, in DuckDB (largest remainder over classes, hash rank)

@@ -49,6 +49,22 @@ def undersample_guarded(df: DataFrame, target: str, min_keep: float = 0.6, min_r
     return undersample(df, target, seed, key)
 
 
+DRAW_CHUNK = 1_000_000
+
+
+def draw_table(need: DataFrame, group: str, count_col: str = "need") -> DataFrame:
+    """(group, _j) for j = 1 … need per group, generated in parallel: the small per-class
+    table is exploded into chunks of ``DRAW_CHUNK`` draws first, the chunks are spread over
+    tasks, and each task expands its own chunk — no single task makes all draws."""
+    chunks = need.select(c(group), F.col(count_col).cast("long").alias("_need"),
+                         F.explode(F.sequence(F.lit(0).cast("long"),
+                                              F.ceil(F.col(count_col) / DRAW_CHUNK).cast("long") - 1)).alias("_chunk"))
+    n_chunks = max(1, chunks.count())
+    return (chunks.repartition(n_chunks)
+            .select(c(group), F.explode(F.sequence(F.col("_chunk") * DRAW_CHUNK + 1,
+                                                   F.least((F.col("_chunk") + 1) * DRAW_CHUNK, F.col("_need")))).alias("_j")))
+
+
 def oversample(df: DataFrame, target: str, seed=42, key: str = "_rid", keep_originals: bool = True) -> DataFrame:
     """Random over-sampling to the largest class (B-2).  keep_originals: originals plus
     (max − n_c) draws with replacement; else the whole class is re-drawn (max draws).
@@ -56,15 +72,14 @@ def oversample(df: DataFrame, target: str, seed=42, key: str = "_rid", keep_orig
     cc = class_counts(df, target)
     mx = cc.select(F.max("n")).scalar()
     need = cc.select(c(target), "n", (mx - F.col("n") if keep_originals else mx).alias("need"))
-    draws = (need.where(F.col("need") > 0)
-             .select(c(target), "n", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("_j"))
+    draws = (draw_table(need.where(F.col("need") > 0), target).join(need.select(c(target), "n"), target)
              .withColumn("_rank", F.pmod(hash_int(F.concat_ws(":", c(target).cast("string"), F.col("_j").cast("string")),
                                                    seed), F.col("n")))
              .select(c(target), "_j", "_rank"))
     ranked = rank_by_hash(df, key, seed, [target])
-    picked = ranked.join(draws, [target, "_rank"]).drop("_rank")
-    picked = picked.withColumn(key, -(F.col(key) * 1_000_003 + F.col("_j"))).drop("_j")
-    base = ranked.drop("_rank")
+    picked = ranked.join(draws, [target, "_rank"]).drop("_rank").withColumnRenamed("_j", "_copy")
+    base = ranked.drop("_rank").withColumn("_copy", F.lit(0).cast("long"))
+    # a drawn row keeps its _rid; (_rid, _copy) identifies every output row
     return (base.unionByName(picked) if keep_originals else picked)
 
 

@@ -66,7 +66,7 @@ def binary_counts(df: DataFrame, label: str = "label", pred: str = "prediction",
 def regression_metrics(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """X-4: R² = 1 − SSE/SST, RMSE, MSE, MAE."""
     y, p = c(label).cast("double"), c(pred).cast("double")
-    ybar = df.select(F.avg(y)).scalar()
+    ybar = F.lit(df.select(F.avg(y)).first()[0])     # one number, read once
     g = df.agg(F.sum((y - p) * (y - p)).alias("sse"), F.sum((y - ybar) * (y - ybar)).alias("sst"),
                F.avg((y - p) * (y - p)).alias("mse"), F.avg(F.abs(y - p)).alias("mae"))
     return g.select((1 - F.try_divide(F.col("sse"), F.col("sst"))).alias("r2"), F.sqrt("mse").alias("rmse"), "mse", "mae")

@@ -4,7 +4,7 @@ Randomness is a hash of the row key (see ``functions.hashing``), so every result
 independent of partitioning and reproducible in SQL.
 
 Exact "take n rows per group" never ranks a whole group in one task: rows are cut into
-2^20 hash buckets, a small (group, bucket) count table gives the boundary bucket per
+2^16 hash buckets, a small (group, bucket) count table gives the boundary bucket per
 group, and only the rows of the boundary bucket are ranked to find the exact threshold.
 The final assignment is a map-only filter against a tiny broadcast threshold table.
 """
@@ -18,7 +18,10 @@ from ..functions.hashing import hash_int, uniform
 from ..functions.types import c
 from .common import range_bucket
 
-BUCKET_SHIFT = 12            # 32-bit hash >> 12 → 2^20 buckets
+# 32-bit hash >> 16 → 2^16 buckets: the (group, bucket) count table stays ≤ 65,536 rows per
+# group, and the only rows ever ranked together (one boundary bucket per group) are about
+# n / 65,536 — 15 M rows at 10^12 rows, a single sort within one task.
+BUCKET_SHIFT = 16
 
 
 def with_row_id(df: DataFrame, key: str | list[str] | None = None, name: str = "_rid") -> DataFrame:
@@ -45,29 +48,42 @@ def dedupe_exact(df: DataFrame, cols: list[str] | None = None, key: str = "_rid"
     return df.join(keep.select(key), key, "left_semi")
 
 
-def _buckets(df: DataFrame, key: str, seed) -> DataFrame:
-    h = hash_int(key, seed)
+def _buckets(df: DataFrame, key: str, seed, order_value=None) -> DataFrame:
+    """``_h``: the 32-bit ordering value (the key hash, or a caller's value in [0, 2^32));
+    ``_b``: its top 16 bits."""
+    h = hash_int(key, seed) if order_value is None else order_value.cast("long")
     return df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", BUCKET_SHIFT))
 
 
+def bucket_counts(df: DataFrame, key: str = "_rid", seed=42, group: list[str] | None = None) -> DataFrame:
+    """(group…, _b, _n): rows per (group, hash bucket) — one pass, partially aggregated.
+    Group sizes and the total are sums over this small table, so no extra scan is needed."""
+    g = list(group or [])
+    return _buckets(df, key, seed).groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def take_by_hash(df: DataFrame, quota: DataFrame, key: str = "_rid", seed=42,
-                 group: list[str] | None = None, flag: str = "_take") -> DataFrame:
+                 group: list[str] | None = None, flag: str = "_take", counts: DataFrame | None = None,
+                 order_value=None) -> DataFrame:
     """Mark (``flag``=True) exactly ``quota.take`` rows per group — the ones with the
-    smallest (hash(key, seed), key).  ``quota`` has the group columns and ``take``."""
+    smallest (hash(key, seed), key), or smallest (``order_value``, key) when given.
+    ``quota`` has the group columns and ``take``; ``counts`` may pass in an already
+    computed ``bucket_counts`` table."""
     g = list(group or [])
-    d = _buckets(df, key, seed)
+    d = _buckets(df, key, seed, order_value)
+    bc = counts if counts is not None else d.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n"))
     if not g:
         d = d.withColumn("_g", F.lit(0))
+        bc = bc.withColumn("_g", F.lit(0))
         quota = quota.withColumn("_g", F.lit(0))
         g = ["_g"]
-    bc = d.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     bc = bc.withColumn("_cum", F.sum("_n").over(w))
     q = quota.select(*g, F.col("take").cast("long").alias("take"))
     edge = (bc.join(q, g)
             .where((F.col("_cum") - F.col("_n") < F.col("take")) & (F.col("_cum") >= F.col("take")))
             .select(*g, F.col("_b").alias("_bb"), (F.col("take") - F.col("_cum") + F.col("_n")).alias("_need")))
-    # rows of the boundary bucket only (≈ n / 2^20 per group) are ranked
+    # rows of the boundary bucket only (≈ n / 2^16 per group) are ranked
     edge_rows = d.join(F.broadcast(edge), g).where(F.col("_b") == F.col("_bb"))
     wr = Window.partitionBy(*g).orderBy("_h", key)
     thr = (edge_rows.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == F.col("_need"))
@@ -115,9 +131,9 @@ def split_random(df: DataFrame, test_size: float = 0.2, seed=42, key: str = "_ri
     hash (D-2); approximate: hash < p (map-only, no count)."""
     if not exact:
         return df.withColumn("_split", F.when(uniform(key, seed) < test_size, "test").otherwise("train"))
-    n = df.select(F.count(F.lit(1))).scalar()
-    quota = df.sparkSession.range(1).select(F.ceil(n * F.lit(test_size)).alias("take"))
-    out = take_by_hash(df, quota, key, seed)
+    bc = bucket_counts(df, key, seed).cache()             # ≤ 65,536 rows, reused 2×
+    quota = bc.agg(F.ceil(F.sum("_n") * F.lit(test_size)).alias("take"))
+    out = take_by_hash(df, quota, key, seed, counts=bc)
     return out.withColumn("_split", F.when(F.col("_take"), "test").otherwise("train")).drop("_take")
 
 
@@ -125,10 +141,12 @@ def split_stratified(df: DataFrame, target: str, test_size: float = 0.2, seed=42
                      key: str = "_rid") -> DataFrame:
     """Stratified split (D-3): ceil(n·p) test rows allocated over classes by largest
     remainder, then the smallest-hash rows of each class."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    n = df.select(F.count(F.lit(1))).scalar()
+    # one pass: (class, hash bucket) counts; class sizes and n are sums over it
+    bc = bucket_counts(df, key, seed, [target]).cache()   # ≤ 65,536 rows per class, reused 3×
+    counts = bc.groupBy(target).agg(F.sum("_n").alias("n"))
+    n = counts.select(F.sum("n")).scalar()
     quota = _largest_remainder(counts, F.ceil(n * F.lit(test_size)), [target])
-    out = take_by_hash(df, quota.select(target, "take"), key, seed, [target])
+    out = take_by_hash(df, quota.select(target, "take"), key, seed, [target], counts=bc)
     return out.withColumn("_split", F.when(F.col("_take"), "test").otherwise("train")).drop("_take")
 
 

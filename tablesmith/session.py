@@ -61,6 +61,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df):
-    """Cut lineage reliably (survives executor loss): never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage reliably (survives executor loss; never a local checkpoint): the rows
+    are written once as Parquet under the shared ``spark.checkpoint.dir`` and read back,
+    so the plan above is computed exactly once and later jobs scan compact columnar files."""
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
