@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.types import columns_of
+from ..functions.types import columns_of, qcols
 from ..operators import profile as P
 from ..sources.tables import view, with_views
 from . import register, rounded, sql_round, sql_union
@@ -44,7 +44,7 @@ def column_types_q(spark, sf):
     """PF-1/PF-2: classify every column, then select each class and count its values."""
     df = view(spark, sf, "li")
     kinds = P.column_types(df).select("column", "type_class")
-    counts = df.agg(*[F.count(F.col(n)).alias(n) for n in LI_ALL]).unpivot([], LI_ALL, "column", "non_null")
+    counts = df.agg(*[F.count(F.col(n)).alias(n) for n in LI_ALL]).unpivot([], qcols(LI_ALL), "column", "non_null")
     return kinds.join(counts, "column").select("column", "type_class", F.col("non_null").cast("long"))
 
 

@@ -96,3 +96,8 @@ def parse_class(col: Column) -> Column:
             .when(s.rlike(NUMERIC_PATTERN), F.lit("float"))
             .when(s.rlike(r"^\s*\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"), F.lit("date"))
             .otherwise(F.lit("text")))
+
+
+def qcols(names) -> list[Column]:
+    """Quoted column references (for ``unpivot`` and friends: dots, spaces, hyphens)."""
+    return [c(n) for n in names]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import c, parse_datetime, safe_numeric
+from ..functions.types import c, parse_datetime, safe_numeric, qcols
 from .common import maybe_broadcast, param_rows
 from .impute import _train
 
@@ -24,7 +24,7 @@ MAX_LABEL_CATEGORIES = 1_000_000
 
 
 def _distinct_long(df: DataFrame, cols: list[str], keep_null: bool = False) -> DataFrame:
-    lv = df.select([c(n).cast("string").alias(n) for n in cols]).unpivot([], cols, "column", "value")
+    lv = df.select([c(n).cast("string").alias(n) for n in cols]).unpivot([], qcols(cols), "column", "value")
     if not keep_null:
         lv = lv.where(F.col("value").isNotNull())
     return lv

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import c
+from ..functions.types import c, qcols
 from .common import param_rows
 from .quantiles import quantiles_of_long
 
@@ -32,7 +32,7 @@ def fit_impute(df: DataFrame, methods: dict[str, str], quantiles: str = "exact")
     parts = []
     num_cols = [k for k, m in methods.items() if m in ("mean", "median", "indicator") and isinstance(dts[k], T.NumericType)]
     if num_cols:
-        lv = tr.select([c(k).cast("double").alias(k) for k in num_cols]).unpivot([], num_cols, "column", "value") \
+        lv = tr.select([c(k).cast("double").alias(k) for k in num_cols]).unpivot([], qcols(num_cols), "column", "value") \
             .where(F.col("value").isNotNull() & ~F.isnan("value"))
         means = lv.groupBy("column").agg(F.avg("value").alias("mean"))
         meds = quantiles_of_long(lv, [0.5], quantiles).select("column", F.col("value").alias("median"))
@@ -48,7 +48,7 @@ def fit_impute(df: DataFrame, methods: dict[str, str], quantiles: str = "exact")
                  if (m == "mode" or (m == "indicator" and not isinstance(dts[k], T.NumericType)))
                  and not isinstance(dts[k], (T.TimestampType, T.TimestampNTZType, T.DateType))]
     if mode_cols:
-        lv = tr.select([c(k).cast("string").alias(k) for k in mode_cols]).unpivot([], mode_cols, "column", "value") \
+        lv = tr.select([c(k).cast("string").alias(k) for k in mode_cols]).unpivot([], qcols(mode_cols), "column", "value") \
             .where(F.col("value").isNotNull())
         freq = lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
@@ -62,7 +62,7 @@ def fit_impute(df: DataFrame, methods: dict[str, str], quantiles: str = "exact")
     ts_cols = [k for k, m in methods.items() if isinstance(dts[k], (T.TimestampType, T.TimestampNTZType, T.DateType))
                and m not in ("none", "drop_rows")]
     if ts_cols:
-        lv = tr.select([c(k).cast("timestamp_ntz").alias(k) for k in ts_cols]).unpivot([], ts_cols, "column", "value") \
+        lv = tr.select([c(k).cast("timestamp_ntz").alias(k) for k in ts_cols]).unpivot([], qcols(ts_cols), "column", "value") \
             .where(F.col("value").isNotNull())
         freq = lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import c
+from ..functions.types import c, qcols
 
 
 def accuracy(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -120,10 +120,10 @@ def diagnostic_report(df: DataFrame, task: str, label: str = "label", pred: str
         m = regression_metrics(df, label, pred)
     else:
         m = classification_metrics(df, label, pred)
-    out = m.unpivot([], m.columns, "metric", "value")
+    out = m.unpivot([], qcols(m.columns), "metric", "value")
     if score and task != "regression":
         a = auc(df, label, score)
-        out = out.unionByName(a.unpivot([], a.columns, "metric", "value"))
+        out = out.unionByName(a.unpivot([], qcols(a.columns), "metric", "value"))
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
 from ..functions.stats import norm_cdf_np, norm_ppf_np
-from ..functions.types import c
+from ..functions.types import c, qcols
 
 
 def shapiro_w(x: np.ndarray) -> tuple[float, float]:
@@ -67,7 +67,7 @@ def shapiro_w(x: np.ndarray) -> tuple[float, float]:
 
 def shapiro_flags(df: DataFrame, cols: list[str], sample: int = 5000, seed=42, key: str = "_rid") -> DataFrame:
     """(column, n, w, p_value, is_normal): constant columns count as normal."""
-    lv = df.select(key, *[c(x).cast("double").alias(x) for x in cols]).unpivot([key], cols, "column", "value") \
+    lv = df.select(key, *[c(x).cast("double").alias(x) for x in cols]).unpivot([key], qcols(cols), "column", "value") \
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
     w = Window.partitionBy("column").orderBy(hash_int(key, seed), key)
     s = lv.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("column", "value")

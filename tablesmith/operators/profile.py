@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import rnd, sample_kurtosis, sample_skewness
-from ..functions.types import DATE_PATTERN, c, columns_of, parse_class, type_class
+from ..functions.types import DATE_PATTERN, c, columns_of, parse_class, type_class, qcols
 from .quantiles import long_values, quantiles_of_long
 
 
@@ -79,7 +79,7 @@ def missing_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         return F.sum(e.cast("long"))
 
     wide = df.agg(F.count(F.lit(1)).alias("__n"), *[miss(n).alias(n) for n in cols])
-    return (wide.unpivot(["__n"], cols, "column", "missing_count")
+    return (wide.unpivot(["__n"], qcols(cols), "column", "missing_count")
             .select("column", F.col("missing_count").cast("long").alias("missing_count"),
                     rnd(F.coalesce(F.try_divide(F.col("missing_count"), F.col("__n")), F.lit(0.0)), 4)
                     .alias("missing_ratio")))
@@ -132,7 +132,7 @@ def datetime_range(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, min_date, max_date) for datetime columns (P-11)."""
     cols = cols if cols is not None else columns_of(df, "datetime")
     wide = df.select([c(n).cast("timestamp_ntz").alias(n) for n in cols])
-    lv = wide.unpivot([], cols, "column", "value")
+    lv = wide.unpivot([], qcols(cols), "column", "value")
     return lv.groupBy("column").agg(F.min("value").alias("min_date"), F.max("value").alias("max_date"))
 
 
@@ -141,8 +141,11 @@ def datetime_range(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def frequency_table(df: DataFrame, cols: list[str] | None = None, keep_null: bool = False) -> DataFrame:
     """(column, value string, count long): the shared frequency pass."""
     cols = cols or _user_cols(df)
-    wide = df.select([c(n).cast("string").alias(n) for n in cols])
-    lv = wide.unpivot([], cols, "column", "value")
+    dts = {f.name: f.dataType for f in df.schema.fields}
+    # NaN is missing, as in the missing profile
+    wide = df.select([(F.when(~F.isnan(c(n)), c(n)) if isinstance(dts[n], (T.DoubleType, T.FloatType)) else c(n))
+                      .cast("string").alias(n) for n in cols])
+    lv = wide.unpivot([], qcols(cols), "column", "value")
     if not keep_null:
         lv = lv.where(F.col("value").isNotNull())
     return lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
@@ -155,7 +158,7 @@ def distinct_profile(df: DataFrame, cols: list[str] | None = None, approx: bool
     n = df.select(F.count(F.lit(1))).scalar()
     if approx:
         wide = df.agg(*[F.approx_count_distinct(c(n_)).alias(n_) for n_ in cols])
-        u = wide.unpivot([], cols, "column", "unique_count")
+        u = wide.unpivot([], qcols(cols), "column", "unique_count")
     else:
         u = frequency_table(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
         u = df.sparkSession.createDataFrame([(x,) for x in cols], "column string").join(u, "column", "left") \
@@ -198,7 +201,7 @@ def mixed_parse_classes(df: DataFrame, cols: list[str] | None = None) -> DataFra
     cols = cols if cols is not None else [f.name for f in df.schema.fields
                                           if isinstance(f.dataType, T.StringType) and not f.name.startswith("_")]
     wide = df.select([c(n).alias(n) for n in cols])
-    lv = wide.unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
+    lv = wide.unpivot([], qcols(cols), "column", "value").where(F.col("value").isNotNull())
     k = lv.select("column", parse_class(F.col("value")).alias("k"))
     g = k.groupBy("column").agg(*[F.sum((F.col("k") == x).cast("long")).alias(f"n_{x}")
                                   for x in ("int", "float", "date", "text")])

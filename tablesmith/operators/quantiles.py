@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import c
+from ..functions.types import c, qcols
 
 
 def long_values(df: DataFrame, cols: list[str], value_type: str = "double") -> DataFrame:
@@ -26,7 +26,7 @@ def long_values(df: DataFrame, cols: list[str], value_type: str = "double") -> D
     if not cols:
         return df.sparkSession.createDataFrame([], f"column string, value {value_type}")
     wide = df.select([c(n).cast(value_type).alias(n) for n in cols])
-    out = wide.unpivot([], cols, "column", "value") if len(cols) > 0 else wide
+    out = wide.unpivot([], qcols(cols), "column", "value") if len(cols) > 0 else wide
     return out.where(F.col("value").isNotNull() & ~F.isnan("value") if value_type == "double"
                      else F.col("value").isNotNull())
 

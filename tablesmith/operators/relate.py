@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import log2, rnd, safe_corr, sample_kurtosis, sample_skewness
-from ..functions.types import NUMERIC_PATTERN, c, columns_of, safe_numeric
+from ..functions.types import NUMERIC_PATTERN, c, columns_of, safe_numeric, qcols
 from .quantiles import quantile_table
 
 PAIR_BATCH = 100
@@ -121,7 +121,7 @@ def suggest_target(df: DataFrame, top: int = 3, id_match: str = "substring") ->
     n = df.select(F.count(F.lit(1))).scalar()
     f = frequency_table(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("nd"), F.max("count").alias("top"),
                                                         F.sum("count").alias("nn"))
-    miss = df.agg(*[F.sum(c(x).isNull().cast("long")).alias(x) for x in cols]).unpivot([], cols, "column", "miss")
+    miss = df.agg(*[F.sum(c(x).isNull().cast("long")).alias(x) for x in cols]).unpivot([], qcols(cols), "column", "miss")
     meta = df.sparkSession.createDataFrame(
         [(x, i, isinstance(df.schema[x].dataType, T.NumericType)) for i, x in enumerate(cols)],
         "column string, position int, is_numeric boolean")
@@ -205,7 +205,7 @@ def target_corr(df: DataFrame, target: str, cols: list[str] | None = None) -> Da
     """R-3: corr(feature, numeric target), NULL results dropped, rounded 3."""
     cols = cols if cols is not None else non_constant_numeric(df, target)
     wide = df.agg(*[safe_corr(c(x), c(target)).alias(x) for x in cols])
-    return wide.unpivot([], cols, "feature", "corr").where(F.col("corr").isNotNull()) \
+    return wide.unpivot([], qcols(cols), "feature", "corr").where(F.col("corr").isNotNull()) \
         .select("feature", rnd(F.col("corr"), 3).alias("correlation"))
 
 
@@ -214,7 +214,7 @@ def linear_signal(df: DataFrame, target: str, cols: list[str] | None = None) ->
     cols = cols if cols is not None else columns_of(df, "numeric", exclude=[target])
     y = safe_numeric(c(target), df.schema[target].dataType)
     wide = df.agg(*[safe_corr(safe_numeric(c(x), df.schema[x].dataType), y).alias(x) for x in cols])
-    return wide.unpivot([], cols, "feature", "corr").where(F.col("corr").isNotNull()) \
+    return wide.unpivot([], qcols(cols), "feature", "corr").where(F.col("corr").isNotNull()) \
         .select("feature", rnd(F.abs("corr"), 3).alias("strength"), (F.abs("corr") < 0.3).alias("non_linear_candidate"))
 
 
@@ -224,7 +224,7 @@ def group_means(df: DataFrame, target: str, cols: list[str] | None = None) -> Da
     """R-4: (feature, class, mean) rounded 3; one row per class and feature."""
     cols = cols if cols is not None else non_constant_numeric(df, target)
     lv = df.select(c(target).cast("string").alias("class"), *[c(x).cast("double").alias(x) for x in cols]) \
-        .unpivot(["class"], cols, "feature", "value")
+        .unpivot(["class"], qcols(cols), "feature", "value")
     return lv.where(F.col("class").isNotNull()).groupBy("feature", "class") \
         .agg(rnd(F.avg("value"), 3).alias("mean"))
 
@@ -240,7 +240,7 @@ def cramers_v(df: DataFrame, target: str, cols: list[str], max_levels: int = 50)
     chi² = Σ (o − E)² / E with E = r·c/n over the observed contingency cells plus the
     expected mass of the empty cells (Σ_all E = n)."""
     lv = df.select(c(target).cast("string").alias("y"), *[c(x).cast("string").alias(x) for x in cols]) \
-        .unpivot(["y"], cols, "feature", "x").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .unpivot(["y"], qcols(cols), "feature", "x").where(F.col("x").isNotNull() & F.col("y").isNotNull())
     cell = lv.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("o"))
     rows = cell.groupBy("feature", "x").agg(F.sum("o").alias("r"))
     colm = cell.groupBy("feature", "y").agg(F.sum("o").alias("cc"))
@@ -265,7 +265,7 @@ def anova_f(df: DataFrame, target: str, cols: list[str] | None = None, min_rows:
     SSW = 0 → NULL; rounded 4."""
     cols = cols if cols is not None else columns_of(df, "numeric", exclude=[target])
     lv = df.select(c(target).cast("string").alias("y"), *[c(x).cast("double").alias(x) for x in cols]) \
-        .unpivot(["y"], cols, "feature", "v").where(F.col("v").isNotNull() & F.col("y").isNotNull())
+        .unpivot(["y"], qcols(cols), "feature", "v").where(F.col("v").isNotNull() & F.col("y").isNotNull())
     g = lv.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("nk"), F.avg("v").alias("mk"),
                                        (F.var_pop("v") * F.count(F.lit(1))).alias("ssw_k"))
     t = g.groupBy("feature").agg(F.sum("nk").alias("n"), (F.sum(F.col("mk") * F.col("nk")) / F.sum("nk")).alias("m"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import norm_ppf_np
-from ..functions.types import c
+from ..functions.types import c, qcols
 from .common import param_rows
 from .impute import _train
 from .quantiles import long_values, quantiles_of_long
@@ -203,7 +203,7 @@ def constant_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column): columns with ≤ 1 distinct value counting NULL as a value."""
     cols = cols or [n for n in df.columns if not n.startswith("_")]
     wide = df.agg(*[(F.count_distinct(c(n)) + F.max(c(n).isNull().cast("int"))).alias(n) for n in cols])
-    return wide.unpivot([], cols, "column", "k").where(F.col("k") <= 1).select("column")
+    return wide.unpivot([], qcols(cols), "column", "k").where(F.col("k") <= 1).select("column")
 
 
 def drop_constant(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

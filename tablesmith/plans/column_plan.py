@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import NUMERIC_PATTERN, c, parse_datetime, type_class
+from ..functions.types import NUMERIC_PATTERN, c, parse_datetime, type_class, qcols
 from ..operators.profile import frequency_table
 
 # Allowed plan values per field (dynamic plan).
@@ -74,7 +74,7 @@ def evidence(df: DataFrame, target: str, sample_k: int = 5, static: bool = False
     long = wide.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
     uniq = frequency_table(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
     # first k non-null values by row id: window with a group limit (partial top-k per task)
-    lv = df.select("_rid", *[c(x).cast("string").alias(x) for x in cols]).unpivot(["_rid"], cols, "column", "value") \
+    lv = df.select("_rid", *[c(x).cast("string").alias(x) for x in cols]).unpivot(["_rid"], qcols(cols), "column", "value") \
         .where(F.col("value").isNotNull())
     w = Window.partitionBy("column").orderBy("_rid")
     first = (lv.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_k)

@@ -46,7 +46,8 @@ def score_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = f"{sf_dir.rstrip('/')}/lineitem.parquet"
     batch = spark.read.parquet(src)
     imp, sc, model = fit_batch(batch)
-    stream = spark.readStream.schema(batch.schema).parquet(src)
+    # a file stream watches a folder; the glob filter picks this table's files
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     q = (score_stream(stream, imp, sc, model).writeStream.format("parquet")
          .option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
