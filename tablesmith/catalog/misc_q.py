@@ -138,7 +138,8 @@ def class_weights(spark, sf):
 
 @register("undersample", with_views("""
 SELECT _rid, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY ('0x' || substr(md5('42:' || CAST(_rid AS VARCHAR)), 1, 8))::BIGINT, _rid) AS r
-                         FROM docs) WHERE r <= (SELECT min(k) FROM (SELECT count(*) AS k FROM docs GROUP BY toxic))""", "docs"))
+                         FROM docs WHERE toxic IS NOT NULL)
+WHERE r <= (SELECT min(k) FROM (SELECT count(*) AS k FROM docs WHERE toxic IS NOT NULL GROUP BY toxic))""", "docs"))
 def undersample(spark, sf):
     return B.undersample(view(spark, sf, "docs").select("_rid", "toxic"), "toxic")
 

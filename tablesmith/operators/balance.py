@@ -30,7 +30,9 @@ def class_weights(df: DataFrame, target: str, name: str = "class_weight") -> Dat
 
 
 def undersample(df: DataFrame, target: str, seed=42, key: str = "_rid") -> DataFrame:
-    """Keep min-class-count rows of every class, the smallest hashes (B-3)."""
+    """Keep min-class-count rows of every class, the smallest hashes (B-3).  Rows with a
+    missing target belong to no class and are not kept."""
+    df = df.where(c(target).isNotNull())
     cc = class_counts(df, target)
     mn = cc.select(F.min("n")).scalar()
     quota = cc.select(c(target), mn.alias("take"))
