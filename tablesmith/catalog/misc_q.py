@@ -174,7 +174,8 @@ def balance_report(spark, sf):
 @register("readiness", with_views("""
 SELECT 'l_quantity' AS "column", true AS is_numeric, count(*) FILTER (WHERE l_quantity IS NULL)::BIGINT AS missing,
        0::BIGINT AS infinite, CASE WHEN count(*) FILTER (WHERE l_quantity IS NULL) > 0 THEN 'missing_values' END AS blocker FROM li
-UNION ALL SELECT 'l_discount', true, 0::BIGINT, 0::BIGINT, NULL FROM li GROUP BY ALL
+UNION ALL SELECT 'l_discount', true, count(*) FILTER (WHERE l_discount IS NULL)::BIGINT, 0::BIGINT,
+                 CASE WHEN count(*) FILTER (WHERE l_discount IS NULL) > 0 THEN 'missing_values' END FROM li
 UNION ALL SELECT 'l_linestatus', false, count(*) FILTER (WHERE l_linestatus IS NULL)::BIGINT, 0::BIGINT, 'non_numeric' FROM li""", "li"))
 def readiness(spark, sf):
     return V.readiness(view(spark, sf, "li").select("_rid", "l_quantity", "l_discount", "l_linestatus", T), T)
