@@ -95,7 +95,7 @@ def evidence(df: DataFrame, target: str, sample_k: int = 5, static: bool = False
     return out
 
 
-def target_evidence(df: DataFrame, target: str, max_classes: int = 20) -> DataFrame:
+def target_evidence(df: DataFrame, target: str, max_classes: int = 20, duplicates: bool = True) -> DataFrame:
     """One row: rows, target missing/unique counts, task type (string or ≤ max_classes
     distinct → classification), class count extremes and imbalance (classification only),
     duplicate rows.  Missing target is a class here."""
@@ -107,7 +107,10 @@ def target_evidence(df: DataFrame, target: str, max_classes: int = 20) -> DataFr
                    F.max("k").alias("max_k"), F.min("k").alias("min_k"))
     cls = F.lit(is_str) | (F.col("target_unique") <= max_classes)
     from ..operators.profile import duplicate_rows
-    dup = duplicate_rows(df, [n for n in df.columns if not n.startswith("_")]).select("duplicate_rows").scalar()
+    # the duplicate count is a full-row groupBy (a shuffle of the table); flows that
+    # de-duplicate anyway skip it here
+    dup = (duplicate_rows(df, [n for n in df.columns if not n.startswith("_")]).select("duplicate_rows").scalar()
+           if duplicates else F.lit(None).cast("long"))
     return g.select(F.col("rows").cast("long"), F.col("target_missing").cast("long"),
                     F.col("target_unique").cast("long"),
                     F.when(cls, "classification").otherwise("regression").alias("task_type"),

@@ -44,7 +44,7 @@ def preprocess_dynamic(df: DataFrame, target: str, override: DataFrame | None =
     normalise → balance → validate.  Every fit uses train rows only."""
     steps = []
     ev = materialize_small(L.evidence(df, target))
-    tev = materialize_small(L.target_evidence(df, target))
+    tev = materialize_small(L.target_evidence(df, target, duplicates=False))
     plan = L.default_plan(ev)
     if override is not None:
         plan = L.validate_plan(L.merge_plan(plan, override), L.default_plan(ev))
