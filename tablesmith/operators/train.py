@@ -170,6 +170,10 @@ def search_preprocess_model(df: DataFrame, target: str, num_cols: list[str], cat
         ev = RegressionEvaluator(labelCol=LABEL, metricName="r2")
         models = [("Ridge", LinearRegression(featuresCol=FEATURES, labelCol=LABEL, regParam=1.0)),
                   ("RandomForest", RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, numTrees=50, seed=seed))]
+    # every fold of every grid cell reads this table: write it once instead of
+    # recomputing the fold ranking for each of the many small fit jobs
+    from ..session import checkpoint
+    data = checkpoint(data)
     rows = []
     combos = [("mean", "standard"), ("median", "standard"), ("mean", "minmax"), ("median", "minmax"), ("mode", "standard")]
     for imp, sc in combos:
@@ -184,7 +188,7 @@ def search_preprocess_model(df: DataFrame, target: str, num_cols: list[str], cat
         for mname, est in models:
             pipe = Pipeline(stages=stages + [est])
             cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                                foldCol="_fold", numFolds=folds, parallelism=2, seed=seed)
+                                foldCol="_fold", numFolds=folds, parallelism=4, seed=seed)
             m = cv.fit(data)
             rows.append((imp, sc, mname, float(m.avgMetrics[0])))
     return df.sparkSession.createDataFrame(rows, "imputer string, scaler string, model string, cv_score double")
