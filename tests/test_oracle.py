@@ -40,7 +40,7 @@ def test_every_oracle_name_is_a_query():
 
 
 def test_no_forbidden_query_names():
-    for n in E.queries():
+    for n in E.catalog.QUERIES:
         assert "pipeline" not in n and not n.startswith("op")
 
 
