@@ -22,7 +22,8 @@ from tablesmith.session import checkpoint
 BASE = 0x9E3779B97F4A7C15
 WINDOW_BASE = 0xD1342543DE82EF95
 ROUTE_BASE = 0xAF251AF3B0F025B5
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
@@ -42,8 +43,12 @@ _SHIPPED: set[str] = set()
 
 def ship(df: DataFrame) -> DataFrame:
     """``df``, after this package's code was given to the executors (once per application), so
-    that Python functions run there also where the package is not installed."""
-    sc = df.sparkSession.sparkContext
+    that Python functions run there also where the package is not installed.  Arrow batches are
+    held to ``BATCH_BYTES``, as ten thousand long documents would not fit a worker."""
+    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(conf.get(size, "")) in ("", "-1", "67108864", "2147483647"):      # not chosen by the user
+        conf.set(size, str(BATCH_BYTES))
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="tablesmith-code-"), "tablesmith_code.zip")

@@ -32,7 +32,7 @@ from .common import (ROUTE_BASE, SPACES, WINDOW_BASE, from_planes, pieces, plane
                      ship, span_hash, text_view, word_spans)
 
 BUCKET_WINDOWS = 1 << 20
-FLUSH_WINDOWS = 3 << 20
+FLUSH_WINDOWS = 1 << 20
 SHARE = "bucket int, ids binary, counts binary, gaps binary, hashes binary"
 MARKS = "part int, ids binary, counts binary, starts binary"
 SPANS = "doc_id long, spans binary"
