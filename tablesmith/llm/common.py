@@ -47,7 +47,7 @@ def ship(df: DataFrame) -> DataFrame:
     held to ``BATCH_BYTES``, as ten thousand long documents would not fit a worker."""
     sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if str(conf.get(size, "")) in ("", "-1", "67108864", "2147483647"):      # not chosen by the user
+    if conf.get(size) in ("-1", "67108864", "64MB", "2147483647"):      # not chosen by the user
         conf.set(size, str(BATCH_BYTES))
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
