@@ -44,7 +44,8 @@ def dropped_positions(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, t
     else:
         keys = keyed.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")) \
             .groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.count("one").alias("n")).where(F.col("n") >= min_docs)
-    hits = keyed.join(keys.select("h1", "h2", "lo"), ["h1", "h2"]).where(F.col("doc_id") != F.col("lo"))
+    # written, so that both sides of the join are shuffles and adaptive execution can split a very common line
+    hits = keyed.join(cut(keys.select("h1", "h2", "lo")), ["h1", "h2"]).where(F.col("doc_id") != F.col("lo"))
     return hits.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
 
 
