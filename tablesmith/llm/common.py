@@ -238,9 +238,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         last = state
         both = e.unionByName(e.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"))
+        # the minima are written before they are joined: a join of two shuffles can split a node of many links
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), u).alias("m")))
         big = both.join(low, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        big = cut(big)
+        low = cut(big.groupBy("u").agg(F.min("v").alias("m")))
         small = big.join(low, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v")) \
             .unionByName(low.select("u", F.col("m").alias("v")))
         small = small.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u != v).distinct()

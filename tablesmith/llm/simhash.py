@@ -108,7 +108,8 @@ def links(classes: DataFrame, bits: int = 2) -> DataFrame:
                      for k, (_, m) in enumerate(masks)])
     rows = classes.select("rep", "fp", F.explode(keys).alias("x")).select("rep", "fp", "x.t", "x.key")
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = cut(rows.join(sizes, ["t", "key"]))      # only keys that two classes share
+    # only keys that two classes share; their sizes are written first, so a hot key of the join can be split
+    rows = cut(rows.join(cut(sizes), ["t", "key"]))
     calm = rows.where(F.col("n") <= HOT).drop("n")
     a, b = calm.alias("a"), calm.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
