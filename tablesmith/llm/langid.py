@@ -1,13 +1,14 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of ``ORDER`` characters per language, learned from documents with a language: the
-n-grams of a bounded, hash-chosen share of them (``MAX_TRAIN_CHARS`` characters a language)
-are counted by Spark, and the driver turns the distinct n-grams into probabilities.  All
+One model of ``ORDER`` characters per language, learned from all documents with a language:
+Spark counts their n-grams, and the driver turns the distinct ones into probabilities.  A
+language has at most ``MAX_GRAMS`` distinct n-grams in its model (some tens of megabytes); of
+more, the rarest are left out by a count threshold that Spark takes from the counts.  All
 models together are one sorted array of n-gram hashes per order, with a column of log
 probabilities and of back-off weights for each language, so one lookup a character scores
 every language.  The language of the lowest cross-entropy per character wins.
 
-Rejection is calibrated: documents of a tenth of the sample are not learned from; a
+Rejection is calibrated: a hash-chosen tenth of the documents is not learned from; a
 prediction is ``accepted`` if its cross-entropy is no higher than the ``ACCEPT`` quantile of
 theirs.  ``score`` is the winner's posterior with the evidence of at most ``SCORE_CHARS``
 characters.
@@ -20,6 +21,7 @@ is never learned; repeated rows get equal results; extra columns are not looked
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import cache
 
@@ -28,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, KeyTable, mix, pieces, rolling, ship, text_view
+from .common import BASE, KeyTable, cut, mix, pieces, rolling, ship, text_view
 
 ORDER = 4
-MAX_TRAIN_CHARS = 4_000_000
+MAX_GRAMS = 1_000_000
 ACCEPT = 0.999
 SCORE_CHARS = 64
 PIECE = 2 << 20
@@ -88,7 +90,6 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray, alphabet: int):
     Returns per order 1 to ORDER: (k-grams, probability, and for each k-gram as a context its weight)."""
     orders = []
     for k in range(grams.shape[1], 0, -1):
-        total = counts.sum()
         n1, n2 = (counts == 1).sum(), (counts == 2).sum()
         discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         context, at = np.unique(grams[:, :-1], axis=0, return_inverse=True) if k > 1 else (np.zeros((1, 0), grams.dtype),
@@ -96,11 +97,11 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray, alphabet: int):
         at = at.ravel()
         seen = np.bincount(at, counts, len(context))
         kinds = np.bincount(at, minlength=len(context))
-        orders.append((grams, np.maximum(counts - discount, 0) / seen[at], context, discount * kinds / seen, at, total))
+        orders.append((grams, np.maximum(counts - discount, 0) / seen[at], context, discount * kinds / seen, at))
         grams, counts = np.unique(grams[:, 1:], axis=0, return_counts=True)   # continuation counts
         counts = counts.astype(np.float64)
     out, lower, shorter = [], np.array([1.0 / alphabet]), None
-    for grams, p, context, weight, at, _ in reversed(orders):
+    for grams, p, context, weight, at in reversed(orders):
         if shorter is None:
             base = np.full(len(grams), lower[0])
         else:
@@ -169,7 +170,6 @@ def cross_entropy(model: Model, codes: np.ndarray, first: np.ndarray) -> tuple[n
         start[first[:-1] + k] = True        # pads are context only
     total = np.zeros((n, langs), np.float32)
     todo = np.flatnonzero(~start)
-    scored = len(todo)
     for k in range(ORDER, 0, -1):
         table, log = model.tables[k - 1], model.logs[k - 1]
         h = gram_hash(codes, k)
@@ -185,11 +185,10 @@ def cross_entropy(model: Model, codes: np.ndarray, first: np.ndarray) -> tuple[n
             found, rank = model.tables[k - 2].find(h[todo - 1])
             total[todo[found]] += model.logs[k - 2][rank, langs:]
         else:
-            total[todo] += np.float32(model.unseen) - np.float32(0.0)
+            total[todo] += np.float32(model.unseen)
     sums = np.add.reduceat(total, first[:-1], axis=0, dtype=np.float64) if n else np.zeros((len(first) - 1, langs))
     size = np.maximum(np.diff(first) - (ORDER - 1), 1)
     letters_in = np.add.reduceat((codes != PAD).astype(np.int64), first[:-1]) if n else np.zeros(len(first) - 1, np.int64)
-    assert scored == (np.diff(first) - (ORDER - 1)).sum()
     return -sums / size[:, None], letters_in
 
 
@@ -212,7 +211,7 @@ def predict(model: Model, texts: list[str]):
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, accepted) for rows (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", docs.schema[0].dataType.typeName() == "string" and pa.string() or pa.int64()),
+    schema = pa.schema([("doc_id", pa.string() if docs.schema[0].dataType.typeName() == "string" else pa.int64()),
                         ("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()),
                         ("accepted", pa.bool_())])
 
@@ -228,18 +227,28 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     return ship(docs).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, accepted boolean")
 
 
+def least_counts(counted: DataFrame, max_grams: int) -> Column:
+    """By language the smallest count that leaves at most ``max_grams`` n-grams, on a scale of quarter powers of 2."""
+    step = F.floor(4 * F.log2("n")).cast("int")
+    least: dict[str, int] = {}
+    left: dict[str, int] = {}
+    for r in counted.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        left[r.lang] = left.get(r.lang, 0) + r.n
+        if left[r.lang] <= max_grams:
+            least[r.lang] = r.step
+    if not left:
+        return F.lit(0)
+    low = {k: math.ceil(2 ** (least[k] / 4) - 1e-9) if k in least else 2 ** 62 for k in left}
+    return F.element_at(F.create_map(*[F.lit(x) for kv in low.items() for x in kv]), F.col("lang")).cast("long")
+
+
 def train(docs: DataFrame, train_rows: Column | None = None, lang: str = "lang", text: str = "text",
-          doc_id: str = "doc_id", max_chars: int = MAX_TRAIN_CHARS) -> Model:
+          doc_id: str = "doc_id", max_grams: int = MAX_GRAMS) -> Model:
     """Learn from the documents that meet ``train_rows`` and have a language and a text."""
     d = docs.where(train_rows) if train_rows is not None else docs
     d = d.select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"),
                  F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1_000_003)).alias("at")) \
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in d.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    if not sizes:
-        return build({})
-    limit = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1_000_003, int(max_chars / max(n, 1) * 1_000_003)))])
-    d = d.where(F.col("at") < limit[F.col("lang")])
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
     def count(batches):
@@ -259,7 +268,9 @@ def train(docs: DataFrame, train_rows: Column | None = None, lang: str = "lang",
                                                       pa.array(n)], schema=schema)
 
     learned = ship(d).where(F.col("at") % 10 != 0).select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
-    table = learned.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow().to_pydict()
+    counted = cut(learned.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counted = counted.where(F.col("n") >= least_counts(counted, max_grams))
+    table = counted.orderBy("lang", "gram").toArrow().to_pydict()
     names, langs = np.array(table["lang"], object), table["gram"]
     codes = np.frombuffer("".join(langs).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
     counts = np.array(table["n"], np.float64)
