@@ -80,7 +80,7 @@ class Model:
     langs: list[str]
     tables: list[KeyTable]        # of order 1 to ORDER
     logs: list[np.ndarray]        # a row for each key: log probability by language, then back-off weight by language
-    unseen: float                 # log probability of an unknown character
+    unseen: np.ndarray            # log probability of an unknown character by language
     accept: np.ndarray            # highest accepted cross-entropy by language
 
 
@@ -132,7 +132,7 @@ def build(grams_of: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     langs = sorted(grams_of)
     alphabet = len(np.unique(np.concatenate([g.ravel() for g, _ in grams_of.values()]))) + 1 if langs else 1
     models = [kneser_ney(*grams_of[x], alphabet) for x in langs]
-    unseen = float(np.log(1.0 / alphabet))
+    unseen = np.array([np.log(m[0][3][0] / alphabet) for m in models])
     tables, logs = [], []
     for k in range(1, ORDER + 1):
         keys = [row_hash(m[k - 1][0]) for m in models]
@@ -144,9 +144,7 @@ def build(grams_of: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         at = np.searchsorted(table.keys[:-1], row_hash(rows))
         # an n-gram that a language lacks: its context's weight there, and the shorter n-gram's probability
         if k == 1:
-            back = np.full((len(rows), len(langs)), unseen)
-            weights = np.array([np.log(m[0][3][0]) for m in models])
-            back = back + weights
+            back = np.tile(unseen, (len(rows), 1))
         else:
             short = np.searchsorted(tables[-1].keys[:-1], row_hash(rows[:, 1:]))
             ctx_found, ctx = tables[-1].find(row_hash(rows[:, :-1]))
@@ -185,7 +183,7 @@ def cross_entropy(model: Model, codes: np.ndarray, first: np.ndarray) -> tuple[n
             found, rank = model.tables[k - 2].find(h[todo - 1])
             total[todo[found]] += model.logs[k - 2][rank, langs:]
         else:
-            total[todo] += np.float32(model.unseen)
+            total[todo] += model.unseen.astype(np.float32)
     sums = np.add.reduceat(total, first[:-1], axis=0, dtype=np.float64) if n else np.zeros((len(first) - 1, langs))
     size = np.maximum(np.diff(first) - (ORDER - 1), 1)
     letters_in = np.add.reduceat((codes != PAD).astype(np.int64), first[:-1]) if n else np.zeros(len(first) - 1, np.int64)

@@ -77,8 +77,9 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         initial, final = part[ws], part[we - 1]
         second = part[np.minimum(ws + 1, we - 1)]
         is_upper = (initial >= 0x41) & (initial <= 0x5A)
-        next_same = np.append((h[1:] == h[:-1]) & (row[1:] == row[:-1]), False) if len(h) else np.zeros(0, bool)
-        pairs = np.append(h[1:], h[:1]) * np.uint64(0x9E3779B97F4A7C15) + h
+        inside = np.append(row[1:] == row[:-1], False) if len(h) else np.zeros(0, bool)
+        pairs = np.where(inside, np.append(h[1:], h[:1]) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0)) + h
+        next_same = inside & (np.append(h[1:], h[:1]) == h)
         distinct, top = _distinct(h, first)
         longest = np.zeros(j - i)
         np.maximum.at(longest, row, width)
