@@ -144,19 +144,37 @@ def undersample(spark, sf):
     return B.undersample(view(spark, sf, "docs").select("_rid", "toxic"), "toxic")
 
 
-@register("undersample_guarded", with_views("SELECT count(*)::BIGINT AS n FROM docs", "docs"))
+@register("undersample_guarded", with_views("SELECT _rid, toxic FROM docs", "docs"))
 def undersample_guarded(spark, sf):
-    """The null/0/1 toxic classes are far apart: undersampling would keep < 60 % → no-op."""
-    out = B.undersample_guarded(view(spark, sf, "docs").select("_rid", "toxic"), "toxic")
-    return out.agg(F.count(F.lit(1)).cast("long").alias("n"))
+    """The 0/1 toxic classes are far apart: undersampling would keep < 60 % → no-op."""
+    return B.undersample_guarded(view(spark, sf, "docs").select("_rid", "toxic"), "toxic")
+
+
+@register("undersample_guarded_applies", with_views("""
+WITH t AS (SELECT _rid, CASE WHEN doc_id % 5 IN (0, 1, 2) THEN 'a' WHEN doc_id % 5 = 3 OR doc_id % 10 = 9 THEN 'b' END AS k FROM docs),
+m AS (SELECT min(n) AS mn FROM (SELECT count(*) AS n FROM t WHERE k IS NOT NULL GROUP BY k))
+SELECT _rid, k FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ('0x' || substr(md5('42:' || CAST(_rid AS VARCHAR)), 1, 8))::BIGINT, _rid) AS r
+                     FROM t WHERE k IS NOT NULL), m WHERE r <= mn""", "docs"))
+def undersample_guarded_applies(spark, sf):
+    """Two classes 2 : 1 and rows without one: the guard looks at the classes only."""
+    i = F.col("doc_id")
+    d = view(spark, sf, "docs").select("_rid", F.when((i % 5).isin(0, 1, 2), "a").when((i % 5 == 3) | (i % 10 == 9), "b").alias("k"))
+    return B.undersample_guarded(d, "k")
 
 
 @register("oversample", with_views("""
-SELECT quality, (SELECT max(k) FROM (SELECT count(*) AS k FROM docs WHERE quality IS NOT NULL GROUP BY quality))::BIGINT AS n
-FROM docs WHERE quality IS NOT NULL GROUP BY quality""", "docs"))
+WITH cc AS (SELECT quality, count(*) AS n FROM docs WHERE quality IS NOT NULL GROUP BY quality),
+need AS (SELECT quality, n, (SELECT max(n) FROM cc) - n AS need FROM cc),
+dr AS (SELECT quality, n, j FROM need, LATERAL (SELECT unnest(range(1, need + 1)) AS j)),
+rk AS (SELECT _rid, quality, n_chars, row_number() OVER (PARTITION BY quality ORDER BY ('0x' || substr(md5('42:' || CAST(_rid AS VARCHAR)), 1, 8))::BIGINT, _rid) - 1 AS r FROM docs)
+SELECT _rid, quality, n_chars, 0::BIGINT AS _copy FROM docs
+UNION ALL
+SELECT rk._rid, rk.quality, rk.n_chars, dr.j::BIGINT FROM dr JOIN rk ON dr.quality = rk.quality
+     AND rk.r = ('0x' || substr(md5('42:' || dr.quality || ':' || dr.j), 1, 8))::BIGINT % dr.n""", "docs"))
 def oversample(spark, sf):
-    d = view(spark, sf, "docs").where(F.col("quality").isNotNull()).select("_rid", "quality", "n_chars")
-    return B.oversample(d, "quality").groupBy("quality").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    """Row by row, the rows without a class among them."""
+    d = view(spark, sf, "docs").select("_rid", "quality", "n_chars")
+    return B.oversample(d, "quality").select("_rid", "quality", "n_chars", "_copy")
 
 
 @register("balance_report", with_views("""
@@ -270,6 +288,17 @@ def fingerprint(spark, sf):
     return a.select("n_rows", "fingerprint").unionByName(b.select("n_rows", "fingerprint")).distinct()
 
 
+FP_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@register("fingerprint_parts", f"""
+WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', {", ".join(f"coalesce(CAST({x} AS VARCHAR), chr(92) || 'N')" for x in FP_COLS)})), 1, 15))::BIGINT AS h
+           FROM orders)
+SELECT count(*) AS n_rows, CAST(sum(h::HUGEINT) % 2305843009213693952 AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor FROM h""")
+def fingerprint_parts(spark, sf):
+    return H.fingerprint_parts(view(spark, sf, "orders"), FP_COLS)
+
+
 @register("stage_reuse")
 def stage_reuse(spark, sf):
     d = view(spark, sf, "li")

@@ -83,8 +83,8 @@ SELECT "column", CASE WHEN numeric_parse_ratio >= 0.9 THEN 'numeric' ELSE 'categ
        CASE WHEN numeric_parse_ratio >= 0.9 THEN 'clip_iqr' ELSE 'keep' END AS outlier,
        CASE WHEN numeric_parse_ratio >= 0.9 THEN 'none' WHEN unique_count <= 15 THEN 'onehot' ELSE 'frequency' END AS encoding,
        false AS skip_scaling,
-       CASE WHEN unique_ratio > 0.95 AND unique_count > 20 THEN 'Likely identifier/high-cardinality column'
-            ELSE 'Evidence-based default' END AS reason, 'default' AS source
+       CASE WHEN unique_ratio > 0.95 AND unique_count > 20 THEN 'nearly every value is different'
+            ELSE 'default from the evidence' END AS reason, 'default' AS source
 FROM ev""", "li")
 
 

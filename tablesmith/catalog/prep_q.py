@@ -76,6 +76,14 @@ def kfold_assign(spark, sf):
     return D.kfold_assign(view(spark, sf, "li"), 5, T, 42).select("_rid", T, "_fold")
 
 
+@register("kfold_missing_class", with_views(f"""
+SELECT _rid, toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER BY {sql_hash_int('_rid', 42)}, _rid) - 1) % 5 AS INTEGER) AS _fold
+FROM docs""", "docs"))
+def kfold_missing_class(spark, sf):
+    """Rows without a class are folded as a class of their own."""
+    return D.kfold_assign(view(spark, sf, "docs"), 5, "toxic", 42).select("_rid", "toxic", "_fold")
+
+
 @register("drop_rare_classes", with_views("""
 SELECT _rid, source FROM docs WHERE source IN (SELECT source FROM docs GROUP BY source HAVING count(*) >= 40)""", "docs"))
 def drop_rare_classes(spark, sf):
@@ -83,15 +91,13 @@ def drop_rare_classes(spark, sf):
 
 
 @register("dedupe_exact", with_views("""
-SELECT min(_rid) AS _rid, count(*)::BIGINT AS copies FROM li_dup
+SELECT min(_rid) AS _rid, l_orderkey, l_linenumber, l_quantity FROM li_dup
 GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
          l_returnflag, l_linestatus, l_shipdate""", "li_dup"))
 def dedupe_exact(spark, sf):
     d = view(spark, sf, "li_dup")
     cols = [x for x in d.columns if not x.startswith("_")]
-    kept = D.dedupe_exact(d, cols)
-    copies = d.groupBy(cols).agg(F.min("_rid").alias("_rid"), F.count(F.lit(1)).cast("long").alias("copies"))
-    return kept.select("_rid").join(copies.select("_rid", "copies"), "_rid")
+    return D.dedupe_exact(d, cols).select("_rid", "l_orderkey", "l_linenumber", "l_quantity")
 
 
 @register("sample_guard", with_views(f"""
@@ -158,8 +164,7 @@ def impute_constant(spark, sf):
 SELECT _rid, CAST(l_quantity IS NULL AS INTEGER) AS l_quantity__missing,
        coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM ls WHERE _split = 'train')) AS l_quantity,
        CAST(l_linestatus IS NULL AS INTEGER) AS l_linestatus__missing,
-       coalesce(l_linestatus, (SELECT l_linestatus FROM ls WHERE _split = 'train' AND l_linestatus IS NOT NULL
-                               GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS l_linestatus FROM ls"""))
+       coalesce(l_linestatus, 'missing') AS l_linestatus FROM ls"""))
 def impute_indicator(spark, sf):
     d = li_split(spark, sf)
     out = N.apply_impute(d, N.fit_impute(d, {"l_quantity": "indicator", "l_linestatus": "indicator"}))
@@ -199,7 +204,7 @@ def _fence_sql(cols, lo_p, hi_p, iqr=True):
 
 
 def _clip_sql(iqr):
-    sel = ", ".join(f"least(greatest(CAST({x} AS DOUBLE), lo_{x}), hi_{x}) AS {x}" for x in NUMS)
+    sel = ", ".join(f"CASE WHEN {x} IS NOT NULL THEN least(greatest(CAST({x} AS DOUBLE), lo_{x}), hi_{x}) END AS {x}" for x in NUMS)
     return with_split(sql_round(f"SELECT _rid, _split, {sel} FROM ls, (SELECT {_fence_sql(NUMS, 0.01, 0.99, iqr)}) f", NUMS))
 
 
@@ -241,7 +246,7 @@ dr AS (SELECT _rid FROM (SELECT _rid, row_number() OVER (ORDER BY _rid) AS r FRO
 SELECT _split, count(*)::BIGINT AS n FROM ls WHERE _rid NOT IN (SELECT _rid FROM dr) GROUP BY _split"""))
 def remove_outlier_rows_capped(spark, sf):
     d = li_split(spark, sf)
-    out = O.remove_outlier_rows_capped(d, O.fit_bounds(d, ["l_extendedprice"], "quantile"))
+    out = O.remove_outlier_rows_capped(d, O.fit_bounds(d, ["l_extendedprice"], "quantile"), cap_ratio=0.02)
     return out.groupBy("_split").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 

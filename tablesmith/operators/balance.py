@@ -16,7 +16,8 @@ from .sample import rank_by_hash, take_by_hash
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
-    return df.groupBy(c(target)).agg(F.count(F.lit(1)).alias("n"))
+    """(class, n); rows without a class belong to none."""
+    return df.where(c(target).isNotNull()).groupBy(c(target)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_weights(df: DataFrame, target: str, name: str = "class_weight") -> DataFrame:
@@ -42,7 +43,7 @@ def undersample(df: DataFrame, target: str, seed=42, key: str = "_rid") -> DataF
 def undersample_guarded(df: DataFrame, target: str, min_keep: float = 0.6, min_ratio: float = 1.5,
                         seed=42, key: str = "_rid") -> DataFrame:
     """Static rule (B-4): nothing when max/min < 1.5; skipped when the result would keep
-    less than 60 % of the rows.  Two numbers from the class table decide."""
+    less than 60 % of the rows that have a class.  Two numbers from the class table decide."""
     cc = class_counts(df, target)
     s = cc.agg(F.max("n").alias("mx"), F.min("n").alias("mn"), F.count(F.lit(1)).alias("k"),
                F.sum("n").alias("tot")).first()
@@ -70,7 +71,8 @@ def draw_table(need: DataFrame, group: str, count_col: str = "need") -> DataFram
 def oversample(df: DataFrame, target: str, seed=42, key: str = "_rid", keep_originals: bool = True) -> DataFrame:
     """Random over-sampling to the largest class (B-2).  keep_originals: originals plus
     (max − n_c) draws with replacement; else the whole class is re-drawn (max draws).
-    Draw j of class c picks the row of exact hash rank hash(c, j) mod n_c."""
+    Draw j of class c picks the row of exact hash rank hash(c, j) mod n_c.  Rows without a
+    class are kept once among the originals and never drawn."""
     cc = class_counts(df, target)
     mx = cc.select(F.max("n")).scalar()
     need = cc.select(c(target), "n", (mx - F.col("n") if keep_originals else mx).alias("need"))

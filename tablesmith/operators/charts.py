@@ -44,9 +44,10 @@ def chart_sample(df: DataFrame, cols: list[str] | None = None, n: int = 50, seed
     return lv.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("column", key, "value")
 
 
-def chart_categories(df: DataFrame, cols: list[str] | None = None, k: int = 10, max_columns: int = 8,
+def chart_categories(df: DataFrame, cols: list[str] | None = None, k: int = 10, max_columns: int | None = None,
                      max_levels: int = 20) -> DataFrame:
-    """C-4: top-k bars of up to ``max_columns`` low-cardinality categorical columns."""
+    """C-4: top-k bars of the categorical columns of at most ``max_levels`` levels (a bar chart of more
+    is not readable), of the first ``max_columns`` of them where a caller sets that."""
     cols = cols if cols is not None else columns_of(df, "categorical")
     nd = df.agg(*[F.count_distinct(c(x)).alias(x) for x in cols]).first()
     low = [x for x in cols if nd[x] <= max_levels][:max_columns]
@@ -66,11 +67,12 @@ def chart_box(df: DataFrame, col: str, group: str | None = None, quantiles: str
     g = c(group).cast("string") if group else F.lit("all")
     lv = df.select(g.alias("column"), c(col).cast("double").alias("value")).where(F.col("value").isNotNull() &
                                                                                 F.col("column").isNotNull())
-    q = quantiles_of_long(lv, [0.25, 0.5, 0.75], quantiles).groupBy("column").pivot("p", [0.25, 0.5, 0.75]) \
+    q = quantiles_of_long(lv, [0.25, 0.5, 0.75], quantiles, few_keys=group is None).groupBy("column").pivot("p", [0.25, 0.5, 0.75]) \
         .agg(F.first("value")).toDF("column", "q1", "median", "q3")
     f = q.withColumn("lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
         .withColumn("hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    w = lv.join(F.broadcast(f.select("column", "lo", "hi")), "column") \
+    fences = f.select("column", "lo", "hi")
+    w = lv.join(fences if group else F.broadcast(fences), "column") \
         .groupBy("column").agg(F.min(F.when(F.col("value") >= F.col("lo"), F.col("value"))).alias("whisker_low"),
                                F.max(F.when(F.col("value") <= F.col("hi"), F.col("value"))).alias("whisker_high"))
     return q.join(w, "column").withColumnRenamed("column", "group")

@@ -11,7 +11,7 @@ Fitted parameters are small DataFrames.  Two ways to apply them:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 2_000_000
@@ -54,3 +54,33 @@ def materialize_small(df: DataFrame, limit: int = MAX_PARAM_ROWS) -> DataFrame:
     keep it as a local relation, so later steps do not recompute its lineage."""
     rows = param_rows(df, limit)
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on group columns where NULL is a group of its own; the keys come from the left."""
+    r = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`"))
+    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def prefix_sums(df: DataFrame, group: list[str], order: str, weights: dict[str, Column]) -> DataFrame:
+    """Add, for each name in ``weights``, the sum of that weight over the rows of the group
+    before this one in ``order`` (distinct within a group).
+
+    Rows are range-partitioned by (group, order) and written once, so the ranges are fixed;
+    a range sums its own rows, and the ranges before it come from a table of one row per
+    range and group.  No group is ever ordered in one task."""
+    from ..session import checkpoint
+
+    keys = [c for c in (*group, order)]
+    d = df.withColumns({f"__w_{n}": w for n, w in weights.items()})
+    d = checkpoint(d.repartitionByRange(*[F.col(f"`{k}`") for k in keys]).withColumn("__part", F.spark_partition_id()))
+    sums = d.groupBy("__part", *group).agg(*[F.sum(f"__w_{n}").alias(f"__s_{n}") for n in weights])
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__part", *group, *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in weights])
+    within = Window.partitionBy("__part", *group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_groups(d, sums, ["__part", *group])
+    return out.select(*[F.col(f"`{x}`") for x in df.columns],
+                      *[(F.col(f"__b_{n}") + F.coalesce(F.sum(f"__w_{n}").over(within), F.lit(0))).alias(n) for n in weights])

@@ -3,10 +3,8 @@
 Category lists are fitted on train rows.  One-hot categories are bounded by the plan
 (≤ 15 by default, ``max_categories`` enforced) and inlined as literals.  Label and
 frequency maps are (column, value, code) DataFrames applied by a join whose broadcast
-is size-checked.  Label codes come from ``dense_rank`` over the distinct-value table of a
-column: the plans only route bounded-cardinality columns to label encoding
-(``MAX_LABEL_CATEGORIES``); larger ones go to frequency or hash encoding, which have no
-per-column ordering step.
+is size-checked.  Label codes are prefix counts over the range-partitioned distinct values,
+so no column's values are ordered in one task.
 """
 
 from __future__ import annotations
@@ -16,11 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import c, parse_datetime, safe_numeric, qcols
-from .common import maybe_broadcast, param_rows
+from .common import maybe_broadcast, param_rows, prefix_sums
 from .impute import _train
 
 MAX_ONEHOT_CATEGORIES = 1000
-MAX_LABEL_CATEGORIES = 1_000_000
 
 
 def _distinct_long(df: DataFrame, cols: list[str], keep_null: bool = False) -> DataFrame:
@@ -35,9 +32,12 @@ def _distinct_long(df: DataFrame, cols: list[str], keep_null: bool = False) -> D
 def fit_onehot(df: DataFrame, cols: list[str], max_categories: int = MAX_ONEHOT_CATEGORIES) -> DataFrame:
     """(column, category, slot): sorted distinct train values per column."""
     d = _distinct_long(_train(df), cols).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return (d.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < max_categories)
-            .select("column", F.col("value").alias("category"), F.col("slot").cast("int")))
+    wide = [r["column"] for r in d.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_categories).collect()]
+    if wide:
+        raise ValueError(f"more than {max_categories} categories in {sorted(wide)}: use a label, frequency or hash "
+                         "encoding, or the sparse stages of ml_onehot_stages")
+    w = Window.partitionBy("column").orderBy("value")        # at most max_categories rows each
+    return d.select("column", F.col("value").alias("category"), (F.row_number().over(w) - 1).cast("int").alias("slot"))
 
 
 def apply_onehot(df: DataFrame, params: DataFrame, sep: str = "__", drop_first: bool = False,
@@ -80,8 +80,7 @@ def ml_onehot_stages(cols: list[str]):
 def fit_label(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, code): code = rank of the value among sorted distinct train values."""
     d = _distinct_long(_train(df), cols).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return d.withColumn("code", (F.dense_rank().over(w) - 1).cast("long"))
+    return prefix_sums(d, ["column"], "value", {"code": F.lit(1).cast("long")})
 
 
 def apply_map(df: DataFrame, params: DataFrame, value_col: str, default, suffix: str = "",

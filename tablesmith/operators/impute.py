@@ -34,9 +34,14 @@ def fit_impute(df: DataFrame, methods: dict[str, str], quantiles: str = "exact")
     if num_cols:
         lv = tr.select([c(k).cast("double").alias(k) for k in num_cols]).unpivot([], qcols(num_cols), "column", "value") \
             .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        means = lv.groupBy("column").agg(F.avg("value").alias("mean"))
-        meds = quantiles_of_long(lv, [0.5], quantiles).select("column", F.col("value").alias("median"))
         base = spark.createDataFrame([(k, methods[k]) for k in num_cols], "column string, method string")
+        of_mean = [k for k in num_cols if methods[k] == "mean"]
+        of_median = [k for k in num_cols if methods[k] != "mean"]
+        none = spark.createDataFrame([], "column string, x double")
+        means = lv.where(F.col("column").isin(of_mean)).groupBy("column").agg(F.avg("value").alias("mean")) \
+            if of_mean else none.withColumnRenamed("x", "mean")
+        meds = quantiles_of_long(lv.where(F.col("column").isin(of_median)), [0.5], quantiles) \
+            .select("column", F.col("value").alias("median")) if of_median else none.withColumnRenamed("x", "median")
         stat = base.join(means, "column", "left").join(meds, "column", "left")
         # all-missing column → 0
         parts.append(stat.select("column", "method",
@@ -45,8 +50,7 @@ def fit_impute(df: DataFrame, methods: dict[str, str], quantiles: str = "exact")
                                  F.lit(None).cast("string").alias("str_value"),
                                  F.lit(None).cast("timestamp_ntz").alias("ts_value")))
     mode_cols = [k for k, m in methods.items()
-                 if (m == "mode" or (m == "indicator" and not isinstance(dts[k], T.NumericType)))
-                 and not isinstance(dts[k], (T.TimestampType, T.TimestampNTZType, T.DateType))]
+                 if m == "mode" and not isinstance(dts[k], (T.TimestampType, T.TimestampNTZType, T.DateType))]
     if mode_cols:
         lv = tr.select([c(k).cast("string").alias(k) for k in mode_cols]).unpivot([], qcols(mode_cols), "column", "value") \
             .where(F.col("value").isNotNull())
@@ -71,10 +75,13 @@ def fit_impute(df: DataFrame, methods: dict[str, str], quantiles: str = "exact")
         parts.append(base.join(top, "column", "left").select(
             "column", "method", F.lit(None).cast("double").alias("num_value"), F.lit(None).cast("string").alias("str_value"),
             F.coalesce(F.col("value"), F.lit(EPOCH).cast("timestamp_ntz")).alias("ts_value")))
-    const = [k for k, m in methods.items() if m == "constant"]
+    # a text gap with an indicator reads "missing", as a constant does
+    timed = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    const = [k for k, m in methods.items() if m == "constant"
+             or (m == "indicator" and not isinstance(dts[k], (T.NumericType, *timed)))]
     if const:
         parts.append(spark.createDataFrame(
-            [(k, "constant", 0.0 if isinstance(dts[k], T.NumericType) else None,
+            [(k, methods[k], 0.0 if isinstance(dts[k], T.NumericType) else None,
               None if isinstance(dts[k], T.NumericType) else "missing", None) for k in const], PARAM_SCHEMA))
     if not parts:
         return spark.createDataFrame([], PARAM_SCHEMA)

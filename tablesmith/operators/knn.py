@@ -29,11 +29,11 @@ def to_vectors(df: DataFrame, cols: list[str] | None = None, array_col: str | No
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def knn_join(probe: DataFrame, base: DataFrame, k: int = 5, key: str = "id", vec: str = "features",
+def knn_join(probe: DataFrame, base: DataFrame, k: int | None = 5, key: str = "id", vec: str = "features",
              radius: float = 2.0, bucket_length: float = 1.0, tables: int = 8, same_group: str | None = None,
              exclude_self: bool = True, seed: int = 42) -> DataFrame:
     """(id, nb_id, dist, rank) — the k nearest base rows of every probe row among the LSH
-    candidates within ``radius``; with ``same_group`` only rows of the same group pair."""
+    candidates within ``radius`` (all of them, unranked, for k None); with ``same_group`` only rows of the same group pair."""
     lsh = BucketedRandomProjectionLSH(inputCol=vec, outputCol="__h", bucketLength=bucket_length,
                                       numHashTables=tables, seed=seed)
     model = lsh.fit(base)
@@ -46,6 +46,8 @@ def knn_join(probe: DataFrame, base: DataFrame, k: int = 5, key: str = "id", vec
         p = p.where(F.col("ga") == F.col("gb")).drop("ga", "gb")
     if exclude_self:
         p = p.where(F.col("id") != F.col("nb_id"))
+    if k is None:
+        return p
     w = Window.partitionBy("id").orderBy("dist", "nb_id")
     return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -73,7 +75,7 @@ def impute_knn(df: DataFrame, cols: list[str], k: int = 5, key: str = "_rid", ra
         gaps = gaps | c(x).isNull()
     probe = vec.where(gaps)
     base = vec.where(F.col("_split") == "train") if "_split" in df.columns else vec
-    nb = knn_join(probe.withColumnRenamed(key, "id"), base.withColumnRenamed(key, "id"), k=k * 3, key="id",
+    nb = knn_join(probe.withColumnRenamed(key, "id"), base.withColumnRenamed(key, "id"), k=None, key="id",
                   radius=r, bucket_length=r / 2, tables=tables)
     # exact nan-Euclidean re-rank on the candidates, per missing column
     pa = probe.select(F.col(key).alias("id"), *[F.col(x).alias(f"a_{x}") for x in cols])

@@ -7,10 +7,11 @@ so the cost is one scan of the prediction table, whatever its size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import c, qcols
+from .common import prefix_sums
 
 
 def accuracy(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -72,29 +73,31 @@ def regression_metrics(df: DataFrame, label: str = "label", pred: str = "predict
     return g.select((1 - F.try_divide(F.col("sse"), F.col("sst"))).alias("r2"), F.sqrt("mse").alias("rmse"), "mse", "mae")
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positive=1, buckets: int | None = None) -> DataFrame:
-    """X-5: (threshold, fpr, tpr) at every distinct score, descending; with ``buckets``
-    scores are rounded to that many quantile-free equal steps first.  The cumulative
-    window runs over the distinct-score table, not the rows."""
+def _roc_steps(df: DataFrame, label: str, score: str, positive, buckets: int | None) -> DataFrame:
     s = c(score).cast("double")
     if buckets:
         s = F.round(s * buckets) / buckets
     y = (c(label).cast("string") == str(positive)).cast("long")
     g = df.groupBy(s.alias("threshold")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = g.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
-    P = tot.select("P").scalar()
-    N = tot.select("N").scalar()
-    return cum.select("threshold", F.try_divide(F.col("fp"), N).alias("fpr"), F.try_divide(F.col("tp"), P).alias("tpr"))
-
-
-def auc(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
-    """X-5: trapezoid area under the ROC points (starting at (0, 0))."""
-    r = roc_curve(df, label, score, positive)
-    w = Window.orderBy(F.desc("threshold"))
-    t = r.withColumn("pf", F.coalesce(F.lag("fpr").over(w), F.lit(0.0))).withColumn("pt", F.coalesce(F.lag("tpr").over(w), F.lit(0.0)))
-    return t.agg(F.sum((F.col("fpr") - F.col("pf")) * (F.col("tpr") + F.col("pt")) / 2).alias("auc"))
+    cum = prefix_sums(g.withColumn("_down", -F.col("threshold")), [], "_down", {"tp0": F.col("pos"), "fp0": F.col("neg")})
+    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))      # one row
+    return cum.crossJoin(F.broadcast(tot)).select(
+        "threshold", F.try_divide(F.col("fp0") + F.col("neg"), F.col("N")).alias("fpr"),
+        F.try_divide(F.col("tp0") + F.col("pos"), F.col("P")).alias("tpr"),
+        F.try_divide(F.col("fp0"), F.col("N")).alias("fpr_before"), F.try_divide(F.col("tp0"), F.col("P")).alias("tpr_before"))
+
+
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positive=1, buckets: int | None = None) -> DataFrame:
+    """X-5: (threshold, fpr, tpr) at every distinct score, descending; with ``buckets``
+    scores are rounded to that many quantile-free equal steps first.  The cumulative counts
+    are prefix sums over ranges of scores, not a window over all of them."""
+    return _roc_steps(df, label, score, positive, buckets).select("threshold", "fpr", "tpr")
+
+
+def auc(df: DataFrame, label: str = "label", score: str = "score", positive=1, buckets: int | None = None) -> DataFrame:
+    """X-5: trapezoid area under the ROC points (starting at (0, 0)); each step knows the point before it."""
+    step = (F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2
+    return _roc_steps(df, label, score, positive, buckets).agg(F.sum(step).alias("auc"))
 
 
 def scores_to_labels(df: DataFrame, col: str, out: str = "label") -> DataFrame:

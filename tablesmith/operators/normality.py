@@ -13,12 +13,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_int
 from ..functions.stats import norm_cdf_np, norm_ppf_np
 from ..functions.types import c, qcols
+from .sample import take_by_hash
 
 
 def shapiro_w(x: np.ndarray) -> tuple[float, float]:
@@ -69,8 +69,8 @@ def shapiro_flags(df: DataFrame, cols: list[str], sample: int = 5000, seed=42, k
     """(column, n, w, p_value, is_normal): constant columns count as normal."""
     lv = df.select(key, *[c(x).cast("double").alias(x) for x in cols]).unpivot([key], qcols(cols), "column", "value") \
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
-    w = Window.partitionBy("column").orderBy(hash_int(key, seed), key)
-    s = lv.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("column", "value")
+    quota = lv.groupBy("column").agg(F.least(F.count(F.lit(1)), F.lit(sample)).alias("take"))
+    s = take_by_hash(lv, quota, key, seed, ["column"]).where("_take").select("column", "value")
 
     def per_column(pdf: pd.DataFrame) -> pd.DataFrame:
         vals = pdf["value"].to_numpy()

@@ -33,8 +33,11 @@ def _bounds(params: DataFrame) -> dict:
 def apply_clip(df: DataFrame, params: DataFrame) -> DataFrame:
     """least(greatest(x, lower), upper); NULL stays NULL (O-1, O-2)."""
     b = _bounds(params)
-    return df.select([F.least(F.greatest(c(n).cast("double"), F.lit(b[n][0])), F.lit(b[n][1])).alias(n)
-                      if n in b else c(n) for n in df.columns])
+    def clip(n):
+        x = c(n).cast("double")      # least and greatest skip NULL, so NULL is kept apart
+        return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(b[n][0])), F.lit(b[n][1]))).alias(n)
+
+    return df.select([clip(n) if n in b else c(n) for n in df.columns])
 
 
 def signed_log(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -56,11 +59,13 @@ def remove_outlier_rows(df: DataFrame, params: DataFrame) -> DataFrame:
     return df.where(~outlier_flag(params))
 
 
-def remove_outlier_rows_capped(df: DataFrame, params: DataFrame, cap_ratio: float = 0.02,
+def remove_outlier_rows_capped(df: DataFrame, params: DataFrame, cap_ratio: float | None = None,
                                key: str = "_rid") -> DataFrame:
-    """Drop flagged rows, at most max(1, floor(n·cap)) of them, the first ones by row id
-    (O-5).  The flagged rows are a small set by construction; their top-m by key is a
+    """Drop flagged rows; with ``cap_ratio`` at most max(1, floor(n·cap)) of them, the first
+    ones by row id (O-5), without it all.  The flagged rows are a small set by construction; their top-m by key is a
     window with a group limit (partial top-k before the shuffle)."""
+    if cap_ratio is None:
+        return remove_outlier_rows(df, params)
     n = df.select(F.count(F.lit(1))).scalar()
     cap = F.greatest(F.lit(1), F.floor(n * F.lit(cap_ratio)))
     flagged = df.where(outlier_flag(params)).select(key)

@@ -1,16 +1,13 @@
-"""Per-column quantiles in long form: (column, p, value).
+"""Per-column quantiles in long form: (column, p, value), linear interpolation between
+neighbouring ranks (equal to pandas and DuckDB ``quantile_cont``).
 
-Three methods, one interface:
-
-* ``exact``       Spark's ``percentile`` (linear interpolation, equal to pandas and
-                  DuckDB ``quantile_cont``).  Its buffer is a value→count map per
-                  column, so it suits low/medium cardinality columns.
-* ``approx``      ``percentile_approx`` (bounded sketch, one pass).
-* ``distributed`` exact answer without any per-column buffer: a frequency table of
-                  (column, value, count) is cut into value buckets by approximate
-                  boundaries, bucket offsets come from a tiny cumulative table, and only
-                  the buckets that hold a target rank are ranked by a window.  No task
-                  ever holds a whole column; a hot value is a single row with a count.
+* ``exact``   two scans and no buffer of a column's values: approximate quantiles a little
+              below and above each probability bracket the values that can hold its ranks;
+              the second scan keeps the values inside the brackets, counts everything between
+              two brackets as one row, and finds the ranks in that small table.
+* ``approx``  ``percentile_approx`` (bounded sketch, one pass).
+* ``buffer``  Spark's ``percentile``, whose buffer holds every distinct value of a column;
+              used where more than ``MAX_BRACKETS`` quantiles of a column are asked for.
 """
 
 from __future__ import annotations
@@ -38,11 +35,15 @@ def quantile_table(df: DataFrame, cols: list[str], probs: list[float], method: s
     return quantiles_of_long(lv, probs, method, accuracy)
 
 
+MAX_BRACKETS = 16
+
+
 def quantiles_of_long(lv: DataFrame, probs: list[float], method: str = "exact",
-                      accuracy: int = 10000, key: str = "column") -> DataFrame:
+                      accuracy: int = 10000, key: str = "column", few_keys: bool = True) -> DataFrame:
+    """``few_keys``: the keys are columns, so a row for each may be broadcast."""
     probs = [float(p) for p in probs]
-    if method == "distributed":
-        return _distributed_exact(lv, probs, key)
+    if method in ("exact", "distributed") and len(probs) <= MAX_BRACKETS:
+        return _bracketed(lv, probs, key, accuracy, few_keys)
     arr = F.array(*[F.lit(p) for p in probs])
     if method == "approx":
         agg = F.percentile_approx("value", arr, accuracy)
@@ -55,35 +56,33 @@ def quantiles_of_long(lv: DataFrame, probs: list[float], method: str = "exact",
             .select(key, "p", F.col("value").cast("double").alias("value")))
 
 
-def _distributed_exact(lv: DataFrame, probs: list[float], key: str, buckets: int = 256) -> DataFrame:
-    freq = lv.groupBy(key, "value").agg(F.count(F.lit(1)).alias("cnt"))
-    edges = [i / buckets for i in range(1, buckets)]
-    bnd = freq.groupBy(key).agg(
-        F.percentile_approx("value", F.array(*[F.lit(e) for e in edges]), 10000).alias("bnd"))
-    # bnd: one small row per column → broadcast
-    fb = (freq.join(F.broadcast(bnd), key)
-          .withColumn("bucket", F.size(F.filter("bnd", lambda b: b <= F.col("value"))))
-          .drop("bnd"))
-    bsum = fb.groupBy(key, "bucket").agg(F.sum("cnt").alias("bcnt"))
-    wb = Window.partitionBy(key).orderBy("bucket")
-    boff = bsum.withColumn("off", F.sum("bcnt").over(wb) - F.col("bcnt"))
-    tot = bsum.groupBy(key).agg(F.sum("bcnt").alias("n"))
-    tgt = (tot.withColumn("p", F.explode(F.array(*[F.lit(p) for p in probs])))
-           .withColumn("h", (F.col("n") - 1) * F.col("p"))
-           .withColumn("r_lo", F.floor("h").cast("long"))
-           .withColumn("r_hi", F.ceil("h").cast("long")))
-    ranks = (tgt.select(key, "p", "h", F.explode(F.array("r_lo", "r_hi")).alias("r")).distinct())
-    rb = ranks.join(F.broadcast(boff), (ranks[key] == boff[key]) & (F.col("r") >= F.col("off"))
-                    & (F.col("r") < F.col("off") + F.col("bcnt"))).select(ranks[key], "p", "h", "r", "bucket", "off")
-    need = rb.select(key, "bucket", "off").distinct()
-    sel = fb.join(F.broadcast(need), [key, "bucket"])
-    wv = Window.partitionBy(key, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cum = sel.withColumn("cend", F.sum("cnt").over(wv) + F.col("off"))
-    hit = (cum.join(F.broadcast(rb.drop("off")), [key, "bucket"])
-           .where((F.col("r") >= F.col("cend") - F.col("cnt")) & (F.col("r") < F.col("cend")))
-           .select(key, "p", "h", "r", "value"))
-    return (hit.groupBy(key, "p", "h")
-            .agg(F.min_by("value", "r").alias("v_lo"), F.max_by("value", "r").alias("v_hi"),
-                 F.min("r").alias("r_lo"))
-            .select(key, "p", (F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo")))
-                    .alias("value")))
+def _bracketed(lv: DataFrame, probs: list[float], key: str, accuracy: int, few_keys: bool) -> DataFrame:
+    # percentile_approx errs by at most n / accuracy ranks; a bracket spans twice that on both sides, which is
+    # ten ranks to spare from n = 10 * accuracy on; the values of smaller keys are all kept
+    eps = 2.0 / accuracy
+    at = sorted(set(probs))
+    edges = F.percentile_approx("value", F.array(*[F.lit(x) for p in at for x in (max(0.0, p - eps), min(1.0, p + eps))]), accuracy)
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    brackets = F.array(*[F.struct((low if p - eps <= 0 else F.col("_e")[2 * i]).alias("lo"),
+                                  (high if p + eps >= 1 else F.col("_e")[2 * i + 1]).alias("hi")) for i, p in enumerate(at)])
+    brackets = F.when(F.col("_m") < 10 * accuracy, F.array(F.struct(low.alias("lo"), high.alias("hi")))).otherwise(brackets)
+    b = lv.groupBy(key).agg(edges.alias("_e"), F.count(F.lit(1)).alias("_m")).select(F.col(key).alias("_k"), brackets.alias("_b"))
+    v = F.col("value")
+    d = lv.select(key, "value").join(F.broadcast(b) if few_keys else b, F.col(key) == F.col("_k"))
+    inside = F.exists("_b", lambda x: (v >= x["lo"]) & (v <= x["hi"]))
+    # a value between brackets only counts: it stands, as a gap, right after the last bracket below it
+    below = F.aggregate("_b", low, lambda a, x: F.when(x["hi"] < v, F.greatest(a, x["hi"])).otherwise(a))
+    seen = d.select(key, (~inside).cast("int").alias("_gap"), F.when(inside, v).otherwise(below).alias("value")) \
+        .groupBy(key, "value", "_gap").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key).orderBy("value", "_gap")
+    total = F.sum("_n").over(Window.partitionBy(key))
+    seen = seen.withColumn("_all", total).withColumn("_end", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = (F.col("_all") - 1).cast("double")
+    targets = F.array(*[F.struct(F.lit(p).alias("p"), (rank * p).alias("h"), f(rank * p).cast("long").alias("r"))
+                        for p in at for f in (F.floor, F.ceil)])
+    hit = seen.where("_gap = 0").select(key, "value", F.explode(F.filter(
+        targets, lambda x: (x["r"] >= F.col("_end") - F.col("_n")) & (x["r"] < F.col("_end")))).alias("x"))
+    step = F.col("x.h") - F.floor("x.h")
+    return hit.groupBy(key, F.col("x.p").alias("p")).agg(
+        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.max(step).alias("_f")) \
+        .select(key, "p", (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("value"))

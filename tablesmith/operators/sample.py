@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, uniform
 from ..functions.types import c
-from .common import range_bucket
+from .common import join_groups, range_bucket
 
 # 32-bit hash >> 16 → 2^16 buckets: the (group, bucket) count table stays ≤ 65,536 rows per
 # group, and the only rows ever ranked together (one boundary bucket per group) are about
@@ -44,8 +44,12 @@ def dedupe_exact(df: DataFrame, cols: list[str] | None = None, key: str = "_rid"
     cols = cols or [n for n in df.columns if not n.startswith("_")]
     if key not in df.columns:
         return df.dropDuplicates(cols)
-    keep = df.groupBy([c(n) for n in cols]).agg(F.min(key).alias(key))
-    return df.join(keep.select(key), key, "left_semi")
+    # the copy of the smallest id is taken whole: one shuffle, and copies that share an id count as copies
+    rest = [n for n in df.columns if n != key and n not in cols]
+    kept = df.groupBy([c(n) for n in cols]).agg(
+        F.min(F.struct(c(key).alias("k"), *[c(n).alias(f"r{i}") for i, n in enumerate(rest)])).alias("_first"))
+    return kept.select([F.col("_first.k").alias(n) if n == key else
+                        F.col(f"_first.r{rest.index(n)}").alias(n) if n in rest else c(n) for n in df.columns])
 
 
 def _buckets(df: DataFrame, key: str, seed, order_value=None) -> DataFrame:
@@ -80,15 +84,15 @@ def take_by_hash(df: DataFrame, quota: DataFrame, key: str = "_rid", seed=42,
     w = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     bc = bc.withColumn("_cum", F.sum("_n").over(w))
     q = quota.select(*g, F.col("take").cast("long").alias("take"))
-    edge = (bc.join(q, g)
+    edge = (join_groups(bc, q, g)
             .where((F.col("_cum") - F.col("_n") < F.col("take")) & (F.col("_cum") >= F.col("take")))
             .select(*g, F.col("_b").alias("_bb"), (F.col("take") - F.col("_cum") + F.col("_n")).alias("_need")))
     # rows of the boundary bucket only (≈ n / 2^16 per group) are ranked
-    edge_rows = d.join(F.broadcast(edge), g).where(F.col("_b") == F.col("_bb"))
+    edge_rows = join_groups(d, edge, g).where(F.col("_b") == F.col("_bb"))
     wr = Window.partitionBy(*g).orderBy("_h", key)
     thr = (edge_rows.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == F.col("_need"))
            .select(*g, "_bb", F.col("_h").alias("_th"), F.col(key).alias("_tk")))
-    out = d.join(F.broadcast(thr), g, "left")
+    out = join_groups(d, thr, g, "left")
     take = (F.col("_b") < F.col("_bb")) | ((F.col("_b") == F.col("_bb")) & (
         (F.col("_h") < F.col("_th")) | ((F.col("_h") == F.col("_th")) & (F.col(key) <= F.col("_tk")))))
     drop = ["_h", "_b", "_bb", "_th", "_tk"] + (["_g"] if g == ["_g"] else [])
@@ -107,7 +111,7 @@ def rank_by_hash(df: DataFrame, key: str = "_rid", seed=42, group: list[str] | N
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     off = bc.withColumn("_off", F.sum("_n").over(w) - F.col("_n")).drop("_n")
     wr = Window.partitionBy(*g, "_b").orderBy("_h", key)
-    return (d.join(off, g + ["_b"])
+    return (join_groups(d, off, g + ["_b"])
             .withColumn(name, (F.col("_off") + F.row_number().over(wr) - 1).cast("long"))
             .drop("_h", "_b", "_off"))
 

@@ -51,13 +51,17 @@ def apply_scaler(df: DataFrame, params: DataFrame) -> DataFrame:
 def fit_quantile(df: DataFrame, cols: list[str], n_quantiles: int = 1000, quantiles: str = "exact") -> DataFrame:
     """(column, knots array<double>): m = min(n_quantiles, n) knots at j/(m−1)."""
     lv = long_values(_train(df), cols)
-    n = lv.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    nmin = n.select(F.min("n")).first()[0] or 1
-    m = max(2, min(n_quantiles, int(nmin)))
-    probs = [j / (m - 1) for j in range(m)]
-    q = quantiles_of_long(lv, probs, quantiles)
-    return q.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("p", "value"))).alias("kv")) \
-        .select("column", F.transform("kv", lambda s: s["value"]).alias("knots"))
+    # one row per column: columns of as many knots share a pass
+    sizes: dict[int, list[str]] = {}
+    for r in lv.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes.setdefault(max(2, min(n_quantiles, r["n"])), []).append(r["column"])
+    out = df.sparkSession.createDataFrame([], "column string, knots array<double>")
+    for m, names in sorted(sizes.items()):
+        q = quantiles_of_long(lv.where(F.col("column").isin(names)), [j / (m - 1) for j in range(m)], quantiles)
+        out = out.unionByName(
+            q.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("p", "value"))).alias("kv"))
+            .select("column", F.transform("kv", lambda s: s["value"]).alias("knots")))
+    return out
 
 
 def _quantile_normal(x: pd.Series, knots) -> pd.Series:

@@ -90,7 +90,7 @@ def train_simple(df: DataFrame, target: str, features: list[str], task: str,
     names = list(models) if task == "classification" else [m.replace("LogisticRegression", "LinearRegression") for m in models]
     rows = []
     fitted = {}
-    for m in names[:3]:
+    for m in names:
         est = model_factory(m, task, n_classes=k)
         fit = est.fit(tr)
         fitted[m] = fit

@@ -132,7 +132,7 @@ def default_plan(ev: DataFrame) -> DataFrame:
         F.when(numeric, "clip_iqr").otherwise("keep").alias("outlier"),
         F.when(numeric, "none").when(F.col("unique_count") <= 15, "onehot").otherwise("frequency").alias("encoding"),
         F.lit(False).alias("skip_scaling"),
-        F.when(high, "Likely identifier/high-cardinality column").otherwise("Evidence-based default").alias("reason"),
+        F.when(high, "nearly every value is different").otherwise("default from the evidence").alias("reason"),
         F.lit("default").alias("source"))
 
 

@@ -60,7 +60,7 @@ def rebuild_clean(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def write_report(tables: dict[str, DataFrame], folder: str, fmt: str = "json") -> list[str]:
     """IO-8: every tidy report table to its own folder."""
-    return [write_table(df.coalesce(1), f"{folder.rstrip('/')}/{name}", fmt) for name, df in tables.items()]
+    return [write_table(df, f"{folder.rstrip('/')}/{name}", fmt) for name, df in tables.items()]
 
 
 def export_transformed(df: DataFrame, folder: str, vector_col: str | None = None, names: list[str] | None = None) -> str:

@@ -24,11 +24,11 @@ def row_hash_md5(df: DataFrame, cols: list[str] | None = None):
 
 
 def fingerprint_parts(df: DataFrame, cols: list[str] | None = None, fast: bool = False) -> DataFrame:
-    """One row: n_rows, hash_sum (mod 2^61, as decimal string-free long), hash_xor."""
+    """One row: n_rows, hash_sum (modulo 2^61; summed as a decimal, so no row count overflows it), hash_xor."""
     cols = cols or [x for x in df.columns if not x.startswith("_")]
     h = F.xxhash64(*[c(x) for x in cols]) if fast else row_hash_md5(df, cols)
     return df.select(h.alias("h")).agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
-                                       F.sum(F.col("h") % F.lit(1 << 40)).cast("long").alias("hash_sum"),
+                                       (F.sum(F.col("h").cast("decimal(38,0)")) % F.lit(1 << 61)).cast("long").alias("hash_sum"),
                                        F.bit_xor("h").alias("hash_xor"))
 
 
@@ -46,13 +46,22 @@ def stage_path(root: str, stage: str, fp: str) -> str:
     return f"{root.rstrip('/')}/stage={stage}/fingerprint={fp}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """A finished result: its writer left the success mark."""
+    fs, p = _file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
 def lookup(spark: SparkSession, root: str, stage: str, fp: str) -> DataFrame | None:
     """H-2: read a stored stage result, or None when absent."""
     path = stage_path(root, stage, fp)
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  (absent path → cache miss)
-        return None
+    return spark.read.parquet(path) if _exists(spark, path) else None
 
 
 def save(df: DataFrame, root: str, stage: str, fp: str) -> str:
@@ -72,16 +81,13 @@ def reuse_or_compute(spark: SparkSession, root: str, stage: str, fp: str, comput
 
 def list_stages(spark: SparkSession, root: str) -> DataFrame:
     """(stage, fingerprint) of everything stored under ``root``."""
-    try:
-        d = spark.read.option("basePath", root).parquet(f"{root.rstrip('/')}/stage=*/fingerprint=*")
-        return d.select("stage", "fingerprint").distinct()
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], "stage string, fingerprint string")
+    fs, path = _file_system(spark, f"{root.rstrip('/')}/stage=*/fingerprint=*/_SUCCESS")
+    found = [str(x.getPath().getParent()) for x in (fs.globStatus(path) or [])]
+    rows = [tuple(part.split("=", 1)[1] for part in p.rsplit("/", 2)[-2:]) for p in found]
+    return spark.createDataFrame(rows, "stage string, fingerprint string")
 
 
 def invalidate(spark: SparkSession, root: str, stage: str, fp: str) -> None:
     """Remove a stored stage (Hadoop FileSystem, works on any cluster file system)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(stage_path(root, stage, fp))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path = _file_system(spark, stage_path(root, stage, fp))
     fs.delete(path, True)

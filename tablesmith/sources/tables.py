@@ -16,10 +16,12 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 # The injection rules of the test views.
 VIEW_SQL = {
     # lineitem with gaps, outliers and a nullable category; (orderkey, linenumber) is not
-    # unique in the generated data, so _rid is a 60-bit md5 of the four key columns
+    # unique in the generated data, so _rid is a 60-bit md5 of six columns
     "li": """
         SELECT CAST(conv(substr(md5(concat_ws(':', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING),
-                                          CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING))), 1, 15), 16, 10) AS BIGINT) AS _rid,
+                                          CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
+                                          CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING),
+                                          CAST(CAST(round(l_quantity * 100) AS BIGINT) AS STRING))), 1, 15), 16, 10) AS BIGINT) AS _rid,
                l_orderkey, l_partkey, l_suppkey, l_linenumber,
                CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_quantity END AS l_quantity,
                CASE WHEN l_orderkey % 97 = 0 THEN l_extendedprice * 50 ELSE l_extendedprice END AS l_extendedprice,
@@ -29,13 +31,15 @@ VIEW_SQL = {
                CASE WHEN l_orderkey % 19 = 5 THEN NULL ELSE l_linestatus END AS l_linestatus,
                CASE WHEN l_orderkey % 23 = 7 THEN NULL ELSE l_shipdate END AS l_shipdate
         FROM lineitem""",
-    # li plus exact copies of every 50th order (copies get their own _rid)
+    # li plus exact copies of every 50th order, with a _rid of their own, and of every 70th, with the same _rid
     "li_dup": """
         SELECT * FROM li
         UNION ALL
         SELECT _rid + 1000000000000 AS _rid, l_orderkey, l_partkey, l_suppkey, l_linenumber,
                l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
-        FROM li WHERE l_orderkey % 50 = 0""",
+        FROM li WHERE l_orderkey % 50 = 0
+        UNION ALL
+        SELECT * FROM li WHERE l_orderkey % 70 = 0""",
     # documents with their (partly missing) labels: natural gaps in the target
     "docs": """
         SELECT d.doc_id AS _rid, d.doc_id, d.lang, d.source, d.n_chars,

@@ -120,3 +120,73 @@ def test_stream_scoring(spark):
     from tablesmith.streaming.score_stream import score_stream_once
     out = score_stream_once(spark, SF_SMALL)
     assert out.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+
+
+def test_clip_keeps_missing_values(spark):
+    from tablesmith.operators.outliers import apply_clip
+    d = spark.createDataFrame([(1, None), (2, -5.0), (3, 2.0), (4, 99.0)], "id int, x double")
+    p = spark.createDataFrame([("x", 0.0, 10.0)], "column string, lower double, upper double")
+    assert [r.x for r in apply_clip(d, p).orderBy("id").collect()] == [None, 0.0, 2.0, 10.0]
+
+
+def test_onehot_never_cuts_categories(spark):
+    from tablesmith.operators.encode import fit_onehot
+    d = spark.range(3000).selectExpr("concat('v', id) AS x")
+    with pytest.raises(ValueError, match="more than 1000 categories"):
+        fit_onehot(d, ["x"])
+    assert fit_onehot(d, ["x"], max_categories=3000).count() == 3000
+
+
+def test_topk_skips_rejected_candidates(spark):
+    from tablesmith.operators.features import select_topk
+    st = spark.createDataFrame([("a", 0.9, False), ("b", -0.8, True), ("c", 0.1, True), ("d", 0.05, True)],
+                               "name string, corr double, keep boolean")
+    got = {r.name: (r.rank, r.selected) for r in select_topk(st, 2).collect()}
+    assert got == {"a": (None, False), "b": (1, True), "c": (2, True), "d": (3, False)}
+
+
+def test_guard_ignores_rows_without_class(spark):
+    from tablesmith.operators.balance import undersample_guarded
+    rows = [(i, "a" if i < 50 else "b" if i < 80 else None) for i in range(480)]
+    d = spark.createDataFrame(rows, "_rid long, k string")
+    assert undersample_guarded(d, "k").count() == 60
+
+
+def test_fingerprint_sum_has_no_overflow(spark):
+    from tablesmith.sources.store import fingerprint_parts
+    from pyspark.sql import functions as F
+    d = spark.range(1).select(F.lit("x").alias("a"))
+    h = fingerprint_parts(d).first()
+    many = spark.range(200).select(F.lit("x").alias("a"))
+    assert fingerprint_parts(many).first().hash_sum == h.hash_sum * 200 % (1 << 61)
+
+
+def test_stage_store(spark, tmp_path):
+    from tablesmith.sources import store
+    d = spark.range(5)
+    assert store.lookup(spark, str(tmp_path), "s", "f") is None
+    store.save(d, str(tmp_path), "s", "f")
+    assert store.lookup(spark, str(tmp_path), "s", "f").count() == 5
+    assert [tuple(r) for r in store.list_stages(spark, str(tmp_path)).collect()] == [("s", "f")]
+    store.invalidate(spark, str(tmp_path), "s", "f")
+    assert store.lookup(spark, str(tmp_path), "s", "f") is None and store.list_stages(spark, str(tmp_path)).count() == 0
+
+
+def test_quantiles_of_large_columns_match_the_buffer(spark):
+    """More rows than the brackets keep whole: ties, both ends, and a constant column."""
+    from tablesmith.operators.quantiles import quantile_table
+    d = spark.range(250_000).selectExpr("pmod(id * 7919, 250007) / 3.0 AS a", "pmod(id, 7) * 1.0 AS b", "2.5 AS c",
+                                        "CASE WHEN id % 3 > 0 THEN pow(pmod(id * 31, 1009), 3) END AS d")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    want = {(r.column, r.p): r.value for r in quantile_table(d, d.columns, probs, "buffer").collect()}
+    got = {(r.column, r.p): r.value for r in quantile_table(d, d.columns, probs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
+
+
+def test_prefix_sums(spark):
+    from pyspark.sql import functions as F
+    from tablesmith.operators.common import prefix_sums
+    rows = [(g, i, (i * 7) % 5) for g in ("a", None, "b") for i in range(40)]
+    d = spark.createDataFrame(rows, "g string, i int, w long").repartition(6)
+    got = {(r.g, r.i): r.s for r in prefix_sums(d, ["g"], "i", {"s": F.col("w")}).collect()}
+    assert got == {(g, i): sum((j * 7) % 5 for j in range(i)) for g, i, _ in rows}
