@@ -20,10 +20,10 @@ from . import register, rounded, sql_round, sql_union
 T = "l_returnflag"
 
 
-def li_split(spark, sf):
-    """The stratified split, written once to the checkpoint folder: every fit and apply
-    below reads it instead of recomputing the hash split."""
-    return checkpoint(D.split_stratified(view(spark, sf, "li"), T, 0.2, 42))
+def li_split(spark, sf, *cols):
+    """The stratified split of the columns needed, written once to the checkpoint folder: every
+    fit and apply below reads it instead of recomputing the hash split."""
+    return checkpoint(D.split_stratified(view(spark, sf, "li").select("_rid", T, *cols), T, 0.2, 42))
 
 
 # li with the stratified split, in DuckDB (largest remainder over classes, hash rank)
@@ -122,7 +122,7 @@ def shuffle_order(spark, sf):
 # ------------------------------------------------------------------ N-1 … N-6, PF-5
 
 def _impute_q(spark, sf, methods, cols):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, *cols)
     out = N.apply_impute(d, N.fit_impute(d, methods))
     return rounded(out.select("_rid", "_split", *cols))
 
@@ -148,7 +148,7 @@ def impute_mean(spark, sf):
 SELECT _rid, _split, coalesce(l_linestatus, (SELECT l_linestatus FROM ls WHERE _split = 'train' AND l_linestatus IS NOT NULL
                                              GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS l_linestatus FROM ls"""))
 def impute_mode(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, "l_linestatus")
     return N.apply_impute(d, N.fit_impute(d, {"l_linestatus": "mode"})).select("_rid", "_split", "l_linestatus")
 
 
@@ -166,7 +166,7 @@ SELECT _rid, CAST(l_quantity IS NULL AS INTEGER) AS l_quantity__missing,
        CAST(l_linestatus IS NULL AS INTEGER) AS l_linestatus__missing,
        coalesce(l_linestatus, 'missing') AS l_linestatus FROM ls"""))
 def impute_indicator(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, "l_quantity", "l_linestatus")
     out = N.apply_impute(d, N.fit_impute(d, {"l_quantity": "indicator", "l_linestatus": "indicator"}))
     return out.select("_rid", "l_quantity__missing", "l_quantity", "l_linestatus__missing", "l_linestatus")
 
@@ -175,14 +175,14 @@ def impute_indicator(spark, sf):
 SELECT _rid, coalesce(l_shipdate, (SELECT l_shipdate FROM ls WHERE _split = 'train' AND l_shipdate IS NOT NULL
                                    GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS l_shipdate FROM ls"""))
 def impute_datetime(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, "l_shipdate")
     return N.apply_impute(d, N.fit_impute(d, {"l_shipdate": "mode"})).select("_rid", "l_shipdate")
 
 
 @register("drop_rows_missing", with_split("""
 SELECT _split, count(*)::BIGINT AS n FROM ls WHERE l_quantity IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY _split"""))
 def drop_rows_missing(spark, sf):
-    d = N.drop_rows_missing(li_split(spark, sf), ["l_quantity", "l_linestatus"])
+    d = N.drop_rows_missing(li_split(spark, sf, *NUMS, "l_linestatus"), ["l_quantity", "l_linestatus"])
     return d.groupBy("_split").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
@@ -210,13 +210,13 @@ def _clip_sql(iqr):
 
 @register("clip_iqr", _clip_sql(True))
 def clip_iqr(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, *NUMS)
     return rounded(O.apply_clip(d, O.fit_bounds(d, NUMS, "iqr")).select("_rid", "_split", *NUMS))
 
 
 @register("clip_quantile", _clip_sql(False))
 def clip_quantile(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, *NUMS)
     return rounded(O.apply_clip(d, O.fit_bounds(d, NUMS, "quantile")).select("_rid", "_split", *NUMS))
 
 
@@ -233,7 +233,7 @@ WHERE NOT (coalesce(l_quantity < lo_l_quantity OR l_quantity > hi_l_quantity, fa
         OR coalesce(l_extendedprice < lo_l_extendedprice OR l_extendedprice > hi_l_extendedprice, false)
         OR coalesce(l_tax < lo_l_tax OR l_tax > hi_l_tax, false)) GROUP BY _split"""))
 def remove_outlier_rows(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, *NUMS)
     out = O.remove_outlier_rows(d, O.fit_bounds(d, NUMS, "iqr"))
     return out.groupBy("_split").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
@@ -245,7 +245,7 @@ cap AS (SELECT greatest(1, floor((SELECT count(*) FROM ls) * 0.02)) AS m),
 dr AS (SELECT _rid FROM (SELECT _rid, row_number() OVER (ORDER BY _rid) AS r FROM fl) WHERE r <= (SELECT m FROM cap))
 SELECT _split, count(*)::BIGINT AS n FROM ls WHERE _rid NOT IN (SELECT _rid FROM dr) GROUP BY _split"""))
 def remove_outlier_rows_capped(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, "l_extendedprice")
     out = O.remove_outlier_rows_capped(d, O.fit_bounds(d, ["l_extendedprice"], "quantile"), cap_ratio=0.02)
     return out.groupBy("_split").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
@@ -256,7 +256,7 @@ def remove_outlier_rows_capped(spark, sf):
 SELECT _rid, CAST(coalesce(l_linestatus = 'F', false) AS INTEGER) AS l_linestatus__F,
        CAST(coalesce(l_linestatus = 'O', false) AS INTEGER) AS l_linestatus__O FROM ls"""))
 def onehot(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, "l_linestatus")
     return E.apply_onehot(d, E.fit_onehot(d, ["l_linestatus"])).select("_rid", "l_linestatus__F", "l_linestatus__O")
 
 
@@ -275,7 +275,7 @@ WITH m AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS BIGINT) AS code
            FROM (SELECT DISTINCT CAST(l_shipdate AS VARCHAR) AS v FROM ls WHERE _split = 'train' AND l_shipdate IS NOT NULL))
 SELECT _rid, _split, coalesce(m.code, -1) AS l_shipdate FROM ls LEFT JOIN m ON CAST(ls.l_shipdate AS VARCHAR) = m.v"""))
 def label_encode(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, "l_shipdate")
     return E.apply_label(d, E.fit_label(d, ["l_shipdate"])).select("_rid", "_split", "l_shipdate")
 
 
@@ -285,7 +285,7 @@ WITH m AS (SELECT CAST(l_linestatus AS VARCHAR) AS v, count(*) / (SELECT count(*
 SELECT _rid, coalesce(m.f, 0.0) AS l_linestatus__frequency FROM ls LEFT JOIN m ON ls.l_linestatus IS NOT DISTINCT FROM m.v""",
                                            ["l_linestatus__frequency"])))
 def frequency_encode(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, "l_linestatus")
     return rounded(E.apply_frequency(d, E.fit_frequency(d, ["l_linestatus"])).select("_rid", "l_linestatus__frequency"))
 
 
@@ -335,19 +335,19 @@ def _scale_sql(center, scale):
 
 @register("scale_standard", _scale_sql("avg({x})", "stddev_pop({x})"))
 def scale_standard(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, *NUMS)
     return rounded(K.apply_scaler(d, K.fit_scaler(d, NUMS, "standard")).select("_rid", "_split", *NUMS))
 
 
 @register("scale_minmax", _scale_sql("min({x})", "(max({x}) - min({x}))"))
 def scale_minmax(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, *NUMS)
     return rounded(K.apply_scaler(d, K.fit_scaler(d, NUMS, "minmax")).select("_rid", "_split", *NUMS))
 
 
 @register("scale_robust", _scale_sql("quantile_cont({x}, 0.5)", "(quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25))"))
 def scale_robust(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, *NUMS)
     return rounded(K.apply_scaler(d, K.fit_scaler(d, NUMS, "robust")).select("_rid", "_split", *NUMS))
 
 
@@ -357,7 +357,7 @@ SELECT _rid, (l_quantity - (SELECT avg(l_quantity) FROM ls WHERE _split = 'train
        l_tax FROM ls""", ["l_quantity", "l_tax"])))
 def scale_excluded(spark, sf):
     """K-6: ``l_tax`` is excluded by the plan (skip_scaling) and passes through."""
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, "l_quantity", "l_tax", "l_discount")
     return rounded(K.apply_scaler(d, K.fit_scaler(d, ["l_quantity"], "standard")).select("_rid", "l_quantity", "l_tax"))
 
 
@@ -401,7 +401,7 @@ def drop_constant(spark, sf):
 
 @register("scale_quantile")
 def scale_quantile(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, "l_extendedprice")
     out = K.apply_quantile(d, K.fit_quantile(d, ["l_extendedprice"]))
     return out.groupBy("_split").agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"),
                                      F.avg("l_extendedprice").alias("mean"), F.count(F.lit(1)).alias("n"))
@@ -409,7 +409,7 @@ def scale_quantile(spark, sf):
 
 @register("scale_power")
 def scale_power(spark, sf):
-    d = li_split(spark, sf)
+    d = li_split(spark, sf, "l_quantity", "l_extendedprice")
     p = K.fit_power(d, ["l_extendedprice", "l_quantity"])
     return p
 

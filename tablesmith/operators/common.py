@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.types import c
+
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_PARAM_ROWS = 100_000
 
@@ -74,7 +76,7 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, weights: dict[str,
     range and group.  No group is ever ordered in one task."""
     from ..session import checkpoint
 
-    keys = [c for c in (*group, order)]
+    keys = [*group, order]
     d = df.withColumns({f"__w_{n}": w for n, w in weights.items()})
     d = checkpoint(d.repartitionByRange(*[F.col(f"`{k}`") for k in keys]).withColumn("__part", F.spark_partition_id()))
     sums = d.groupBy("__part", *group).agg(*[F.sum(f"__w_{n}").alias(f"__s_{n}") for n in weights])
@@ -84,3 +86,13 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, weights: dict[str,
     out = join_groups(d, sums, ["__part", *group])
     return out.select(*[F.col(f"`{x}`") for x in df.columns],
                       *[(F.col(f"__b_{n}") + F.coalesce(F.sum(f"__w_{n}").over(within), F.lit(0))).alias(n) for n in weights])
+
+
+def column_stats(df: DataFrame, cols: list[str], stats: dict) -> DataFrame:
+    """(column, one column per statistic) of the numeric ``cols`` (NaN is missing); columns without a value
+    are left out.  ``stats`` maps names to functions of a column expression.  The columns are stacked before
+    the aggregate: an aggregate of many columns side by side is too wide for generated code."""
+    x = df.select([c(n).cast("double").alias(n) for n in cols])
+    lv = x.unpivot([], [F.col("`" + n.replace("`", "``") + "`") for n in cols], "column", "value")
+    return lv.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("column") \
+        .agg(*[f(F.col("value")).alias(s) for s, f in stats.items()])

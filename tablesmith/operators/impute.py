@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import c, qcols
-from .common import param_rows
-from .quantiles import quantiles_of_long
+from .common import param_rows, column_stats
+from .quantiles import quantile_table
 
 PARAM_SCHEMA = "column string, method string, num_value double, str_value string, ts_value timestamp_ntz"
 EPOCH = "1970-01-01 00:00:00"
@@ -32,15 +32,12 @@ def fit_impute(df: DataFrame, methods: dict[str, str], quantiles: str = "exact")
     parts = []
     num_cols = [k for k, m in methods.items() if m in ("mean", "median", "indicator") and isinstance(dts[k], T.NumericType)]
     if num_cols:
-        lv = tr.select([c(k).cast("double").alias(k) for k in num_cols]).unpivot([], qcols(num_cols), "column", "value") \
-            .where(F.col("value").isNotNull() & ~F.isnan("value"))
         base = spark.createDataFrame([(k, methods[k]) for k in num_cols], "column string, method string")
         of_mean = [k for k in num_cols if methods[k] == "mean"]
         of_median = [k for k in num_cols if methods[k] != "mean"]
         none = spark.createDataFrame([], "column string, x double")
-        means = lv.where(F.col("column").isin(of_mean)).groupBy("column").agg(F.avg("value").alias("mean")) \
-            if of_mean else none.withColumnRenamed("x", "mean")
-        meds = quantiles_of_long(lv.where(F.col("column").isin(of_median)), [0.5], quantiles) \
+        means = column_stats(tr, of_mean, {"mean": F.avg}) if of_mean else none.withColumnRenamed("x", "mean")
+        meds = quantile_table(tr, of_median, [0.5], quantiles) \
             .select("column", F.col("value").alias("median")) if of_median else none.withColumnRenamed("x", "median")
         stat = base.join(means, "column", "left").join(meds, "column", "left")
         # all-missing column → 0

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, uniform
 from ..functions.types import c
-from .sample import take_by_hash
+from .sample import rank_by_hash, take_by_hash
 
 
 def to_vectors(df: DataFrame, cols: list[str] | None = None, array_col: str | None = None,
@@ -106,9 +106,7 @@ def smote(df: DataFrame, target: str, vec: str = "features", key: str = "_rid",
     hash(c,j,1) mod n_c (by exact hash rank), neighbour hash(c,j,2) mod k_found among its
     same-class neighbours, gap u(c,j,3); x = base + gap·(nb − base).  Output: (target,
     features array, synthetic flag) for originals and synthetic rows."""
-    from .sample import rank_by_hash
-    from pyspark.ml.functions import vector_to_array
-    cc = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    cc = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
     mx = cc.select(F.max("n")).scalar()
     need = cc.select(target, "n", (mx - F.col("n")).alias("need")).where(F.col("need") > 0)
     from .balance import draw_table
@@ -118,7 +116,15 @@ def smote(df: DataFrame, target: str, vec: str = "features", key: str = "_rid",
              .withColumn("_pick", hash_int("_tag", f"{seed}:2"))
              .withColumn("_gap", uniform("_tag", f"{seed}:3")))
     ranked = rank_by_hash(df, key, seed, [target])
-    base = ranked.join(draws, [target, "_rank"]).select(target, "_j", "_pick", "_gap", F.col(key).alias("id"))
+    base = ranked.join(draws, [target, "_rank"]).select(target, "_pick", "_gap", F.col(key).alias("id"))
+    return _between(df, base, target, vec, key, k, radius, bucket_length, tables)
+
+
+def _between(df: DataFrame, base: DataFrame, target: str, vec: str, key: str, k: int, radius: float,
+             bucket_length: float, tables: int) -> DataFrame:
+    """The rows of ``df`` and one synthetic row for each of ``base`` (class, id, _pick, _gap): a point at ``_gap``
+    of the way to the picked one of the row's same-class neighbours, or a copy where it has none."""
+    from pyspark.ml.functions import vector_to_array
     nb = knn_join(df.withColumnRenamed(key, "id"), df.withColumnRenamed(key, "id"), k, "id", vec, radius,
                   bucket_length, tables, same_group=target)
     kf = nb.groupBy("id").agg(F.count(F.lit(1)).alias("kf"))
@@ -133,6 +139,17 @@ def smote(df: DataFrame, target: str, vec: str = "features", key: str = "_rid",
     return orig.unionByName(synth)
 
 
+def adasyn(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5, seed: int = 42,
+           radius: float = 2.0, bucket_length: float = 1.0, tables: int = 8) -> DataFrame:
+    """B-6: as ``smote``, with ``adasyn_allocation`` synthetic rows for each row: more where other classes are near."""
+    known = df.where(F.col(target).isNotNull())
+    need = adasyn_allocation(known, target, vec, key, k, radius, bucket_length, tables).where("n_i > 0")
+    tag = F.concat_ws(":", F.col("id").cast("string"), F.col("_j").cast("string"))
+    base = need.select(F.col("class").alias(target), "id", F.explode(F.sequence(F.lit(1).cast("long"), "n_i")).alias("_j")) \
+        .select(target, "id", hash_int(tag, f"{seed}:2").alias("_pick"), uniform(tag, f"{seed}:3").alias("_gap"))
+    return _between(df, base, target, vec, key, k, radius, bucket_length, tables)
+
+
 def adasyn_allocation(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5,
                       radius: float = 2.0, bucket_length: float = 1.0, tables: int = 8) -> DataFrame:
     """B-6: per minority row, the share r_i of other-class rows among its k neighbours,

@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from ..functions.stats import rnd, sample_kurtosis, sample_skewness
 from ..functions.types import DATE_PATTERN, c, columns_of, parse_class, type_class, qcols
-from .quantiles import long_values, quantiles_of_long
+from .common import materialize_small, column_stats
+from .quantiles import long_values, quantile_table
 
 
 def _user_cols(df: DataFrame) -> list[str]:
@@ -89,22 +90,22 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, quantiles: str
                     target: str | None = None) -> DataFrame:
     """Moments, quartiles, zero count, sample skew/kurtosis and IQR outliers (P-5, P-6, P-7)."""
     cols = cols if cols is not None else columns_of(df, "numeric", exclude=[target] if target else None)
-    lv = long_values(df, cols)
-    mom = lv.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2"),
-        F.sum((F.col("value") == 0).cast("long")).alias("zeros"))
-    qs = (quantiles_of_long(lv, [0.25, 0.5, 0.75], quantiles)
-          .groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value")))
-    qs = qs.toDF("column", "q1", "median", "q3")
-    prof = mom.join(qs, "column")
-    fences = prof.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"),
-                         (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"))
-    out = (lv.join(F.broadcast(fences), "column")  # one row per column: bounded broadcast
-           .groupBy("column")
-           .agg(F.sum(((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).cast("long"))
-                .alias("outlier_count")))
+    if not cols:
+        lv = long_values(df, cols)
+        return lv.selectExpr("column", "0L AS count", *[f"value AS {x}" for x in ("mean", "std", "min", "max", "q1", "median", "q3", "iqr")],
+                             "0L AS zero_count", "value AS skewness", "value AS kurtosis", "0L AS outlier_count", "value AS outlier_ratio")
+    # three scans of plain columns: moments, quantiles (two), and outliers against literal fences
+    mom = column_stats(df, cols, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+                                "g1": F.skewness, "g2": F.kurtosis, "zeros": lambda v: F.count_if(v == 0)})
+    qs = quantile_table(df, cols, [0.25, 0.5, 0.75], quantiles).groupBy("column").pivot("p", [0.25, 0.5, 0.75]) \
+        .agg(F.first("value")).toDF("column", "q1", "median", "q3")
+    qs = materialize_small(qs)
+    prof = mom.join(F.broadcast(qs), "column")      # a row per column
+    fences = {r["column"]: (r["q1"] - 1.5 * (r["q3"] - r["q1"]), r["q3"] + 1.5 * (r["q3"] - r["q1"])) for r in qs.collect()}
+    far = {n: F.count_if((c(n).cast("double") < f[0]) | ((c(n).cast("double") > f[1]) & ~F.isnan(c(n).cast("double"))))
+           for n, f in fences.items()}
+    out = df.agg(*[e.alias(n) for n, e in far.items()]).unpivot([], qcols(list(far)), "column", "outlier_count") \
+        if far else df.sparkSession.createDataFrame([], "column string, outlier_count long")
     return (prof.join(out, "column", "left")
             .select("column", F.col("count").cast("long").alias("count"), "mean", "std", "min", "max",
                     "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),

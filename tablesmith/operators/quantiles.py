@@ -28,14 +28,69 @@ def long_values(df: DataFrame, cols: list[str], value_type: str = "double") -> D
                      else F.col("value").isNotNull())
 
 
+MAX_BRACKETS = 16
+COLUMNS_A_PASS = 64
+
+
 def quantile_table(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact",
                    accuracy: int = 10000) -> DataFrame:
     """(column string, p double, value double) for every column and probability."""
-    lv = long_values(df, cols)
-    return quantiles_of_long(lv, probs, method, accuracy)
+    probs = [float(p) for p in probs]
+    if method in ("exact", "distributed") and len(probs) <= MAX_BRACKETS and cols:
+        return _bracketed_columns(df, cols, sorted(set(probs)), accuracy)
+    return quantiles_of_long(long_values(df, cols), probs, method, accuracy)
 
 
-MAX_BRACKETS = 16
+def _bracketed_columns(df: DataFrame, cols: list[str], at: list[float], accuracy: int) -> DataFrame:
+    """The brackets of ``_bracketed`` for columns side by side: they are literals of one projection, so the
+    second scan compares plain columns and nothing is joined."""
+    eps = 2.0 / accuracy
+    x = [c(n).cast("double") for n in cols]
+    d = df.select([F.when(~F.isnan(v), v).alias(f"x{i}") for i, v in enumerate(x)])
+    edges = F.array(*[F.lit(e) for p in at for e in (max(0.0, p - eps), min(1.0, p + eps))])
+    kept = []
+    for start in range(0, len(cols), COLUMNS_A_PASS):
+        part = range(start, min(len(cols), start + COLUMNS_A_PASS))
+        # one row, with two numbers a bracket
+        got = d.agg(*[e for i in part for e in (F.count(f"x{i}").alias(f"n{i}"),
+                                                F.percentile_approx(f"x{i}", edges, accuracy).alias(f"e{i}"))]).first()
+        kept += [_kept(F.col(f"x{i}"), at, eps, got[f"e{i}"] if got[f"n{i}"] >= 10 * accuracy else None).alias(cols[i])
+                 for i in part]
+    seen = d.select(kept).unpivot([], qcols(cols), "column", "value").where(F.col("value").isNotNull()) \
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+    return _pick_ranks(seen.withColumn("_gap", F.lit(0)), at, "column")
+
+
+def _kept(v, at: list[float], eps: float, edges: list | None):
+    """A value inside a bracket as it is; of a gap between two brackets one number stands for all its values, as
+    no rank that is asked for lies there.  Without ``edges`` all values are kept."""
+    if edges is None:
+        return v
+    low = [float("-inf") if p - eps <= 0 else edges[2 * k] for k, p in enumerate(at)]
+    high = [float("inf") if p + eps >= 1 else edges[2 * k + 1] for k, p in enumerate(at)]
+    out = F.when(v.isNull(), v)
+    for k, (lo, hi) in enumerate(zip(low, high, strict=True)):
+        before = high[k - 1] if k else float("-inf")
+        if lo > before:
+            out = out.when(v < F.lit(lo), F.lit(before + (lo - before) / 2 if k else float("-inf")))
+        out = out.when(v <= F.lit(hi), v)
+    return out.otherwise(F.lit(float("inf")))
+
+
+def _pick_ranks(seen: DataFrame, at: list[float], key: str) -> DataFrame:
+    """Quantiles from (key, value, _gap, _n): values with their counts, and counts of what stands between them."""
+    w = Window.partitionBy(key).orderBy("value", "_gap")
+    total = F.sum("_n").over(Window.partitionBy(key))
+    seen = seen.withColumn("_all", total).withColumn("_end", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = (F.col("_all") - 1).cast("double")
+    targets = F.array(*[F.struct(F.lit(p).alias("p"), (rank * p).alias("h"), f(rank * p).cast("long").alias("r"))
+                        for p in at for f in (F.floor, F.ceil)])
+    hit = seen.where("_gap = 0").select(key, "value", F.explode(F.filter(
+        targets, lambda x: (x["r"] >= F.col("_end") - F.col("_n")) & (x["r"] < F.col("_end")))).alias("x"))
+    step = F.col("x.h") - F.floor("x.h")
+    return hit.groupBy(key, F.col("x.p").alias("p")).agg(
+        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.max(step).alias("_f")) \
+        .select(key, "p", (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("value"))
 
 
 def quantiles_of_long(lv: DataFrame, probs: list[float], method: str = "exact",
@@ -74,15 +129,4 @@ def _bracketed(lv: DataFrame, probs: list[float], key: str, accuracy: int, few_k
     below = F.aggregate("_b", low, lambda a, x: F.when(x["hi"] < v, F.greatest(a, x["hi"])).otherwise(a))
     seen = d.select(key, (~inside).cast("int").alias("_gap"), F.when(inside, v).otherwise(below).alias("value")) \
         .groupBy(key, "value", "_gap").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(key).orderBy("value", "_gap")
-    total = F.sum("_n").over(Window.partitionBy(key))
-    seen = seen.withColumn("_all", total).withColumn("_end", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rank = (F.col("_all") - 1).cast("double")
-    targets = F.array(*[F.struct(F.lit(p).alias("p"), (rank * p).alias("h"), f(rank * p).cast("long").alias("r"))
-                        for p in at for f in (F.floor, F.ceil)])
-    hit = seen.where("_gap = 0").select(key, "value", F.explode(F.filter(
-        targets, lambda x: (x["r"] >= F.col("_end") - F.col("_n")) & (x["r"] < F.col("_end")))).alias("x"))
-    step = F.col("x.h") - F.floor("x.h")
-    return hit.groupBy(key, F.col("x.p").alias("p")).agg(
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.max(step).alias("_f")) \
-        .select(key, "p", (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("value"))
+    return _pick_ranks(seen, at, key)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, uniform
 from ..functions.types import c
+from ..session import checkpoint
 from .common import join_groups, range_bucket
 
 # 32-bit hash >> 16 → 2^16 buckets: the (group, bucket) count table stays ≤ 65,536 rows per
@@ -92,6 +93,7 @@ def take_by_hash(df: DataFrame, quota: DataFrame, key: str = "_rid", seed=42,
     wr = Window.partitionBy(*g).orderBy("_h", key)
     thr = (edge_rows.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == F.col("_need"))
            .select(*g, "_bb", F.col("_h").alias("_th"), F.col(key).alias("_tk")))
+    thr = checkpoint(thr)       # one row per group; the marks below are then a filter of each row
     out = join_groups(d, thr, g, "left")
     take = (F.col("_b") < F.col("_bb")) | ((F.col("_b") == F.col("_bb")) & (
         (F.col("_h") < F.col("_th")) | ((F.col("_h") == F.col("_th")) & (F.col(key) <= F.col("_tk")))))

@@ -16,22 +16,23 @@ from pyspark.sql import types as T
 
 from ..functions.stats import norm_ppf_np
 from ..functions.types import c, qcols
-from .common import param_rows
+from .common import param_rows, column_stats
 from .impute import _train
-from .quantiles import long_values, quantiles_of_long
+from .quantiles import long_values, quantile_table, quantiles_of_long
 
 
 def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard", quantiles: str = "exact") -> DataFrame:
     """(column, center, scale) so that x' = (x − center) / scale.
     standard: mean, population std (0 → 1); minmax: min, max−min (0 → 1, constant → 0);
     robust: median, q3−q1 (0 → 1)."""
-    lv = long_values(_train(df), cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, center double, scale double")
     if method == "standard":
-        st = lv.groupBy("column").agg(F.avg("value").alias("center"), F.stddev_pop("value").alias("s"))
+        st = column_stats(_train(df), cols, {"center": F.avg, "s": F.stddev_pop})
     elif method == "minmax":
-        st = lv.groupBy("column").agg(F.min("value").alias("center"), (F.max("value") - F.min("value")).alias("s"))
+        st = column_stats(_train(df), cols, {"center": F.min, "s": lambda v: F.max(v) - F.min(v)})
     elif method == "robust":
-        q = quantiles_of_long(lv, [0.25, 0.5, 0.75], quantiles)
+        q = quantile_table(_train(df), cols, [0.25, 0.5, 0.75], quantiles)
         st = (q.groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value")).toDF("column", "a", "m", "b")
               .select("column", F.col("m").alias("center"), (F.col("b") - F.col("a")).alias("s")))
     else:

@@ -19,7 +19,10 @@ from ..operators import impute as N
 from ..operators import outliers as O
 from ..operators import sample as D
 from ..operators import scale as K
+from ..operators import balance as B
 from ..operators.common import materialize_small, param_rows
+from ..operators.knn import adasyn, impute_knn, smote, to_vectors
+from ..operators.ready import readiness
 from ..session import checkpoint
 from . import column_plan as L
 
@@ -29,6 +32,7 @@ class Prepared:
     data: DataFrame                 # transformed rows with _rid, _split and the target
     plan: DataFrame                 # final column plan
     steps: list = field(default_factory=list)   # (step, status, detail)
+    target: str = ""
 
 
 def _numeric_features(df: DataFrame, target: str) -> list[str]:
@@ -39,9 +43,11 @@ def _numeric_features(df: DataFrame, target: str) -> list[str]:
 
 def preprocess_dynamic(df: DataFrame, target: str, override: DataFrame | None = None,
                        constraints: DataFrame | None = None, test_size: float = 0.2, seed=42,
-                       quantiles: str = "exact") -> Prepared:
+                       quantiles: str = "exact", settings: dict | None = None) -> Prepared:
     """Ten steps: inspect → plan → split → missing → outliers → encode → scale →
-    normalise → balance → validate.  Every fit uses train rows only."""
+    normalise → balance, and ``validate`` on the result.  Every fit uses train rows only.
+    ``settings`` overrides the table-level choices (scaling, normalization, balancing)."""
+    chosen = settings or {}
     steps = []
     ev = materialize_small(L.evidence(df, target))
     tev = materialize_small(L.target_evidence(df, target, duplicates=False))
@@ -52,7 +58,7 @@ def preprocess_dynamic(df: DataFrame, target: str, override: DataFrame | None =
         plan = L.apply_constraints(plan, constraints)
     rows = {r["column"]: r.asDict() for r in param_rows(plan)}
     t = tev.first().asDict()
-    settings = param_rows(L.plan_settings(tev))[0].asDict()
+    settings = {**param_rows(L.plan_settings(tev))[0].asDict(), **chosen}
     steps.append(("inspect", "success", f"{len(rows)} columns"))
     steps.append(("plan", "success", settings["balancing"]))
 
@@ -65,18 +71,21 @@ def preprocess_dynamic(df: DataFrame, target: str, override: DataFrame | None =
         data = D.split_stratified(data, target, test_size, seed)
     else:
         data = D.split_random(data, test_size, seed)
-    # cut the lineage once: every fit below reads the split table, not the raw plan
+    # every fit below scans the split table: one write is cheaper than hashing the keys again in each
     data = checkpoint(data)
     steps.append(("split", "success", f"dropped={','.join(sorted(dropped))}"))
 
     # missing values
+    knn = [k for k in feats if rows[k]["missing"] == "knn" and rows[k]["type"] == "numeric"]
+    if knn:
+        data = checkpoint(impute_knn(data, knn))
     methods = {k: rows[k]["missing"] for k in feats if rows[k]["missing"] not in ("none", "drop_rows", "knn")}
     drop_rows = [k for k in feats if rows[k]["missing"] == "drop_rows"]
     if drop_rows:
         data = N.drop_rows_missing(data, drop_rows)
     if methods:
         data = N.apply_impute(data, N.fit_impute(data, methods, quantiles))
-    steps.append(("missing", "success", f"{len(methods)} columns"))
+    steps.append(("missing", "success", f"{len(methods) + len(knn)} columns"))
 
     # outliers
     clip = [k for k in feats if rows[k]["outlier"] == "clip_iqr" and rows[k]["type"] == "numeric"]
@@ -105,16 +114,77 @@ def preprocess_dynamic(df: DataFrame, target: str, override: DataFrame | None =
     # scaling: every numeric feature column after encoding, except skipped ones
     skip = {k for k, r in rows.items() if r["skip_scaling"]}
     num = [x for x in _numeric_features(data, target) if x not in skip]
-    if settings["scaling"] != "none" and num:
-        data = K.apply_scaler(data, K.fit_scaler(data, num, settings["scaling"], quantiles))
-    steps.append(("scale", "success", settings["scaling"]))
-    steps.append(("normalize", "skipped", settings["normalization"]))
-    if settings["balancing"] == "class_weight":
-        from ..operators.balance import class_weights
-        data = class_weights(data, target)
-    steps.append(("balance", "success" if settings["balancing"] != "none" else "skipped", settings["balancing"]))
-    steps.append(("validate", "success", ""))
-    return Prepared(data, plan, steps)
+    scale = settings["scaling"] if num else "none"
+    data = scaled(data, num, scale, quantiles)
+    steps.append(("scale", done(scale), scale))
+    norm = settings["normalization"] if num else "none"
+    if norm != "none":
+        data = K.normalize_rows(data, num, norm)
+    steps.append(("normalize", done(norm), norm))
+    data = balanced(data, target, settings["balancing"], seed)
+    steps.append(("balance", done(settings["balancing"]), settings["balancing"]))
+    return Prepared(data, plan, steps, target)
+
+
+def done(method: str) -> str:
+    return "skipped" if method == "none" else "success"
+
+
+def scaled(data: DataFrame, cols: list[str], method: str, quantiles: str = "exact") -> DataFrame:
+    """K-1 to K-5 by name, fitted on train rows."""
+    if method == "none" or not cols:
+        return data
+    if method == "quantile":
+        return K.apply_quantile(data, K.fit_quantile(data, cols))
+    if method == "power":
+        return K.apply_power(data, K.fit_power(data, cols))
+    return K.apply_scaler(data, K.fit_scaler(data, cols, method, quantiles))
+
+
+def balanced(data: DataFrame, target: str, method: str, seed=42) -> DataFrame:
+    """B-1 to B-6 by name.  Re-sampling touches the train rows only; made rows (copies and synthetic rows)
+    are marked in ``_copy``, synthetic ones have no ``_rid``."""
+    if method == "none":
+        return data
+    if method == "class_weight":
+        return B.class_weights(data, target)
+    has_split = "_split" in data.columns
+    train = data.where(F.col("_split") == "train") if has_split else data
+    rest = data.where(F.col("_split") != "train").withColumn("_copy", F.lit(0).cast("long")) if has_split else None
+    if method == "undersample":
+        out = B.undersample(train, target, seed).withColumn("_copy", F.lit(0).cast("long"))
+    elif method == "oversample":
+        out = B.oversample(train, target, seed)
+    elif method in ("smote", "adasyn"):
+        out = synthesized(train, target, method, seed)
+    else:
+        raise ValueError(f"unknown balancing method {method}")
+    return out if rest is None else out.unionByName(rest)
+
+
+def synthesized(train: DataFrame, target: str, method: str, seed) -> DataFrame:
+    """The rows of ``train`` and synthetic rows between neighbours; every feature must be numeric."""
+    cols = [x for x in train.columns if not x.startswith("_") and x != target]
+    other = [x for x in cols if x not in _numeric_features(train, target)]
+    if other:
+        raise ValueError(f"{method} needs numeric features; encode {sorted(other)} first")
+    known = train.where(c(target).isNotNull())
+    wide = known.select("_rid", target, F.array(*[F.coalesce(c(x).cast("double"), F.lit(0.0)) for x in cols]).alias("_x"))
+    made = (smote if method == "smote" else adasyn)(to_vectors(wide, array_col="_x"), target, seed=seed).where("synthetic")
+    extra = [F.lit("train").alias(x) if x == "_split" else F.lit(None).cast(train.schema[x].dataType).alias(x)
+             for x in train.columns if x.startswith("_")]
+    made = made.select(c(target), *[F.get("features", F.lit(i)).alias(x) for i, x in enumerate(cols)], *extra,
+                       F.lit(1).cast("long").alias("_copy"))
+    kept = train.select(*[c(x).cast("double").alias(x) if x in cols else c(x) for x in train.columns],
+                        F.lit(0).cast("long").alias("_copy"))
+    return kept.unionByName(made)
+
+
+def validate(prepared: Prepared) -> tuple[bool, str]:
+    """V-1: whether the prepared table is ready for training, and what blocks it otherwise."""
+    blockers = [(r["column"], r["blocker"]) for r in
+                param_rows(readiness(prepared.data, prepared.target).where("blocker IS NOT NULL"))]
+    return not blockers, ", ".join(f"{x}: {b}" for x, b in sorted(blockers))
 
 
 def preprocess_static(df: DataFrame, target: str, policy: DataFrame | None = None,
@@ -171,14 +241,17 @@ def preprocess_static(df: DataFrame, target: str, policy: DataFrame | None = Non
         data = E.hash_encode(data, hs)
     steps.append(("encode", "success", f"onehot={len(oh)} label={len(lab)} frequency={len(fq)} hash={len(hs)}"))
     num = _numeric_features(data, target)
-    if scaling != "none" and num:
-        data = K.apply_scaler(data, K.fit_scaler(data, num, scaling, quantiles))
-    steps.append(("scale", "success", scaling))
+    scaling = scaling if num else "none"
+    data = scaled(data, num, scaling, quantiles)
+    steps.append(("scale", done(scaling), scaling))
     if normalization != "none" and num:
         data = K.normalize_rows(data, num, normalization)
-    steps.append(("normalize", "success" if normalization != "none" else "skipped", normalization))
-    return Prepared(data, pol, steps)
+    steps.append(("normalize", done(normalization if num else "none"), normalization))
+    return Prepared(data, pol, steps, target)
 
 
 def step_status(spark, prepared: Prepared) -> DataFrame:
-    return spark.createDataFrame(prepared.steps, "step string, status string, detail string")
+    """(step, status, detail): the steps taken, and the outcome of ``validate`` on the result."""
+    ready, why = validate(prepared)
+    steps = [*prepared.steps, ("validate", "success" if ready else "blocked", why)]
+    return spark.createDataFrame(steps, "step string, status string, detail string")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -47,12 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when it is unset (local tests) a scratch folder is created and set.
+    Only when it is unset in local mode (tests) a scratch folder is created and set.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="tablesmith-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
@@ -60,6 +63,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scoped_tables(spark: SparkSession):
+    """Tables that ``checkpoint`` writes inside the block are deleted at its end: wrap the work up
+    to and with the write of its result, as that result still reads them."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _SCOPES.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpoint(df):
     """Cut lineage reliably (survives executor loss; never a local checkpoint): the rows
     are written once as Parquet under the shared ``spark.checkpoint.dir`` and read back,
@@ -68,5 +88,7 @@ def checkpoint(df):
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -190,3 +190,30 @@ def test_prefix_sums(spark):
     d = spark.createDataFrame(rows, "g string, i int, w long").repartition(6)
     got = {(r.g, r.i): r.s for r in prefix_sums(d, ["g"], "i", {"s": F.col("w")}).collect()}
     assert got == {(g, i): sum((j * 7) % 5 for j in range(i)) for g, i, _ in rows}
+
+
+def test_flow_carries_out_its_settings(spark):
+    """Scaling, normalisation and every balancing method of a caller reach the rows."""
+    from tablesmith.plans import preprocess as PP
+    rows = [(i, float(i // 2), float((i * 7) % 11) if i % 9 else None, "a" if i % 4 else "b") for i in range(400)]
+    d = spark.createDataFrame(rows, "_rid long, x double, y double, klass string")
+    plan = spark.createDataFrame([("y", "knn")], "column string, missing string")
+    for how in ("undersample", "oversample", "smote", "adasyn"):
+        res = PP.preprocess_dynamic(d, "klass", override=plan, settings={"scaling": "quantile", "balancing": how, "normalization": "l2"})
+        got = res.data.cache()
+        n = {r["klass"]: r["count"] for r in got.where("_split = 'train'").groupBy("klass").count().collect()}
+        assert n["a"] == n["b"] == (80 if how == "undersample" else 240)
+        assert got.where("_split = 'test'").count() == 80 and got.where("y IS NULL").count() == 0
+        assert got.where("abs(x * x + y * y - 1) > 1e-6 AND x * x + y * y > 0 AND _copy = 0").count() == 0
+        steps = {r.step: (r.status, r.detail) for r in PP.step_status(spark, res).collect()}
+        assert steps["balance"] == ("success", how) and steps["validate"] == ("success", "")
+        got.unpersist()
+
+
+def test_scoped_tables_are_deleted(spark):
+    import os
+    from tablesmith.session import checkpoint, scoped_tables
+    with scoped_tables(spark):
+        path = checkpoint(spark.range(3)).inputFiles()[0].removeprefix("file:").removeprefix("//")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
