@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.llm import decontam, lines, quality, simhash, spm
 from tablesmith.llm.common import read
-from tablesmith.session import ensure_checkpoint_dir
+from tablesmith.session import ensure_checkpoint_dir, scoped_tables
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{root}/{k}")
+        with scoped_tables(spark):      # a stage's intermediate tables go once its result is written
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{root}/{k}")
         docs = spark.read.parquet(f"{root}/{k}")
     return docs
