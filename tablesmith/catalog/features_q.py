@@ -111,13 +111,33 @@ def _materialize_rows(spark, sf):
     return d, norm, FE.materialize(d, norm, TGT)
 
 
-@register("recipe_materialize")
+def _materialized_sql() -> str:
+    """Every ordered pair's candidates, of which the generated ones count."""
+    gen = _gen_sql().removeprefix("WITH ")
+    one = []
+    pairs = [(op, a, b) for op in FE.GENERATOR_OPS for a in SRC for b in SRC if a != b] + [("square", a, None) for a in SRC]
+    for op, a, b in pairs:
+        e = _sql_expr(op, f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)" if b else None)
+        name = f"fe_{a}_{op}_{b}" if b else f"fe_{a}_square"
+        one.append(f"SELECT '{name}' AS name, coalesce(corr(x, y), 0.0) AS corr, count(DISTINCT x) AS d, "
+                   f"stddev_pop(x) AS s, max(abs(x)) AS m FROM (SELECT coalesce({e}, (SELECT coalesce(quantile_cont({e}, 0.5), 0) FROM li)) "
+                   f"AS x, {TGT} AS y FROM li)")
+    const = "(d < 2 OR coalesce(s, 0) <= 1e-12 * greatest(1.0, m))"
+    inner = (f"SELECT name, corr, NOT {const} AS keep, CASE WHEN {const} THEN 'constant or near-constant' ELSE 'ok' END AS reason "
+             f"FROM (SELECT name FROM g) JOIN st USING (name)")
+    head, tail = gen.split("SELECT name, operation FROM allr", 1)
+    return f"WITH {head.rstrip()},\ng AS (SELECT name, operation FROM allr{tail}),\nst AS ({' UNION ALL '.join(one)}),\nres AS ({inner})\n"
+
+
+@register("recipe_materialize", _materialized_sql() + sql_round("SELECT * FROM res", ["corr"]))
 def recipe_materialize(spark, sf):
     _, _, st = _materialize_rows(spark, sf)
     return rounded(st)
 
 
-@register("feature_select_topk")
+@register("feature_select_topk", _materialized_sql() + sql_round("""
+SELECT *, coalesce(rank <= 5, false) AS selected FROM (
+  SELECT *, CASE WHEN keep THEN CAST(row_number() OVER (PARTITION BY keep ORDER BY abs(corr) DESC, name) AS INTEGER) END AS rank FROM res)""", ["corr"]))
 def feature_select_topk(spark, sf):
     _, _, st = _materialize_rows(spark, sf)
     return rounded(FE.select_topk(st, 5))

@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from ..functions import types as TY
+from ..functions.hashing import sql_hash_int
 from ..operators import balance as B
 from ..operators import profile as P
 from ..operators import ready as V
@@ -19,7 +20,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import io as IO
 from ..sources import store as H
 from ..sources.tables import view, with_views
-from . import register, rounded, sql_round
+from . import ORACLES, register, rounded, sql_round
 
 T = "l_returnflag"
 
@@ -309,7 +310,9 @@ def stage_reuse(spark, sf):
     return second.withColumn("first_hit", F.lit(hit1)).withColumn("second_hit", F.lit(hit2))
 
 
-@register("load_roundtrip")
+@register("load_roundtrip", " UNION ALL ".join(
+    f"SELECT '{fmt}' AS format, count(*) AS n_rows, 6::BIGINT AS n_columns, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders"
+    for fmt in ("csv", "json", "parquet")))
 def load_roundtrip(spark, sf):
     d = view(spark, sf, "orders")
     root = _scratch(spark, "io")
@@ -317,21 +320,25 @@ def load_roundtrip(spark, sf):
     for fmt in ("csv", "json", "parquet"):
         path = IO.write_table(d, f"{root}/orders.{fmt}", fmt)
         back = IO.load_table(spark, path, fmt)
-        rows.append((fmt, back.count(), len(back.columns)))
-    return spark.createDataFrame(rows, "format string, n_rows long, n_columns long")
+        n = back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_orderkey").cast("long")).alias("k")).first()
+        rows.append((fmt, n["n"], len(back.columns), n["k"]))
+    return spark.createDataFrame(rows, "format string, n_rows long, n_columns long, keys long")
 
 
-@register("split_roundtrip")
+@register("split_roundtrip", with_views(f"""
+SELECT _rid, CASE WHEN row_number() OVER (ORDER BY {sql_hash_int('_rid', 42)}, _rid) <= (SELECT ceil(count(*) * 0.2) FROM li)
+            THEN 'test' ELSE 'train' END AS half, {T} FROM li""", "li"))
 def split_roundtrip(spark, sf):
     s = D.split_random(view(spark, sf, "li").select("_rid", "l_quantity", T), 0.2, 42)
     root = _scratch(spark, "splits")
     IO.save_split(s, root, "raw")
-    return IO.load_split(spark, root, "raw", "test").groupBy("_split").agg(F.count(F.lit(1)).alias("n"))
+    halves = [IO.load_split(spark, root, "raw", h).select("_rid", F.lit(h).alias("half"), T) for h in ("train", "test")]
+    return halves[0].unionByName(halves[1])
 
 
-@register("report_sink")
+@register("report_sink", ORACLES["missing_profile"])
 def report_sink(spark, sf):
     d = view(spark, sf, "li")
     root = _scratch(spark, "report")
     IO.write_report({"missing": P.missing_profile(d), "summary": P.dataset_summary(d, T)}, root)
-    return spark.read.json(f"{root}/missing")
+    return spark.read.schema("column string, missing_count long, missing_ratio double").json(f"{root}/missing")

@@ -9,6 +9,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import sql_hash_int
 from ..operators import knn as NN
 from ..operators import sample as D
 from ..operators import score as Z
@@ -114,14 +115,20 @@ def model_roundtrip(spark, sf):
     return a.join(b, "_rid").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_diff"))
 
 
-@register("export_transformed")
+SPLIT_02 = f"""SELECT *, CASE WHEN row_number() OVER (ORDER BY {sql_hash_int('_rid', 42)}, _rid) <= (SELECT ceil(count(*) * 0.2) FROM li)
+            THEN 'test' ELSE 'train' END AS _split FROM li"""
+
+
+@register("export_transformed", with_views(f"""
+SELECT _rid, _split, coalesce(l_quantity, 0.0) AS l_quantity, CAST(l_discount AS DOUBLE) AS l_discount, coalesce(l_tax, 0.0) AS l_tax
+FROM ({SPLIT_02})""", "li"))
 def export_transformed(spark, sf):
     from pyspark.ml.feature import VectorAssembler
     d = _li(spark, sf)
     v = VectorAssembler(inputCols=LI_F, outputCol="vec").transform(d).select("_rid", "_split", "vec")
     root = _scratch(spark, "export")
     IO.export_transformed(v, root, "vec", LI_F)
-    return spark.read.parquet(f"{root}/transformed").groupBy("_split").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{root}/transformed").select("_rid", "_split", *LI_F)
 
 
 @register("ml_impute_stage")
@@ -133,20 +140,26 @@ def ml_impute_stage(spark, sf):
     return rounded(m.transform(d).select("_rid", "l_quantity_imp", "l_tax_imp"))
 
 
-@register("ml_onehot_stage")
+@register("ml_onehot_stage", with_views(f"""
+WITH s AS (SELECT _rid, _split, coalesce(l_linestatus, 'missing') AS v FROM ({SPLIT_02})),
+k AS (SELECT list(v ORDER BY v) AS ks FROM (SELECT DISTINCT v FROM s WHERE _split = 'train'))
+SELECT _rid, list_transform(ks, lambda x: CASE WHEN x = v THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ohe FROM s, k""", "li"))
 def ml_onehot_stage(spark, sf):
-    """E-1c: StringIndexer(keep) + OneHotEncoder(dropLast) → unseen categories are zeros."""
+    """E-1c: StringIndexer(keep) + OneHotEncoder(dropLast), fitted on train rows → unseen categories are zeros."""
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
     from ..operators.encode import ml_onehot_stages
-    d = view(spark, sf, "li").select("_rid", "l_linestatus", "l_shipdate")
-    tr = d.where(F.year("l_shipdate") < 2000)
+    d = D.split_random(view(spark, sf, "li").select("_rid", "l_linestatus"), 0.2, 42)
+    tr = d.where("_split = 'train'")
     m = Pipeline(stages=ml_onehot_stages(["l_linestatus"])).fit(tr.fillna("missing", ["l_linestatus"]))
     out = m.transform(d.fillna("missing", ["l_linestatus"]))
     return out.select("_rid", vector_to_array("l_linestatus__ohe").alias("ohe"))
 
 
-@register("kfold_cv_folds")
+@register("kfold_cv_folds", with_views(f"""
+SELECT quality, _fold, count(*) AS n FROM (
+  SELECT quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY {sql_hash_int('_rid', 42)}, _rid) - 1) % 5 AS INTEGER) AS _fold
+  FROM docs WHERE quality IS NOT NULL) GROUP BY ALL""", "docs"))
 def kfold_cv_folds(spark, sf):
     d = view(spark, sf, "docs").where(F.col("quality").isNotNull()).select("_rid", "quality")
     return D.kfold_assign(d, 5, "quality").groupBy("quality", "_fold").agg(F.count(F.lit(1)).alias("n"))

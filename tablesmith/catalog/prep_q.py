@@ -318,7 +318,9 @@ def target_codes(spark, sf):
     return E.target_codes(view(spark, sf, "ord").select("_rid", "o_orderpriority"), "o_orderpriority")
 
 
-@register("hash_encode")
+@register("hash_encode", with_views("SELECT _rid, " + ", ".join(
+    f"CASE WHEN h % 8 <> {i} THEN 0.0 WHEN (h >> 59) = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS source__hash_{i}" for i in range(8))
+    + " FROM (SELECT _rid, ('0x' || substr(md5(coalesce(source, '')), 1, 15))::BIGINT AS h FROM docs)", "docs"))
 def hash_encode(spark, sf):
     return E.hash_encode(view(spark, sf, "docs").select("_rid", "source"), ["source"])
 

@@ -149,9 +149,9 @@ def hash_encode(df: DataFrame, cols: list[str], n_features: int = 8) -> DataFram
         if n not in s:
             sel.append(c(n))
             continue
-        h = F.xxhash64(F.coalesce(c(n).cast("string"), F.lit("")))
+        h = F.conv(F.substring(F.md5(F.coalesce(c(n).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
         slot = F.pmod(h, F.lit(n_features))
-        sign = F.when(h >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+        sign = F.when(F.shiftright(h, 59) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
         sel.extend(F.when(slot == i, sign).otherwise(F.lit(0.0)).alias(f"{n}__hash_{i}") for i in range(n_features))
     return df.select(sel)
 
