@@ -167,16 +167,15 @@ def kfold_cv_folds(spark, sf):
 
 # ------------------------------------------------------------------ J-5, N-8, B-5, B-6
 
-def _emb(spark, sf, dims=16):
+def _emb(spark, sf):
     e = view(spark, sf, "embeddings")
-    return NN.to_vectors(e.select(F.col("vec_id").alias("_rid"), "label",
-                                  F.slice("embedding", 1, dims).alias("emb")), array_col="emb")
+    return NN.to_vectors(e.select(F.col("vec_id").alias("_rid"), "label", F.col("embedding").alias("emb")), array_col="emb")
 
 
 @register("knn_join_lsh")
 def knn_join_lsh(spark, sf):
     v = _emb(spark, sf).withColumnRenamed("_rid", "id")
-    return rounded(NN.knn_join(v, v, k=5, radius=3.0, bucket_length=2.0, tables=8))
+    return rounded(NN.knn_join(v, v, k=5))
 
 
 @register("impute_knn_lsh")
@@ -185,17 +184,25 @@ def impute_knn_lsh(spark, sf):
     return rounded(NN.impute_knn(d, ["n_chars", "text_len", "quality"], k=5))
 
 
-@register("smote_lsh")
+@register("smote_lsh", """
+WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT label, false AS synthetic, n FROM c UNION ALL
+SELECT label, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""")
 def smote_lsh(spark, sf):
-    v = _emb(spark, sf).where(F.col("label") < 3)
-    out = NN.smote(v, "label", radius=3.0, bucket_length=2.0)
+    out = NN.smote(_emb(spark, sf), "label")
     return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("adasyn")
 def adasyn(spark, sf):
-    v = _emb(spark, sf).where(F.col("label") < 3)
-    return rounded(NN.adasyn_allocation(v, "label", radius=3.0, bucket_length=2.0))
+    return rounded(NN.adasyn_allocation(_emb(spark, sf), "label"))
+
+
+@register("adasyn_rows", """
+SELECT label, (SELECT max(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) AS n FROM embeddings GROUP BY label""")
+def adasyn_rows(spark, sf):
+    """Every class reaches the size of the largest."""
+    return NN.adasyn(_emb(spark, sf), "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ H-3, streaming

@@ -29,11 +29,43 @@ def to_vectors(df: DataFrame, cols: list[str] | None = None, array_col: str | No
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
+PROBES = 64
+
+
+def near_radius(base: DataFrame, k: int, key: str, vec: str, same_group: str | None = None, seed: int = 42,
+                share: float = 0.95) -> float:
+    """The distance within which ``share`` of ``PROBES`` hash-chosen rows have their k nearest others: the rows
+    against all rows in one scan, with a bounded sketch for each probe."""
+    from pyspark.ml.functions import vector_to_array
+    group = F.col(same_group).cast("string") if same_group else F.lit("")
+    d = base.select(F.col(key).alias("_key"), vector_to_array(vec).alias("_x"), group.alias("_g"))
+    probes = d.orderBy(hash_int("_key", f"{seed}:probe"), "_key").limit(PROBES).collect()
+    sizes = {r["_g"]: r["n"] for r in d.where(F.col("_g").isin([p["_g"] for p in probes])).groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not probes:
+        return 1.0
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p["_g"]).alias("g"), F.array(*[F.lit(float(v)) for v in p["_x"]]).alias("y"))
+                      for i, p in enumerate(probes)])
+    far = F.aggregate(F.zip_with("_x", "p.y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    dist = d.select("_x", "_g", F.explode(asked).alias("p")).where(F.col("_g") == F.col("p.g")) \
+        .select("p.i", "p.g", F.sqrt(far).alias("d"))
+    # the value of rank k + 1, as a probe is its own nearest
+    shares = sorted({min(1.0, (k + 1) / n) for n in sizes.values()})
+    at = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, shares.index(min(1.0, (k + 1) / n)))])
+    kth = dist.groupBy("i", "g").agg(F.percentile_approx("d", F.array(*[F.lit(x) for x in shares]), 100_000).alias("ds")) \
+        .select(F.get("ds", at[F.col("g")]).alias("r"))
+    radius = kth.select(F.percentile("r", share)).first()[0]
+    return float(radius) * 1.001 or 1.0
+
+
 def knn_join(probe: DataFrame, base: DataFrame, k: int | None = 5, key: str = "id", vec: str = "features",
-             radius: float = 2.0, bucket_length: float = 1.0, tables: int = 8, same_group: str | None = None,
-             exclude_self: bool = True, seed: int = 42) -> DataFrame:
+             radius: float | None = None, bucket_length: float | None = None, tables: int = 4,
+             same_group: str | None = None, exclude_self: bool = True, seed: int = 42) -> DataFrame:
     """(id, nb_id, dist, rank) — the k nearest base rows of every probe row among the LSH
-    candidates within ``radius`` (all of them, unranked, for k None); with ``same_group`` only rows of the same group pair."""
+    candidates within ``radius`` (all of them, unranked, for k None); with ``same_group`` only rows of the same group pair.
+    Without a ``radius`` it is taken from the data (``near_radius``); buckets are as wide as the radius."""
+    if radius is None:
+        radius = near_radius(base, k or 5, key, vec, same_group, seed)
+    bucket_length = bucket_length or radius
     lsh = BucketedRandomProjectionLSH(inputCol=vec, outputCol="__h", bucketLength=bucket_length,
                                       numHashTables=tables, seed=seed)
     model = lsh.fit(base)
@@ -101,7 +133,7 @@ def impute_knn(df: DataFrame, cols: list[str], k: int = 5, key: str = "_rid", ra
 
 
 def smote(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5, seed: int = 42,
-          radius: float = 2.0, bucket_length: float = 1.0, tables: int = 8) -> DataFrame:
+          radius: float | None = None, bucket_length: float | None = None, tables: int = 4) -> DataFrame:
     """B-5: synthetic rows up to the largest class: draw j of class c picks base row
     hash(c,j,1) mod n_c (by exact hash rank), neighbour hash(c,j,2) mod k_found among its
     same-class neighbours, gap u(c,j,3); x = base + gap·(nb − base).  Output: (target,
@@ -120,8 +152,8 @@ def smote(df: DataFrame, target: str, vec: str = "features", key: str = "_rid",
     return _between(df, base, target, vec, key, k, radius, bucket_length, tables)
 
 
-def _between(df: DataFrame, base: DataFrame, target: str, vec: str, key: str, k: int, radius: float,
-             bucket_length: float, tables: int) -> DataFrame:
+def _between(df: DataFrame, base: DataFrame, target: str, vec: str, key: str, k: int, radius: float | None,
+             bucket_length: float | None, tables: int) -> DataFrame:
     """The rows of ``df`` and one synthetic row for each of ``base`` (class, id, _pick, _gap): a point at ``_gap``
     of the way to the picked one of the row's same-class neighbours, or a copy where it has none."""
     from pyspark.ml.functions import vector_to_array
@@ -140,7 +172,7 @@ def _between(df: DataFrame, base: DataFrame, target: str, vec: str, key: str, k:
 
 
 def adasyn(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5, seed: int = 42,
-           radius: float = 2.0, bucket_length: float = 1.0, tables: int = 8) -> DataFrame:
+           radius: float | None = None, bucket_length: float | None = None, tables: int = 4) -> DataFrame:
     """B-6: as ``smote``, with ``adasyn_allocation`` synthetic rows for each row: more where other classes are near."""
     known = df.where(F.col(target).isNotNull())
     need = adasyn_allocation(known, target, vec, key, k, radius, bucket_length, tables).where("n_i > 0")
@@ -151,7 +183,7 @@ def adasyn(df: DataFrame, target: str, vec: str = "features", key: str = "_rid",
 
 
 def adasyn_allocation(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5,
-                      radius: float = 2.0, bucket_length: float = 1.0, tables: int = 8) -> DataFrame:
+                      radius: float | None = None, bucket_length: float | None = None, tables: int = 4) -> DataFrame:
     """B-6: per minority row, the share r_i of other-class rows among its k neighbours,
     weights r_i / Σ r (uniform when Σ r = 0), and n_i by largest remainder of
     (max − n_c)·weight within the class.  Returns (id, class, r, n_i)."""

@@ -113,10 +113,11 @@ def yeo_johnson(x, lam: float):
     return F.when(pos, p).otherwise(ng)
 
 
-def fit_power(df: DataFrame, cols: list[str], rounds: int = 3, grid: int = 41) -> DataFrame:
+def fit_power(df: DataFrame, cols: list[str], rounds: int = 7, grid: int = 9) -> DataFrame:
     """(column, lambda, mean, std): λ maximising the Yeo–Johnson log-likelihood
     −n/2·ln var(y) + (λ−1)·Σ sign(x)·ln(1+|x|), searched on a grid in [−3, 3] refined
-    ``rounds`` times; every round is one aggregate over all columns × grid points."""
+    ``rounds`` times (to 2e-4 with the defaults); every round is one aggregate over all
+    columns × grid points, few enough of them for generated code."""
     tr = _train(df).select([c(n) for n in cols]).persist()   # read once per search round
     lo = {n: -3.0 for n in cols}
     hi = {n: 3.0 for n in cols}
