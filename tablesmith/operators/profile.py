@@ -152,6 +152,28 @@ def frequency_table(df: DataFrame, cols: list[str] | None = None, keep_null: boo
     return lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, unique_count, top_count): distinct values and the count of the most frequent one, without
+    NULL and NaN.  Values are counted in their own type, as formatting numbers costs more than counting
+    them; columns without a value are left out."""
+    dts = {f.name: f.dataType for f in df.schema.fields}
+    kinds: dict[str, list[str]] = {}
+    for n in cols:
+        dt = dts[n]
+        kind = ("long" if isinstance(dt, T.IntegralType) else "double" if isinstance(dt, (T.DoubleType, T.FloatType))
+                else "timestamp_ntz" if isinstance(dt, T.TimestampNTZType) else "string")
+        kinds.setdefault(kind, []).append(n)
+    out = None
+    for kind, names in sorted(kinds.items()):
+        value = F.col("value")
+        lv = df.select([c(n).cast(kind).alias(n) for n in names]).unpivot([], qcols(names), "column", "value")
+        lv = lv.where(value.isNotNull() & ~F.isnan(value) if kind == "double" else value.isNotNull())
+        part = lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")) \
+            .groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"), F.max("n").alias("top_count"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def distinct_profile(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, unique_count, is_unique_per_row) without NULLs (P-4); ``approx`` uses
     HyperLogLog++ in a single wide aggregate instead of the frequency pass."""
@@ -161,7 +183,7 @@ def distinct_profile(df: DataFrame, cols: list[str] | None = None, approx: bool
         wide = df.agg(*[F.approx_count_distinct(c(n_)).alias(n_) for n_ in cols])
         u = wide.unpivot([], qcols(cols), "column", "unique_count")
     else:
-        u = frequency_table(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+        u = distinct_counts(df, cols).select("column", "unique_count")
         u = df.sparkSession.createDataFrame([(x,) for x in cols], "column string").join(u, "column", "left") \
             .fillna(0, ["unique_count"])
     return u.select("column", F.col("unique_count").cast("long").alias("unique_count"),
@@ -184,8 +206,7 @@ def low_variance(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     — P-12, P-13.  near-constant: 1 < distinct < n and top count / all rows > 0.95."""
     cols = cols or _user_cols(df)
     n = df.select(F.count(F.lit(1))).scalar()
-    f = frequency_table(df, cols).groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique_count"), F.max("count").alias("top_count"))
+    f = distinct_counts(df, cols)
     base = df.sparkSession.createDataFrame([(x,) for x in cols], "column string")
     g = base.join(f, "column", "left").fillna(0, ["unique_count", "top_count"])
     share = F.coalesce(F.try_divide(F.col("top_count"), n), F.lit(0.0))

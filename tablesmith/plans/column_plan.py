@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import NUMERIC_PATTERN, c, parse_datetime, type_class, qcols
-from ..operators.profile import frequency_table
+from ..operators.profile import distinct_counts
 
 # Allowed plan values per field (dynamic plan).
 ALLOWED = {
@@ -72,7 +72,7 @@ def evidence(df: DataFrame, target: str, sample_k: int = 5, static: bool = False
         stack.append(F.struct(F.lit(x).alias("column"), F.col(f"`m|{x}`").alias("miss"),
                               F.col(f"`p|{x}`").alias("parsed"), dtr.cast("long").alias("dparsed")))
     long = wide.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
-    uniq = frequency_table(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    uniq = distinct_counts(df, cols).select("column", "unique_count")
     # first k non-null values by row id: window with a group limit (partial top-k per task)
     lv = df.select("_rid", *[c(x).cast("string").alias(x) for x in cols]).unpivot(["_rid"], qcols(cols), "column", "value") \
         .where(F.col("value").isNotNull())
