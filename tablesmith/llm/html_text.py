@@ -40,14 +40,26 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
                   "section summary table ul xmp caption tbody thead tfoot tr td th".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure xmp".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option optgroup html body".split()) | {"hr"}
+SCOPE = frozenset({"td", "th", "table", "caption", "html", "template"})
+#: where the search for an open list item stops
+SPECIAL = BLOCK - frozenset("address div p dialog legend option optgroup li dd dt".split()) | frozenset(
+    "applet button colgroup frameset head iframe listing marquee noembed noframes noscript object plaintext script select "
+    "style template textarea title".split())
 #: a start tag ends open elements of these names, looked for up to one of the limits
-IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+IMPLIED = {"li": ({"li"}, SPECIAL | {"dd", "dt"}), "dt": ({"dt", "dd"}, SPECIAL | {"li"}), "dd": ({"dt", "dd"}, SPECIAL | {"li"}),
            "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
            "tr": ({"tr", "td", "th", "caption"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot", "caption"}, {"table"}),
            "thead": ({"tbody", "thead", "tfoot", "caption"}, {"table"}),
-           "tfoot": ({"tbody", "thead", "tfoot", "caption"}, {"table"})}
-SCOPE = frozenset({"td", "th", "table", "caption", "html", "template"})
+           "tfoot": ({"tbody", "thead", "tfoot", "caption"}, {"table"}),
+           "button": ({"button"}, SCOPE | {"object"}), "rb": ({"rb", "rt", "rp", "rtc"}, SCOPE | {"ruby"}),
+           "rt": ({"rb", "rt", "rp"}, SCOPE | {"ruby", "rtc"}), "rp": ({"rb", "rt", "rp"}, SCOPE | {"ruby", "rtc"}),
+           "rtc": ({"rb", "rt", "rp", "rtc"}, SCOPE | {"ruby"})}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: what may stand in a head; any other start tag, and text, ends it
+HEAD_PARTS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: no start tag inside one of these ends an element outside
+CLOSED_OFF = frozenset("template svg math noscript".split())
 GAP = "  "
 
 
@@ -134,15 +146,18 @@ class Renderer:
         return "  " * max(0, len(self.lists))
 
     def open(self, tag: str, raw: str) -> None:
-        if self.skip:
-            if tag not in VOID:
-                self.stack.append(tag)
-                self.skip += 1
-            return
+        # what the tag ends by implication may be the invisible element itself
+        if self.stack and self.stack[-1] == "head" and tag not in HEAD_PARTS:
+            self.close("head")
         if tag in CLOSES_P:
-            self.close("p", SCOPE)
+            self.close("p", SCOPE | CLOSED_OFF | {"button", "object", "applet", "marquee"})
+        if tag in HEADINGS and self.stack and self.stack[-1] in HEADINGS:
+            self.close(self.stack[-1])
+        if tag == "a" and self.skip:
+            self.close("a", SCOPE | CLOSED_OFF | {"object", "applet", "marquee"})
         if tag in IMPLIED:
             names, limits = IMPLIED[tag]
+            limits = limits | CLOSED_OFF
             for _ in range(3):
                 for name in reversed(self.stack):
                     if name in limits:
@@ -152,6 +167,11 @@ class Renderer:
                         break
                 else:
                     break
+        if self.skip:
+            if tag not in VOID:
+                self.stack.append(tag)
+                self.skip += 1
+            return
         attrs = attributes(raw) if raw and raw != "/" else {}
         if is_hidden(tag, attrs):
             if tag not in VOID:
@@ -232,6 +252,8 @@ class Renderer:
             self.page.line_end(2 if tag in SPACED and not (tag in ("ul", "ol") and self.lists) else 1)
 
     def text(self, s: str, literal: bool = False) -> None:
+        if self.skip and self.stack[-1] == "head" and s.strip(" \t\n\f\r"):
+            self.close("head")
         if self.skip or not s:
             return
         if not literal and "&" in s:

@@ -199,6 +199,25 @@ def test_html_cases(source, want):
     assert html_text.render(source) == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<html><head><title>t</title><body><p>text</body></html>", "text"),
+    ("<html><head><title>t</title><p>text", "text"), ("<head><meta charset=x>text", "text"),
+    ("<head><title>t</title> <style>s</style><script>x</script></head>text", "text"),
+    ("<p hidden>a<p>b", "b"), ("<p hidden>a<div>b</div>", "b"), ("<p hidden>a<span>b<h2>c</h2>", "c"),
+    ("<ul><li style='display:none'>x<li>y</ul>", "  - y"), ("<ul><li hidden>x<ul><li>z</ul><li>y</ul>", "  - y"),
+    ("<table><tr hidden><td>a<td>b<tr><td>c</table>", "c"), ("<table><tr><td hidden>a<td>b</table>", "b"),
+    ("<table><tbody hidden><tr><td>a<tbody><tr><td>b</table>", "b"), ("<dl><dt hidden>a<dd>b</dl>", "b"),
+    ("<h1 hidden>a<h2>b</h2>", "b"), ("<button hidden>a<button>b</button>", "b"), ("<a hidden>a<a>b</a>", "b"),
+    ("<ruby>a<rp>(<rt>b<rp>)</ruby>c", "abc"),
+    # inside an invisible element nothing outside ends
+    ("<ul><li>a<template><li>b</template>c</ul>", "  - ac"), ("<p>a<template><p>b</template>c", "ac"),
+    ("<p>a<noscript><p>b</noscript>c", "ac"), ("<p>a<button hidden><div>b</div></button>c", "ac"),
+    ("<ul><li>a<section hidden><li>b</section>c</ul>", "  - ac"), ("<div hidden><p>a<p>b<ul><li>c<li>d</ul></div>e", "e"),
+    ("<table><tr><td>a<template><tr><td>b</template>c</table>", "ac")])
+def test_html_end_tags_left_out_of_invisible_elements(source, want):
+    assert html_text.render(source).strip() == want.strip()
+
+
 def test_html_keeps_every_visible_word(spark):
     """Against the standard library's parser: the same words in the same order on all pages."""
     from html.parser import HTMLParser
