@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import pieces, ship, text_view
 
+#: an attribute; a quote opens a value only straight after "=" and white space, elsewhere it is a character like others
+ATTRIBUTE = re.compile(r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+"
+                       r"(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+))?+)?+")
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[ \t\n\f\r/]++|" + re.sub(r"\((?=\[\^)", "(?:", ATTRIBUTE.pattern) + r")*+)(?:>|\Z)", re.S)
 INVISIBLE = frozenset("area audio base canvas datalist embed head iframe link meta noembed noframes noscript object param "
                       "rp script source style template title track video svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())

@@ -218,6 +218,17 @@ def test_html_end_tags_left_out_of_invisible_elements(source, want):
     assert html_text.render(source).strip() == want.strip()
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ('<a href="x"">Text</a> more "quoted" end', 'Text more "quoted" end'), ("<a title=Bob's>Text</a> more", "Text more"),
+    ('<p class="a" ">b', "b"), ("<p '>b", "b"), ('<p ="x">b', "b"), ('<p a=b="c>d"', 'd"'), ('<p a"b">c', "c"), ("</p ' >b", "b"),
+    ('<p class="x"hidden">b', "b"), ("<p title=it's hidden>a</p>b", "b"),
+    # a quoted value may hold ">" and go on to the end of the page
+    ('<a title = "x>y">b', "b"), ("<a title='x>y'>b", "b"), ('<a title="x>y"alt=">">b', "b"), ('a<a title="x>b', "a"),
+    ("<p a=>b", "b"), ("<p a/b/>c", "c"), ("<br/>c", "c"), ("<p a\n=\n'>'\n>c", "c")])
+def test_html_stray_quotes(source, want):
+    assert html_text.render(source) == want
+
+
 def test_html_keeps_every_visible_word(spark):
     """Against the standard library's parser: the same words in the same order on all pages."""
     from html.parser import HTMLParser
