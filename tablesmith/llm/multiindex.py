@@ -5,10 +5,12 @@ k-means on a bounded, hash-chosen sample (``SAMPLE`` rows, or 16 for each centro
 of nearest centroids is a vector's cell in the product grid, and every vector is in it.
 
 Search: a vector's multi-sequence traversal visits cells in the order of the summed distances
-of their two centroids.  How many cells are visited is calibrated: ``QUERIES`` hash-chosen
-vectors are compared with all rows by brute force, and the number is the smallest that reaches
-``recall`` of the links found, and ``LEAST_CELLS`` at least.  Pairs met are verified by their
-cosine in double precision, so no link is below the threshold.
+of their two centroids.  How many cells are visited is calibrated: hash-chosen vectors are
+compared with all rows by brute force, in rounds until ``LINKED`` of them with few links are
+found.  The number is the smallest by which a vector has met ``recall`` of its links on average,
+for vectors of few links and of many each, and ``LEAST_CELLS`` at least; where no vector asked
+has a link, all cells are visited.  Pairs met are verified by their cosine in double precision,
+so no link is below the threshold.
 
 Equal vectors of a label are one class throughout and count as often as they occur.  Vectors
 meet in stripes (label, first centroid), which are cut into tiles of at most about ``TILE``
@@ -24,6 +26,8 @@ gives an empty result; extra columns are not looked at.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,7 +37,10 @@ from pyspark.sql import functions as F
 from .common import components, cut, ship
 
 SAMPLE = 8192
-QUERIES = 192
+QUERIES = 512
+MOST_QUERIES = 16_384
+LINKED = 300
+STRATUM = 4
 CELL_ROWS = 32
 LEAST_CELLS = 8
 MOST_CENTROIDS = 4096
@@ -86,6 +93,10 @@ class Codebooks:
         h = (x.shape[1] + 1) // 2
         return squared(x[:, :h], c1), squared(x[:, h:], c2)
 
+    def grid(self, dim: int) -> tuple[int, int]:
+        c1, c2 = self.books.get(dim, ([0], [0]))
+        return len(c1), len(c2)
+
     def traverse(self, x: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
         """Multi-sequence order: the first ``cells`` cells (i, j) of every row by summed distance; -1 past the last.
 
@@ -119,6 +130,13 @@ def by_length(col: pa.Array):
         yield at, values[offs[:-1][at][:, None] + np.arange(dim)]
 
 
+def by_label(labels: np.ndarray):
+    """(label, rows) of each label in an array of them."""
+    names, at = np.unique(labels, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    return zip(names.tolist(), np.split(order, np.cumsum(np.bincount(at))[:-1]), strict=True)
+
+
 def fit(classes: DataFrame, n: int) -> Codebooks:
     """Codebooks for ``n`` classes, from a sample of them of bounded size."""
     k = int(np.clip(round((n / CELL_ROWS) ** 0.5), 2, MOST_CENTROIDS))
@@ -130,50 +148,87 @@ def fit(classes: DataFrame, n: int) -> Codebooks:
     return Codebooks({m.shape[1]: unit_rows(m) for _, m in by_length(rows["vec"].combine_chunks())}, k)
 
 
-def calibrate(classes: DataFrame, books: Codebooks, n: int, threshold: float, recall: float) -> int:
-    """Cells to visit: the rank in their traversal at which the sample queries have met ``recall`` of their links."""
-    at = F.pmod(F.xxhash64(F.lit("ask"), "rep"), F.lit(1_000_003))
-    asked = classes.where(at < int(min(1.0, QUERIES / max(n, 1)) * 1_000_003) + 1).select("rep", "label", "vec").toArrow()
-    if not asked.num_rows:
-        return LEAST_CELLS
-    labels, reps = np.array(asked["label"].to_pylist(), object), asked["rep"].to_numpy()
+def asked_links(classes: DataFrame, books: Codebooks, threshold: float, asked: pa.Table) -> DataFrame:
+    """(query, rank, n): of the asked vectors, by brute force against all rows, how many links lie in the cell of
+    which rank in the query's traversal."""
     held = {}
+    labels, reps = np.array(asked["label"].to_pylist(), object), asked["rep"].to_numpy()
     for rows, m in by_length(asked["vec"].combine_chunks()):
-        x = unit_rows(m)
-        held[m.shape[1]] = (x, labels[rows], reps[rows], *books.halves(x))
-    schema = pa.schema([("rank", pa.int64()), ("n", pa.int64())])
+        for label, own in by_label(labels[rows]):
+            held[m.shape[1], label] = unit_rows(m[own]), reps[rows][own]
+    schema = pa.schema([("query", pa.int64()), ("rank", pa.int64()), ("n", pa.int64())])
+
+    def met(x, qr, y, r):
+        q, at = np.nonzero((x @ y.T >= threshold) & (qr[:, None] != r[None, :]))
+        if not len(q):
+            return
+        d1, d2 = books.halves(y[at])
+        cell, count = np.unique(np.stack([q, d1.argmin(axis=1), d2.argmin(axis=1)], axis=1), axis=0, return_counts=True)
+        some, k = np.unique(cell[:, 0], return_inverse=True)
+        q1, q2 = books.halves(x[some])
+        order = np.sort(q2, axis=1)
+        ranks = [int(np.searchsorted(order[a], q1[a, i] + q2[a, j] - q1[a], "left").sum())
+                 for a, i, j in zip(k.ravel().tolist(), cell[:, 1].tolist(), cell[:, 2].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(qr[cell[:, 0]]), pa.array(ranks, pa.int64()), pa.array(count, pa.int64())],
+                                         schema=schema)
 
     def run(batches):
         for b in batches:
             label, rep = np.array(b.column(1).to_pylist(), object), b.column(0).to_numpy()
             for rows, m in by_length(b.column(2)):
-                if m.shape[1] not in held:
-                    continue
-                x, ql, qr, q1, q2 = held[m.shape[1]]
-                y = unit_rows(m)
-                near = (x @ y.T >= threshold) & (ql[:, None] == label[rows][None, :]) & (qr[:, None] != rep[rows][None, :])
-                q, r = np.nonzero(near)
-                if not len(q):
-                    continue
-                d1, d2 = books.halves(y)
-                i, j = d1.argmin(axis=1)[r], d2.argmin(axis=1)[r]
-                cell, count = np.unique(np.stack([q, i, j], axis=1), axis=0, return_counts=True)
-                ranks = [int(np.searchsorted(np.sort(q2[a]), q1[a, b1] + q2[a, b2] - q1[a], "left").sum()) for a, b1, b2 in cell.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(count, pa.int64())], schema=schema)
-
-    found = ship(classes).select("rep", "label", "vec").mapInArrow(run, "rank long, n long") \
-        .groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    total, seen = sum(r.n for r in found), 0
-    for r in found:
-        seen += r.n
-        if seen >= recall * total:
-            return max(LEAST_CELLS, r.rank + 1)
-    return LEAST_CELLS
-
-
-def place(books: Codebooks, cells: int):
+                for name, own in by_label(label[rows]):
+                    if (m.shape[1], name) not in held:
+                        continue
+                    x, qr = held[m.shape[1], name]
+                    y, r = unit_rows(m[own]), rep[rows][own]
+                    for i in range(0, len(y), TILE):
+                        for j in range(0, len(x), TILE):
+                            yield from met(x[j:j + TILE], qr[j:j + TILE], y[i:i + TILE], r[i:i + TILE])
+
+    return ship(classes).select("rep", "label", "vec").mapInArrow(run, "query long, rank long, n long") \
+        .groupBy("query", "rank").agg(F.sum("n").alias("n"))
+
+
+def calibrate(classes: DataFrame, books: Codebooks, n: int, threshold: float, recall: float) -> int | None:
+    """Cells to visit: the rank by which the asked vectors have met ``recall`` of their links, averaged over vectors
+    with about as many links (a factor of ``STRATUM``), in the group that needs the most; None for all cells.
+
+    Hash-chosen vectors are asked in rounds until ``LINKED`` with less than ``STRATUM`` links are found, or
+    ``MOST_QUERIES`` or all are asked; without any link, nothing is known and all cells are visited."""
+    at = F.pmod(F.xxhash64(F.lit("ask"), "rep"), F.lit(1_000_000_007))
+    weights: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))    # by stratum and rank
+    linked: dict[int, int] = defaultdict(int)
+    below, want = 0, QUERIES
+    while True:
+        upto = int(min(1.0, want / max(n, 1)) * 1_000_000_007) + 1
+        asked = classes.where((at >= below) & (at < upto)).select("rep", "label", "vec").toArrow()
+        if asked.num_rows:
+            found = cut(asked_links(classes, books, threshold, asked))
+            total = found.groupBy("query").agg(F.sum("n").alias("total"))
+            stratum = F.floor(F.log(float(STRATUM), "total") + F.lit(1e-9)).cast("int")
+            for r in total.groupBy(stratum.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect():
+                linked[r.s] += r.n
+            for r in found.join(total, "query").groupBy(stratum.alias("s"), "rank").agg(F.sum(F.col("n") / F.col("total")).alias("w")).collect():
+                weights[r.s][r["rank"]] += r.w
+        if want >= min(n, MOST_QUERIES) or linked.get(0, 0) >= LINKED:
+            break
+        below, want = upto, min(8 * want, MOST_QUERIES)
+    if not linked:
+        return None
+    most = LEAST_CELLS
+    for s, by_rank in weights.items():
+        seen = 0.0
+        for rank in sorted(by_rank):
+            seen += by_rank[rank]
+            if seen >= recall * linked[s] - 1e-6:
+                break
+        most = max(most, rank + 1)
+    return most
+
+
+def place(books: Codebooks, cells: int | None):
     """mapInArrow function: classes to one row as a member of its stripe, and one as a visitor of each stripe
-    (first centroid) that its traversal meets."""
+    (first centroid) that its traversal meets.  Where all cells are visited, their lists are left empty."""
     schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("stripe", pa.int32()), ("member", pa.bool_()),
                         ("rep", pa.int64()), ("n", pa.int64()), ("vec", pa.list_(pa.float64())), ("i", pa.int32()),
                         ("j", pa.int32()), ("is", pa.list_(pa.int32())), ("js", pa.list_(pa.int32()))])
@@ -182,18 +237,22 @@ def place(books: Codebooks, cells: int):
         for b in batches:
             rep, label, n = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(3).to_numpy()
             for rows, m in by_length(b.column(2)):
+                n1, n2 = books.grid(m.shape[1])
+                whole = cells is None or cells >= n1 * n2
                 for part in np.array_split(np.arange(len(rows)), -(-len(rows) // 2048)):
                     x = unit_rows(m[part])
-                    c1, c2 = books.traverse(x, cells)
+                    c1, c2 = books.traverse(x, 1 if whole else cells)
                     out = [[] for _ in schema]
                     for k, r in enumerate(rows[part].tolist()):
                         own = (int(c1[k, 0]), int(c2[k, 0]))
                         a, z = c1[k][c1[k] >= 0], c2[k][c1[k] >= 0]
                         lead = (label[r], m.shape[1])
                         tail = (int(rep[r]), int(n[r]), x[k], *own)
+                        if whole:
+                            a = z = a[:0]
                         for y, s in zip(out, (*lead, own[0], True, *tail, a, z), strict=True):
                             y.append(s)
-                        for stripe in np.unique(a).tolist():
+                        for stripe in range(n1) if whole else np.unique(a).tolist():
                             hit = a == stripe
                             for y, s in zip(out, (*lead, stripe, False, *tail, a[hit], z[hit]), strict=True):
                                 y.append(s)
@@ -229,9 +288,11 @@ def tile_links(threshold: float):
         if not len(m) or not len(v):
             return pd.DataFrame({"rep": [], "root": [], "links": []}, dtype=np.int64)
         mr, vr = m["rep"].to_numpy(), v["rep"].to_numpy()
-        visits = np.zeros((len(v), int(max(m["j"].max(), max(x.max() for x in v["js"]))) + 1), bool)
+        whole = not len(m["is"].iloc[0])        # all cells are visited, by all vectors of this length
+        visits = np.zeros((len(v), int(max(m["j"].max(), max(x.max(initial=0) for x in v["js"]))) + 1), bool)
         for k, js in enumerate(v["js"]):
-            visits[k, js] = True
+            visits[k, js.astype(np.int64)] = True
+        visits |= whole
         close = np.stack(v["vec"].to_list()) @ np.stack(m["vec"].to_list()).T >= threshold
         close &= visits[:, m["j"].to_numpy()] & (vr[:, None] != mr[None, :])
         a, b = np.nonzero(close)
@@ -243,7 +304,7 @@ def tile_links(threshold: float):
         for k, (x, y) in enumerate(zip(m["is"], m["js"], strict=True)):
             probes[k, :len(x)] = (np.asarray(x, np.int64) << 32) | np.asarray(y, np.int64)
         cell = (v["i"].to_numpy().astype(np.int64) << 32) | v["j"].to_numpy().astype(np.int64)
-        mutual = np.zeros(len(a), bool)
+        mutual = np.full(len(a), whole)
         for t in range(width):
             mutual |= probes[b, t] == cell[a]
         ids, at = np.unique(np.concatenate([vr, mr]), return_inverse=True)

@@ -376,6 +376,37 @@ def test_vectors_in_groups(spark, monkeypatch, tile):
         assert got[i].n_links >= 39
 
 
+def sparse_vectors(dense):
+    """3,000 single vectors about a common direction, 60 more that pair with one at cosine 0.932, and a tight group."""
+    rng = np.random.default_rng(8)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    x, away = unit(rng.normal(size=(3000, 64))), rng.normal(size=(60, 64))
+    away = unit(away - (away * x[:60]).sum(axis=1, keepdims=True) * x[:60])
+    group = rng.normal(size=64) + rng.normal(size=(dense, 64)) * 0.01
+    x = unit(math.sqrt(0.8) * unit(rng.normal(size=64)) + math.sqrt(0.2) * x)
+    away = unit(away - (away * x[:60]).sum(axis=1, keepdims=True) * x[:60])
+    vectors = np.concatenate([0.932 * x[:60] + math.sqrt(1 - 0.932 ** 2) * away, x, group])
+    return [(k, 1, v.tolist()) for k, v in enumerate(vectors)]
+
+
+def test_vectors_few_pairs_beside_a_dense_group(spark):
+    df = spark.createDataFrame(sparse_vectors(1500), "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in multiindex.link(df).collect()}
+    assert sum(got[k] > 0 for k in range(60)) == 60
+    assert all(got[k] == 1499 for k in range(3060, 4560))
+
+
+def test_vectors_without_evidence_visit_all_cells(spark, monkeypatch):
+    for name in ("QUERIES", "MOST_QUERIES"):
+        monkeypatch.setattr(multiindex, name, 1, raising=False)
+    df = spark.createDataFrame(sparse_vectors(0), "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in multiindex.link(df).collect()}
+    assert all(got[k] for k in range(120))
+
+
 def test_vectors_recall_on_the_given_table(spark):
     df = spark.read.parquet(f"{SF_MORE}/embeddings.parquet")
     more = df.unionByName(df.select((F.col("vec_id") + 100_000).alias("vec_id"),
