@@ -8,9 +8,9 @@ models together are one sorted array of n-gram hashes per order, with a column o
 probabilities and of back-off weights for each language, so one lookup a character scores
 every language.  The language of the lowest cross-entropy per character wins.
 
-Rejection is calibrated: a hash-chosen tenth of the documents is not learned from; a
-prediction is ``accepted`` if its cross-entropy is no higher than the ``ACCEPT`` quantile of
-theirs.  ``score`` is the winner's posterior with the evidence of at most ``SCORE_CHARS``
+Rejection is calibrated: a second model of the same counts leaves out a hash-chosen tenth of the
+documents; a prediction is ``accepted`` if its cross-entropy is no higher than the ``ACCEPT``
+quantile of theirs under that model.  A language that only they have accepts all.  ``score`` is the winner's posterior with the evidence of at most ``SCORE_CHARS``
 characters.
 
 Text is lower-cased, and every run of other characters than letters is one space.  Defined
@@ -247,14 +247,15 @@ def train(docs: DataFrame, train_rows: Column | None = None, lang: str = "lang",
     d = d.select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"),
                  F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1_000_003)).alias("at")) \
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+    out_of_fold = F.col("at") % 10 == 0
+    schema = pa.schema([("lang", pa.string()), ("out", pa.bool_()), ("gram", pa.string()), ("n", pa.int64())])
 
     def count(batches):
         for b in batches:
-            langs = np.array(b.column(0).to_pylist(), object)
+            kinds = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
             for i, j, texts in texts_of(b.column(1)):
-                for x in sorted(set(langs[i:j])):
-                    codes, first = characters([t for t, y in zip(texts, langs[i:j], strict=True) if y == x])
+                for x, out in sorted(set(kinds[i:j])):
+                    codes, first = characters([t for t, y in zip(texts, kinds[i:j], strict=True) if y == (x, out)])
                     start = np.zeros(len(codes), bool)
                     for k in range(ORDER - 1):
                         start[first[:-1] + k] = True
@@ -262,20 +263,25 @@ def train(docs: DataFrame, train_rows: Column | None = None, lang: str = "lang",
                     _, one, n = np.unique(gram_hash(codes, ORDER)[at], return_index=True, return_counts=True)
                     grams = codes[at[one][:, None] + np.arange(1 - ORDER, 1)]
                     names = [r.tobytes().decode("utf-32-le") for r in grams]
-                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(names), pa.string()), pa.array(names, pa.string()),
-                                                      pa.array(n)], schema=schema)
-
-    learned = ship(d).where(F.col("at") % 10 != 0).select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
-    counted = cut(learned.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    counted = counted.where(F.col("n") >= least_counts(counted, max_grams))
-    table = counted.orderBy("lang", "gram").toArrow().to_pydict()
-    names, langs = np.array(table["lang"], object), table["gram"]
-    codes = np.frombuffer("".join(langs).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-    counts = np.array(table["n"], np.float64)
-    model = build({x: (codes[names == x], counts[names == x]) for x in sorted(set(names))})
-    checked = _scored(d.where(F.col("at") % 10 == 0).select(F.col("lang").alias("doc_id"), "text"), model) \
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(names), pa.string()), pa.array([out] * len(names), pa.bool_()),
+                                                      pa.array(names, pa.string()), pa.array(n)], schema=schema)
+
+    learned = ship(d).select("lang", "text", out_of_fold.alias("out")).mapInArrow(count, "lang string, out boolean, gram string, n long")
+    counted = cut(learned.groupBy("lang", "gram").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~F.col("out"), F.col("n"))), F.lit(0)).alias("fold")))
+
+    def learn(n: str) -> Model:
+        kept = counted.where(F.col(n) > 0).select("lang", "gram", F.col(n).alias("n"))
+        table = kept.where(F.col("n") >= least_counts(kept, max_grams)).orderBy("lang", "gram").toArrow().to_pydict()
+        names, langs = np.array(table["lang"], object), table["gram"]
+        codes = np.frombuffer("".join(langs).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+        counts = np.array(table["n"], np.float64)
+        return build({x: (codes[names == x], counts[names == x]) for x in sorted(set(names))})
+
+    checked = _scored(d.where(out_of_fold).select(F.col("lang").alias("doc_id"), "text"), learn("fold")) \
         .where("doc_id = lang_pred").groupBy("lang_pred") \
         .agg(F.percentile_approx("cross_entropy", ACCEPT, 10_000).alias("high")).collect()
+    model = learn("n")
     for r in checked:
         model.accept[model.langs.index(r.lang_pred)] = r.high
     return model

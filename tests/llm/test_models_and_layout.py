@@ -122,6 +122,15 @@ def test_language_odd_cases(odd, empty):
     assert langid.train(odd.withColumn("lang", F.lit(None).cast("string"))).langs == []
 
 
+def test_language_of_a_single_document_is_learned(spark):
+    """Whatever tenth a document falls into, its n-grams count."""
+    rows = [(i, "the river runs to the sea and the sea is wide", "en") for i in range(50)]
+    rows += [(100 + i, f"{a}qx {a}zj vk{a} " * 9, f"r{i}") for i, a in enumerate("bcdfghklmnprstvw" * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert set(model.langs) == {r[2] for r in rows} and not np.isinf(model.accept[model.langs.index("en")])
+
+
 def test_language_model_bound(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     small = langid.train(docs, max_grams=500)
