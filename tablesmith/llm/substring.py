@@ -6,8 +6,9 @@
    arrays, about 10 bytes a window instead of a row for each.
 2. Each bucket (about ``BUCKET_WINDOWS`` windows, whatever the corpus holds) counts its
    hashes.  Of a hash that occurs more than once, all occurrences but the first by
-   (doc_id, start) are marked.
-3. Marks are regrouped by document and merged into maximal word intervals, and the
+   (doc_id, start) are marked.  A flush of about ``FLUSH_WINDOWS`` windows has done so for
+   itself before: a bucket gets a hash once from each flush, however often it occurs.
+3. Marks are regrouped by the document's hash and merged into maximal word intervals, and the
    documents join their intervals.
 
 Two different windows are taken for one only if 64 bits of hash and the bucket agree: with n
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (ROUTE_BASE, SPACES, WINDOW_BASE, from_planes, pieces, planes, prefix_hash, rolling,
+from .common import (ROUTE_BASE, SPACES, WINDOW_BASE, from_planes, mix, pieces, planes, prefix_hash, rolling,
                      ship, span_hash, text_view, word_spans)
 
 BUCKET_WINDOWS = 1 << 20
@@ -45,17 +46,58 @@ def window_count(docs: DataFrame, text: str = "text") -> int:
     return int(n or 0) // 6 + 1
 
 
+def repeats(h: np.ndarray, route: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows that share hash and route: the positions of all but the first by (id, start), and of
+    those that stand at the first one's very place (repeated rows)."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    many = np.zeros(len(h), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    at = order[many]
+    at = at[np.lexsort((starts[at], ids[at], route[at], h[at]))]
+    if not len(at):
+        return at, at
+    new = np.append(True, (h[at][1:] != h[at][:-1]) | (route[at][1:] != route[at][:-1]))
+    head = np.flatnonzero(new)
+    lead = at[np.repeat(head, np.diff(np.append(head, len(at))))]
+    gone = (ids[at] != ids[lead]) | (starts[at] != starts[lead])
+    return at[gone], at[~gone & ~new]
+
+
+def packed_marks(ids: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple]:
+    """MARKS rows of windows to remove; documents are dealt to parts by hash."""
+    part = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((starts, ids, part))
+    ids, starts, part = ids[order], starts[order], part[order]
+    rows = []
+    for block in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1) if len(part) else []:
+        d = ids[block]
+        first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+        rows.append((int(part[block[0]]), planes(np.diff(d[first], prepend=0)),
+                     planes(np.diff(np.append(first, len(d))).astype(np.uint32)),
+                     planes(starts[block].astype(np.uint32))))
+    return rows
+
+
 def window_shares(length: int, buckets: int):
-    """mapInArrow function: (doc_id, text) to SHARE rows."""
+    """mapInArrow function: (doc_id, text) to SHARE rows.  Only the first window of each hash in a flush goes to
+    its hash's bucket; the others are repeats already and go as MARKS rows (without hashes) to their part's number."""
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "gaps", "hashes"))])
 
     def flush(held):
         hashes, route = (np.concatenate([x[k] for x in held]) for k in (0, 1))
         row, start = (np.concatenate([x[k] for x in held]) for k in (2, 3))
         ids = np.concatenate([x[4] for x in held])
-        order = np.argsort(route, kind="stable")
+        gone, copies = repeats(hashes, route, ids[row], start)
+        out = [list(x) for x in zip(*packed_marks(ids[row[gone]], start[gone].astype(np.int64), buckets), strict=True)] \
+            or [[], [], [], []]
+        out.append([None] * len(out[0]))
+        left = np.ones(len(hashes), bool)
+        left[gone] = left[copies] = False
+        order = np.flatnonzero(left)
+        order = order[np.argsort(route[order], kind="stable")]
         cuts = np.flatnonzero(np.diff(route[order])) + 1
-        out = [[], [], [], [], []]
         for part in np.split(order, cuts):
             rows = row[part]
             first = np.flatnonzero(np.diff(rows, prepend=-1))
@@ -100,8 +142,11 @@ def mark_repeats(parts: int):
     """applyInPandas function: the SHARE rows of one bucket to MARKS rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, ids, starts = [], [], []
+        hashes, ids, starts, rows = [], [], [], []
         for r in pdf.itertuples(index=False):
+            if r.hashes is None:
+                rows.append((r.bucket, r.ids, r.counts, r.gaps))
+                continue
             hashes.append(np.frombuffer(r.hashes, np.uint64))
             counts = from_planes(r.counts, np.uint32).astype(np.int64)
             ids.append(np.repeat(np.cumsum(from_planes(r.ids, np.int64)), counts))
@@ -109,32 +154,10 @@ def mark_repeats(parts: int):
             total = np.cumsum(gaps)
             first = np.cumsum(counts) - counts
             starts.append(total - np.repeat(total[first] - gaps[first], counts))
-        h, ids, starts = np.concatenate(hashes), np.concatenate(ids), np.concatenate(starts)
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        many = np.zeros(len(h), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        at = order[many]
-        at = at[np.lexsort((starts[at], ids[at], h[at]))]
-        if not len(at):
-            return pd.DataFrame({"part": np.zeros(0, np.int32), "ids": [], "counts": [], "starts": []})
-        hh, ids, starts = h[at], ids[at], starts[at]
-        # the first of its hash, or a repeated row at the first one's very place, stays
-        head = np.flatnonzero(np.append(True, hh[1:] != hh[:-1]))
-        lead = np.repeat(head, np.diff(np.append(head, len(hh))))
-        gone = (ids != ids[lead]) | (starts != starts[lead])
-        ids, starts = ids[gone], starts[gone]
-        part = (ids % parts).astype(np.int32)
-        order = np.lexsort((starts, ids, part))
-        ids, starts, part = ids[order], starts[order], part[order]
-        rows = []
-        for block in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1) if len(part) else []:
-            d = ids[block]
-            first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-            rows.append((int(part[block[0]]), planes(np.diff(d[first], prepend=0)),
-                         planes(np.diff(np.append(first, len(d))).astype(np.uint32)),
-                         planes(starts[block].astype(np.uint32))))
+        if hashes:
+            h, ids, starts = np.concatenate(hashes), np.concatenate(ids), np.concatenate(starts)
+            gone, _ = repeats(h, np.zeros(len(h), np.int8), ids, starts)
+            rows += packed_marks(ids[gone], starts[gone], parts)
         return pd.DataFrame(rows, columns=["part", "ids", "counts", "starts"])
 
     return run

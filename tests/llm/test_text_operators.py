@@ -67,6 +67,27 @@ def test_substrings_cross_flushes_and_buckets(small, monkeypatch):
     assert got == want
 
 
+def test_substrings_of_a_hot_passage_reach_a_bucket_once(spark, monkeypatch):
+    """However often a window occurs in a flush, its bucket gets it once; documents are dealt by hash."""
+    import pyarrow as pa
+
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [(8 * k, f"{passage} own{k} " + "same " * 40) for k in range(400)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in texts], pa.int64()), "text": [t for _, t in texts]})
+    shares = [r for b in substring.window_shares(20, 8)(iter([batch])) for r in b.to_pylist()]
+    hashes = [r["hashes"] for r in shares if r["hashes"] is not None]
+    windows = {tuple(w[s:s + 20]) for _, t in texts for w in [t.split()] for s in range(len(w) - 19)}
+    assert sum(map(len, hashes)) == 8 * len(windows)
+    assert {r["bucket"] for r in shares if r["hashes"] is None} == set(range(8))
+    want = brute_substrings(texts, 20)
+    monkeypatch.setattr(substring, "BUCKET_WINDOWS", 2000)
+    for flush in (1 << 20, 500):
+        monkeypatch.setattr(substring, "FLUSH_WINDOWS", flush)
+        df = spark.createDataFrame(texts + texts[:3], "doc_id long, text string").repartition(3)
+        got = [(r.doc_id, (r.n_words, r.n_removed, r.kept_sha256)) for r in substring.dedup_substrings(df).collect()]
+        assert len(got) == 403 and all(want[d] == x for d, x in got)
+
+
 # -- line dedup ----------------------------------------------------------------------------------
 
 def brute_lines(texts, min_docs=2, min_chars=10):
