@@ -146,6 +146,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
          item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items (sorted strings), items_sha256, contaminated,
     spans (word intervals covered by benchmark windows)."""
+    return scan_rows(docs, benchmark, n, text, doc_id, item_text, item_id).drop("row")
+
+
+def scan_rows(docs: DataFrame, benchmark: DataFrame, n: int, text: str, doc_id: str, item_text: str = "text",
+              item_id: str = "item_id") -> DataFrame:
+    """``scan`` with the text's hash as ``row``."""
     out = None
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
                     F.xxhash64(F.col(text)).alias("row"))
@@ -168,18 +174,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
     items = F.array_sort("items")
     return out.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
-                      (covered > 0).alias("contaminated"), items.alias("items"), "spans")
+                      (covered > 0).alias("contaminated"), items.alias("items"), "spans", "row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_hit_share: float = 0.0,
                   text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows and columns of ``docs`` without contamination: a document of which more than
     ``max_hit_share`` of the words are hit goes; of another with hits, the bytes from the first
-    to the last hit word of each span go.  With the default every contaminated document goes."""
-    found = scan(docs, benchmark, n, text, doc_id).where("contaminated") \
-        .select(F.col("doc_id").alias("_hit_id"), (F.col("n_hit") / F.col("n_words")).alias("_share"), "spans") \
-        .withColumnRenamed("spans", "_spans").dropDuplicates(["_hit_id"])
-    joined = docs.join(found, F.col(doc_id).cast("long") == F.col("_hit_id"), "left")
+    to the last hit word of each span go.  With the default every contaminated document goes.  A row is known
+    by doc_id, null or not, and the hash of its text."""
+    found = scan_rows(docs, benchmark, n, text, doc_id).where("contaminated") \
+        .select(F.col("doc_id").alias("_hit_id"), F.col("row").alias("_hit_row"),
+                (F.col("n_hit") / F.col("n_words")).alias("_share"), F.col("spans").alias("_spans")) \
+        .dropDuplicates(["_hit_id", "_hit_row"])
+    joined = docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_hit_id"))
+                       & (F.xxhash64(F.col(text)) == F.col("_hit_row")), "left")
     kept = joined.where(F.col("_share").isNull() | (F.col("_share") <= max_hit_share))
     if max_hit_share <= 0:
         return kept.select(*[docs[c] for c in docs.columns])

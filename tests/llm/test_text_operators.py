@@ -184,6 +184,19 @@ def test_scan_odd_cases(spark, odd, empty):
     assert by_id(spans.collect())[2].text == "  a  text \nother words here" and spans.count() == odd.count()
 
 
+@pytest.mark.parametrize("block", [500_000, 2])
+def test_contaminated_rows_without_id_or_with_a_shared_one(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_NGRAMS", block)
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two three four")], "item_id long, text string")
+    rows = [(None, "x alpha beta gamma y"), (None, "clean"), (None, None), (5, "so alpha beta gamma"), (5, "clean too"),
+            (5, "one two three four five"), (5, "clean too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontam.decontaminate(docs, bench, n=3)
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[k] for k in (1, 2, 4, 6)]))
+    cut = decontam.decontaminate(docs, bench, n=3, max_hit_share=1.0)
+    assert sorted(str(r.text) for r in cut.collect()) == sorted(["x  y", "clean", "None", "so ", "clean too", " five", "clean too"])
+
+
 # -- SimHash -------------------------------------------------------------------------------------
 
 def brute_simhash(t):
