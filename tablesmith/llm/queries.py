@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, langid, lines, multiindex, quality, shards, simhash, spm, substring
+from . import align, counts, decontam, html_text, langid, lines, multiindex, quality, runs, shards, simhash, spm, substring
 from .common import read
 
 QUERIES: dict = {}
@@ -164,3 +164,47 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.u = e.vec_id) AS n_links, c.com
 FROM e JOIN (SELECT u, min(v) AS component_id FROM r GROUP BY u) c ON c.u = e.vec_id""")
 def op10_embedding_near_dedup(spark, sf_dir):
     return multiindex.link(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def with_planted_runs(docs, text: str = "text", doc_id: str = "doc_id"):
+    """In every tenth document by the CRC of its id, the words from one on repeat with a period (the
+    contract's rule); such a text is its words joined by one space."""
+    h = crc_of(doc_id)
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    d = docs.withColumn("_w", F.when(h % 10 == 0, words)).withColumn("_n", F.size("_w"))
+    w, n = F.col("_w"), F.col("_n")
+    d = d.withColumn("_a", F.when(n > 0, g % n).cast("int"))
+    d = d.withColumn("_p", (1 + F.floor((n - F.col("_a")) / (3 + g % 8))).cast("int"))
+    rest = n - F.col("_a")
+    unit = F.slice(w, F.col("_a") + 1, F.col("_p"))
+    copies = F.slice(F.flatten(F.array_repeat(unit, F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice(w, F.lit(1), F.col("_a")), copies), " ")
+    return d.withColumn(text, F.when(n > 0, planted).otherwise(F.col(text))).drop("_w", "_n", "_a", "_p")
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    docs = with_planted_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.find_runs(docs, least=12)
+    key = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("at"), (-r["period"]).alias("p")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    top = F.array_max(key)
+    d = found.withColumn("top", top)
+    length, period = F.col("top.length"), -F.col("top.p")
+    return d.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.at")).alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    return counts.token_counts(read(spark, sf_dir, "documents"), counts.public_path("word_bpe_49k.json"), limit=2048)
+
+
+@query
+def op13_tokenizer_alignment(spark, sf_dir):
+    return align.align(read(spark, sf_dir, "documents"), align.public_path("byte_bpe_50k.json"),
+                       align.public_path("piece_bpe_32k.model"))
