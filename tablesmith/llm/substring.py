@@ -14,9 +14,12 @@
 Two different windows are taken for one only if 64 bits of hash and the bucket agree: with n
 windows that happens n * BUCKET_WINDOWS / 2^65 times (0.5 for the 10^13 windows of 100 TB).
 
+A document is a doc_id and a text.  Where a doc_id has several texts, the text's hash is its tag
+and orders them; the tag of all others is 0 and costs nothing.
+
 Defined cases: a null text has no words; a row without doc_id is neither compared nor
-changed; doc_id identifies a document, so repeated rows of one doc_id and text get the same
-result; an empty table gives an empty result; extra columns are not looked at.
+changed; repeated rows of one doc_id and text get the same result, different texts of one doc_id
+are compared like any others; an empty table gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (ROUTE_BASE, SPACES, WINDOW_BASE, from_planes, mix, pieces, planes, prefix_hash, rolling,
+from .common import (ROUTE_BASE, SPACES, WINDOW_BASE, cut, from_planes, mix, pieces, planes, prefix_hash, rolling,
                      ship, span_hash, text_view, word_spans)
 
 BUCKET_WINDOWS = 1 << 20
 FLUSH_WINDOWS = 1 << 20
-SHARE = "bucket int, ids binary, counts binary, gaps binary, hashes binary"
-MARKS = "part int, ids binary, counts binary, starts binary"
-SPANS = "doc_id long, spans binary"
+SHARE = "bucket int, ids binary, tags binary, counts binary, gaps binary, hashes binary"
+MARKS = "part int, ids binary, tags binary, counts binary, starts binary"
+SPANS = "doc_id long, tag long, spans binary"
 
 
 def window_count(docs: DataFrame, text: str = "text") -> int:
@@ -46,8 +49,17 @@ def window_count(docs: DataFrame, text: str = "text") -> int:
     return int(n or 0) // 6 + 1
 
 
-def repeats(h: np.ndarray, route: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the windows that share hash and route: the positions of all but the first by (id, start), and of
+def packed_tags(tags: np.ndarray) -> bytes:
+    return planes(tags) if tags.any() else b""
+
+
+def unpacked_tags(b: bytes, n: int) -> np.ndarray:
+    return from_planes(b, np.int64) if b else np.zeros(n, np.int64)
+
+
+def repeats(h: np.ndarray, route: np.ndarray, ids: np.ndarray, tags: np.ndarray,
+            starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows that share hash and route: the positions of all but the first by (id, tag, start), and of
     those that stand at the first one's very place (repeated rows)."""
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
@@ -55,43 +67,43 @@ def repeats(h: np.ndarray, route: np.ndarray, ids: np.ndarray, starts: np.ndarra
     many[1:] |= same
     many[:-1] |= same
     at = order[many]
-    at = at[np.lexsort((starts[at], ids[at], route[at], h[at]))]
+    at = at[np.lexsort((starts[at], tags[at], ids[at], route[at], h[at]))]
     if not len(at):
         return at, at
     new = np.append(True, (h[at][1:] != h[at][:-1]) | (route[at][1:] != route[at][:-1]))
     head = np.flatnonzero(new)
     lead = at[np.repeat(head, np.diff(np.append(head, len(at))))]
-    gone = (ids[at] != ids[lead]) | (starts[at] != starts[lead])
+    gone = (ids[at] != ids[lead]) | (tags[at] != tags[lead]) | (starts[at] != starts[lead])
     return at[gone], at[~gone & ~new]
 
 
-def packed_marks(ids: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple]:
+def packed_marks(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple]:
     """MARKS rows of windows to remove; documents are dealt to parts by hash."""
     part = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-    order = np.lexsort((starts, ids, part))
-    ids, starts, part = ids[order], starts[order], part[order]
+    order = np.lexsort((starts, tags, ids, part))
+    ids, tags, starts, part = ids[order], tags[order], starts[order], part[order]
     rows = []
     for block in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1) if len(part) else []:
-        d = ids[block]
-        first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        rows.append((int(part[block[0]]), planes(np.diff(d[first], prepend=0)),
+        d, t = ids[block], tags[block]
+        first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])))
+        rows.append((int(part[block[0]]), planes(np.diff(d[first], prepend=0)), packed_tags(t[first]),
                      planes(np.diff(np.append(first, len(d))).astype(np.uint32)),
                      planes(starts[block].astype(np.uint32))))
     return rows
 
 
 def window_shares(length: int, buckets: int):
-    """mapInArrow function: (doc_id, text) to SHARE rows.  Only the first window of each hash in a flush goes to
+    """mapInArrow function: (doc_id, tag, text) to SHARE rows.  Only the first window of each hash in a flush goes to
     its hash's bucket; the others are repeats already and go as MARKS rows (without hashes) to their part's number."""
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "gaps", "hashes"))])
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "tags", "counts", "gaps", "hashes"))])
 
     def flush(held):
         hashes, route = (np.concatenate([x[k] for x in held]) for k in (0, 1))
         row, start = (np.concatenate([x[k] for x in held]) for k in (2, 3))
-        ids = np.concatenate([x[4] for x in held])
-        gone, copies = repeats(hashes, route, ids[row], start)
-        out = [list(x) for x in zip(*packed_marks(ids[row[gone]], start[gone].astype(np.int64), buckets), strict=True)] \
-            or [[], [], [], []]
+        ids, tags = (np.concatenate([x[k] for x in held]) for k in (4, 5))
+        gone, copies = repeats(hashes, route, ids[row], tags[row], start)
+        marks = packed_marks(ids[row[gone]], tags[row[gone]], start[gone].astype(np.int64), buckets)
+        out = [list(x) for x in zip(*marks, strict=True)] or [[], [], [], [], []]
         out.append([None] * len(out[0]))
         left = np.ones(len(hashes), bool)
         left[gone] = left[copies] = False
@@ -103,20 +115,21 @@ def window_shares(length: int, buckets: int):
             first = np.flatnonzero(np.diff(rows, prepend=-1))
             out[0].append(int(route[part[0]]))
             out[1].append(planes(np.diff(ids[rows[first]], prepend=0)))
-            out[2].append(planes(np.diff(np.append(first, len(rows))).astype(np.uint32)))
+            out[2].append(packed_tags(tags[rows[first]]))
+            out[3].append(planes(np.diff(np.append(first, len(rows))).astype(np.uint32)))
             starts = start[part].astype(np.int64)
             gaps = np.diff(starts, prepend=0)
             gaps[first] = starts[first]
-            out[3].append(planes(gaps.astype(np.uint32)))
-            out[4].append(hashes[part].tobytes())
+            out[4].append(planes(gaps.astype(np.uint32)))
+            out[5].append(hashes[part].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])],
                                           schema=schema)
 
     def run(batches):
         held, size, docs = [], 0, 0
         for batch in batches:
-            data, offs = text_view(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offs = text_view(batch.column(2))
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, j in pieces(offs):
                 part = data[offs[i]:offs[j]]
                 ws, we, first = word_spans(part, offs[i:j + 1], ~SPACES)
@@ -127,7 +140,8 @@ def window_shares(length: int, buckets: int):
                 ok = np.flatnonzero(row[:len(row) - length + 1] == row[length - 1:])
                 route = rolling(words, length, ROUTE_BASE)[ok] >> np.uint64(33)
                 held.append((rolling(words, length, WINDOW_BASE)[ok], (route % np.uint64(buckets)).astype(np.int32),
-                             row[ok] + docs, ok - first[row[ok]], ids[i:j].astype(np.int64)))
+                             row[ok] + docs, ok - first[row[ok]], ids[i:j].astype(np.int64),
+                             tags[i:j].astype(np.int64)))
                 size, docs = size + len(ok), docs + j - i
                 if size >= FLUSH_WINDOWS:
                     yield flush(held)
@@ -142,23 +156,24 @@ def mark_repeats(parts: int):
     """applyInPandas function: the SHARE rows of one bucket to MARKS rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, ids, starts, rows = [], [], [], []
+        hashes, ids, tags, starts, rows = [], [], [], [], []
         for r in pdf.itertuples(index=False):
             if r.hashes is None:
-                rows.append((r.bucket, r.ids, r.counts, r.gaps))
+                rows.append((r.bucket, r.ids, r.tags, r.counts, r.gaps))
                 continue
             hashes.append(np.frombuffer(r.hashes, np.uint64))
             counts = from_planes(r.counts, np.uint32).astype(np.int64)
             ids.append(np.repeat(np.cumsum(from_planes(r.ids, np.int64)), counts))
+            tags.append(np.repeat(unpacked_tags(r.tags, len(counts)), counts))
             gaps = from_planes(r.gaps, np.uint32).astype(np.int64)
             total = np.cumsum(gaps)
             first = np.cumsum(counts) - counts
             starts.append(total - np.repeat(total[first] - gaps[first], counts))
         if hashes:
-            h, ids, starts = np.concatenate(hashes), np.concatenate(ids), np.concatenate(starts)
-            gone, _ = repeats(h, np.zeros(len(h), np.int8), ids, starts)
-            rows += packed_marks(ids[gone], starts[gone], parts)
-        return pd.DataFrame(rows, columns=["part", "ids", "counts", "starts"])
+            h, ids, tags, starts = (np.concatenate(x) for x in (hashes, ids, tags, starts))
+            gone, _ = repeats(h, np.zeros(len(h), np.int8), ids, tags, starts)
+            rows += packed_marks(ids[gone], tags[gone], starts[gone], parts)
+        return pd.DataFrame(rows, columns=["part", "ids", "tags", "counts", "starts"])
 
     return run
 
@@ -168,28 +183,43 @@ def merge_spans(length: int):
     intervals, (first word, end) pairs of int64."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, starts = [], []
+        ids, tags, starts = [], [], []
         for r in pdf.itertuples(index=False):
-            ids.append(np.repeat(np.cumsum(from_planes(r.ids, np.int64)), from_planes(r.counts, np.uint32)))
+            counts = from_planes(r.counts, np.uint32)
+            ids.append(np.repeat(np.cumsum(from_planes(r.ids, np.int64)), counts))
+            tags.append(np.repeat(unpacked_tags(r.tags, len(counts)), counts))
             starts.append(from_planes(r.starts, np.uint32).astype(np.int64))
-        ids, starts = np.concatenate(ids), np.concatenate(starts)
-        order = np.lexsort((starts, ids))
-        ids, starts = ids[order], starts[order]
-        new = np.append(True, (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + length))
+        ids, tags, starts = (np.concatenate(x) for x in (ids, tags, starts))
+        order = np.lexsort((starts, tags, ids))
+        ids, tags, starts = ids[order], tags[order], starts[order]
+        other = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
+        new = np.append(True, other | (starts[1:] > starts[:-1] + length))
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(ids)) - 1
         spans = np.stack([starts[first], starts[last] + length], axis=1)
-        doc = ids[first]
-        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        return pd.DataFrame({"doc_id": doc[head], "spans": [x.tobytes() for x in np.split(spans, head[1:])]})
+        head = np.flatnonzero(np.append(True, other)[first])
+        return pd.DataFrame({"doc_id": ids[first][head], "tag": tags[first][head], "spans": [x.tobytes() for x in np.split(spans, head[1:])]})
 
     return run
 
 
+def tagged(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, tag, text): the tag is the text's hash where a doc_id has several texts, else 0."""
+    row = F.xxhash64(F.coalesce("text", F.lit("")))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    several = cut(d.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+                  .where("lo < hi").select(F.col("doc_id").alias("_several")))
+    return d.join(several, F.col("doc_id") == F.col("_several"), "left") \
+        .select("doc_id", F.when(F.col("_several").isNotNull(), row).otherwise(F.lit(0)).cast("long").alias("tag"), "text")
+
+
 def repeated_spans(docs: DataFrame, length: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, spans): for each document with repeated windows the word intervals to remove."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")) \
-        .where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    """(doc_id, tag, spans): for each document with repeated windows the word intervals to remove."""
+    return _spans_of(tagged(docs, text, doc_id), length)
+
+
+def _spans_of(d: DataFrame, length: int) -> DataFrame:
+    d = d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     buckets = max(1, -(-window_count(d) // BUCKET_WINDOWS))
     shares = ship(d).mapInArrow(window_shares(length, buckets), SHARE)
     marks = shares.groupBy("bucket").applyInPandas(mark_repeats(buckets), MARKS)
@@ -224,7 +254,8 @@ def dedup_substrings(docs: DataFrame, length: int = 20, text: str = "text", doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in
                                                                   zip(out, list(schema)[1:], strict=True))], schema=schema)
 
-    spans = repeated_spans(docs, length, text, doc_id).select(F.col("doc_id").alias("_span_id"), "spans")
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    d = d.join(spans, F.col("doc_id") == F.col("_span_id"), "left").select("doc_id", "text", "spans")
+    d = tagged(docs, text, doc_id)
+    spans = _spans_of(d, length).select(F.col("doc_id").alias("_span_id"), F.col("tag").alias("_span_tag"), "spans")
+    d = d.join(spans, (F.col("doc_id") == F.col("_span_id")) & (F.col("tag") == F.col("_span_tag")), "left") \
+        .select("doc_id", "text", "spans")
     return ship(d).mapInArrow(apply, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
