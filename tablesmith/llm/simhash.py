@@ -7,8 +7,9 @@ Candidates: the 64 bits are a ring of 8 segments of 8 bits.  If two fingerprints
 most 2 bits, there is a start on the ring from which every chain of l consecutive segments
 differs in at most l * 2 / 8 bits: nothing in 3 segments, at most 1 bit in 7.  One of the
 pairs (4th, 5th) and (6th, 7th) segment is therefore equal too.  So a class is looked up under
-16 keys (8 starts, 2 pairs) of 40 equal bits; chains of all lengths are checked before the
-full Hamming distance is.  A pair is compared under its first common key only.
+16 keys (8 starts, 2 pairs) of 40 equal bits; the chains of its key's start, from 1 to 7 segments,
+prune the candidates, and only what they leave meets the full Hamming check.  A pair is linked
+under the first key that finds it.
 
 A key shared by more than ``HOT`` classes is not joined with itself.  Its classes differ only
 in the key's 24 free bits; each class lists its own value and those with one bit flipped, and
@@ -19,7 +20,8 @@ list entry to its smallest class keeps all connections with 25 rows a class, not
 Defined cases: null or empty texts (no words) have fingerprint zero and are linked like any
 other; fewer words than a shingle give one shingle; rows without doc_id get a fingerprint and
 their class's component, but are never its smallest doc_id (a class of such rows alone has
-component null); repeated rows stay repeated; extra columns are not looked at by ``link``.
+component null); repeated rows stay repeated; rows that share a doc_id with different texts are
+linked by their own fingerprints; extra columns are not looked at by ``link``.
 """
 
 from __future__ import annotations
@@ -61,17 +63,22 @@ def fingerprint(text: bytes, shingle: int, seed: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, text: str = "text",
                  doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, row, fp): row is a hash of the text, fp the fingerprint as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            fp = [fingerprint(t.as_py() or b"", shingle, seed) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))],
+            fp = [fingerprint(t.as_py() or b"", shingle, seed) for t in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64))],
                                              schema=schema)
 
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return ship(d).mapInArrow(run, "doc_id long, fp long")
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_hash(F.col(text)).alias("row"),
+                    F.col(text).cast("string").alias("text"))
+    return ship(d).mapInArrow(run, "doc_id long, row long, fp long")
+
+
+def row_hash(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def ring_mask(start: int, length: int) -> int:
@@ -91,33 +98,52 @@ def key_masks(bits: int) -> list[tuple[int, int]]:
     return [(i, ring_mask(i, clean) | ring_mask(i + clean + 2 * half, 2)) for i in range(SEGMENTS) for half in (0, 1)]
 
 
-def ring_ok(x, start: int, bits: int):
+def ring_ok(x, start: int, bits: int, longest: int = SEGMENTS):
     """Every chain from ``start`` stays within its share of ``bits``; x is the XOR of two fingerprints."""
     ok = F.lit(True)
-    for length in range(1, SEGMENTS + 1):
+    for length in range(1, longest + 1):
         ok = ok & (F.bit_count(x.bitwiseAND(F.lit(signed(ring_mask(start, length))))) <= length * bits // SEGMENTS)
     return ok
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs a, b of key rows (rep, fp, t, key) with an equal key."""
+    a, b = rows.alias("a"), rows.alias("b")
+    return a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key"))
+                  & (F.col("a.rep") < F.col("b.rep")))
+
+
+def chained(pairs: DataFrame, bits: int) -> DataFrame:
+    """The pairs whose chains from their key's start, all but the whole ring, stay within their budgets."""
+    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    ok = F.lit(False)
+    for k, (s, _) in reversed(list(enumerate(key_masks(bits)))):
+        ok = F.when(F.col("a.t") == k, ring_ok(x, s, bits, SEGMENTS - 1)).otherwise(ok)
+    return pairs.where(ok)
+
+
+def key_rows(classes: DataFrame, bits: int) -> DataFrame:
+    """(rep, fp, t, key): each class under each of its keys."""
+    keys = F.array(*[F.struct(F.lit(k).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key"))
+                     for k, (_, m) in enumerate(key_masks(bits))])
+    return classes.select("rep", "fp", F.explode(keys).alias("x")).select("rep", "fp", "x.t", "x.key")
+
+
 def links(classes: DataFrame, bits: int = 2) -> DataFrame:
     """Links (u, v) among classes (rep, fp) that connect the classes ``bits`` or fewer bits apart."""
     if bits not in range(0, SEGMENTS, 2):
         raise ValueError(f"the distance must be an even number below {SEGMENTS}")
     masks = key_masks(bits)
-    keys = F.array(*[F.struct(F.lit(k).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key"))
-                     for k, (_, m) in enumerate(masks)])
-    rows = classes.select("rep", "fp", F.explode(keys).alias("x")).select("rep", "fp", "x.t", "x.key")
+    rows = key_rows(classes, bits)
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # only keys that two classes share; their sizes are written first, so a hot key of the join can be split
     rows = cut(rows.join(cut(sizes), ["t", "key"]))
-    calm = rows.where(F.col("n") <= HOT).drop("n")
-    a, b = calm.alias("a"), calm.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     first = F.coalesce(*[F.when((x.bitwiseAND(F.lit(signed(m))) == 0) & ring_ok(x, s, bits), F.lit(k))
                          for k, (s, m) in enumerate(masks)])
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key"))
-                   & (F.col("a.rep") < F.col("b.rep")) & (F.bit_count(x) <= bits))
-    pairs = pairs.where(first == F.col("a.t")).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
+    pairs = chained(candidates(rows.where(F.col("n") <= HOT).drop("n")), bits)
+    pairs = pairs.where((F.bit_count(x) <= bits) & (first == F.col("a.t"))) \
+        .select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
     hot = rows.where(F.col("n") > HOT)
     flips = hot_links(hot, masks, bits)
     return pairs.unionByName(flips)
@@ -141,17 +167,27 @@ def link(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int = 42, text:
          doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for every row: component_id is the smallest doc_id
     reachable over links of ``bits`` or fewer differing bits."""
+    return linked_rows(docs, shingle, bits, seed, text, doc_id).drop("row")
+
+
+def linked_rows(docs: DataFrame, shingle: int, bits: int, seed: int = 42, text: str = "text",
+                doc_id: str = "doc_id") -> DataFrame:
+    """``link`` with the text's hash as ``row``.  Nodes are fingerprints, as a doc_id may have several."""
     fps = cut(fingerprints(docs, shingle, seed, text, doc_id))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where(F.col("rep").isNotNull()))
-    comp = components(links(classes, bits)).withColumnsRenamed({"node": "rep", "component": "root"})
-    named = classes.join(comp, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    comp = components(links(classes.select(F.col("fp").alias("rep"), "fp"), bits)).withColumnsRenamed(
+        {"node": "fp", "component": "root"})
+    named = cut(classes.join(comp, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    low = cut(named.groupBy("root").agg(F.min("rep").alias("component_id")))
+    named = named.join(low, "root").select("fp", "component_id")
     return fps.join(named, "fp", "left").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "row", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, shingle: int = 3, bits: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows and columns of ``docs`` whose doc_id is the smallest of its component; of repeated
-    rows of that doc_id all stay, as do rows without doc_id."""
-    dup = link(docs, shingle, bits, text=text, doc_id=doc_id).where(F.col("doc_id") != F.col("component_id")) \
-        .select(F.col("doc_id").alias("_dup_id")).distinct()
-    return docs.join(dup, docs[doc_id].cast("long") == F.col("_dup_id"), "left_anti")
+    """The rows and columns of ``docs`` whose doc_id is the smallest of their own text's component; equal
+    rows of that doc_id all stay, as do rows without doc_id.  A row is known by doc_id and its text's hash."""
+    dup = linked_rows(docs, shingle, bits, text=text, doc_id=doc_id).where(F.col("doc_id") != F.col("component_id")) \
+        .select(F.col("doc_id").alias("_dup_id"), F.col("row").alias("_dup_row")).distinct()
+    return docs.join(dup, (docs[doc_id].cast("long") == F.col("_dup_id"))
+                     & (row_hash(docs[text]) == F.col("_dup_row")), "left_anti")
