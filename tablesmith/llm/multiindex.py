@@ -46,6 +46,7 @@ LEAST_CELLS = 8
 MOST_CENTROIDS = 4096
 TILE = 1024
 ROUNDS = 10
+NEAR_VALUES = 1 << 22   # distances computed at once
 
 
 def usable(vec_id: Column, label: Column, vector: Column) -> Column:
@@ -64,11 +65,17 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * x @ c.T + (c * c).sum(axis=1), 0.0)
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The closest centroid of each row, some thousand rows at a time."""
+    step = max(1, NEAR_VALUES // len(c))
+    return np.concatenate([squared(x[i:i + step], c).argmin(axis=1) for i in range(0, len(x), step)])
+
+
 def k_means(x: np.ndarray, k: int) -> np.ndarray:
     """Centroids from evenly spaced starts; an empty cluster keeps its centroid."""
     c = x[np.unique(np.linspace(0, len(x) - 1, min(k, len(x))).astype(int))].copy()
     for _ in range(ROUNDS):
-        near = squared(x, c).argmin(axis=1)
+        near = nearest(x, c)
         n = np.bincount(near, minlength=len(c))
         for col in range(x.shape[1]):
             s = np.bincount(near, x[:, col], len(c))
@@ -341,7 +348,9 @@ def link(embeddings: DataFrame, threshold: float = 0.93, recall: float = 0.995,
     tiled = rows.join(sizes, ["label", "dim", "stripe"]).withColumn("own", own).withColumn("other", other)
     tiled = tiled.withColumn("a", F.when(F.col("member"), F.col("own")).otherwise(F.col("other"))) \
         .withColumn("b", F.when(F.col("member"), F.col("other")).otherwise(F.col("own"))).drop("tm", "tv", "own", "other")
-    found = cut(tiled.groupBy("label", "dim", "stripe", "a", "b")
+    # dealt by the tile: the join above leaves all tiles of a stripe in one task, which would satisfy the grouping
+    tile = ["label", "dim", "stripe", "a", "b"]
+    found = cut(tiled.repartition(*tile).groupBy(*tile)
                 .applyInPandas(tile_links(threshold), "rep long, root long, links long"))
     comp = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
