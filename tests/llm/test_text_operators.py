@@ -73,7 +73,8 @@ def test_substrings_of_a_hot_passage_reach_a_bucket_once(spark, monkeypatch):
 
     passage = " ".join(f"p{k}" for k in range(30))
     texts = [(8 * k, f"{passage} own{k} " + "same " * 40) for k in range(400)]
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in texts], pa.int64()), "text": [t for _, t in texts]})
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in texts], pa.int64()),
+                                        "tag": pa.array([0] * len(texts), pa.int64()), "text": [t for _, t in texts]})
     shares = [r for b in substring.window_shares(20, 8)(iter([batch])) for r in b.to_pylist()]
     hashes = [r["hashes"] for r in shares if r["hashes"] is not None]
     windows = {tuple(w[s:s + 20]) for _, t in texts for w in [t.split()] for s in range(len(w) - 19)}
@@ -270,3 +271,81 @@ def test_simhash_odd_cases(odd, empty):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 6, 7, 8]
     assert simhash.link(empty).count() == 0 and simhash.dedup(empty).count() == 0
+
+
+# -- rows that share a doc_id --------------------------------------------------------------------
+
+def test_line_dedup_keeps_the_lines_of_another_text_of_a_doc_id(spark):
+    rows = [(1, "aaaaaaaaaaaa\nxx"), (2, "aaaaaaaaaaaa\nbb"), (2, "unique line here\ncc"), (2, "unique line here\ncc"), (2, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text or "") for r in lines.dedup(d).collect()) == [
+        (1, "aaaaaaaaaaaa\nxx"), (2, ""), (2, "bb"), (2, "unique line here\ncc"), (2, "unique line here\ncc")]
+    assert sorted(r.n_dropped for r in lines.line_report(d).collect()) == [0, 0, 0, 0, 1]
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    """Linear in the lines of one text: a quadratic plan would not end."""
+    import time
+
+    shared = [f"a line that is shared {k}" for k in range(0, 100_000, 2)]
+    long = "\n".join(x for k in range(50_000) for x in (shared[k], f"own {k}"))
+    d = spark.createDataFrame([(1, "\n".join(shared)), (2, long)], "doc_id long, text string")
+    lines.line_report(d).count()
+    t = time.time()
+    r = {x.doc_id: x for x in lines.line_report(d).collect()}
+    assert r[2].n_dropped == 50_000 and r[2].text == "\n".join(f"own {k}" for k in range(50_000))
+    assert time.time() - t < 15
+
+
+def test_substrings_of_another_text_of_a_doc_id_stay(spark):
+    same = " ".join(f"s{k}" for k in range(25))
+    own = " ".join(f"o{k}" for k in range(25))
+    rows = [(1, same), (2, same + " end"), (2, own), (2, own), (2, "x " + own), (3, own), (2, None), (2, "short")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 4):
+        got = [(r.doc_id, r.text, r.n_removed) for r in substring.dedup_substrings(d.repartition(parts)).collect()]
+        assert (1, same, 0) in got and (2, "end", 25) in got and (3, "", 25) in got and (2, "short", 0) in got
+        # of the two texts with the words of ``own`` one keeps them, by the order of their hashes
+        texts = sorted(t for i, t, _ in got if i == 2 and t and t[0] in "ox")
+        assert texts in ([own, own, "x"], ["x " + own])
+
+
+def test_substrings_of_rows_with_one_id_are_texts_of_their_own(spark, small):
+    """All documents under one doc_id: the same windows go as with ids in the order of the texts' hashes."""
+    from pyspark.sql import functions as F
+
+    d = small.select("text").where("text IS NOT NULL").distinct()
+    one = d.select(F.lit(7).cast("long").alias("doc_id"), "text")
+    ranked = d.select(F.xxhash64("text").alias("doc_id"), "text")
+    got = sorted(r.kept_sha256 for r in substring.dedup_substrings(one).collect())
+    assert got == sorted(r.kept_sha256 for r in substring.dedup_substrings(ranked).collect())
+
+
+def test_simhash_dedup_keeps_another_text_of_a_doc_id(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, b)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.dedup(d).collect()) == [(0, b), (1, a), (2, b)]
+    got = sorted((r.doc_id or 0, r.component_id) for r in simhash.link(d).collect())
+    assert got == [(0, 2), (1, 1), (2, 1), (2, 2), (3, 2)]
+
+
+def test_simhash_chains_prune_before_the_full_distance(spark):
+    """Of the pairs that share a key, most break a chain's budget; every near pair survives the chains of some key."""
+    import random
+
+    rng = random.Random(3)
+    fps = set()
+    for _ in range(12):
+        x = rng.getrandbits(64)
+        fps |= {x} | {x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(6)}
+        fps |= {x ^ rng.getrandbits(24) << 8 * rng.randrange(6) for _ in range(25)}
+    values = sorted(simhash.signed(f) for f in fps)
+    classes = spark.createDataFrame([(v, v) for v in values], "rep long, fp long")
+    pairs = simhash.candidates(simhash.key_rows(classes, 2))
+    kept = simhash.chained(pairs, 2).selectExpr("a.rep AS u", "b.rep AS v").collect()
+    near = {(u, v) for u in values for v in values if u < v and bin((u ^ v) & (2 ** 64 - 1)).count("1") <= 2}
+    assert near <= {(r.u, r.v) for r in kept}
+    assert len(kept) < 0.6 * pairs.count()
+    assert {tuple(sorted(r)) for r in simhash.links(classes, 2).collect()} == near
