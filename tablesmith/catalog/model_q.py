@@ -17,7 +17,7 @@ from ..operators import train as M
 from ..session import ensure_checkpoint_dir
 from ..sources import io as IO
 from ..sources.tables import view, with_views
-from . import register, rounded
+from . import register, rounded, sql_round
 
 DOC_F = ["n_chars", "text_len"]
 LI_F = ["l_quantity", "l_discount", "l_tax"]
@@ -54,15 +54,16 @@ def train_simple(spark, sf):
 
 @register("train_search")
 def train_search(spark, sf):
+    """M-2: 30 sampled trials of each model."""
     return rounded(M.train_search(_docs(spark, sf), "quality", DOC_F, "classification",
-                                  models=("RandomForest", "LogisticRegression"), n_trials=3))
+                                  models=("RandomForest", "LogisticRegression")).trials)
 
 
 @register("search_preprocess_model")
 def search_preprocess_model(spark, sf):
     """M-3 / K-10: imputer × scaler combos × 2 models, scored by hash folds."""
     d = view(spark, sf, "docs").where(F.col("quality").isNotNull()).select("_rid", *DOC_F, "lang", "quality")
-    return rounded(M.search_preprocess_model(d, "quality", DOC_F, ["lang"], "classification", folds=3))
+    return rounded(M.search_preprocess_model(d, "quality", DOC_F, ["lang"], "classification"))
 
 
 @register("train_portfolio")
@@ -70,9 +71,19 @@ def train_portfolio(spark, sf):
     return rounded(M.train_portfolio(_docs(spark, sf), "quality", DOC_F, "classification"))
 
 
+#: characters whose share of a text tells its language in part
+LETTERS = "eaniosruäéñçw"
+
+
 @register("train_gbt_large")
 def train_gbt_large(spark, sf):
-    t = M.train_gbt_large(_li(spark, sf), "l_extendedprice", LI_F, "regression", max_iter=20, partitions=8)
+    """M-5: 100 rounds of softmax trees for a target of four classes, the language, from shares of letters."""
+    text = F.coalesce("text", F.lit(""))
+    share = [(F.try_divide(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))), F.length(text))).alias(f"f{i}")
+             for i, x in enumerate(LETTERS)]
+    d = view(spark, sf, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("_rid"), "lang", *share)
+    t = M.train_gbt_large(D.split_stratified(d, "lang", 0.2, 42), "lang", [f"f{i}" for i in range(len(LETTERS))],
+                          "classification", rounds=100, depth=3)
     return rounded(t.leaderboard)
 
 
@@ -172,16 +183,37 @@ def _emb(spark, sf):
     return NN.to_vectors(e.select(F.col("vec_id").alias("_rid"), "label", F.col("embedding").alias("emb")), array_col="emb")
 
 
-@register("knn_join_lsh")
+@register("knn_join_lsh", sql_round("""
+SELECT id, nb_id, dist, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT a.vec_id AS id, b.vec_id AS nb_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY dist, b.vec_id) AS rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5""", ["dist"]))
 def knn_join_lsh(spark, sf):
     v = _emb(spark, sf).withColumnRenamed("_rid", "id")
     return rounded(NN.knn_join(v, v, k=5))
 
 
-@register("impute_knn_lsh")
+KNN_COLS = ["n_chars", "text_len", "quality"]
+_PRESENT = " + ".join(f"CAST(p.{x} IS NOT NULL AND b.{x} IS NOT NULL AS INTEGER)" for x in KNN_COLS)
+_SQUARES = " + ".join(f"coalesce(power(CAST(p.{x} AS DOUBLE) - b.{x}, 2), 0)" for x in KNN_COLS)
+
+
+def _knn_fill(x: str) -> str:
+    return f"""f_{x} AS (SELECT _rid, avg(v) AS v FROM (
+  SELECT p._rid, CAST(b.{x} AS DOUBLE) AS v, row_number() OVER (
+    PARTITION BY p._rid ORDER BY sqrt(({_SQUARES}) * 3.0 / ({_PRESENT})), b._rid) AS r
+  FROM s p JOIN s b ON p.{x} IS NULL AND b.{x} IS NOT NULL AND b._split = 'train' AND ({_PRESENT}) > 0) WHERE r <= 5 GROUP BY _rid)"""
+
+
+@register("impute_knn_lsh", with_views(sql_round(f"""
+WITH s AS (SELECT _rid, {", ".join(KNN_COLS)}, CASE WHEN row_number() OVER (ORDER BY {sql_hash_int('_rid', 42)}, _rid)
+             <= (SELECT ceil(count(*) * 0.2) FROM docs) THEN 'test' ELSE 'train' END AS _split FROM docs),
+{", ".join(_knn_fill(x) for x in KNN_COLS)}
+SELECT _rid, {", ".join(f"coalesce(CAST(s.{x} AS DOUBLE), f_{x}.v, (SELECT avg({x}) FROM s WHERE _split = 'train')) AS {x}" for x in KNN_COLS)}, _split
+FROM s {" ".join(f"LEFT JOIN f_{x} USING (_rid)" for x in KNN_COLS)}""", KNN_COLS), "docs"))
 def impute_knn_lsh(spark, sf):
     d = D.split_random(view(spark, sf, "docs").select("_rid", "n_chars", "text_len", "quality"), 0.2, 42)
-    return rounded(NN.impute_knn(d, ["n_chars", "text_len", "quality"], k=5))
+    return rounded(NN.impute_knn(d, KNN_COLS, k=5))
 
 
 @register("smote_lsh", """

@@ -1,26 +1,42 @@
-"""Nearest neighbours and the operators built on them (J-5, N-8, B-5, B-6).
-
-Candidates come from ``BucketedRandomProjectionLSH.approxSimilarityJoin`` (rows that
-share a hash bucket in any of the hash tables and lie within ``radius``); each probe row
-keeps its k closest candidates by exact Euclidean distance (window over the candidates of
-one row, ties by id).  No all-pairs product is formed: work grows with the number of
-close pairs, not with n².  Recall is a property of (bucket length, tables, radius) and is
-checked in the tests against brute force on a small fixture.
+"""Nearest neighbours and the operators built on them (J-5, N-8, B-5, B-6): exact and complete.
+
+Every probe row gets its min(k, rows there are) nearest base rows by Euclidean distance, ties by
+id.  Rows are projected on a few orthonormal axes (the main directions of a bounded sample, so
+only speed depends on it) and laid on a grid as wide as a radius: base rows within the radius lie
+in a neighbouring cell, so the candidates of a round hold all of them.  A probe that has its k
+within the radius is done; the others go on with twice the radius.  The first radius comes from a
+few probes and is halved until a row meets ``MOST`` candidates on average, so dense regions are
+settled at small radii and no all-pairs product is formed.
+
+Equal vectors are searched once for all of them, and of the base rows with one vector only the
+smallest ids that can be among the k nearest are kept (a group limit before the shuffle).  Rows
+whose vector is missing or not finite have no neighbours and are none.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
+from itertools import product
+from operator import and_
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, uniform
 from ..functions.types import c
+from ..session import checkpoint
 from .sample import rank_by_hash, take_by_hash
 
+PROBES = 64             # rows that give the first radius
+AXES_SAMPLE = 512       # rows that give the axes
+AXES = 3
+MOST = 256              # candidates of a row on average, in the first round
+WIDE = 1 + 1e-9         # a cell is a trifle wider than the radius, as projections are rounded
+NO_CELL = -(1 << 62)    # cell of a missing coordinate
+
 
 def to_vectors(df: DataFrame, cols: list[str] | None = None, array_col: str | None = None,
                out: str = "features") -> DataFrame:
@@ -29,111 +45,169 @@ def to_vectors(df: DataFrame, cols: list[str] | None = None, array_col: str | No
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
-PROBES = 64
-
-
-def near_radius(base: DataFrame, k: int, key: str, vec: str, same_group: str | None = None, seed: int = 42,
-                share: float = 0.95) -> float:
-    """The distance within which ``share`` of ``PROBES`` hash-chosen rows have their k nearest others: the rows
-    against all rows in one scan, with a bounded sketch for each probe."""
-    from pyspark.ml.functions import vector_to_array
-    group = F.col(same_group).cast("string") if same_group else F.lit("")
-    d = base.select(F.col(key).alias("_key"), vector_to_array(vec).alias("_x"), group.alias("_g"))
-    probes = d.orderBy(hash_int("_key", f"{seed}:probe"), "_key").limit(PROBES).collect()
-    sizes = {r["_g"]: r["n"] for r in d.where(F.col("_g").isin([p["_g"] for p in probes])).groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not probes:
-        return 1.0
-    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p["_g"]).alias("g"), F.array(*[F.lit(float(v)) for v in p["_x"]]).alias("y"))
-                      for i, p in enumerate(probes)])
-    far = F.aggregate(F.zip_with("_x", "p.y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    dist = d.select("_x", "_g", F.explode(asked).alias("p")).where(F.col("_g") == F.col("p.g")) \
-        .select("p.i", "p.g", F.sqrt(far).alias("d"))
-    # the value of rank k + 1, as a probe is its own nearest
-    shares = sorted({min(1.0, (k + 1) / n) for n in sizes.values()})
-    at = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, shares.index(min(1.0, (k + 1) / n)))])
-    kth = dist.groupBy("i", "g").agg(F.percentile_approx("d", F.array(*[F.lit(x) for x in shares]), 100_000).alias("ds")) \
-        .select(F.get("ds", at[F.col("g")]).alias("r"))
-    radius = kth.select(F.percentile("r", share)).first()[0]
-    return float(radius) * 1.001 or 1.0
-
-
-def knn_join(probe: DataFrame, base: DataFrame, k: int | None = 5, key: str = "id", vec: str = "features",
-             radius: float | None = None, bucket_length: float | None = None, tables: int = 4,
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean over the coordinates that both arrays have, scaled up to all of them; null where they share none."""
+    sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    total = F.aggregate(sq, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    shared = F.size(F.filter(sq, lambda v: v.isNotNull()))
+    return F.sqrt(F.when(shared == F.size(a), total).otherwise(F.try_divide(total * F.size(a), shared)))
+
+
+def axes_of(rows: DataFrame, x: str, key: str, seed: int = 42) -> list[list[float]]:
+    """Main directions of a hash-chosen sample of complete vectors."""
+    got = rows.orderBy(hash_int(key, f"{seed}:axes"), key).limit(AXES_SAMPLE).select(x).collect()
+    m = np.array([r[0] for r in got], np.float64)
+    if not len(m):
+        return []
+    return np.linalg.svd(m - m.mean(axis=0), full_matrices=False)[2][:AXES].tolist()
+
+
+def project(x: Column, axes: list[list[float]]) -> Column:
+    return F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in a]), lambda p, q: p * q), F.lit(0.0),
+                                 lambda s, v: s + v) for a in axes])
+
+
+def _cells(df: DataFrame, r: float, m: int, spread: tuple = (0,)) -> DataFrame:
+    """``df`` with the cells c0, c1, … of its coordinates y; ``spread``: the cells around them, None for the
+    cell of missing coordinates."""
+    at = [F.coalesce(F.floor(F.col("y")[i] / (r * WIDE)), F.lit(NO_CELL)) for i in range(m)]
+    if spread == (0,):
+        return df.withColumns({f"c{i}": a for i, a in enumerate(at)})
+    cells = F.array(*[F.struct(*[(F.lit(NO_CELL) if s is None else a + s).cast("long").alias(f"c{i}")
+                                 for i, (a, s) in enumerate(zip(at, steps, strict=True))])
+                      for steps in product(spread, repeat=m)])
+    return df.withColumn("_c", F.explode(cells)).select("*", "_c.*").drop("_c")
+
+
+def candidates(probes: DataFrame, base: DataFrame, r: float, m: int, spread: tuple = (-1, 0, 1)) -> DataFrame:
+    """Pairs a, b of a probe and a base row that can lie within ``r`` by every coordinate of y."""
+    a, b = _cells(probes, r, m, spread).alias("a"), _cells(base, r, m).alias("b")
+    met = reduce(and_, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ["g", *(f"c{i}" for i in range(m))]])
+    near = reduce(and_, [F.coalesce(F.abs(F.col("a.y")[i] - F.col("b.y")[i]) <= r * WIDE, F.lit(True)) for i in range(m)])
+    return a.join(b, met & near)
+
+
+def search(probes: DataFrame, base: DataFrame, need: int, m: int, gaps: bool = False) -> DataFrame:
+    """(pid, bid, dist): for each of ``probes`` (pid, g, y, x) the min(need, rows of its g) nearest of ``base``
+    (bid, g, y, x).  y: ``m`` coordinates that differ by no more than the distance does; with ``gaps`` base
+    rows may lack coordinates.  Both tables are read once a round: give written ones."""
+    spread = (-1, 0, 1, None) if gaps else (-1, 0, 1)
+    keys = ["g", *(f"c{i}" for i in range(m))]
+    sizes = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    todo = checkpoint(probes.join(sizes, "g").withColumn("want", F.least(F.col("n"), F.lit(need))).drop("n"))
+    rows, done = todo.count(), None
+    r = first_radius(todo, base, need, rows, m, keys, spread) if rows else 1.0
+    by = Window.partitionBy("pid")
+    while rows:
+        found = candidates(todo, base, r, m, spread) \
+            .select("a.pid", "a.want", "b.bid", distance(F.col("a.x"), F.col("b.x")).alias("dist"))
+        top = found.where(F.col("dist") <= r).withColumn("rank", F.row_number().over(by.orderBy("dist", "bid"))) \
+            .where(F.col("rank") <= need)
+        top = checkpoint(top.withColumn("full", F.count(F.lit(1)).over(by) >= F.col("want")))
+        full = top.where("full")
+        done = full if done is None else done.unionByName(full)
+        todo = checkpoint(todo.join(full.select("pid").distinct(), "pid", "left_anti"))
+        rows = todo.count()
+        r *= 2
+    if done is None:
+        return probes.join(base.select("bid", "g"), "g").select("pid", "bid", F.lit(0.0).alias("dist")).limit(0)
+    return done.select("pid", "bid", "dist")
+
+
+def first_radius(probes: DataFrame, base: DataFrame, need: int, rows: int, m: int, keys: list, spread: tuple) -> float:
+    """A distance at which the denser rows have ``need`` neighbours, halved until rows meet few candidates."""
+    asked = probes.orderBy(hash_int("pid", "probe"), "pid").limit(PROBES).select("pid", "g", "x").collect()
+    some = base.sparkSession.createDataFrame(asked, probes.select("pid", "g", "x").schema).alias("a")  # PROBES rows
+    d = F.broadcast(some).join(base.alias("b"), F.col("a.g") == F.col("b.g")) \
+        .select("a.pid", "b.bid", distance(F.col("a.x"), F.col("b.x")).alias("d")).where("d IS NOT NULL")
+    w = Window.partitionBy("pid").orderBy("d", "bid")
+    kth = sorted(x["d"] for x in d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= need)
+                 .groupBy("pid").agg(F.max("d").alias("d")).collect() if x["d"] > 0)
+    r = kth[len(kth) // 4] if kth else 1.0
+    for _ in range(60):
+        held = _cells(base, r, m).groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
+        asked = _cells(probes.select("g", "y"), r, m, spread).groupBy(*keys).agg(F.count(F.lit(1)).alias("q"))
+        pairs = held.join(asked, keys).agg(F.sum(F.col("k").cast("double") * F.col("q"))).first()[0] or 0.0
+        if pairs <= MOST * len(spread) * rows:
+            break
+        r /= 2
+    return r
+
+
+def knn_join(probe: DataFrame, base: DataFrame, k: int = 5, key: str = "id", vec: str = "features",
              same_group: str | None = None, exclude_self: bool = True, seed: int = 42) -> DataFrame:
-    """(id, nb_id, dist, rank) — the k nearest base rows of every probe row among the LSH
-    candidates within ``radius`` (all of them, unranked, for k None); with ``same_group`` only rows of the same group pair.
-    Without a ``radius`` it is taken from the data (``near_radius``); buckets are as wide as the radius."""
-    if radius is None:
-        radius = near_radius(base, k or 5, key, vec, same_group, seed)
-    bucket_length = bucket_length or radius
-    lsh = BucketedRandomProjectionLSH(inputCol=vec, outputCol="__h", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=seed)
-    model = lsh.fit(base)
-    cols_a = [key, vec] + ([same_group] if same_group else [])
-    pairs = model.approxSimilarityJoin(probe.select(*cols_a), base.select(*cols_a), radius, distCol="dist")
-    p = pairs.select(F.col(f"datasetA.{key}").alias("id"), F.col(f"datasetB.{key}").alias("nb_id"), "dist",
-                     *([F.col(f"datasetA.{same_group}").alias("ga"), F.col(f"datasetB.{same_group}").alias("gb")]
-                       if same_group else []))
-    if same_group:
-        p = p.where(F.col("ga") == F.col("gb")).drop("ga", "gb")
+    """(id, nb_id, dist, rank) — the min(k, rows) nearest base rows of every probe row, ties by id; with
+    ``same_group`` only rows of the same group pair, and rows without a group have no neighbours."""
+    need = k + 1 if exclude_self else k
+    x = vector_to_array(vec)
+    g = F.col(same_group).cast("string") if same_group else F.lit("")
+
+    def rows(df, name):
+        fine = F.forall(F.col("x"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        return df.select(F.col(key).alias(name), g.alias("g"), x.alias("x")).where(F.col("g").isNotNull() & fine)
+
+    same = Window.partitionBy("g", "x").orderBy("bid")
+    b = rows(base, "bid").withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= need).drop("_copy")
+    b = checkpoint(b)
+    axes = axes_of(b, "x", "bid", seed)
+    b = b.withColumn("y", project(F.col("x"), axes) if axes else F.array(F.lit(0.0)))
+    asked = rows(probe, "id")
+    classes = checkpoint(asked.select("g", "x").distinct().withColumn("pid", F.monotonically_increasing_id()))
+    classes = classes.withColumn("y", project(F.col("x"), axes) if axes else F.array(F.lit(0.0)))
+    near = search(classes, b, need, max(1, len(axes)))
+    out = asked.join(classes.select("g", "x", "pid"), ["g", "x"]).select("id", "pid").join(near, "pid")
     if exclude_self:
-        p = p.where(F.col("id") != F.col("nb_id"))
-    if k is None:
-        return p
-    w = Window.partitionBy("id").orderBy("dist", "nb_id")
-    return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = out.where(F.col("id") != F.col("bid"))
+    w = Window.partitionBy("id").orderBy("dist", "bid")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+        .select("id", F.col("bid").alias("nb_id"), "dist", "rank")
 
 
-def impute_knn(df: DataFrame, cols: list[str], k: int = 5, key: str = "_rid", radius: float | None = None,
-               tables: int = 8) -> DataFrame:
+def impute_knn(df: DataFrame, cols: list[str], k: int = 5, key: str = "_rid") -> DataFrame:
     """N-8: gaps filled with the mean of the k nearest train rows that have the value.
-    Distance over the coordinates present in both rows, scaled by p/|present|
-    (nan-Euclidean); only rows with gaps are probes.  Candidate pairs come from LSH on
-    the train rows' mean-filled coordinates; a gap without a neighbour falls back to the
-    train mean."""
-    tr = df.where(F.col("_split") == "train") if "_split" in df.columns else df
-    means = tr.agg(*[F.avg(c(x)).alias(x) for x in cols]).first().asDict()
-    filled = df.select(key, *[F.coalesce(c(x).cast("double"), F.lit(means[x] or 0.0)).alias(f"__f_{x}") for x in cols],
-                       *[c(x).cast("double").alias(x) for x in cols],
-                       *(["_split"] if "_split" in df.columns else []))
-    vec = VectorAssembler(inputCols=[f"__f_{x}" for x in cols], outputCol="features").transform(filled)
-    sd = tr.agg(*[F.stddev_samp(c(x)).alias(x) for x in cols]).first().asDict()
-    scale = math.sqrt(sum((sd[x] or 0.0) ** 2 for x in cols)) or 1.0
-    # candidate radius and bucket width well below the data spread: pairs are only formed
-    # between rows that share a narrow bucket, never across the whole table
-    r = radius if radius is not None else scale / 4
-    gaps = F.lit(False)
-    for x in cols:
-        gaps = gaps | c(x).isNull()
-    probe = vec.where(gaps)
-    base = vec.where(F.col("_split") == "train") if "_split" in df.columns else vec
-    nb = knn_join(probe.withColumnRenamed(key, "id"), base.withColumnRenamed(key, "id"), k=None, key="id",
-                  radius=r, bucket_length=r / 2, tables=tables)
-    # exact nan-Euclidean re-rank on the candidates, per missing column
-    pa = probe.select(F.col(key).alias("id"), *[F.col(x).alias(f"a_{x}") for x in cols])
-    pb = base.select(F.col(key).alias("nb_id"), *[F.col(x).alias(f"b_{x}") for x in cols])
-    j = nb.select("id", "nb_id").join(pa, "id").join(pb, "nb_id")
-    present = sum((F.col(f"a_{x}").isNotNull() & F.col(f"b_{x}").isNotNull()).cast("int") for x in cols)
-    sq = sum((F.coalesce((F.col(f"a_{x}") - F.col(f"b_{x}")) ** 2, F.lit(0.0)) for x in cols), F.lit(0.0))
-    j = j.withColumn("d", F.sqrt(F.try_divide(F.lit(float(len(cols))) * sq, present.cast("double"))))
-    fills = []
-    for x in cols:
-        wx = Window.partitionBy("id").orderBy("d", "nb_id")
-        fx = (j.where(F.col(f"a_{x}").isNull() & F.col(f"b_{x}").isNotNull() & F.col("d").isNotNull())
-              .withColumn("r", F.row_number().over(wx)).where(F.col("r") <= k)
-              .groupBy("id").agg(F.avg(f"b_{x}").alias(f"fill_{x}")))
-        fills.append(fx)
-    out = df.withColumnRenamed(key, "id")
-    for fx in fills:
-        out = out.join(fx, "id", "left")
-    sel = [F.col("id").alias(key)] + [
-        F.coalesce(c(x).cast("double"), F.col(f"fill_{x}"), F.lit(means[x])).alias(x) if x in cols else c(x)
-        for x in df.columns if x != key]
-    return out.select(sel)
-
-
-def smote(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5, seed: int = 42,
-          radius: float | None = None, bucket_length: float | None = None, tables: int = 4) -> DataFrame:
+
+    Distance over the coordinates present in both rows, scaled by p/|present| (nan-Euclidean).  Rows
+    with the same gaps are searched together, on a grid over coordinates that they have; donors
+    that lack one of those stand in a cell of their own, which every probe looks up.  Only where no train
+    row has the value and shares a coordinate, the train mean fills the gap."""
+    fit = df.where(F.col("_split") == "train") if "_split" in df.columns else df
+    value = {x: F.when(~F.isnan(c(x).cast("double")), c(x).cast("double")) for x in cols}
+    means = fit.agg(*[F.avg(value[x]).alias(x) for x in cols]).first().asDict()
+    spread = fit.agg(*[F.stddev_samp(value[x]).alias(x) for x in cols]).first().asDict()
+    pattern = F.concat(*[F.when(value[x].isNull(), "0").otherwise("1") for x in cols])
+    rows = df.select(F.col(key).alias("pid"), F.array(*[value[x] for x in cols]).alias("x"), pattern.alias("p")) \
+        .where(F.col("p").contains("0"))
+    rows = checkpoint(rows)
+    donors = checkpoint(fit.select(F.col(key).alias("bid"), F.array(*[value[x] for x in cols]).alias("x")))
+    fills = None
+    for row in rows.select("p").distinct().collect():       # the ways in which rows have gaps
+        have = [i for i, b in enumerate(row["p"]) if b == "1"]
+        if not have:
+            continue
+        grid = sorted(have, key=lambda i: -(spread[cols[i]] or 0.0))[:AXES]     # widest coordinates first
+        y = F.array(*[F.col("x")[i] for i in grid])
+        mine = rows.where(F.col("p") == row["p"]).withColumn("y", y).withColumn("g", F.lit("")).drop("p")
+        shared = reduce(lambda a, b: a | b, [F.col("x")[i].isNotNull() for i in have])
+        for i, x in enumerate(cols):
+            if i in have:
+                continue
+            near = search(mine, donors.where(F.col("x")[i].isNotNull() & shared).withColumn("y", y).withColumn("g", F.lit("")),
+                          k, len(grid), gaps=True)
+            fill = near.join(donors.select("bid", F.col("x")[i].alias("v")), "bid") \
+                .groupBy("pid").agg(F.avg("v").alias("fill")).select("pid", F.lit(x).alias("col"), "fill")
+            fills = fill if fills is None else fills.unionByName(fill)
+    out = df
+    if fills is not None:
+        wide = fills.groupBy(F.col("pid").alias("_pid")).pivot("col", cols).agg(F.first("fill")) \
+            .withColumnsRenamed({x: f"_fill_{i}" for i, x in enumerate(cols)})
+        out = df.join(wide, F.col(key) == F.col("_pid"), "left")
+    filled = {x: F.coalesce(value[x], F.col(f"_fill_{i}") if fills is not None else F.lit(None), F.lit(means[x])).alias(x)
+              for i, x in enumerate(cols)}
+    return out.select([filled.get(x, c(x)) for x in df.columns])
+
+
+def smote(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5,
+          seed: int = 42) -> DataFrame:
     """B-5: synthetic rows up to the largest class: draw j of class c picks base row
     hash(c,j,1) mod n_c (by exact hash rank), neighbour hash(c,j,2) mod k_found among its
     same-class neighbours, gap u(c,j,3); x = base + gap·(nb − base).  Output: (target,
@@ -149,16 +223,14 @@ def smote(df: DataFrame, target: str, vec: str = "features", key: str = "_rid",
              .withColumn("_gap", uniform("_tag", f"{seed}:3")))
     ranked = rank_by_hash(df, key, seed, [target])
     base = ranked.join(draws, [target, "_rank"]).select(target, "_pick", "_gap", F.col(key).alias("id"))
-    return _between(df, base, target, vec, key, k, radius, bucket_length, tables)
+    return _between(df, base, target, vec, key, k)
 
 
-def _between(df: DataFrame, base: DataFrame, target: str, vec: str, key: str, k: int, radius: float | None,
-             bucket_length: float | None, tables: int) -> DataFrame:
+def _between(df: DataFrame, base: DataFrame, target: str, vec: str, key: str, k: int) -> DataFrame:
     """The rows of ``df`` and one synthetic row for each of ``base`` (class, id, _pick, _gap): a point at ``_gap``
-    of the way to the picked one of the row's same-class neighbours, or a copy where it has none."""
-    from pyspark.ml.functions import vector_to_array
-    nb = knn_join(df.withColumnRenamed(key, "id"), df.withColumnRenamed(key, "id"), k, "id", vec, radius,
-                  bucket_length, tables, same_group=target)
+    of the way to the picked one of the row's same-class neighbours; the only row of a class is copied."""
+    nb = knn_join(df.withColumnRenamed(key, "id"), df.withColumnRenamed(key, "id"), k, "id", vec,
+                  same_group=target)
     kf = nb.groupBy("id").agg(F.count(F.lit(1)).alias("kf"))
     b2 = base.join(kf, "id", "left").withColumn("nb_rank", F.when(F.col("kf") > 0, F.pmod("_pick", "kf") + 1))
     pairs = b2.join(nb.select("id", F.col("nb_id"), F.col("rank").alias("nb_rank")), ["id", "nb_rank"], "left")
@@ -171,24 +243,22 @@ def _between(df: DataFrame, base: DataFrame, target: str, vec: str, key: str, k:
     return orig.unionByName(synth)
 
 
-def adasyn(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5, seed: int = 42,
-           radius: float | None = None, bucket_length: float | None = None, tables: int = 4) -> DataFrame:
+def adasyn(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5,
+           seed: int = 42) -> DataFrame:
     """B-6: as ``smote``, with ``adasyn_allocation`` synthetic rows for each row: more where other classes are near."""
     known = df.where(F.col(target).isNotNull())
-    need = adasyn_allocation(known, target, vec, key, k, radius, bucket_length, tables).where("n_i > 0")
+    need = adasyn_allocation(known, target, vec, key, k).where("n_i > 0")
     tag = F.concat_ws(":", F.col("id").cast("string"), F.col("_j").cast("string"))
     base = need.select(F.col("class").alias(target), "id", F.explode(F.sequence(F.lit(1).cast("long"), "n_i")).alias("_j")) \
         .select(target, "id", hash_int(tag, f"{seed}:2").alias("_pick"), uniform(tag, f"{seed}:3").alias("_gap"))
-    return _between(df, base, target, vec, key, k, radius, bucket_length, tables)
+    return _between(df, base, target, vec, key, k)
 
 
-def adasyn_allocation(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5,
-                      radius: float | None = None, bucket_length: float | None = None, tables: int = 4) -> DataFrame:
+def adasyn_allocation(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5) -> DataFrame:
     """B-6: per minority row, the share r_i of other-class rows among its k neighbours,
     weights r_i / Σ r (uniform when Σ r = 0), and n_i by largest remainder of
     (max − n_c)·weight within the class.  Returns (id, class, r, n_i)."""
-    nb = knn_join(df.withColumnRenamed(key, "id"), df.withColumnRenamed(key, "id"), k, "id", vec, radius,
-                  bucket_length, tables)
+    nb = knn_join(df.withColumnRenamed(key, "id"), df.withColumnRenamed(key, "id"), k, "id", vec)
     lab = df.select(F.col(key).alias("id"), F.col(target).alias("cls"))
     j = nb.join(lab, "id").join(lab.select(F.col("id").alias("nb_id"), F.col("cls").alias("nb_cls")), "nb_id")
     r = j.groupBy("id", "cls").agg(F.avg((F.col("cls") != F.col("nb_cls")).cast("double")).alias("r"))

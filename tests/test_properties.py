@@ -81,18 +81,68 @@ def test_oversample_balances(spark):
     assert len(set(counts.values())) == 1
 
 
-def test_knn_recall_and_candidates(spark):
-    """With parameters from the data: most true neighbours are found, from far fewer than all pairs."""
+def test_knn_is_complete_and_forms_few_pairs(spark):
+    """Every row has its k nearest, ties by id: in dense clusters, among copies of one vector and far outside."""
     import numpy as np
+    from pyspark.sql import functions as F
     from tablesmith.operators import knn as NN
     rng = np.random.default_rng(3)
-    pts = np.concatenate([rng.normal(size=8) * 6 + rng.normal(size=(20, 8)) for _ in range(30)])
-    v = NN.to_vectors(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "id long, emb array<double>"), array_col="emb")
-    got = {(r["id"], r["nb_id"]) for r in NN.knn_join(v, v, k=3).collect()}
-    near = np.argsort(((pts[:, None] - pts[None]) ** 2).sum(axis=2), axis=1)[:, 1:4]
-    want = {(i, int(j)) for i in range(len(pts)) for j in near[i]}
-    assert len(got & want) / len(want) >= 0.9
-    assert NN.knn_join(v, v, k=None, radius=NN.near_radius(v, 3, "id", "features")).count() < 0.1 * len(pts) ** 2
+    pts = np.concatenate([rng.normal(size=8) * 6 + rng.normal(size=(20, 8)) for _ in range(30)]
+                         + [rng.normal(size=(40, 8)) * 1e-3, np.ones((60, 8)), rng.normal(size=(5, 8)) * 500])
+    ids = rng.permutation(len(pts)) * 3
+    rows = [(int(i), p.tolist(), "ab"[k % 2]) for k, (i, p) in enumerate(zip(ids, pts, strict=True))]
+    rows += [(10_001, [float("nan")] * 8, "a"), (10_003, [1.0] * 8, None)]
+    df = spark.createDataFrame(rows, "id long, emb array<double>, g string")
+    v = NN.to_vectors(df, array_col="emb")
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
+
+    def brute(k, group):
+        out = set()
+        for a in range(len(pts)):
+            others = [b for b in range(len(pts)) if b != a and (not group or a % 2 == b % 2)]
+            out |= {(int(ids[a]), int(ids[b])) for b in sorted(others, key=lambda b: (round(d[a, b], 9), ids[b]))[:k]}
+        return out
+
+    got = NN.knn_join(v.where("id < 10000"), v.where("id < 10000"), k=3).collect()
+    assert {(r["id"], r["nb_id"]) for r in got} == brute(3, False) and len(got) == 3 * len(pts)
+    got = NN.knn_join(v, v, k=4, same_group="g").collect()
+    assert {(r["id"], r["nb_id"]) for r in got} == brute(4, True)
+    few = v.where("id in (0, 3, 6)")
+    assert NN.knn_join(few, few, k=5).count() == 6            # min(k, rows - 1) each
+    assert NN.knn_join(few, few.limit(0), k=5).count() == 0
+    some = df.where("id < 10000").select(F.col("id").alias("pid"), F.lit("").alias("g"), F.col("emb").alias("x"))
+    some = some.withColumn("y", NN.project(F.col("x"), NN.axes_of(some, "x", "pid")))
+    base = some.withColumnRenamed("pid", "bid")
+    r = NN.first_radius(some, base, 4, len(pts), 3, ["g", "c0", "c1", "c2"], (-1, 0, 1))
+    assert NN.candidates(some, base, r, 3).count() < 0.1 * len(pts) ** 2
+
+
+def test_knn_imputation_by_brute_force(spark):
+    """Nan-Euclidean donors, also where donors lack coordinates, rows lack all others, or a column has no donor."""
+    import numpy as np
+    from tablesmith.operators import knn as NN
+    rng = np.random.default_rng(4)
+    m = np.round(rng.normal(size=(120, 4)) * [1, 10, 100, 1], 3)
+    m[rng.random(m.shape) < 0.2] = np.nan
+    m[0] = np.nan
+    split = ["test" if k % 5 == 0 else "train" for k in range(len(m))]
+    rows = [(k, *[None if np.isnan(v) else float(v) for v in r], None, s) for k, (r, s) in enumerate(zip(m, split, strict=True))]
+    df = spark.createDataFrame(rows, "_rid long, a double, b double, c double, d double, e double, _split string")
+    got = {r["_rid"]: r for r in NN.impute_knn(df, list("abcde"), k=3).collect()}
+    full = np.column_stack([m, np.full(len(m), np.nan)])
+    for k in range(len(m)):
+        for i, name in enumerate("abcde"):
+            if not np.isnan(full[k, i]):
+                assert got[k][name] == full[k, i]
+                continue
+            near = []
+            for j in range(len(m)):
+                both = ~np.isnan(full[k]) & ~np.isnan(full[j])
+                if split[j] == "train" and not np.isnan(full[j, i]) and both.any():
+                    near.append((np.sqrt(5 / both.sum() * ((full[k] - full[j])[both] ** 2).sum()), j))
+            col = [full[j, i] for j in range(len(m)) if split[j] == "train" and not np.isnan(full[j, i])]
+            want = np.mean([full[j, i] for _, j in sorted(near)[:3]]) if near else np.mean(col) if col else None
+            assert got[k][name] is None if want is None else math.isclose(got[k][name], want, rel_tol=1e-9)
 
 
 def test_shapiro_on_normal_and_skewed(spark):
