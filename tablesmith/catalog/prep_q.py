@@ -409,6 +409,16 @@ def scale_quantile(spark, sf):
                                      F.avg("l_extendedprice").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+@register("quantile_knots", with_split(sql_round(f"""
+SELECT 'l_extendedprice' AS "column", CAST(i - 1 AS BIGINT) AS j, q[i] AS value
+FROM (SELECT quantile_cont(l_extendedprice, [{", ".join(f"{j}/999.0" for j in range(1000))}]) AS q FROM ls WHERE _split = 'train'),
+     range(1, 1001) t(i)""", ["value"])))
+def quantile_knots(spark, sf):
+    """K-4: the 1,000 knots that the quantile scaler interpolates between."""
+    k = K.fit_quantile(li_split(spark, sf, "l_extendedprice"), ["l_extendedprice"])
+    return rounded(k.select("column", F.posexplode("knots").alias("j", "value")).withColumn("j", F.col("j").cast("long")))
+
+
 @register("scale_power")
 def scale_power(spark, sf):
     d = li_split(spark, sf, "l_quantity", "l_extendedprice")

@@ -40,17 +40,6 @@ def maybe_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(small) if n <= max_rows else small
 
 
-def range_bucket(df: DataFrame, col: str, bounds: list, out: str) -> DataFrame:
-    """Monotone range bucket of ``col`` (0 … len(bounds)) by JVM-side binary search
-    (``ml.feature.Bucketizer``) over sorted boundaries, e.g. approximate quantiles."""
-    from pyspark.ml.feature import Bucketizer
-    splits = [float("-inf")] + sorted({float(b) for b in bounds if b is not None}) + [float("inf")]
-    tmp = f"{out}__x"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp) \
-        .withColumn(out, F.col(out).cast("int"))
-
-
 def materialize_small(df: DataFrame, limit: int = MAX_PARAM_ROWS) -> DataFrame:
     """Compute a small result (evidence, plan, parameters: one row per column) once and
     keep it as a local relation, so later steps do not recompute its lineage."""

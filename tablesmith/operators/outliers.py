@@ -3,13 +3,15 @@ or a filter."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import c
-from .common import param_rows, range_bucket
+from .common import param_rows
 from .impute import _train
-from .quantiles import quantile_table
+from .quantiles import quantile_table, value_at_rank
 
 
 def fit_bounds(df: DataFrame, cols: list[str], method: str = "iqr", quantiles: str = "exact",
@@ -61,29 +63,11 @@ def remove_outlier_rows(df: DataFrame, params: DataFrame) -> DataFrame:
 
 def remove_outlier_rows_capped(df: DataFrame, params: DataFrame, cap_ratio: float | None = None,
                                key: str = "_rid") -> DataFrame:
-    """Drop flagged rows; with ``cap_ratio`` at most max(1, floor(n·cap)) of them, the first
-    ones by row id (O-5), without it all.  The flagged rows are a small set by construction; their top-m by key is a
-    window with a group limit (partial top-k before the shuffle)."""
+    """Drop flagged rows; with ``cap_ratio`` at most max(1, floor(n·cap)) of them, the first ones by row id (O-5),
+    without it all.  The id of the last one that goes is found by narrowing, the rest is a filter."""
+    flag = outlier_flag(params)
     if cap_ratio is None:
-        return remove_outlier_rows(df, params)
-    n = df.select(F.count(F.lit(1))).scalar()
-    cap = F.greatest(F.lit(1), F.floor(n * F.lit(cap_ratio)))
-    flagged = df.where(outlier_flag(params)).select(key)
-    ranked = _rank_by_key(flagged, key)
-    drop = ranked.where(F.col("_pos") < cap).select(key)
-    return df.join(drop, key, "left_anti")
-
-
-def _rank_by_key(df: DataFrame, key: str) -> DataFrame:
-    """0-based rank by ``key`` without a single-task window: approximate key ranges,
-    exact offsets per range from a small count table, rank inside each range."""
-    # ≤ 255 range boundaries: a bounded literal array
-    bnd = df.select(F.percentile_approx(c(key), [i / 256 for i in range(1, 256)], 10000)).first()[0] or []
-    d = range_bucket(df, key, bnd, "_kb")
-    bc = d.groupBy("_kb").agg(F.count(F.lit(1)).alias("_n"))
-    # ≤ 256 rows: the cumulative window runs over the tiny range table
-    off = bc.withColumn("_off", F.sum("_n").over(Window.orderBy("_kb").rowsBetween(Window.unboundedPreceding, 0))
-                        - F.col("_n")).drop("_n")
-    wr = Window.partitionBy("_kb").orderBy(key)
-    return d.join(F.broadcast(off), "_kb").withColumn("_pos", F.col("_off") + F.row_number().over(wr) - 1) \
-        .drop("_kb", "_off")
+        return df.where(~flag)
+    cap = max(1, math.floor(df.count() * cap_ratio))
+    last = value_at_rank(df.where(flag), key, cap - 1)
+    return df.where(~flag) if last is None else df.where(~flag | (c(key) > last))

@@ -1,13 +1,12 @@
 """Target analysis, relationships and signal strength (T-*, R-*, S-*).
 
-Pairwise statistics are aggregates of the form ``corr(a, b)``; all pairs of a batch go
-into one aggregate (one scan per batch of ``PAIR_BATCH`` pairs, which keeps the generated
-code under the JVM method limits).  Group statistics are ``groupBy(target)`` aggregates
+Correlations of all pairs come from one scan (``gram``).  Group statistics are ``groupBy(target)`` aggregates
 that return one row per class.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -16,9 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions.stats import log2, rnd, safe_corr, sample_kurtosis, sample_skewness
 from ..functions.types import NUMERIC_PATTERN, c, columns_of, safe_numeric, qcols
+from .gram import correlations, gram
 from .quantiles import quantile_table
 
-PAIR_BATCH = 100
 
 
 # ------------------------------------------------------------------ T-1, T-4
@@ -168,37 +167,32 @@ def non_constant_numeric(df: DataFrame, target: str | None = None) -> list[str]:
     return [x for x in cols if sd[x] is not None and sd[x] > 0]
 
 
-def corr_long(df: DataFrame, cols: list[str], diagonal: bool = False) -> DataFrame:
-    """(a, b, corr) for every pair a < b in column order (pairwise-complete rows)."""
-    pairs = list(combinations(cols, 2))
-    parts = []
-    for i in range(0, len(pairs), PAIR_BATCH):
-        batch = pairs[i:i + PAIR_BATCH]
-        wide = df.agg(*[safe_corr(c(a), c(b)).alias(f"{k}") for k, (a, b) in enumerate(batch)])
-        stack = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{k}`").alias("corr"))
-                          for k, (a, b) in enumerate(batch)])
-        parts.append(wide.select(F.explode(stack).alias("s")).select("s.*"))
-    spark = df.sparkSession
-    out = parts[0] if parts else spark.createDataFrame([], "a string, b string, corr double")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if diagonal:
-        out = out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")) \
-            .unionByName(spark.createDataFrame([(x, x, 1.0) for x in cols], "a string, b string, corr double"))
-    return out
+def corr_long(df: DataFrame, cols: list[str], diagonal: bool = False, varying: bool = False) -> DataFrame:
+    """(a, b, corr) for every pair a < b in column order (pairwise-complete rows), from one scan (``gram``).
+    ``varying``: columns of one value are left out."""
+    rows = []
+    if cols:
+        m = gram(df, cols)
+        r = correlations(m)
+        own = [k for k in range(len(cols)) if not varying or not math.isnan(r[k, k])]
+        rows = [(cols[i], cols[j], None if math.isnan(r[i, j]) else float(r[i, j])) for i, j in combinations(own, 2)]
+        if diagonal:
+            rows += [(b, a, v) for a, b, v in rows] + [(cols[k], cols[k], 1.0) for k in own]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
 
 
 def strong_pairs(df: DataFrame, target: str | None = None, threshold: float = 0.5) -> DataFrame:
     """R-1 (≥ 0.5) / R-2 (≥ 0.7): strong pairs among non-constant numeric features."""
-    cl = corr_long(df, non_constant_numeric(df, target))
+    cl = corr_long(df, columns_of(df, "numeric", exclude=[target] if target else None), varying=True)
     return cl.where(F.abs("corr") >= threshold).select(F.col("a").alias("feature_1"), F.col("b").alias("feature_2"),
                                                         rnd(F.col("corr"), 3).alias("correlation"))
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """R-7: full matrix in long form, rounded to 3."""
-    cols = cols if cols is not None else non_constant_numeric(df)
-    return corr_long(df, cols, diagonal=True).select("a", "b", rnd(F.col("corr"), 3).alias("corr"))
+    out = corr_long(df, cols, diagonal=True) if cols is not None else \
+        corr_long(df, columns_of(df, "numeric"), diagonal=True, varying=True)
+    return out.select("a", "b", rnd(F.col("corr"), 3).alias("corr"))
 
 
 def target_corr(df: DataFrame, target: str, cols: list[str] | None = None) -> DataFrame:

@@ -11,13 +11,16 @@ The final assignment is a map-only filter against a tiny broadcast threshold tab
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, uniform
 from ..functions.types import c
 from ..session import checkpoint
-from .common import join_groups, range_bucket
+from .common import join_groups
+from .quantiles import value_at_rank
 
 # 32-bit hash >> 16 → 2^16 buckets: the (group, bucket) count table stays ≤ 65,536 rows per
 # group, and the only rows ever ranked together (one boundary bucket per group) are about
@@ -164,23 +167,10 @@ def drop_rare_classes(df: DataFrame, target: str, min_count: int = 2) -> DataFra
 
 def split_ordered(df: DataFrame, test_size: float = 0.2, key: str = "_rid") -> DataFrame:
     """Split without shuffling rows (D-4): the last ceil(n·p) rows in key order are test.
-    The cut key is found like a quantile: approximate key ranges, exact counts per range,
-    and a rank only inside the range that holds the cut; the split itself is a filter."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    keep = n - F.ceil(n * F.lit(test_size))          # rows in train
-    # ≤ 255 range boundaries: a bounded literal array
-    bounds = df.select(F.percentile_approx(c(key), [i / 256 for i in range(1, 256)], 10000)).first()[0] or []
-    d = range_bucket(df, key, bounds, "_b")
-    bc = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # ≤ 256 rows: cumulative counts over the range table
-    bc = bc.withColumn("_cum", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
-    edge = bc.where((F.col("_cum") - F.col("_n") < keep) & (F.col("_cum") >= keep)) \
-        .select(F.col("_b").alias("_bb"), (keep - F.col("_cum") + F.col("_n")).alias("_need"))
-    er = d.join(F.broadcast(edge), F.col("_b") == F.col("_bb"))
-    cut = (er.withColumn("_r", F.row_number().over(Window.partitionBy("_bb").orderBy(key)))
-           .where(F.col("_r") == F.col("_need")).select(F.col(key).alias("_cut")))
-    cut_key = cut.select(F.max("_cut")).scalar()     # one value; NULL when train is empty
-    return df.withColumn("_split", F.when(cut_key.isNull() | (c(key) > cut_key), "test").otherwise("train"))
+    The cut key is found by narrowing the range that holds it; the split itself is a filter."""
+    n = df.count()
+    cut = value_at_rank(df, key, n - math.ceil(n * test_size) - 1)      # the last key in train; None if there is none
+    return df.withColumn("_split", F.when(c(key) > cut, "test").otherwise("train") if cut is not None else F.lit("test"))
 
 
 def kfold_assign(df: DataFrame, k: int = 5, target: str | None = None, seed=42, key: str = "_rid") -> DataFrame:

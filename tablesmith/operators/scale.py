@@ -18,7 +18,7 @@ from ..functions.stats import norm_ppf_np
 from ..functions.types import c, qcols
 from .common import param_rows, column_stats
 from .impute import _train
-from .quantiles import long_values, quantile_table, quantiles_of_long
+from .quantiles import even_quantiles, long_values, quantile_table
 
 
 def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard", quantiles: str = "exact") -> DataFrame:
@@ -49,20 +49,13 @@ def apply_scaler(df: DataFrame, params: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ K-4 quantile → normal
 
-def fit_quantile(df: DataFrame, cols: list[str], n_quantiles: int = 1000, quantiles: str = "exact") -> DataFrame:
+def fit_quantile(df: DataFrame, cols: list[str], n_quantiles: int = 1000) -> DataFrame:
     """(column, knots array<double>): m = min(n_quantiles, n) knots at j/(m−1)."""
     lv = long_values(_train(df), cols)
-    # one row per column: columns of as many knots share a pass
-    sizes: dict[int, list[str]] = {}
-    for r in lv.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect():
-        sizes.setdefault(max(2, min(n_quantiles, r["n"])), []).append(r["column"])
-    out = df.sparkSession.createDataFrame([], "column string, knots array<double>")
-    for m, names in sorted(sizes.items()):
-        q = quantiles_of_long(lv.where(F.col("column").isin(names)), [j / (m - 1) for j in range(m)], quantiles)
-        out = out.unionByName(
-            q.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("p", "value"))).alias("kv"))
-            .select("column", F.transform("kv", lambda s: s["value"]).alias("knots")))
-    return out
+    sizes = {r["column"]: max(2, min(n_quantiles, r["n"]))         # one row per column
+             for r in lv.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return even_quantiles(lv, sizes).groupBy("column") \
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda s: s["value"]).alias("knots"))
 
 
 def _quantile_normal(x: pd.Series, knots) -> pd.Series:
