@@ -6,7 +6,7 @@ Fitted parameters are small DataFrames.  Two ways to apply them:
   the driver — bounded by the number of columns — and inlined as literals, so the apply
   step is a single projection inside whole-stage codegen;
 * per-value maps (category codes, frequencies) are joined; the map is broadcast only
-  after its row count is checked against ``MAX_BROADCAST_ROWS``, else a shuffle join runs.
+  after its bytes are checked against ``MAX_BROADCAST_BYTES``, else a shuffle join runs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import c
 
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 MAX_PARAM_ROWS = 100_000
 
 
@@ -29,15 +29,20 @@ def param_rows(params: DataFrame, limit: int = MAX_PARAM_ROWS) -> list:
     return rows
 
 
-def param_map(params: DataFrame, key: str, value: str) -> dict:
-    return {r[key]: r[value] for r in param_rows(params)}
+def row_bytes(df: DataFrame) -> Column:
+    """An estimate of a row's size in memory: the lengths of its texts and 16 bytes for each column."""
+    long = [F.coalesce(F.octet_length(c(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    total = F.lit(16 * (1 + len(df.columns)))
+    for x in long:
+        total = total + x
+    return total.cast("long")
 
 
-def maybe_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is proven small; otherwise leave the join
-    to Spark (sort-merge or shuffle-hash, AQE may still convert it at run time)."""
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+def maybe_broadcast(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only when the rows' bytes are proven few; otherwise the join is left to Spark, and adaptive
+    execution splits the rows of a hot value.  Give a written table, which is read twice."""
+    size = small.agg(F.sum(row_bytes(small))).first()[0] or 0
+    return F.broadcast(small) if size <= max_bytes else small
 
 
 def materialize_small(df: DataFrame, limit: int = MAX_PARAM_ROWS) -> DataFrame:

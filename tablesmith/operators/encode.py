@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import c, parse_datetime, safe_numeric, qcols
-from .common import maybe_broadcast, param_rows, prefix_sums
+from ..session import checkpoint
+from .common import MAX_BROADCAST_BYTES, param_rows, prefix_sums, row_bytes
 from .impute import _train
 
 MAX_ONEHOT_CATEGORIES = 1000
@@ -85,21 +86,18 @@ def fit_label(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def apply_map(df: DataFrame, params: DataFrame, value_col: str, default, suffix: str = "",
               null_safe: bool = False) -> DataFrame:
-    """Replace each mapped column by its looked-up value (broadcast only when small)."""
-    cols = [r["column"] for r in params.select("column").distinct().collect()]
+    """Replace each mapped column by its looked-up value.  The map (column, value, ``value_col``) is written once and
+    its bytes are added up by column in one job; small parts are broadcast, so all look-ups are one pass over the
+    rows, and larger ones are joined by a shuffle in which adaptive execution splits hot values."""
+    held = checkpoint(params.select("column", F.col("value").alias("__k"), F.col(value_col).alias("__v")))
+    sizes = {r["column"]: r["bytes"] for r in held.groupBy("column").agg(F.sum(row_bytes(held)).alias("bytes")).collect()}
     out = df
-    for n in cols:
-        m = params.where(F.col("column") == n).select(F.col("value").alias("__k"), F.col(value_col).alias("__v"))
-        m = maybe_broadcast(m)
+    for n, size in sorted(sizes.items()):
+        m = held.where(F.col("column") == n).select("__k", "__v")
         key = c(n).cast("string")
         cond = key.eqNullSafe(F.col("__k")) if null_safe else key == F.col("__k")
-        out = out.join(m, cond, "left")
-        name = n + suffix
-        rest = [x for x in out.columns if x not in ("__k", "__v")]
-        out = out.select([F.coalesce(F.col("__v"), F.lit(default)).alias(name) if x == n else c(x) for x in rest]
-                         if not suffix else [c(x) for x in rest] + [F.coalesce(F.col("__v"), F.lit(default)).alias(name)])
-        if suffix:
-            out = out.drop(n)
+        out = out.join(F.broadcast(m) if size <= MAX_BROADCAST_BYTES else m, cond, "left")
+        out = out.withColumn(n + suffix, F.coalesce(F.col("__v"), F.lit(default))).drop("__k", "__v", *([n] if suffix else []))
     return out
 
 

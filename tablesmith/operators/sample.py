@@ -70,6 +70,14 @@ def bucket_counts(df: DataFrame, key: str = "_rid", seed=42, group: list[str] |
     return _buckets(df, key, seed).groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n"))
 
 
+def few_or_written(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A small result computed once: up to ``most`` rows as a local table to broadcast, more as a written one."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        return checkpoint(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def take_by_hash(df: DataFrame, quota: DataFrame, key: str = "_rid", seed=42,
                  group: list[str] | None = None, flag: str = "_take", counts: DataFrame | None = None,
                  order_value=None) -> DataFrame:
@@ -96,8 +104,7 @@ def take_by_hash(df: DataFrame, quota: DataFrame, key: str = "_rid", seed=42,
     wr = Window.partitionBy(*g).orderBy("_h", key)
     thr = (edge_rows.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == F.col("_need"))
            .select(*g, "_bb", F.col("_h").alias("_th"), F.col(key).alias("_tk")))
-    thr = checkpoint(thr)       # one row per group; the marks below are then a filter of each row
-    out = join_groups(d, thr, g, "left")
+    out = join_groups(d, few_or_written(thr), g, "left")        # a filter of each row against its group's threshold
     take = (F.col("_b") < F.col("_bb")) | ((F.col("_b") == F.col("_bb")) & (
         (F.col("_h") < F.col("_th")) | ((F.col("_h") == F.col("_th")) & (F.col(key) <= F.col("_tk")))))
     drop = ["_h", "_b", "_bb", "_th", "_tk"] + (["_g"] if g == ["_g"] else [])

@@ -71,8 +71,6 @@ def preprocess_dynamic(df: DataFrame, target: str, override: DataFrame | None =
         data = D.split_stratified(data, target, test_size, seed)
     else:
         data = D.split_random(data, test_size, seed)
-    # every fit below scans the split table: one write is cheaper than hashing the keys again in each
-    data = checkpoint(data)
     steps.append(("split", "success", f"dropped={','.join(sorted(dropped))}"))
 
     # missing values
@@ -190,10 +188,12 @@ def validate(prepared: Prepared) -> tuple[bool, str]:
 def preprocess_static(df: DataFrame, target: str, policy: DataFrame | None = None,
                       fit_scope: str = "train", test_size: float = 0.2, seed=42,
                       scaling: str = "standard", normalization: str = "none",
-                      quantiles: str = "exact") -> Prepared:
+                      selection: str = "none", reduction: str = "none", quantiles: str = "exact") -> Prepared:
     """K-11: duplicates → per-column (drop, convert, impute, outlier, datetime, encode) →
-    capped row drop → scale → normalise, with step status.  ``fit_scope='all'`` fits on
-    the whole table as the static path does; the default fits on train rows."""
+    capped row drop → select (``variance``: columns of one value go) → scale → normalise →
+    reduce (``pca`` to the square root of the number of columns), with step status.  ``fit_scope='all'``
+    fits on the whole table as the static path does; the default fits on train rows, split by class where the
+    target is one, numeric or not."""
     from pyspark.sql import types as T
     steps = []
     ev = materialize_small(L.evidence(df, target, static=True))
@@ -207,7 +207,8 @@ def preprocess_static(df: DataFrame, target: str, policy: DataFrame | None = Non
     feats = [k for k, r in rows.items() if not r["drop"]]
     data = E.convert_types(data, {k: rows[k]["type"] for k in feats})
     if fit_scope == "train":
-        data = D.split_stratified(data, target, test_size, seed) if not isnum.get(target) else \
+        task = L.target_evidence(data, target, duplicates=False).first()["task_type"]
+        data = D.split_stratified(data, target, test_size, seed) if task == "classification" else \
             D.split_random(data, test_size, seed)
     data = checkpoint(data)
     methods = {k: rows[k]["missing"] for k in feats}
@@ -241,12 +242,24 @@ def preprocess_static(df: DataFrame, target: str, policy: DataFrame | None = Non
         data = E.hash_encode(data, hs)
     steps.append(("encode", "success", f"onehot={len(oh)} label={len(lab)} frequency={len(fq)} hash={len(hs)}"))
     num = _numeric_features(data, target)
+    if selection == "variance":
+        data = checkpoint(data)
+        gone = [r["column"] for r in param_rows(K.constant_columns(data, num))] if num else []
+        data, num = data.drop(*gone), [x for x in num if x not in gone]
+        steps.append(("select", "success", ",".join(sorted(gone))))
+    else:
+        steps.append(("select", "skipped", selection))
     scaling = scaling if num else "none"
     data = scaled(data, num, scaling, quantiles)
     steps.append(("scale", done(scaling), scaling))
     if normalization != "none" and num:
         data = K.normalize_rows(data, num, normalization)
     steps.append(("normalize", done(normalization if num else "none"), normalization))
+    if reduction == "pca" and len(num) > 2:
+        data = K.pca_reduce(checkpoint(data), num)
+        steps.append(("reduce", "success", f"{len(num)} columns"))
+    else:
+        steps.append(("reduce", "skipped" if reduction == "none" else "skipped_not_enough_features", reduction))
     return Prepared(data, pol, steps, target)
 
 
