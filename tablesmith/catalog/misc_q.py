@@ -16,13 +16,14 @@ from ..operators import ready as V
 from ..operators import sample as D
 from ..operators import score as Z
 from ..plans import column_plan as L
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint, ensure_checkpoint_dir
 from ..sources import io as IO
 from ..sources import store as H
 from ..sources.tables import view, with_views
 from . import ORACLES, register, rounded, sql_round
 
 T = "l_returnflag"
+from .profile_q import LI_ALL, LI_CAT, LI_NUM  # noqa: E402
 
 
 def _scratch(spark, name):
@@ -200,6 +201,46 @@ def readiness(spark, sf):
     return V.readiness(view(spark, sf, "li").select("_rid", "l_quantity", "l_discount", "l_linestatus", T), T)
 
 
+@register("readiness_infinite", with_views("""
+SELECT 'l_quantity' AS "column", true AS is_numeric, count(*) FILTER (WHERE l_quantity IS NULL AND _rid % 1000 <> 0)::BIGINT AS missing,
+       count(*) FILTER (WHERE _rid % 1000 = 0)::BIGINT AS infinite,
+       CASE WHEN count(*) FILTER (WHERE l_quantity IS NULL AND _rid % 1000 <> 0) > 0 THEN 'missing_values'
+            WHEN count(*) FILTER (WHERE _rid % 1000 = 0) > 0 THEN 'infinite_values' END AS blocker FROM li
+UNION ALL SELECT 'l_discount', true, 0::BIGINT, count(*) FILTER (WHERE _rid % 500 = 0)::BIGINT,
+                 CASE WHEN count(*) FILTER (WHERE _rid % 500 = 0) > 0 THEN 'infinite_values' END FROM li""", "li"))
+def readiness_infinite(spark, sf):
+    """PF-11: infinite values of both signs, set by a rule on the row id."""
+    d = view(spark, sf, "li").select("_rid", T, F.when(F.col("_rid") % 1000 == 0, float("inf")).otherwise(F.col("l_quantity")).alias("l_quantity"),
+                                     F.when(F.col("_rid") % 500 == 0, float("-inf")).otherwise(F.coalesce("l_discount", F.lit(0.0))).alias("l_discount"))
+    return V.readiness(d, T)
+
+
+@register("passthrough_text", with_views("SELECT _rid, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM ord", "ord"))
+def passthrough_text(spark, sf):
+    """E-5: a column kept as text."""
+    from ..operators.encode import passthrough_text as keep
+    return keep(view(spark, sf, "ord").select("_rid", "o_orderkey", "o_orderstatus"), ["o_orderkey"])
+
+
+@register("load_rescued", """
+SELECT count(*) + 3 AS n_rows, CAST(3 AS BIGINT) AS n_rescued, CAST(sum(o_orderkey) + 1 AS BIGINT) AS keys,
+       CAST(sum(o_custkey) + 9 AS BIGINT) AS customers FROM orders""")
+def load_rescued(spark, sf):
+    """IO-1: a CSV file in which three rows do not fit the sampled types."""
+    root = f"{_scratch(spark, 'untidy')}/orders.csv"
+    good = view(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    IO.write_table(good, root, "csv")
+    first = good.limit(1).select(F.lit("1").alias("a"), F.explode(F.array(
+        F.array(F.lit("1"), F.lit("4"), F.lit("not a price")), F.array(F.lit("seven"), F.lit("5"), F.lit("1.5")),
+        F.array(F.lit("x"), F.lit("y"), F.lit("z")))).alias("v"))
+    first.select(F.col("v")[0].alias("o_orderkey"), F.col("v")[1].alias("o_custkey"), F.col("v")[2].alias("o_totalprice")) \
+        .write.mode("append").option("header", True).csv(root)
+    schema = IO.sampled_schema(good.select(*[F.col(x).cast("string") for x in good.columns]))
+    d = checkpoint(IO.load_table(spark, root, "csv", schema=schema, rescued=IO.RESCUED))
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(IO.RESCUED).isNotNull()).alias("n_rescued"),
+                 F.sum("o_orderkey").alias("keys"), F.sum("o_custkey").alias("customers"))
+
+
 @register("prep_summary", with_views("""
 SELECT count(*)::BIGINT AS rows, 3::BIGINT AS features,
        count(*) FILTER (WHERE r > ceil(n * 0.2))::BIGINT AS train_rows, count(*) FILTER (WHERE r <= ceil(n * 0.2))::BIGINT AS test_rows,
@@ -211,9 +252,15 @@ def prep_summary(spark, sf):
     return V.prep_summary(d, T)
 
 
-@register("profile_digest")
+DIGEST = ["mean", "std", "min", "max", "outlier_ratio", "skewness"]
+
+
+@register("profile_digest", sql_round(f"""
+SELECT "column", mean, std, min, max, CASE WHEN outlier_ratio > 0 THEN outlier_ratio END AS outlier_ratio,
+       CASE WHEN abs(skewness) > 1 OR "column" = 'l_extendedprice' THEN skewness END AS skewness
+FROM ({ORACLES["numeric_profile"]}) n""", DIGEST))
 def profile_digest(spark, sf):
-    return rounded(V.profile_digest(view(spark, sf, "li"), "l_extendedprice"))
+    return rounded(V.profile_digest(view(spark, sf, "li").select("_rid", *LI_ALL), "l_extendedprice"))
 
 
 @register("report_audit")
@@ -266,17 +313,48 @@ def plan_safeguards(spark, sf):
     return L.safeguards(pol, ev)
 
 
-@register("eda_report")
+WARNINGS_SQL = f"""
+SELECT 'high_missingness' AS type, "column", missing_ratio AS value FROM ({ORACLES["missing_profile"]}) WHERE missing_ratio > 0.5
+UNION ALL SELECT 'constant_columns', "column", unique_count FROM ({ORACLES["low_variance"]}) WHERE unique_count <= 1 AND "column" <> '_rid'
+UNION ALL SELECT 'high_cardinality_categoricals', "column", unique_count FROM ({ORACLES["low_variance"]})
+  WHERE "column" IN ({", ".join(f"'{x}'" for x in LI_CAT)}) AND unique_count > 0.5 * (SELECT count(*) FROM lineitem)
+UNION ALL SELECT 'unique_per_row', "column", unique_count FROM ({ORACLES["low_variance"]}) WHERE is_unique_per_row AND "column" <> '_rid'
+UNION ALL SELECT 'high_outlier_ratio', "column", outlier_ratio FROM ({ORACLES["numeric_profile"]}) WHERE outlier_ratio > 0.05
+UNION ALL SELECT 'non_normal', "column", round(p_value, 6) FROM ({ORACLES["jarque_bera"]}) WHERE NOT is_normal
+UNION ALL SELECT 'class_imbalance', 'l_returnflag', x FROM (
+  SELECT round(max(count) / min(count), 2) AS x, count(*) AS k FROM ({ORACLES["class_distribution"]})) WHERE k <= 20 AND x >= 3"""
+
+
+@register("quality_warnings", f"SELECT type, \"column\", CAST(value AS DOUBLE) AS value FROM ({WARNINGS_SQL})")
+def quality_warnings(spark, sf):
+    return V.quality_warnings(view(spark, sf, "li").select("_rid", *LI_ALL), T)
+
+
+def _section(name: str, table: str, metrics: list[str]) -> str:
+    return " UNION ALL ".join(f"""SELECT '{name}' AS section, "column", '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {table}""" for m in metrics)
+
+
+_CORR_SQL = with_views(" UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, " + ("1.0" if a == b else f"round(corr({a}, {b}), 3)") + " AS corr FROM "
+    + ("(SELECT 1)" if a == b else "li") for a in LI_NUM for b in LI_NUM), "li")
+
+
+@register("eda_report", sql_round(f"""
+WITH m AS ({ORACLES["missing_profile"]}), v AS ({ORACLES["low_variance"]}), n AS ({ORACLES["numeric_profile"]}),
+     c AS ({_CORR_SQL}), t AS ({ORACLES["top_values"]}), d AS ({ORACLES["datetime_range"]}),
+     k AS ({ORACLES["class_distribution"]}), w AS ({WARNINGS_SQL}),
+r AS ({_section("missing", "m", ["missing_count", "missing_ratio"])}
+UNION ALL {_section("low_variance", "(SELECT * FROM v WHERE v.column <> '_rid')", ["unique_count", "top_share", "is_constant", "is_near_constant", "is_unique_per_row"])}
+UNION ALL {_section("numeric", "n", ["count", "mean", "std", "min", "max", "q1", "median", "q3", "iqr", "zero_count", "skewness", "kurtosis", "outlier_count", "outlier_ratio"])}
+UNION ALL SELECT 'correlation', a, b, CAST(corr AS DOUBLE) FROM c
+UNION ALL SELECT 'top_values', "column", value, CAST(count AS DOUBLE) FROM t WHERE "column" <> 'l_shipdate'
+UNION ALL SELECT 'datetime', "column", 'min_date', epoch(min_date) FROM d UNION ALL SELECT 'datetime', "column", 'max_date', epoch(max_date) FROM d
+UNION ALL SELECT 'classes', 'l_returnflag', class, CAST(count AS DOUBLE) FROM k
+UNION ALL SELECT 'warnings', "column", type, CAST(value AS DOUBLE) FROM w)
+SELECT * FROM r WHERE value IS NOT NULL""", ["value"]))
 def eda_report(spark, sf):
-    """P-22: the stage report as (section, column, metric, value) rows."""
-    d = view(spark, sf, "li")
-    num = P.numeric_profile(d, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    parts = [num.unpivot(["column"], ["mean", "std", "min", "max", "median", "skewness", "kurtosis"], "metric", "value")
-             .select(F.lit("numeric_profile").alias("section"), "column", "metric", "value"),
-             P.missing_profile(d).select(F.lit("missing").alias("section"), "column", F.lit("missing_ratio").alias("metric"),
-                                         F.col("missing_ratio").alias("value"))]
-    out = parts[0].unionByName(parts[1])
-    return rounded(out)
+    """P-22: the stage report, every section of it."""
+    return rounded(V.report(view(spark, sf, "li"), T, LI_ALL))
 
 
 # ------------------------------------------------------------------ H-1, H-2, IO-1 … IO-10

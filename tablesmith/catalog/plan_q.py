@@ -143,6 +143,18 @@ def plan_constraints(spark, sf):
     return L.apply_constraints(d, cons)
 
 
+@register("constraint_warnings", f"""
+SELECT k.column, k.rule, CASE WHEN p.column IS NULL THEN 'unknown column' ELSE 'kept although the plan dropped it' END AS warning
+FROM (VALUES ('line_id', 'do_not_drop'), ('l_tax', 'drop'), ('l_tax', 'do_not_drop'), ('no_such', 'drop')) k("column", rule)
+LEFT JOIN ({_plan_sql()}) p ON p.column = k.column
+WHERE p.column IS NULL OR (k.rule = 'do_not_drop' AND p.drop)""")
+def constraint_warnings(spark, sf):
+    """L-5: constraints on unknown columns, and columns kept against the plan."""
+    cons = spark.createDataFrame([("line_id", "do_not_drop"), ("l_tax", "drop"), ("l_tax", "do_not_drop"), ("no_such", "drop")],
+                                 "column string, rule string")
+    return L.constraint_warnings(L.default_plan(L.evidence(prep_source(spark, sf), T)), cons)
+
+
 @register("column_actions", f"""SELECT "column",
   CASE WHEN "drop" THEN 'drop' ELSE concat_ws('+', 'impute:' || missing,
        CASE WHEN outlier <> 'keep' THEN 'outlier:' || outlier END,
@@ -211,11 +223,6 @@ def prep_steps(spark, sf):
 
 # ------------------------------------------------------------------ P-16, P-20, P-21
 
-@register("quality_warnings")
-def quality_warnings(spark, sf):
-    return V.quality_warnings(view(spark, sf, "li"), T)
-
-
 @register("compact_profile", with_views(sql_round("""
 SELECT count(*)::BIGINT AS n_rows, 11::BIGINT AS n_columns,
        (count(*) FILTER (WHERE l_quantity IS NULL) + count(*) FILTER (WHERE l_tax IS NULL)

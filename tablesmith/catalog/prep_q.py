@@ -436,6 +436,6 @@ def yeo_johnson_fixed(spark, sf):
 @register("pca_reduce")
 def pca_reduce(spark, sf):
     e = view(spark, sf, "embeddings")
-    cols = [f"e{i}" for i in range(16)]
-    wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
+    cols = [f"e{i}" for i in range(64)]
+    wide = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(cols)])
     return K.pca_reduce(wide, cols, k=4)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions.stats import rnd
 from ..functions.types import c, columns_of, type_class
 from . import profile as P
-from .relate import class_distribution
+from .relate import class_distribution, corr_matrix
 
 
 def quality_warnings(df: DataFrame, target: str | None = None, static: bool = True) -> DataFrame:
@@ -60,6 +60,42 @@ def quality_warnings(df: DataFrame, target: str | None = None, static: bool = Tr
     return out
 
 
+def report(df: DataFrame, target: str | None = None, cols: list[str] | None = None, top: int = 5) -> DataFrame:
+    """P-22: the stage report as (section, column, metric, value) rows: missing and distinct values, numbers, low
+    variance, most frequent values, date ranges (seconds since 1970), correlations, classes and warnings."""
+    cols = cols or [x for x in df.columns if not x.startswith("_")]
+    d = df.select(*[c(x) for x in cols])
+    numbers = columns_of(d, "numeric")
+
+    def long(section, table, metrics):
+        return table.select("column", *[F.col(m).cast("double").alias(m) for m in metrics]) \
+            .unpivot(["column"], metrics, "metric", "value").select(F.lit(section).alias("section"), "column", "metric", "value")
+
+    def pairs(section, table, column, metric, value):
+        return table.select(F.lit(section).alias("section"), column, metric, value.cast("double").alias("value"))
+
+    parts = [long("missing", P.missing_profile(d), ["missing_count", "missing_ratio"]),
+             long("low_variance", P.low_variance(d), ["unique_count", "top_share", "is_constant", "is_near_constant", "is_unique_per_row"])]
+    if numbers:
+        parts.append(long("numeric", P.numeric_profile(d, numbers), [
+            "count", "mean", "std", "min", "max", "q1", "median", "q3", "iqr", "zero_count", "skewness", "kurtosis",
+            "outlier_count", "outlier_ratio"]))
+        parts.append(pairs("correlation", corr_matrix(d, numbers), F.col("a").alias("column"), F.col("b").alias("metric"), F.col("corr")))
+    if texts := columns_of(d, ("categorical", "boolean")):
+        parts.append(pairs("top_values", P.top_values(d, texts, top), F.col("column"), F.col("value").alias("metric"), F.col("count")))
+    if dates := columns_of(d, "datetime"):
+        r = P.datetime_range(d, dates)
+        parts += [pairs("datetime", r, F.col("column"), F.lit(m).alias("metric"), F.unix_seconds(F.col(m).cast("timestamp")))
+                  for m in ("min_date", "max_date")]
+    if target is not None:
+        parts.append(pairs("classes", class_distribution(d, target), F.lit(target).alias("column"), F.col("class").alias("metric"), F.col("count")))
+    parts.append(pairs("warnings", quality_warnings(d, target), F.col("column"), F.col("type").alias("metric"), F.col("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("value").isNotNull())
+
+
 def compact_profile(df: DataFrame, target: str) -> DataFrame:
     """P-20: rows, columns, missing % over all cells, target distinct count."""
     cols = [x for x in df.columns if not x.startswith("_")]

@@ -39,7 +39,8 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, na_tokens
     CSV has a header; without a ``schema`` the types come from the first ``SAMPLE_ROWS`` rows, so the file is not
     read twice.  JSON is a value a line, or with ``multi_line`` a value or array of values a file.  With
     ``rescued`` a column of that name holds the raw text of rows that do not fit the schema (their readable values
-    stay), null for the others; without it such values are null."""
+    stay), null for the others; without it such values are null.  Spark converts only the columns that a query
+    reads, and finds only those unfit: write the table (``session.checkpoint``) before counting rescued rows."""
     ext = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     if ext not in READERS:
         raise ValueError(f"unsupported format: {ext}")
