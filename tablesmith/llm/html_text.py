@@ -2,14 +2,18 @@
 
 Tags, comments and text are read in order by one regular expression.  A tree builder keeps the
 stack of open elements, closes what HTML closes by implication (paragraphs before blocks, list
-items, table rows and cells, options), and drops end tags without a start.  Elements that
-browsers do not show are skipped whole: head parts, scripts, styles, templates, ``hidden``
-attributes, ``display:none`` and ``visibility:hidden`` styles, and unrendered controls.
+items, table rows and cells, options), and drops end tags without a start.  It knows where the
+open elements of each name stand, so a tag costs the same at any depth.  Elements that browsers
+do not show are skipped whole: head parts, scripts, styles, templates, ``hidden`` attributes,
+``display:none``, dialogs and details that are not open (but for their summary), and unrendered
+controls.  ``visibility`` is inherited and may be set back inside.  Both properties are read from
+``style`` attributes and from the page's own style elements, where a selector names a tag, an id
+or classes of one element; other selectors and rules for print are passed over.
 
 Blocks stand on lines of their own, paragraphs and headings with a blank line around them;
 list items get a bullet or number and an indent by depth; ``br`` and ``pre`` keep their line
-ends; the cells of a table are padded to aligned columns (a cell over n columns fills n), with
-line ends inside a cell turned into spaces.
+ends; the cells of a table are padded to aligned columns (a cell over n columns fills n, one over
+n rows keeps its columns free in the rows below), with line ends inside a cell turned into spaces.
 
 Defined cases: null and empty pages give an empty text; broken markup never fails: an unclosed
 comment or raw-text element ends with the page, a lone ``<`` is text; nesting of any depth is
@@ -63,17 +67,70 @@ HEAD_PARTS = frozenset("base basefont bgsound head html link meta noframes noscr
 #: no start tag inside one of these ends an element outside
 CLOSED_OFF = frozenset("template svg math noscript".split())
 GAP = "  "
+STYLE = re.compile(r"<style\b([^>]*)>(.*?)(?:</style\b|\Z)", re.I | re.S)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: a block of rules for a medium and the like, braces inside; or a statement
+AT_RULE = re.compile(r"@[\w-]+[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([A-Za-z][\w-]*)?((?:[.#][\w-]+)*)")
 
 
 def attributes(text: str) -> dict:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
+def declared(text: str) -> tuple[str | None, str | None]:
+    """(display, visibility) of a list of declarations, the last of each; None where it has none."""
+    got = {}
+    for part in text.lower().split(";"):
+        name, _, value = part.partition(":")
+        if name.strip() in ("display", "visibility"):
+            got[name.strip()] = value.replace("!important", "").strip()
+    return got.get("display"), got.get("visibility")
+
+
+class Sheet:
+    """The rules on display and visibility of a page's style elements, by the tag, id or class they need."""
+
+    def __init__(self, source: str):
+        self.rules: dict[str, list] = {}
+        if "<style" not in source.lower():
+            return
+        n = 0
+        for m in STYLE.finditer(COMMENT.sub("", source)):
+            media = attributes(m[1]).get("media", "all").lower()
+            if "all" not in media and "screen" not in media:
+                continue
+            for rule in RULE.finditer(AT_RULE.sub("", CSS_COMMENT.sub("", m[2]))):
+                values = declared(rule[2])
+                if values == (None, None):
+                    continue
+                for selector in rule[1].split(","):
+                    x = SELECTOR.fullmatch(selector.strip())
+                    if not x or not selector.strip():
+                        continue
+                    tag, marks = (x[1] or "").lower(), re.findall(r"[.#][\w-]+", x[2])
+                    n += 1
+                    weight = (sum(k[0] == "#" for k in marks), sum(k[0] == "." for k in marks), bool(tag), n)
+                    self.rules.setdefault(marks[-1] if marks else tag, []).append((weight, tag, frozenset(marks), values))
+
+    def of(self, tag: str, attrs: dict) -> tuple[str | None, str | None]:
+        """(display, visibility) that the rules and then the style attribute give an element."""
+        out = [None, None]
+        if self.rules:
+            own = {f".{k}" for k in attrs.get("class", "").split()} | ({f"#{attrs['id']}"} if attrs.get("id") else set())
+            hits = [r for k in (tag, *own) for r in self.rules.get(k, ()) if r[1] in ("", tag) and r[2] <= own]
+            for _, _, _, values in sorted(hits, key=lambda r: r[0]):
+                out = [v or old for v, old in zip(values, out, strict=True)]
+        if "style" in attrs:
+            out = [v or old for v, old in zip(declared(attrs["style"]), out, strict=True)]
+        return tuple(out)
+
+
 def is_hidden(tag: str, attrs: dict) -> bool:
-    if tag in INVISIBLE or "hidden" in attrs or tag == "input" and attrs.get("type", "").lower() == "hidden":
-        return True
-    style = attrs.get("style", "").lower().replace(" ", "")
-    return "display:none" in style or "visibility:hidden" in style
+    return tag in INVISIBLE or "hidden" in attrs or tag == "dialog" and "open" not in attrs \
+        or tag == "input" and attrs.get("type", "").lower() == "hidden"
 
 
 class Page:
@@ -120,11 +177,30 @@ class Page:
 
 
 class Table:
+    """Rows of cells (text, columns, rows)."""
+
     def __init__(self):
-        self.rows, self.captions, self.span = [], [], 1
+        self.rows, self.captions = [], []
+
+    def grid(self) -> list[list]:
+        """The text of each place: that of a cell at its first, None at those it covers beside and below."""
+        busy: dict[int, int] = {}       # rows for which a cell above still covers a column
+        out = []
+        for row in self.rows:
+            line, k, over = [], 0, {}
+            for text, columns, rows in row:
+                while k in busy:
+                    line.append(None)
+                    k += 1
+                line += [text] + [None] * (columns - 1)
+                over.update({k + j: rows for j in range(columns)})
+                k += columns
+            busy = {c: n - 1 for c, n in {**busy, **over}.items() if n > 1}
+            out.append(line)
+        return out
 
     def layout(self) -> list[str]:
-        rows = [r for r in self.rows if any(r)]
+        rows = [r for r in self.grid() if any(r)]
         width: list[int] = []
         for r in rows:
             width += [0] * (len(r) - len(width))
@@ -134,9 +210,13 @@ class Table:
 
 
 class Renderer:
-    def __init__(self):
+    def __init__(self, sheet: Sheet):
+        self.sheet = sheet
         self.page = Page()
         self.stack: list[str] = []
+        self.at: dict[str, list[int]] = {}      # places in the stack by name
+        self.shown = [True]                     # visibility around and in the open elements
+        self.folded: list[list] = []            # [place, summary seen] of details that are not open
         self.skip = 0               # open elements inside an invisible one, itself included
         self.outer: list[tuple] = []     # (page, lists) around the open cells
         self.tables: list[Table] = []
@@ -147,6 +227,26 @@ class Renderer:
     def indent(self) -> str:
         return "  " * max(0, len(self.lists))
 
+    def push(self, tag: str, visibility: str | None = None) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(tag)
+        self.shown.append(visibility == "visible" if visibility in ("visible", "hidden", "collapse") else self.shown[-1])
+
+    def pull(self) -> str:
+        tag = self.stack.pop()
+        self.at[tag].pop()
+        self.shown.pop()
+        if self.folded and self.folded[-1][0] == len(self.stack):
+            self.folded.pop()
+        return tag
+
+    def innermost(self, names) -> int:
+        """Place of the innermost open element of these names, -1 if none is open."""
+        return max((x[-1] for n in names if (x := self.at.get(n))), default=-1)
+
+    def in_fold(self) -> bool:
+        return bool(self.folded) and self.folded[-1][0] == len(self.stack) - 1
+
     def open(self, tag: str, raw: str) -> None:
         # what the tag ends by implication may be the invisible element itself
         if self.stack and self.stack[-1] == "head" and tag not in HEAD_PARTS:
@@ -161,23 +261,23 @@ class Renderer:
             names, limits = IMPLIED[tag]
             limits = limits | CLOSED_OFF
             for _ in range(3):
-                for name in reversed(self.stack):
-                    if name in limits:
-                        break
-                    if name in names:
-                        self.close(name, limits)
-                        break
-                else:
+                k = self.innermost(names)
+                if k < 0 or self.innermost(limits) >= k:
                     break
+                self.close(self.stack[k], limits)
         if self.skip:
             if tag not in VOID:
-                self.stack.append(tag)
+                self.push(tag)
                 self.skip += 1
             return
         attrs = attributes(raw) if raw and raw != "/" else {}
-        if is_hidden(tag, attrs):
+        display, visibility = self.sheet.of(tag, attrs)
+        folded = self.in_fold()
+        if folded and tag == "summary" and not self.folded[-1][1]:
+            self.folded[-1][1], folded = True, False
+        if folded or display == "none" or is_hidden(tag, attrs):
             if tag not in VOID:
-                self.stack.append(tag)
+                self.push(tag)
                 self.skip = 1
             return
         if tag in ("td", "th") and not self.tables:
@@ -189,7 +289,9 @@ class Renderer:
             self.page.line_end(2)
         if tag in VOID:
             return
-        self.stack.append(tag)
+        self.push(tag, visibility)
+        if tag == "details" and "open" not in attrs:
+            self.folded.append([len(self.stack) - 1, False])
         if tag in BLOCK:
             self.page.line_end(2 if tag in SPACED and not (tag in ("ul", "ol") and self.lists) else 1)
         if tag in ("ul", "ol", "menu", "dir"):
@@ -209,19 +311,18 @@ class Renderer:
         elif tag == "tr" and self.tables:
             self.tables[-1].rows.append([])
         elif tag in ("td", "th", "caption") and self.tables:
-            span = attrs.get("colspan", "1")
-            self.outer.append((self.page, self.lists, int(span) if re.fullmatch(r"[1-9]\d{0,2}", span) else 1))
+            columns, rows = (attrs.get(k, "1") for k in ("colspan", "rowspan"))
+            self.outer.append((self.page, self.lists, int(columns) if re.fullmatch(r"[1-9]\d{0,2}", columns) else 1,
+                               1 << 16 if rows == "0" else int(rows) if re.fullmatch(r"[1-9]\d{0,4}", rows) else 1))
             self.page, self.lists = Page(), []
 
     def close(self, tag: str, limits=frozenset()) -> None:
         """Close the innermost open ``tag`` and all that is open inside it, unless a limit is met first."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k] == tag:
-                while len(self.stack) > k:
-                    self.ended(self.stack.pop())
-                return
-            if self.stack[k] in limits:
-                return
+        k = self.innermost((tag,))
+        if k < 0 or self.innermost(x for x in limits if x != tag) > k:
+            return
+        while len(self.stack) > k:
+            self.ended(self.pull())
 
     def ended(self, tag: str) -> None:
         if self.skip:
@@ -232,14 +333,14 @@ class Renderer:
                 return
             cell = " ".join(self.page.text().split("\n"))
             cell = re.sub(r"(?<=\S) +", lambda m: m[0] if len(m[0]) == 2 else " ", cell).strip()
-            self.page, self.lists, span = self.outer.pop()
+            self.page, self.lists, columns, rows = self.outer.pop()
             table = self.tables[-1]
             if tag == "caption":
                 table.captions += [cell] if cell else []
             else:
                 if not table.rows:
                     table.rows.append([])
-                table.rows[-1] += [cell] + [None] * (span - 1)
+                table.rows[-1].append((cell, columns, rows))
         elif tag == "table":
             for line in self.tables.pop().layout():
                 self.page.write(line, self.indent)
@@ -256,7 +357,7 @@ class Renderer:
     def text(self, s: str, literal: bool = False) -> None:
         if self.skip and self.stack[-1] == "head" and s.strip(" \t\n\f\r"):
             self.close("head")
-        if self.skip or not s:
+        if self.skip or not s or self.in_fold() or not self.shown[-1]:
             return
         if not literal and "&" in s:
             s = html.unescape(s)
@@ -277,9 +378,8 @@ def render(source: str | None) -> str:
     """The visible text of one page."""
     if not source:
         return ""
-    r, at, end = Renderer(), 0, len(source)
     source = source.replace("\r\n", "\n").replace("\0", "")
-    end = len(source)
+    r, at, end = Renderer(Sheet(source)), 0, len(source)
     while at < end:
         m = TOKEN.search(source, at)
         if not m:
@@ -294,7 +394,7 @@ def render(source: str | None) -> str:
         if m[1]:
             if tag == "br":
                 r.open("br", "")
-            elif tag == "p" and "p" not in r.stack and not r.skip:
+            elif tag == "p" and not r.at.get("p") and not r.skip:
                 r.page.line_end(2)
             elif tag not in VOID:
                 limits = frozenset() if tag in ("table", "html", "body") else frozenset({"table"}) if tag in SCOPE or tag in (
@@ -308,7 +408,7 @@ def render(source: str | None) -> str:
             r.text(source[at:to], literal=tag == "xmp")
             at = to
     while r.stack:
-        r.ended(r.stack.pop())
+        r.ended(r.pull())
     lines = [x.rstrip() for x in r.page.text().split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 

@@ -437,3 +437,32 @@ def test_vectors_odd_cases(spark):
     assert got == sorted([(1, 2, 1), (2, 2, 1), (2, 2, 1), (12, 1, 12), (13, 1, 12), (0, 0, None),
                           *[(i, 0, i) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11)]])
     assert multiindex.link(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("source,want", [
+    ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e</table>", "a  b  c\n   d  e"),
+    ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+    ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c<tr><td>d<td>e<td>f</table>", "a     b\n      c\nd  e  f"),
+    ("a<dialog>no</dialog><dialog open>yes</dialog>b", "a\nyes\nb"),
+    ("<details>x<summary>s</summary>y<p>z</p><summary>t</summary></details>b", "s\nb"),
+    ("<details open>x<summary>s</summary>y</details>b", "x\ns\ny\nb"),
+    ("<details><summary>s<b>t</b></summary><details open><summary>u</summary>v</details></details>w", "st\nw"),
+    ("<style>.h{display:none} #k , i.x{ DISPLAY : none !important }</style>a<b class='q h'>no</b><b id=k>no</b><i>yes</i><i class=x>no</i>", "ayes"),
+    ("<style>.h{display:none}p.h{display:block}/* .v{display:none} */@media print{.v{display:none}}</style><p class=h>a<p class=v>b", "a\n\nb"),
+    ("<!--<style>b{display:none}</style>--><style media=print>b{display:none}</style><b>a</b>", "a"),
+    ("<style>.a .b{display:none}.c>.d,.e{display:none}</style><b class=b>a</b><b class=d>b</b><b class=e>c</b>", "ab"),
+    ("<style>b{display:none}</style><b style='display:inline'>a</b><b>no</b>", "a"),
+    ("a <span style='visibility:hidden'>no <b style='visibility: visible'>yes <i>too</i></b> no</span> b", "a yes too b"),
+    ("<div style='visibility:collapse'>no<p>no</div>a", "a"),
+])
+def test_html_rows_and_visibility(source, want):
+    assert html_text.render(source) == want
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "li", "b", "section"])
+def test_html_deep_pages_are_walked_in_linear_time(tag):
+    import time
+
+    t = time.time()
+    out = html_text.render(f"<{tag}>" * 100_000 + "end" + f"</{tag}>" * 100_000)
+    assert out.strip("- ").strip() == "end" and time.time() - t < 20
