@@ -1,17 +1,17 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of ``ORDER`` characters per language, learned from all documents with a language:
-Spark counts their n-grams, and the driver turns the distinct ones into probabilities.  A
-language has at most ``MAX_GRAMS`` distinct n-grams in its model (some tens of megabytes); of
-more, the rarest are left out by a count threshold that Spark takes from the counts.  All
-models together are one sorted array of n-gram hashes per order, with a column of log
+Spark counts their n-grams, and the driver turns the distinct ones, all of them, into
+probabilities.  What it holds and broadcasts grows with the number of distinct sequences of
+``ORDER`` letters (16 bytes each while counting, then 8 bytes for every language), not with the
+length of the texts, and nothing is left out to keep it small.  All models together are one sorted array of n-gram hashes per order, with a column of log
 probabilities and of back-off weights for each language, so one lookup a character scores
 every language.  The language of the lowest cross-entropy per character wins.
 
 Rejection is calibrated: a second model of the same counts leaves out a hash-chosen tenth of the
 documents; a prediction is ``accepted`` if its cross-entropy is no higher than the ``ACCEPT``
-quantile of theirs under that model.  A language that only they have accepts all.  ``score`` is the winner's posterior with the evidence of at most ``SCORE_CHARS``
-characters.
+quantile of theirs under that model.  A language that only they have accepts all.  ``score`` is the
+winner's posterior with the evidence of at most ``SCORE_CHARS`` characters.
 
 Text is lower-cased, and every run of other characters than letters is one space.  Defined
 cases: a null text or one without a letter is ``und`` with score 0, as is every text when
@@ -21,7 +21,6 @@ is never learned; repeated rows get equal results; extra columns are not looked
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import cache
 
@@ -33,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import BASE, KeyTable, cut, mix, pieces, rolling, ship, text_view
 
 ORDER = 4
-MAX_GRAMS = 1_000_000
 ACCEPT = 0.999
 SCORE_CHARS = 64
 PIECE = 2 << 20
@@ -225,30 +223,15 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     return ship(docs).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, accepted boolean")
 
 
-def least_counts(counted: DataFrame, max_grams: int) -> Column:
-    """By language the smallest count that leaves at most ``max_grams`` n-grams, on a scale of quarter powers of 2."""
-    step = F.floor(4 * F.log2("n")).cast("int")
-    least: dict[str, int] = {}
-    left: dict[str, int] = {}
-    for r in counted.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
-        left[r.lang] = left.get(r.lang, 0) + r.n
-        if left[r.lang] <= max_grams:
-            least[r.lang] = r.step
-    if not left:
-        return F.lit(0)
-    low = {k: math.ceil(2 ** (least[k] / 4) - 1e-9) if k in least else 2 ** 62 for k in left}
-    return F.element_at(F.create_map(*[F.lit(x) for kv in low.items() for x in kv]), F.col("lang")).cast("long")
-
-
 def train(docs: DataFrame, train_rows: Column | None = None, lang: str = "lang", text: str = "text",
-          doc_id: str = "doc_id", max_grams: int = MAX_GRAMS) -> Model:
+          doc_id: str = "doc_id") -> Model:
     """Learn from the documents that meet ``train_rows`` and have a language and a text."""
     d = docs.where(train_rows) if train_rows is not None else docs
     d = d.select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"),
                  F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1_000_003)).alias("at")) \
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     out_of_fold = F.col("at") % 10 == 0
-    schema = pa.schema([("lang", pa.string()), ("out", pa.bool_()), ("gram", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("out", pa.bool_()), ("gram", pa.binary()), ("n", pa.int64())])
 
     def count(batches):
         for b in batches:
@@ -262,21 +245,22 @@ def train(docs: DataFrame, train_rows: Column | None = None, lang: str = "lang",
                     at = np.flatnonzero(~start)
                     _, one, n = np.unique(gram_hash(codes, ORDER)[at], return_index=True, return_counts=True)
                     grams = codes[at[one][:, None] + np.arange(1 - ORDER, 1)]
-                    names = [r.tobytes().decode("utf-32-le") for r in grams]
+                    names = [r.tobytes() for r in grams]
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(names), pa.string()), pa.array([out] * len(names), pa.bool_()),
-                                                      pa.array(names, pa.string()), pa.array(n)], schema=schema)
+                                                      pa.array(names, pa.binary()), pa.array(n)], schema=schema)
 
-    learned = ship(d).select("lang", "text", out_of_fold.alias("out")).mapInArrow(count, "lang string, out boolean, gram string, n long")
+    learned = ship(d).select("lang", "text", out_of_fold.alias("out")).mapInArrow(count, "lang string, out boolean, gram binary, n long")
     counted = cut(learned.groupBy("lang", "gram").agg(
         F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~F.col("out"), F.col("n"))), F.lit(0)).alias("fold")))
 
     def learn(n: str) -> Model:
         kept = counted.where(F.col(n) > 0).select("lang", "gram", F.col(n).alias("n"))
-        table = kept.where(F.col("n") >= least_counts(kept, max_grams)).orderBy("lang", "gram").toArrow().to_pydict()
-        names, langs = np.array(table["lang"], object), table["gram"]
-        codes = np.frombuffer("".join(langs).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-        counts = np.array(table["n"], np.float64)
-        return build({x: (codes[names == x], counts[names == x]) for x in sorted(set(names))})
+        table = kept.orderBy("lang", "gram").toArrow().combine_chunks()
+        codes = np.concatenate([np.frombuffer(x.buffers()[2], np.uint32).reshape(-1, ORDER)[:len(x) + x.offset][x.offset:]
+                                for x in table["gram"].chunks if len(x)] or [np.zeros((0, ORDER), np.uint32)])
+        langs = table["lang"].combine_chunks().dictionary_encode()
+        which, counts = langs.indices.to_numpy(), table["n"].to_numpy().astype(np.float64)
+        return build({x: (codes[which == k], counts[which == k]) for k, x in enumerate(langs.dictionary.to_pylist())})
 
     checked = _scored(d.where(out_of_fold).select(F.col("lang").alias("doc_id"), "text"), learn("fold")) \
         .where("doc_id = lang_pred").groupBy("lang_pred") \

@@ -131,10 +131,21 @@ def test_language_of_a_single_document_is_learned(spark):
     assert set(model.langs) == {r[2] for r in rows} and not np.isinf(model.accept[model.langs.index("en")])
 
 
-def test_language_model_bound(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    small = langid.train(docs, max_grams=500)
-    assert small.langs and small.tables[-1].size <= 500 * len(small.langs)
+def test_language_model_holds_every_ngram(spark):
+    """Nothing is left out of a language of more than a million distinct n-grams."""
+    import random
+
+    rng = random.Random(8)
+    alphabet = [chr(c) for c in range(0x3B1, 0x3C9)] + [chr(c) for c in range(0x430, 0x450)]
+    rows = [(k, "".join(rng.choices(alphabet, k=50_000)), "xx") for k in range(26)]
+    rows += [(100 + k, "plain words of another language " * 20, "en") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    seen = {" " * 3 + t + " " for _, t, x in rows if x == "xx"}
+    grams = {t[k:k + 4] for t in seen for k in range(len(t) - 3)}
+    assert len(grams) > 1_000_000 and model.tables[3].size >= len(grams)
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert out == {i: x for i, _, x in rows}
 
 
 # -- quality -------------------------------------------------------------------------------------
