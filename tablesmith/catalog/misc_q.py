@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from ..functions import types as TY
+from ..functions.types import NUMERIC_PATTERN
 from ..functions.hashing import sql_hash_int
 from ..operators import balance as B
 from ..operators import profile as P
@@ -302,15 +303,47 @@ def _static_plan(spark, sf):
     return d, ev, L.default_policy(ev, isnum)
 
 
-@register("plan_default_static")
+STATIC_COLS = ["o_totalprice", "o_orderpriority", "o_code", "o_cust", "o_datestr"]
+
+
+def _static_policy_sql() -> str:
+    """L-2 over the evidence of the columns above; a date is written as year, month and day here."""
+    ev = " UNION ALL ".join(f"""
+SELECT '{x}' AS "column", {str(x == "o_totalprice").lower()} AS isnum, count(*) FILTER (WHERE {x} IS NULL) / count(*) AS miss,
+       count(DISTINCT {x}) AS uc, count(DISTINCT {x}) / count(*) AS ur,
+       count(*) FILTER (WHERE {'true' if x == "o_totalprice" else f"regexp_matches({x}, '{NUMERIC_PATTERN}')"}) / greatest(count({x}), 1) AS np,
+       count(*) FILTER (WHERE regexp_matches(CAST({x} AS VARCHAR), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')) / greatest(count({x}), 1) AS dp
+FROM src""" for x in STATIC_COLS)
+    return f"""WITH src AS (SELECT o_totalprice, o_orderpriority, o_code, 'C' || o_custkey AS o_cust, strftime(o_orderdate, '%Y-%m-%d') AS o_datestr FROM ord),
+e AS ({ev}), t AS (SELECT *, CASE WHEN NOT isnum AND dp > 0.85 THEN 'datetime' WHEN isnum OR np > 0.85 THEN 'numeric' ELSE 'categorical' END AS type FROM e),
+h AS (SELECT *, (type = 'categorical' AND (ur > 0.98 OR (uc > 100 AND ur > 0.9))) OR (type = 'numeric' AND ur > 0.98) AS high FROM t)
+SELECT "column", type, miss > 0.6 OR (type = 'categorical' AND ur > 0.99) OR high AS "drop",
+       CASE WHEN type = 'numeric' THEN 'median' ELSE 'mode' END AS missing, 'keep' AS outlier,
+       CASE WHEN type = 'numeric' THEN 'none' WHEN type = 'categorical' AND uc <= 3 THEN 'onehot' ELSE 'label' END AS encoding,
+       false AS skip_scaling, CASE WHEN high THEN 'high_cardinality_drop' ELSE 'default_policy' END AS reason, 'default' AS source, uc, ur FROM h"""
+
+
+@register("plan_default_static", with_views(f"SELECT * EXCLUDE (uc, ur) FROM ({_static_policy_sql()})", "ord"))
 def plan_default_static(spark, sf):
     return _static_plan(spark, sf)[2]
 
 
-@register("plan_safeguards")
+@register("plan_safeguards", with_views(f"""
+WITH p AS (SELECT * REPLACE ("drop" OR "column" IN ('o_code', 'o_orderpriority') AS "drop",
+             CASE WHEN "column" = 'o_orderpriority' THEN 'onehot' ELSE encoding END AS encoding,
+             CASE WHEN "column" IN ('o_code', 'o_orderpriority') THEN 'override' ELSE source END AS source) FROM ({_static_policy_sql()})),
+f AS (SELECT *, type IN ('categorical', 'text') AND ur > 0.98 AS forced FROM p),
+o AS (SELECT *, "drop" AND NOT forced AS opt, floor(count(*) OVER () * 0.35) AS cap FROM f),
+r AS (SELECT *, sum(opt::INT) OVER (ORDER BY "column") AS k FROM o)
+SELECT "column", type, CASE WHEN opt AND k > cap THEN false ELSE "drop" OR forced END AS "drop", missing, outlier,
+       CASE WHEN encoding = 'onehot' AND uc > 3 THEN 'label' ELSE encoding END AS encoding, skip_scaling,
+       CASE WHEN opt AND k > cap THEN 'drop cap reached: kept' WHEN forced THEN 'forced high-cardinality drop' ELSE reason END AS reason, source
+FROM r""", "ord"))
 def plan_safeguards(spark, sf):
+    """L-6: two drops asked for besides the policy's own, of which the cap lets one through."""
     d, ev, pol = _static_plan(spark, sf)
-    return L.safeguards(pol, ev)
+    asked = L.plan_from_rows(spark, [{"column": "o_code", "drop": True}, {"column": "o_orderpriority", "drop": True, "encoding": "onehot"}])
+    return L.safeguards(L.merge_plan(pol, asked), ev)
 
 
 WARNINGS_SQL = f"""

@@ -247,7 +247,8 @@ def safeguards(plan: DataFrame, ev: DataFrame, max_onehot: int = 3, max_drop_sha
     j = j.withColumn("forced", forced).withColumn("drop", F.col("drop") | forced)
     n_feat = F.count(F.lit(1)).over(Window.partitionBy())
     cap = F.floor(n_feat * max_drop_share)
-    opt = F.col("drop") & ~F.col("forced")
+    j = j.withColumn("opt", F.col("drop") & ~F.col("forced"))      # before the cap changes "drop"
+    opt = F.col("opt")
     j = j.withColumn("opt_rank", F.sum(opt.cast("int")).over(Window.orderBy("column").rowsBetween(Window.unboundedPreceding, 0)))
     j = j.withColumn("drop", F.when(opt & (F.col("opt_rank") > cap), False).otherwise(F.col("drop")))
     j = j.withColumn("reason", F.when(opt & (F.col("opt_rank") > cap), "drop cap reached: kept")
