@@ -264,11 +264,45 @@ def profile_digest(spark, sf):
     return rounded(V.profile_digest(view(spark, sf, "li").select("_rid", *LI_ALL), "l_extendedprice"))
 
 
-@register("report_audit")
+def _audit_sql() -> str:
+    def stats(src):
+        return " UNION ALL ".join(f"""SELECT '{x}' AS c, avg({x}) AS mean, stddev_samp({x}) AS std, min({x})::DOUBLE AS lo, max({x})::DOUBLE AS hi FROM {src}"""
+                                  for x in LI_NUM)
+
+    cells = ", ".join(LI_ALL)
+    some = " OR ".join(f"{x} IS NULL" for x in LI_ALL)
+    err = "abs(o.{x} - n.{x}) / (abs(n.{x}) + 1e-9) * 100"
+    unique = " OR ".join(f"count(DISTINCT {x}) = count(*)" for x in LI_ALL)
+    flags = "SELECT '{k}' AS item, ({now}) AS there, ({was}) AS said"
+    issues = " UNION ALL ".join(flags.format(k=k, now=q.format(src="li"), was=q.format(src="lineitem")) for k, q in {
+        "missing_cells": f"SELECT count(*) > 0 FROM {{src}} WHERE {some}",
+        "duplicate_rows": f"SELECT count(*) > (SELECT count(*) FROM (SELECT DISTINCT {cells} FROM {{src}})) FROM {{src}}",
+        "unique_columns": f"SELECT {unique} FROM {{src}}"}.items())
+    ratio = "SELECT max(k) / min(k) >= 3 FROM (SELECT count(*) AS k FROM {src} GROUP BY l_returnflag)"
+    return with_views(sql_round(f"""
+WITH o AS ({stats("lineitem")}), n AS ({stats("li")}),
+f AS (SELECT n.c AS c, {err.format(x="mean")} AS mean, {err.format(x="std")} AS std, greatest({err.format(x="lo")}, {err.format(x="hi")}) AS range
+      FROM o JOIN n ON o.c = n.c),
+i AS (SELECT 'n_rows' AS item, ((SELECT count(*) FROM li) = (SELECT count(*) FROM lineitem))::INT::DOUBLE AS value UNION ALL SELECT 'n_columns', 1.0),
+u AS ({issues}), v AS (SELECT item, said::INT::DOUBLE AS value FROM u WHERE there),
+g AS (SELECT 'task' AS item, 1.0 AS value UNION ALL SELECT 'imbalance', (({ratio.format(src="li")}) = ({ratio.format(src="lineitem")}))::INT::DOUBLE),
+e AS (SELECT c || '.mean' AS item, mean AS value FROM f UNION ALL SELECT c || '.std', std FROM f UNION ALL SELECT c || '.range', range FROM f),
+t AS (SELECT 'invariant' AS item, avg(value) * 100 AS value FROM i UNION ALL SELECT 'fidelity', greatest(0.0, 100 - avg(value)) FROM e
+      UNION ALL SELECT 'coverage', coalesce(avg(value) * 100, 100) FROM v UNION ALL SELECT 'agreement', avg(value) * 100 FROM g)
+SELECT 'invariant' AS section, item, value FROM i UNION ALL SELECT 'fidelity', item, value FROM e
+UNION ALL SELECT 'coverage', item, value FROM v UNION ALL SELECT 'agreement', item, value FROM g
+UNION ALL SELECT 'trust', item, value FROM t UNION ALL SELECT 'trust', 'overall', (SELECT avg(value) FROM t)""", ["value"]), "li")
+
+
+@register("report_audit", _audit_sql())
 def report_audit(spark, sf):
-    d = view(spark, sf, "li")
-    stored = P.numeric_profile(d.where(F.col("l_discount") < 0.1))   # a stale report of part of the table
-    return rounded(V.report_audit(stored, d))
+    """P-24: the stored report of the raw table against the table with its gaps and outliers."""
+    raw = view(spark, sf, "lineitem").select(*LI_ALL)
+    root = _scratch(spark, "stored")
+    for name, t in V.report_tables(raw, T).items():
+        IO.write_table(t, f"{root}/{name}")
+    stored = {k: spark.read.parquet(f"{root}/{k}") for k in ("summary", "numeric", "missing", "distinct", "target")}
+    return rounded(V.report_audit(stored, view(spark, sf, "li").select(*LI_ALL), T))
 
 
 @register("quality_warnings_dynamic")

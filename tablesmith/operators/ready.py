@@ -152,15 +152,60 @@ def prep_summary(df: DataFrame, target: str, n_raw: int | None = None) -> DataFr
                     else F.lit(0).cast("long").alias("rows_removed"))
 
 
-def report_audit(stored: DataFrame, df: DataFrame, quantiles: str = "exact") -> DataFrame:
-    """P-24: join a stored numeric profile with a recomputed one on ``column``; relative
-    error (%) of mean, std and range, and a trust score (100 − mean error, ≥ 0)."""
-    now = P.numeric_profile(df, None, quantiles).select(
-        "column", F.col("mean").alias("n_mean"), F.col("std").alias("n_std"), (F.col("max") - F.col("min")).alias("n_range"))
-    s = stored.select("column", "mean", "std", (F.col("max") - F.col("min")).alias("range"))
-    j = s.join(now, "column")
-    err = lambda a, b: F.abs(F.col(a) - F.col(b)) / (F.abs(F.col(b)) + 1e-9) * 100
-    out = j.select("column", err("mean", "n_mean").alias("mean_err_pct"), err("std", "n_std").alias("std_err_pct"),
-                   err("range", "n_range").alias("range_err_pct"))
-    return out.withColumn("trust", F.greatest(F.lit(0.0), 100 - (F.col("mean_err_pct") + F.col("std_err_pct")
-                                                                 + F.col("range_err_pct")) / 3))
+def report_tables(df: DataFrame, target: str) -> dict[str, DataFrame]:
+    """What a stored report says of a table, as small tables: summary, numeric, missing, distinct, target."""
+    cols = [x for x in df.columns if not x.startswith("_")]
+    d = df.select(*[c(x) for x in cols])
+    classes = d.where(c(target).isNotNull()).groupBy(c(target)).agg(F.count(F.lit(1)).alias("k"))
+    ratio = F.max("k") / F.min("k")
+    return {"summary": P.duplicate_rows(d, cols).select("n_rows", F.lit(len(cols)).cast("long").alias("n_columns"), "duplicate_rows"),
+            "numeric": P.numeric_profile(d).select("column", "mean", "std", "min", "max"),
+            "missing": P.missing_profile(d).select("column", "missing_count"),
+            "distinct": P.distinct_profile(d).select("column", "is_unique_per_row"),
+            "target": classes.agg(F.when(F.count(F.lit(1)) <= 20, "classification").otherwise("regression").alias("task_type"),
+                                  F.when((F.count(F.lit(1)) > 1) & (ratio >= 3), ratio).alias("imbalance_ratio"))}
+
+
+def report_audit(stored: dict[str, DataFrame], df: DataFrame, target: str) -> DataFrame:
+    """P-24: a stored report (``report_tables``) against the table itself, as (section, item, value).
+
+    ``invariant``: 1 where rows and columns agree; ``fidelity``: relative errors in percent of mean, standard
+    deviation and range of each number column; ``coverage``: of the problems that the table has (missing
+    cells, duplicate rows, unique columns), 1 where the report has them too; ``agreement``: 1 where task and
+    imbalance agree; ``trust``: the four as percentages, and their mean."""
+    was = {k: t.collect() for k, t in stored.items()}               # a row a column at most
+    now = {k: t.collect() for k, t in report_tables(df, target).items()}
+    rows = []
+
+    def add(section, items):
+        rows.extend((section, k, float(v)) for k, v in items.items())
+        return sum(map(float, items.values())) / len(items) * 100 if items else 100.0
+
+    a, b = was["summary"][0], now["summary"][0]
+    parts = {"invariant": add("invariant", {k: a[k] == b[k] for k in ("n_rows", "n_columns")})}
+    old = {r["column"]: r for r in was["numeric"]}
+
+    def error(x, y):
+        return abs(x - y) / (abs(y) + 1e-9) * 100
+
+    errors = {}
+    for r in now["numeric"]:
+        o = old.get(r["column"])
+        if o is None or r["mean"] is None or o["mean"] is None:
+            continue
+        errors |= {f"{r['column']}.mean": error(o["mean"], r["mean"]), f"{r['column']}.std": error(o["std"] or 0.0, r["std"] or 0.0),
+                   f"{r['column']}.range": max(error(o["min"], r["min"]), error(o["max"], r["max"]))}
+    add("fidelity", errors)
+    parts["fidelity"] = max(0.0, 100 - (sum(errors.values()) / len(errors) if errors else 0.0))
+
+    def problems(t):
+        return {"missing_cells": any(r["missing_count"] for r in t["missing"]), "duplicate_rows": t["summary"][0]["duplicate_rows"] > 0,
+                "unique_columns": any(r["is_unique_per_row"] for r in t["distinct"])}
+
+    there, said = problems(now), problems(was)
+    parts["coverage"] = add("coverage", {k: said[k] for k, v in there.items() if v})
+    a, b = was["target"][0], now["target"][0]
+    parts["agreement"] = add("agreement", {"task": a["task_type"] == b["task_type"],
+                                           "imbalance": (a["imbalance_ratio"] is None) == (b["imbalance_ratio"] is None)})
+    rows += [("trust", k, v) for k, v in parts.items()] + [("trust", "overall", sum(parts.values()) / 4)]
+    return df.sparkSession.createDataFrame(rows, "section string, item string, value double")
