@@ -28,13 +28,13 @@ PREP_SRC_SQL = "(SELECT _rid, l_quantity, l_extendedprice, l_discount, l_tax, l_
                "l_returnflag, 'L' || CAST(_rid AS VARCHAR) AS line_id FROM li)"
 
 _DTYPE = {"l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
-          "l_linestatus": "string", "l_shipdate": "timestamp_ntz", "line_id": "string"}
+          "l_linestatus": "string", "l_shipdate": "timestamp_ntz", "line_id": "string", T: "string"}
 _NUMERIC = {"l_quantity", "l_extendedprice", "l_discount", "l_tax"}
 
 
-def _evidence_sql():
+def _evidence_sql(cols=None):
     parts = []
-    for x in EV_COLS:
+    for x in cols or EV_COLS:
         parsed = f"count({x})" if x in _NUMERIC else (
             f"count(*) FILTER (WHERE regexp_matches(CAST({x} AS VARCHAR), '{NUMERIC_PATTERN}'))"
             if _DTYPE[x] == "string" else "0")
@@ -56,11 +56,19 @@ def evidence_dynamic(spark, sf):
     return rounded(L.evidence(prep_source(spark, sf), T))
 
 
-@register("preprocessing_context", with_views(sql_round(_evidence_sql(), ["missing_ratio", "unique_ratio",
-                                                                           "numeric_parse_ratio"]), "li"))
+def _context_sql():
+    stats = " UNION ALL ".join(f"""SELECT '{x}' AS "column", {f'avg({x}), stddev_samp({x}), skewness({x})' if x in _NUMERIC else ', '.join(['avg(NULL::DOUBLE)'] * 3)}
+FROM src""" for x in [*EV_COLS, T])
+    return with_views(sql_round(f"""WITH ev AS ({_evidence_sql([*EV_COLS, T])}), src AS {PREP_SRC_SQL},
+st("column", mean, std, skewness) AS ({stats})
+SELECT ev.*, mean, std, skewness, ev.column = '{T}' AS is_target FROM ev JOIN st ON st.column = ev.column""",
+        ["missing_ratio", "unique_ratio", "numeric_parse_ratio", "mean", "std", "skewness"]), "li")
+
+
+@register("preprocessing_context", _context_sql())
 def preprocessing_context(spark, sf):
-    """P-17: per-column context (dtype, missing, unique, first 5 sample values)."""
-    return rounded(L.evidence(prep_source(spark, sf), T))
+    """P-17: what a planner reads of every column, the target's too: evidence, first values, moments of numbers."""
+    return rounded(L.planner_context(prep_source(spark, sf), T))
 
 
 @register("evidence_target", with_views(sql_round("""

@@ -42,7 +42,7 @@ def _feature_cols(df: DataFrame, target: str | None) -> list[str]:
     return [n for n in df.columns if n != target and not n.startswith("_")]
 
 
-def evidence(df: DataFrame, target: str, sample_k: int = 5, static: bool = False) -> DataFrame:
+def evidence(df: DataFrame, target: str | None, sample_k: int = 5, static: bool = False) -> DataFrame:
     """One row per feature column: dtype, missing_count/ratio, unique_count/ratio,
     numeric_parse_ratio, (static) datetime_parse_ratio, sample_values (first k non-null
     values by ``_rid``, comma-joined).  P-18; with ``static`` also P-19's parse ratio."""
@@ -95,6 +95,14 @@ def evidence(df: DataFrame, target: str, sample_k: int = 5, static: bool = False
     return out
 
 
+def planner_context(df: DataFrame, target: str, sample_k: int = 5) -> DataFrame:
+    """P-17: ``evidence`` of every column and the target, with mean, std and skewness of numbers and is_target."""
+    from ..operators.profile import numeric_profile
+    ev = evidence(df, None, sample_k)
+    moments = numeric_profile(df).select("column", "mean", "std", "skewness")
+    return ev.join(moments, "column", "left").withColumn("is_target", F.col("column") == F.lit(target))
+
+
 def target_evidence(df: DataFrame, target: str, max_classes: int = 20, duplicates: bool = True) -> DataFrame:
     """One row: rows, target missing/unique counts, task type (string or ≤ max_classes
     distinct → classification), class count extremes and imbalance (classification only),
