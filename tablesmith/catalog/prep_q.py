@@ -21,8 +21,9 @@ T = "l_returnflag"
 
 
 def li_split(spark, sf, *cols):
-    """The stratified split of the columns needed: a filter of each row against its class's threshold."""
-    return D.split_stratified(view(spark, sf, "li").select("_rid", T, *cols), T, 0.2, 42)
+    """The stratified split; with columns for fits, which read it several times, it is written once."""
+    out = D.split_stratified(view(spark, sf, "li").select("_rid", T, *cols), T, 0.2, 42)
+    return checkpoint(out) if cols else out
 
 
 # li with the stratified split, in DuckDB (largest remainder over classes, hash rank)
