@@ -8,7 +8,10 @@
    hashes.  Of a hash that occurs more than once, all occurrences but the first by
    (doc_id, start) are marked.  A flush of about ``FLUSH_WINDOWS`` windows has done so for
    itself before: a bucket gets a hash once from each flush, however often it occurs.
-3. Marks are regrouped by the document's hash and merged into maximal word intervals, and the
+   From ``FAN`` buckets on (about 25 GB of text) buckets are dealt in two rounds: rows of the
+   first hold a group of buckets each, and tasks that read such groups in streams deal them out, so a
+   row has about ``FLUSH_WINDOWS / FAN`` windows or more, up to ``FAN`` squared buckets (100 TB).
+3. Marks are dealt in the same rounds, regrouped by the document's hash and merged into maximal word intervals, and the
    documents join their intervals.
 
 Two different windows are taken for one only if 64 bits of hash and the bucket agree: with n
@@ -37,7 +40,8 @@ from .common import (ROUTE_BASE, SPACES, WINDOW_BASE, cut, from_planes, mix, pie
 
 BUCKET_WINDOWS = 1 << 20
 FLUSH_WINDOWS = 1 << 20
-SHARE = "bucket int, ids binary, tags binary, counts binary, gaps binary, hashes binary"
+FAN = 1 << 12           # shuffled rows that a flush makes at most
+SHARE = "bucket int, ids binary, tags binary, counts binary, gaps binary, hashes binary, subs binary"
 MARKS = "part int, ids binary, tags binary, counts binary, starts binary"
 SPANS = "doc_id long, tag long, spans binary"
 
@@ -77,9 +81,9 @@ def repeats(h: np.ndarray, route: np.ndarray, ids: np.ndarray, tags: np.ndarray,
     return at[gone], at[~gone & ~new]
 
 
-def packed_marks(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple]:
-    """MARKS rows of windows to remove; documents are dealt to parts by hash."""
-    part = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+def packed_marks(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, parts: int, fine: int = 1) -> list[tuple]:
+    """MARKS rows of windows to remove; documents are dealt to parts by hash, ``fine`` parts to a row."""
+    part = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64) // fine
     order = np.lexsort((starts, tags, ids, part))
     ids, tags, starts, part = ids[order], tags[order], starts[order], part[order]
     rows = []
@@ -92,38 +96,65 @@ def packed_marks(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, parts: i
     return rows
 
 
-def window_shares(length: int, buckets: int):
-    """mapInArrow function: (doc_id, tag, text) to SHARE rows.  Only the first window of each hash in a flush goes to
-    its hash's bucket; the others are repeats already and go as MARKS rows (without hashes) to their part's number."""
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "tags", "counts", "gaps", "hashes"))])
-
-    def flush(held):
-        hashes, route = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-        row, start = (np.concatenate([x[k] for x in held]) for k in (2, 3))
-        ids, tags = (np.concatenate([x[k] for x in held]) for k in (4, 5))
-        gone, copies = repeats(hashes, route, ids[row], tags[row], start)
-        marks = packed_marks(ids[row[gone]], tags[row[gone]], start[gone].astype(np.int64), buckets)
-        out = [list(x) for x in zip(*marks, strict=True)] or [[], [], [], [], []]
-        out.append([None] * len(out[0]))
-        left = np.ones(len(hashes), bool)
-        left[gone] = left[copies] = False
-        order = np.flatnonzero(left)
-        order = order[np.argsort(route[order], kind="stable")]
-        cuts = np.flatnonzero(np.diff(route[order])) + 1
-        for part in np.split(order, cuts):
-            rows = row[part]
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            out[0].append(int(route[part[0]]))
-            out[1].append(planes(np.diff(ids[rows[first]], prepend=0)))
-            out[2].append(packed_tags(tags[rows[first]]))
-            out[3].append(planes(np.diff(np.append(first, len(rows))).astype(np.uint32)))
-            starts = start[part].astype(np.int64)
-            gaps = np.diff(starts, prepend=0)
-            gaps[first] = starts[first]
-            out[4].append(planes(gaps.astype(np.uint32)))
-            out[5].append(hashes[part].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])],
-                                          schema=schema)
+def unpacked_marks(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, tags, starts) of the windows of MARKS rows, given as (ids, tags, counts, starts)."""
+    ids, tags, starts = [], [], []
+    for d, t, n, s in rows:
+        counts = from_planes(n, np.uint32)
+        ids.append(np.repeat(np.cumsum(from_planes(d, np.int64)), counts))
+        tags.append(np.repeat(unpacked_tags(t, len(counts)), counts))
+        starts.append(from_planes(s, np.uint32).astype(np.int64))
+    return tuple(np.concatenate(x) for x in (ids, tags, starts))
+
+
+SHARE_ARROW = pa.schema([("bucket", pa.int32()),
+                         *((c, pa.binary()) for c in ("ids", "tags", "counts", "gaps", "hashes", "subs"))])
+MARKS_ARROW = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("ids", "tags", "counts", "starts"))])
+
+
+def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def packed_shares(held: list[tuple], parts: int, fine: int, part_fine: int) -> list[tuple]:
+    """SHARE rows of the held windows (hashes, buckets, document numbers, starts, and the documents' ids and tags).
+    Only the first window of each hash goes on to its bucket, ``fine`` buckets to a row; the others are repeats already
+    and go as MARKS rows (without hashes), ``part_fine`` parts to a row, by way of any of these parts' numbers."""
+    hashes, bucket, row, start = (np.concatenate([x[k] for x in held]) for k in range(4))
+    ids, tags = (np.concatenate([x[k] for x in held]) for k in (4, 5))
+    gone, copies = repeats(hashes, bucket, ids[row], tags[row], start)
+    marks = packed_marks(ids[row[gone]], tags[row[gone]], start[gone].astype(np.int64), parts, part_fine)
+    by_way = int(mix(hashes[:1])[0] % np.uint64(part_fine))
+    out = [(x[0] * part_fine + by_way, *x[1:], None, None) for x in marks]
+    left = np.ones(len(hashes), bool)
+    left[gone] = left[copies] = False
+    order = np.flatnonzero(left)
+    order = order[np.argsort(bucket[order] // fine, kind="stable")]
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order] // fine)) + 1):
+        rows = row[part]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        starts = start[part].astype(np.int64)
+        gaps = np.diff(starts, prepend=0)
+        gaps[first] = starts[first]
+        out.append((int(bucket[part[0]]) // fine, planes(np.diff(ids[rows[first]], prepend=0)), packed_tags(tags[rows[first]]),
+                    planes(np.diff(np.append(first, len(rows))).astype(np.uint32)), planes(gaps.astype(np.uint32)),
+                    hashes[part].tobytes(), (bucket[part] % fine).astype(np.uint16).tobytes() if fine > 1 else b""))
+    return out
+
+
+def unpacked_share(ids: bytes, tags: bytes, counts: bytes, gaps: bytes) -> tuple:
+    """(document numbers, starts, the documents' ids and tags) of a SHARE row's windows."""
+    counts = from_planes(counts, np.uint32).astype(np.int64)
+    gaps = from_planes(gaps, np.uint32).astype(np.int64)
+    total = np.cumsum(gaps)
+    first = np.cumsum(counts) - counts
+    return (np.repeat(np.arange(len(counts)), counts), total - np.repeat(total[first] - gaps[first], counts),
+            np.cumsum(from_planes(ids, np.int64)), unpacked_tags(tags, len(counts)))
+
+
+def window_shares(length: int, buckets: int, fine: int = 1):
+    """mapInArrow function: (doc_id, tag, text) to SHARE rows."""
 
     def run(batches):
         held, size, docs = [], 0, 0
@@ -144,35 +175,76 @@ def window_shares(length: int, buckets: int):
                              tags[i:j].astype(np.int64)))
                 size, docs = size + len(ok), docs + j - i
                 if size >= FLUSH_WINDOWS:
-                    yield flush(held)
+                    yield arrow_rows(packed_shares(held, buckets, fine, fine), SHARE_ARROW)
                     held, size, docs = [], 0, 0
         if size:
-            yield flush(held)
+            yield arrow_rows(packed_shares(held, buckets, fine, fine), SHARE_ARROW)
 
     return run
 
 
-def mark_repeats(parts: int):
+def split_shares(buckets: int, fine: int):
+    """mapInArrow function: SHARE rows of ``fine`` buckets each to SHARE rows of one bucket each.  A flush again keeps
+    only the first window of each hash, so a window found in every flush of the first round is thinned out here."""
+
+    def run(batches):
+        held, size, docs = [], 0, 0
+        for batch in batches:
+            done = []
+            for b, d, t, n, g, h, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if h is None:
+                    done.append((b, d, t, n, g, None, None))
+                    continue
+                row, start, ids, tags = unpacked_share(d, t, n, g)
+                bucket = np.int32(b * fine) + np.frombuffer(s, np.uint16).astype(np.int32)
+                held.append((np.frombuffer(h, np.uint64), bucket, row + docs, start, ids, tags))
+                size, docs = size + len(row), docs + len(ids)
+                if size >= FLUSH_WINDOWS:
+                    done += packed_shares(held, buckets, 1, fine)
+                    held, size, docs = [], 0, 0
+            yield arrow_rows(done, SHARE_ARROW)
+        if size:
+            yield arrow_rows(packed_shares(held, buckets, 1, fine), SHARE_ARROW)
+
+    return run
+
+
+def split_marks(parts: int):
+    """mapInArrow function: MARKS rows of several parts each to MARKS rows of one part each."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, d, t, n, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                held.append((d, t, n, s))
+                size += len(s)
+                if size >= FLUSH_WINDOWS:       # starts take a byte each at least
+                    yield arrow_rows(packed_marks(*unpacked_marks(held), parts), MARKS_ARROW)
+                    held, size = [], 0
+        if held:
+            yield arrow_rows(packed_marks(*unpacked_marks(held), parts), MARKS_ARROW)
+
+    return run
+
+
+def mark_repeats(parts: int, fine: int = 1):
     """applyInPandas function: the SHARE rows of one bucket to MARKS rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, ids, tags, starts, rows = [], [], [], [], []
         for r in pdf.itertuples(index=False):
             if r.hashes is None:
-                rows.append((r.bucket, r.ids, r.tags, r.counts, r.gaps))
+                rows.append((r.bucket // fine, r.ids, r.tags, r.counts, r.gaps))
                 continue
+            row, start, d, t = unpacked_share(r.ids, r.tags, r.counts, r.gaps)
             hashes.append(np.frombuffer(r.hashes, np.uint64))
-            counts = from_planes(r.counts, np.uint32).astype(np.int64)
-            ids.append(np.repeat(np.cumsum(from_planes(r.ids, np.int64)), counts))
-            tags.append(np.repeat(unpacked_tags(r.tags, len(counts)), counts))
-            gaps = from_planes(r.gaps, np.uint32).astype(np.int64)
-            total = np.cumsum(gaps)
-            first = np.cumsum(counts) - counts
-            starts.append(total - np.repeat(total[first] - gaps[first], counts))
+            ids.append(d[row])
+            tags.append(t[row])
+            starts.append(start)
         if hashes:
             h, ids, tags, starts = (np.concatenate(x) for x in (hashes, ids, tags, starts))
             gone, _ = repeats(h, np.zeros(len(h), np.int8), ids, tags, starts)
-            rows += packed_marks(ids[gone], tags[gone], starts[gone], parts)
+            rows += packed_marks(ids[gone], tags[gone], starts[gone], parts, fine)
         return pd.DataFrame(rows, columns=["part", "ids", "tags", "counts", "starts"])
 
     return run
@@ -183,13 +255,7 @@ def merge_spans(length: int):
     intervals, (first word, end) pairs of int64."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, tags, starts = [], [], []
-        for r in pdf.itertuples(index=False):
-            counts = from_planes(r.counts, np.uint32)
-            ids.append(np.repeat(np.cumsum(from_planes(r.ids, np.int64)), counts))
-            tags.append(np.repeat(unpacked_tags(r.tags, len(counts)), counts))
-            starts.append(from_planes(r.starts, np.uint32).astype(np.int64))
-        ids, tags, starts = (np.concatenate(x) for x in (ids, tags, starts))
+        ids, tags, starts = unpacked_marks(zip(pdf["ids"], pdf["tags"], pdf["counts"], pdf["starts"], strict=True))
         order = np.lexsort((starts, tags, ids))
         ids, tags, starts = ids[order], tags[order], starts[order]
         other = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
@@ -220,9 +286,16 @@ def repeated_spans(docs: DataFrame, length: int = 20, text: str = "text", doc_id
 
 def _spans_of(d: DataFrame, length: int) -> DataFrame:
     d = d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    buckets = max(1, -(-window_count(d) // BUCKET_WINDOWS))
-    shares = ship(d).mapInArrow(window_shares(length, buckets), SHARE)
-    marks = shares.groupBy("bucket").applyInPandas(mark_repeats(buckets), MARKS)
+    groups = max(1, -(-window_count(d) // BUCKET_WINDOWS))
+    fine = -(-groups // FAN)                # buckets that one row of the first round holds
+    groups = -(-groups // fine)
+    buckets = groups * fine
+    shares = ship(d).mapInArrow(window_shares(length, buckets, fine), SHARE)
+    if fine > 1:
+        shares = shares.repartition(groups, "bucket").mapInArrow(split_shares(buckets, fine), SHARE)
+    marks = shares.groupBy("bucket").applyInPandas(mark_repeats(buckets, fine), MARKS)
+    if fine > 1:
+        marks = marks.repartition(groups, "part").mapInArrow(split_marks(buckets), MARKS)
     return marks.groupBy("part").applyInPandas(merge_spans(length), SPANS)
 
 

@@ -67,6 +67,36 @@ def test_substrings_cross_flushes_and_buckets(small, monkeypatch):
     assert got == want
 
 
+def test_substrings_dealt_in_two_rounds(small, monkeypatch):
+    """From FAN buckets on windows and marks are dealt to groups of buckets first; nothing else changes."""
+    want = {r.doc_id: r.kept_sha256 for r in substring.dedup_substrings(small).collect()}
+    for fan, bucket in ((1, 2000), (3, 1000)):
+        monkeypatch.setattr(substring, "FAN", fan)
+        monkeypatch.setattr(substring, "BUCKET_WINDOWS", bucket)
+        plan = substring.repeated_spans(small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") >= 3
+        got = {r.doc_id: r.kept_sha256 for r in substring.dedup_substrings(small.repartition(5)).collect()}
+        assert got == want
+
+
+def test_substrings_second_round_keeps_repeats_of_other_flushes():
+    """Two shares of one window: the later one becomes a mark, dealt by way of a bucket of its group of parts."""
+    import pyarrow as pa
+    text = " ".join(f"w{i}" for i in range(30))
+    shares = []
+    for doc in (7, 5):
+        batch = pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([0]), pa.array([text])], names=["doc_id", "tag", "text"])
+        shares += [r for b in substring.window_shares(20, 12, 3)(iter([batch])) for r in b.to_pylist()]
+    batch = substring.arrow_rows([tuple(r.values()) for r in shares], substring.SHARE_ARROW)
+    out = [r for b in substring.split_shares(12, 3)(iter([batch])) for r in b.to_pylist()]
+    marks = [(r["ids"], r["tags"], r["counts"], r["gaps"]) for r in out if r["hashes"] is None]
+    ids, _, starts = substring.unpacked_marks(marks)
+    assert set(ids.tolist()) == {7} and sorted(starts.tolist()) == list(range(11))
+    kept = [substring.unpacked_share(r["ids"], r["tags"], r["counts"], r["gaps"]) for r in out if r["hashes"] is not None]
+    assert sorted(int(x) for k in kept for x in k[1]) == list(range(11)) and all(set(k[2].tolist()) == {5} for k in kept)
+    assert all(r["subs"] == b"" for r in out if r["hashes"] is not None)
+
+
 def test_substrings_of_a_hot_passage_reach_a_bucket_once(spark, monkeypatch):
     """However often a window occurs in a flush, its bucket gets it once; documents are dealt by hash."""
     import pyarrow as pa
