@@ -6,9 +6,10 @@ proportion to its weight and the draws of the other children never change with i
 weight changes, rows move only between that node's subtree and its siblings, on its path; a
 shard added as a region of its own takes rows only into itself.
 
-Slots number the rows of a shard from 0 without gaps, in the order of a hash of the key.  The
-order's ranges are counted first and only ranges of about ``RANGE_ROWS`` rows are numbered by
-a window, so no shard is ever sorted in one task.
+Slots number the rows of a shard from 0 without gaps, in the order of a hash of the key, then key,
+CRC and size.  Equal rows are counted first, in chunks of at most ``RANGE_ROWS``; the chunks are range
+partitioned in that order and numbered by prefix sums, and each then gives its rows' slots.  So
+neither a shard nor a key that many rows share, equal or not, is ever sorted in one task.
 
 Defined cases: a null text has no bytes and CRC 0; rows without key are placed like the empty
 string; rows of equal key share a shard and their slots follow in the order of CRC and size;
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.operators.common import prefix_sums
+
 RANGE_ROWS = 4096
 
 
@@ -78,17 +81,17 @@ def assign(docs: DataFrame, tree: list[Leaf], grown_tree: list[Leaf] | None = No
            key: str = "doc_id") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, grown_shard) for every row."""
     k, t = F.col(key), F.col(text)
-    rows = docs.select(
+    same = docs.select(
         k.alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + 8).alias("size"),
-        F.coalesce(F.crc32(t), F.lit(0)).cast("long").alias("text_crc32"), place(k, tree).alias("shard"),
-        (place(k, grown_tree) if grown_tree else F.lit(None).cast("int")).alias("grown_shard"),
-        F.conv(F.substring(F.md5(key_text(k)), 1, 8), 16, 10).cast("long").alias("_at"))
-    ranges = max(1, docs.count() // (len(tree) * RANGE_ROWS))
-    rows = rows.withColumn("_range", F.floor(F.col("_at") * ranges / F.lit(2 ** 32)).cast("int"))
-    sizes = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_range").orderBy("_at", "doc_id", "text_crc32", "size")
-    return rows.join(first, ["shard", "_range"]).select(
-        "doc_id", "size", "text_crc32", "shard",
-        (F.col("_first") + F.row_number().over(within) - 1).cast("long").alias("slot"), "grown_shard")
+        F.coalesce(F.crc32(t), F.lit(0)).cast("long").alias("text_crc32")) \
+        .groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_copies"))
+    chunks = same.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {RANGE_ROWS}L")))) \
+        .withColumn("_n", F.least(F.lit(RANGE_ROWS).cast("long"), F.col("_copies") - F.col("_chunk") * RANGE_ROWS))
+    own = F.col("doc_id")
+    rows = chunks.select(
+        "doc_id", "size", "text_crc32", "_n", place(own, tree).alias("shard"),
+        (place(own, grown_tree) if grown_tree else F.lit(None).cast("int")).alias("grown_shard"),
+        F.struct(F.conv(F.substring(F.md5(key_text(own)), 1, 8), 16, 10).cast("long"), own, "text_crc32", "size", "_chunk").alias("_order"))
+    numbered = prefix_sums(rows, ["shard"], "_order", {"_first": F.col("_n")})
+    return numbered.select("doc_id", "size", "text_crc32", "shard",
+                           F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("slot"), "grown_shard")

@@ -355,6 +355,22 @@ def test_shards_weights_and_movement(spark, monkeypatch):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_shards_of_a_hot_key(spark, monkeypatch):
+    """A third of the rows equal, a third without key: counted and range partitioned, no slot lost or given twice."""
+    monkeypatch.setattr(shards, "RANGE_ROWS", 50)
+    ids = spark.range(900).select(F.when(F.col("id") % 3 == 1, 5).when(F.col("id") % 3 == 2, F.col("id")).alias("doc_id"),
+                                  F.when(F.col("id") % 3 == 1, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    tree = shards.uniform_tree(24)
+    rows = shards.assign(ids, tree, shards.grown(tree)).collect()
+    assert Counter(r.doc_id for r in rows)[5] == 301 and sum(r.doc_id is None for r in rows) == 300
+    assert len({r.shard for r in rows if r.doc_id is None}) == 1
+    by_shard = Counter(r.shard for r in rows)
+    for s, n in by_shard.items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+    again = shards.assign(ids.repartition(7), tree, shards.grown(tree)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
+
+
 # -- vector index --------------------------------------------------------------------------------
 
 def brute_links(rows, threshold):
