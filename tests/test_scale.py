@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_CHECK
+
 
 @pytest.mark.parametrize("shape", ["normal", "ties", "tail"])
 def test_narrowed_quantiles_and_ranks_are_exact(spark, monkeypatch, shape):
@@ -83,3 +85,27 @@ def test_order_cuts_with_a_forced_narrowing(spark, monkeypatch):
     kept = O.remove_outlier_rows_capped(df, bounds, 0.05)
     assert kept.count() == 4750
     assert sorted(r["_rid"] for r in kept.where("x < 2").collect()) == bad[250:]
+
+
+def test_small_tables_of_few_row_groups_are_dealt_to_all_cores(spark, monkeypatch):
+    from tablesmith.sources import tables
+    plain = spark.read.parquet(f"{SF_CHECK}/lineitem.parquet")
+    rows = sorted(map(tuple, plain.collect()))
+
+    def dealt():
+        df = tables.read_table(spark, SF_CHECK, "lineitem")
+        assert sorted(map(tuple, df.collect())) == rows
+        return "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert not dealt()                                  # under SPREAD_FROM bytes
+    monkeypatch.setattr(tables, "SPREAD_FROM", 1)
+    assert dealt()
+    narrow = tables.read_table(spark, SF_CHECK, "lineitem").where("l_tax > 0.02").select("l_discount")
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "l_comment" not in plan and "l_partkey" not in plan and "GreaterThan(l_tax" in plan
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        assert not dealt()                              # more than a split a core: read as it is
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
