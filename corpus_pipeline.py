@@ -1,5 +1,5 @@
 """The corpus pipeline: five operators over ``documents``, each stage's result written as
-Parquet and read again as the next one's input.
+Parquet and read again as the next one's input; a stage's folder goes once the next is written.
 
 A stage is a function (spark, docs, sf_dir) -> DataFrame.  All but the last return the columns
 of documents; the last returns token ids.  ``n_chars`` follows the text where a stage changes it.
@@ -59,4 +59,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with scoped_tables(spark):      # a stage's intermediate tables go once its result is written
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{root}/{k}")
         docs = spark.read.parquet(f"{root}/{k}")
+        if k:                           # the input of a written stage is not read again
+            delete(spark, f"{root}/{k - 1}")
     return docs
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
