@@ -1,5 +1,8 @@
 """The registered queries: SQL where there is some, whole tables, and the pipeline step by step."""
 
+from pathlib import Path
+from urllib.parse import urlparse
+
 import duckdb
 import pytest
 
@@ -56,4 +59,6 @@ def test_pipeline_keeps_and_drops(spark):
     clean = decontam.scan(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where(~F.col("contaminated"))
     assert ids == {r.doc_id for r in clean.collect()}
     out = corpus_pipeline.run(spark, SF)
+    last = Path(urlparse(out.inputFiles()[0]).path).parent
+    assert last.name == "4" and [p.name for p in last.parent.iterdir()] == ["4"]        # no copies of earlier stages stay
     assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and 0 < out.count() < docs.count()
