@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.types import c
-
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -92,7 +90,7 @@ SPREAD_FROM = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scanned table dealt to all cores by its first column, the key, where its files are too few for that: a row group is read by one
+    """A scanned table dealt evenly to all cores where its files are too few for that: a row group is read by one
     task, however many cores there are.  Only tables of under one input split a core are dealt (a shuffle of all
     their rows, after column pruning and filters); larger ones are read as they are, and tables of under
     ``SPREAD_FROM`` bytes are not worth it.  The size is the files', taken from the plan without a job."""
@@ -100,7 +98,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, c(df.columns[0])) if SPREAD_FROM <= size < cores * split else df
+    return df.repartition(cores) if SPREAD_FROM <= size < cores * split else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

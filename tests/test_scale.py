@@ -95,7 +95,7 @@ def test_small_tables_of_few_row_groups_are_dealt_to_all_cores(spark, monkeypatc
     def dealt():
         df = tables.read_table(spark, SF_CHECK, "lineitem")
         assert sorted(map(tuple, df.collect())) == rows
-        return "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+        return "Repartition " in df._jdf.queryExecution().optimizedPlan().toString()
 
     assert not dealt()                                  # under SPREAD_FROM bytes
     monkeypatch.setattr(tables, "SPREAD_FROM", 1)
