@@ -8,6 +8,12 @@ within the radius is done; the others go on with twice the radius.  The first ra
 few probes and is halved until a row meets ``MOST`` candidates on average, so dense regions are
 settled at small radii and no all-pairs product is formed.
 
+That holds as long as the axes hold the whole vector.  Vectors of more than ``AXES`` numbers are
+searched by tiles instead (``search_tiles``): rows near one pivot are packed into blocks, a block
+of probes gets a bound for its k-th distance from the nearest block of base rows, and meets only
+blocks that can hold something nearer.  A tile is one matrix product; what its rounding leaves open is computed
+exactly.  Without clusters all tiles are computed, with two blocks in a task's memory.
+
 Equal vectors are searched once for all of them, and of the base rows with one vector only the
 smallest ids that can be among the k nearest are kept (a group limit before the shuffle).  Rows
 whose vector is missing or not finite have no neighbours and are none.
@@ -20,6 +26,7 @@ from itertools import product
 from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +43,11 @@ AXES = 3
 MOST = 256              # candidates of a row on average, in the first round
 WIDE = 1 + 1e-9         # a cell is a trifle wider than the radius, as projections are rounded
 NO_CELL = -(1 << 62)    # cell of a missing coordinate
+BLOCK_BYTES = 16 << 20  # vectors of a block
+BLOCKS = 16             # blocks that a smaller table is cut into
+MOST_PIVOTS = 1024
+TILE_CELLS = 1 << 22    # distances that a task holds at once
+SLACK = 1e-9            # of the vectors' length, far more than a rounding error
 
 
 def to_vectors(df: DataFrame, cols: list[str] | None = None, array_col: str | None = None,
@@ -114,6 +126,128 @@ def search(probes: DataFrame, base: DataFrame, need: int, m: int, gaps: bool = F
     return done.select("pid", "bid", "dist")
 
 
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def pack(rows: DataFrame, name: str, pivots: np.ndarray, most: int) -> DataFrame:
+    """Written blocks of about ``most`` of ``rows`` (name, g, x) of one g that have the same nearest pivot: block, g, n,
+    center, radius, reach (length of the longest vector), and their ids, ascending, and vectors."""
+    dim, kind = pivots.shape[1], rows.schema[name].dataType.simpleString()
+
+    def nearest_pivot(batches):
+        for b in batches:
+            x = matrix(b.column(2), dim)
+            with np.errstate(all="ignore"):
+                far = (pivots ** 2).sum(axis=1) - 2 * (x @ pivots.T)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(far.argmin(axis=1))], [name, "g", "x", "cell"])
+
+    def block(t: pa.Table) -> pa.Table:
+        t = t.sort_by(name).combine_chunks()
+        x = matrix(t["x"].chunk(0), dim)
+        with np.errstate(all="ignore"):
+            center = x.mean(axis=0)
+            radius, reach = (np.sqrt((v ** 2).sum(axis=1).max()) for v in (x - center, x))
+        ids = t[name].chunk(0)
+        return pa.table({"g": t["g"][:1], "n": [len(x)], "center": [center.tolist()], "radius": [radius], "reach": [reach],
+                         "ids": pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), ids), "xs": [x.tobytes()]})
+
+    celled = checkpoint(rows.select(name, "g", "x").mapInArrow(nearest_pivot, f"{name} {kind}, g string, x array<double>, cell long"))
+    parts = celled.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("parts"))
+    made = celled.join(parts, ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64(name), "parts")) \
+        .select(name, "g", "x", "cell", "part").groupBy("g", "cell", "part").applyInArrow(
+            block, f"g string, n long, center array<double>, radius double, reach double, ids array<{kind}>, xs binary")
+    return checkpoint(made.withColumn("block", F.monotonically_increasing_id()))
+
+
+def nearest(p: np.ndarray, b: np.ndarray, need: int, bound: np.ndarray, center: np.ndarray, radius: float):
+    """(probe, base row, dist): the ``need`` nearest rows of ``b`` for each of ``p``, none beyond its ``bound``; ties by
+    row.  ``b`` lies within ``radius`` of ``center``."""
+    dim, out = p.shape[1], []
+    with np.errstate(all="ignore"):
+        p2, b2 = (p ** 2).sum(axis=1), (b ** 2).sum(axis=1)
+        reach = np.sqrt(p2) + np.sqrt(b2.max())
+        away = np.sqrt(((p - center) ** 2).sum(axis=1)) - radius > bound + SLACK * reach
+        live = np.flatnonzero(~away)
+        step = max(1, TILE_CELLS // len(b))
+        for rows in (live[i:i + step] for i in range(0, len(live), step)):
+            d2 = p2[rows, None] + b2 - 2 * (p[rows] @ b.T)
+            # a product of sums is off by no more than this, so that no row within the bound is missed
+            off = 8 * (dim + 8) * np.finfo(float).eps * reach[rows] ** 2
+            limit = bound[rows] ** 2 + off
+            many = np.flatnonzero((d2 <= limit[:, None]).sum(axis=1) > need)
+            if len(many):
+                kth = np.partition(d2[many], need - 1, axis=1)[:, need - 1]
+                limit[many] = np.fmin(limit[many], kth + 2 * off[many])
+            i, j = np.nonzero(~(d2 > limit[:, None]))
+            i, exact = rows[i], np.zeros(len(i))
+            for k in range(dim):        # in the order of ``distance``, so both give the same number
+                exact += (p[i, k] - b[j, k]) * (p[i, k] - b[j, k])
+            exact = np.sqrt(exact)
+            i, j, exact = (v[exact <= bound[i]] for v in (i, j, exact))
+            order = np.lexsort((j, exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            out.append((i[rank < need], j[rank < need], exact[rank < need]))
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, (int, int, float)[k]) for k in range(3))
+
+
+def search_tiles(probes: DataFrame, base: DataFrame, need: int, dim: int, seed: int = 42) -> DataFrame:
+    """(pid, bid, dist) as ``search``, for vectors of ``dim`` numbers, none missing: by tiles of a block of ``probes``
+    (pid, g, x) and a block of ``base`` (bid, g, x).  Give written tables."""
+    kind = base.schema["bid"].dataType.simpleString()
+    rows = [t.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for t in (probes, base)]
+    most = [max(512, min(BLOCK_BYTES // (8 * dim), 1 << 15, -(-n // BLOCKS))) for n in rows]
+    some = base.orderBy(hash_int("bid", f"{seed}:pivots"), "bid").limit(min(MOST_PIVOTS, -(-rows[1] // most[1]) or 1))
+    pivots = np.array([r[0] for r in some.select("x").collect()], np.float64).reshape(-1, dim)      # speed alone depends on it
+    if not len(pivots):
+        return probes.join(base.select("bid", "g"), "g").select("pid", "bid", F.lit(0.0).alias("dist")).limit(0)
+    p, b = pack(probes, "pid", pivots, most[0]), pack(base, "bid", pivots, most[1])
+    short = ["g", "block", "n", "center", "radius", "reach"]
+    sides = [t.select("g", *[F.col(x).alias(f"{k}_{x}") for x in short[1:]]) for t, k in ((p, "p"), (b, "b"))]
+    met = sides[0].join(sides[1], "g").withColumn("between", distance(F.col("p_center"), F.col("b_center")))
+    p, b = (t.select(*[F.col(x).alias(f"{k}_{x}") for x in ("block", "ids", "xs", "center", "radius")]) for t, k in ((p, "p"), (b, "b")))
+
+    def vectors(row: bytes) -> np.ndarray:
+        return np.frombuffer(row, np.float64).reshape(-1, dim)
+
+    def tile(t, i, bound):
+        return nearest(vectors(t["p_xs"][i].as_py()), vectors(t["b_xs"][i].as_py()), need, bound,
+                       np.array(t["b_center"][i].as_py()), t["b_radius"][i].as_py())
+
+    def bounds(batches):
+        for t in batches:
+            for i in range(t.num_rows):
+                n = len(t["p_ids"][i])
+                at, _, dist = tile(t, i, np.full(n, np.inf))
+                far = np.full(n, np.inf)
+                far[at[need - 1::need]] = dist[need - 1::need]      # the block holds ``need`` rows at least
+                yield pa.RecordBatch.from_arrays([t["p_block"][i:i + 1], pa.array([far.tobytes()]), pa.array([far.max()])],
+                                                 ["p_block", "far", "most"])
+
+    def found(batches):
+        for t in batches:
+            for i in range(t.num_rows):
+                n = len(t["p_ids"][i])
+                far = t["far"][i].as_py()
+                at, which, dist = tile(t, i, np.full(n, np.inf) if far is None else np.frombuffer(far, np.float64))
+                yield pa.RecordBatch.from_arrays([t["p_ids"][i].values.take(pa.array(at)), t["b_ids"][i].values.take(pa.array(which)),
+                                                  pa.array(dist)], ["pid", "bid", "dist"])
+
+    def tiles(pairs):
+        pairs = checkpoint(pairs)
+        return p.join(pairs, "p_block").join(b.join(pairs.select("p_block", "b_block"), "b_block"), ["p_block", "b_block"])
+
+    first = met.where(F.col("b_n") >= need).groupBy("p_block").agg(F.min_by("b_block", F.struct("between", "b_block")).alias("b_block"))
+    far = checkpoint(tiles(first).drop("b_ids").mapInArrow(bounds, "p_block long, far binary, most double"))
+    away = F.col("between") - F.col("p_radius") - F.col("b_radius") - SLACK * (F.col("p_reach") + F.col("b_reach"))
+    pairs = met.join(far.select("p_block", "most"), "p_block", "left").where(~F.coalesce(away > F.col("most"), F.lit(False)))
+    out = tiles(pairs.select("p_block", "b_block")).join(far.select("p_block", "far"), "p_block", "left") \
+        .mapInArrow(found, f"pid long, bid {kind}, dist double")
+    by = Window.partitionBy("pid").orderBy("dist", "bid")
+    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= need).select("pid", "bid", "dist")
+
+
 def first_radius(probes: DataFrame, base: DataFrame, need: int, rows: int, m: int, keys: list, spread: tuple) -> float:
     """A distance at which the denser rows have ``need`` neighbours, halved until rows meet few candidates."""
     asked = probes.orderBy(hash_int("pid", "probe"), "pid").limit(PROBES).select("pid", "g", "x").collect()
@@ -149,12 +283,15 @@ def knn_join(probe: DataFrame, base: DataFrame, k: int = 5, key: str = "id", vec
     same = Window.partitionBy("g", "x").orderBy("bid")
     b = rows(base, "bid").withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= need).drop("_copy")
     b = checkpoint(b)
-    axes = axes_of(b, "x", "bid", seed)
-    b = b.withColumn("y", project(F.col("x"), axes) if axes else F.array(F.lit(0.0)))
     asked = rows(probe, "id")
     classes = checkpoint(asked.select("g", "x").distinct().withColumn("pid", F.monotonically_increasing_id()))
-    classes = classes.withColumn("y", project(F.col("x"), axes) if axes else F.array(F.lit(0.0)))
-    near = search(classes, b, need, max(1, len(axes)))
+    dims = sorted(r[0] for t in (b, classes) for r in t.select(F.size("x")).distinct().collect())
+    if dims and dims[0] == dims[-1] > AXES:
+        near = checkpoint(search_tiles(classes, b, need, dims[0], seed))
+    else:
+        axes = axes_of(b, "x", "bid", seed)
+        b, classes = (t.withColumn("y", project(F.col("x"), axes) if axes else F.array(F.lit(0.0))) for t in (b, classes))
+        near = search(classes, b, need, max(1, len(axes)))
     out = asked.join(classes.select("g", "x", "pid"), ["g", "x"]).select("id", "pid").join(near, "pid")
     if exclude_self:
         out = out.where(F.col("id") != F.col("bid"))

@@ -109,3 +109,32 @@ def test_small_tables_of_few_row_groups_are_dealt_to_all_cores(spark, monkeypatc
         assert not dealt()                              # more than a split a core: read as it is
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_neighbours_of_wide_vectors_by_tiles(spark, monkeypatch):
+    """Vectors without clusters, with ties, copies, groups of few rows and numbers far from zero: by brute force."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from tablesmith.operators import knn as NN
+    monkeypatch.setattr(NN, "TILE_CELLS", 1 << 12)
+    monkeypatch.setattr(NN, "BLOCK_BYTES", 128 * 8 * 12)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 2, size=(900, 12)).astype(float), rng.normal(size=(500, 12)), 1e7 + rng.normal(size=(200, 12)),
+                        np.ones((40, 12))])
+    ids = rng.permutation(len(x)) * 7
+    group = np.where(np.arange(len(x)) % 300 == 0, "few", np.where(np.arange(len(x)) % 2 == 0, "a", "b"))
+    rows = [(int(i), v.tolist(), str(g)) for i, v, g in zip(ids, x, group, strict=True)]
+    v = spark.createDataFrame(rows, "id long, x array<double>, g string").withColumn("features", array_to_vector("x"))
+    d2 = np.zeros((len(x), len(x)))
+    for k in range(12):
+        d2 += (x[:, None, k] - x[None, :, k]) ** 2
+    d = np.sqrt(d2)
+    for same in (None, "g"):
+        want = {}
+        for a in range(len(x)):
+            may = np.flatnonzero((np.arange(len(x)) != a) & ((group == group[a]) if same else True))
+            want[int(ids[a])] = [int(ids[b]) for b in may[np.lexsort((ids[may], d[a, may]))][:4]]
+        got = {}
+        for r in sorted(NN.knn_join(v, v, k=4, same_group=same).collect(), key=lambda r: (r["id"], r["rank"])):
+            got.setdefault(r["id"], []).append(r["nb_id"])
+        assert got == want
