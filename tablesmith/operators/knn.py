@@ -315,22 +315,29 @@ def impute_knn(df: DataFrame, cols: list[str], k: int = 5, key: str = "_rid") ->
     rows = df.select(F.col(key).alias("pid"), F.array(*[value[x] for x in cols]).alias("x"), pattern.alias("p")) \
         .where(F.col("p").contains("0"))
     rows = checkpoint(rows)
-    donors = checkpoint(fit.select(F.col(key).alias("bid"), F.array(*[value[x] for x in cols]).alias("x")))
+    # equal rows are searched once, and of equal donors only the k of the smallest ids can be among the nearest
+    asked = checkpoint(rows.select("p", "x").distinct().withColumn("pid", F.monotonically_increasing_id()))
+    given = checkpoint(fit.select(F.col(key).alias("bid"), F.array(*[value[x] for x in cols]).alias("x")))
+    same = Window.partitionBy("x").orderBy("bid")
+    donors = checkpoint(given.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k).drop("_copy"))
+    by = Window.partitionBy("pid").orderBy("dist", "bid")
     fills = None
-    for row in rows.select("p").distinct().collect():       # the ways in which rows have gaps
+    for row in asked.select("p").distinct().collect():      # the ways in which rows have gaps
         have = [i for i, b in enumerate(row["p"]) if b == "1"]
         if not have:
             continue
         grid = sorted(have, key=lambda i: -(spread[cols[i]] or 0.0))[:AXES]     # widest coordinates first
         y = F.array(*[F.col("x")[i] for i in grid])
-        mine = rows.where(F.col("p") == row["p"]).withColumn("y", y).withColumn("g", F.lit("")).drop("p")
+        mine = asked.where(F.col("p") == row["p"]).withColumn("y", y).withColumn("g", F.lit("")).drop("p")
         shared = reduce(lambda a, b: a | b, [F.col("x")[i].isNotNull() for i in have])
         for i, x in enumerate(cols):
             if i in have:
                 continue
             near = search(mine, donors.where(F.col("x")[i].isNotNull() & shared).withColumn("y", y).withColumn("g", F.lit("")),
                           k, len(grid), gaps=True)
-            fill = near.join(donors.select("bid", F.col("x")[i].alias("v")), "bid") \
+            near = checkpoint(asked.join(near, "pid").drop("pid"))
+            near = rows.join(near, ["p", "x"]).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+            fill = near.join(given.select("bid", F.col("x")[i].alias("v")), "bid") \
                 .groupBy("pid").agg(F.avg("v").alias("fill")).select("pid", F.lit(x).alias("col"), "fill")
             fills = fill if fills is None else fills.unionByName(fill)
     out = df

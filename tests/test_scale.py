@@ -138,3 +138,18 @@ def test_neighbours_of_wide_vectors_by_tiles(spark, monkeypatch):
         for r in sorted(NN.knn_join(v, v, k=4, same_group=same).collect(), key=lambda r: (r["id"], r["rank"])):
             got.setdefault(r["id"], []).append(r["nb_id"])
         assert got == want
+
+
+def test_knn_imputation_of_copies_takes_few_rounds(spark, monkeypatch):
+    """Equal rows, more than a round's candidates, are searched once; of equal donors the smallest ids count."""
+    from tablesmith.operators import knn as NN
+    monkeypatch.setattr(NN, "MOST", 4)
+    met, plain = [], NN.candidates
+    monkeypatch.setattr(NN, "candidates", lambda *a, **k: met.append(1) or plain(*a, **k))
+    rows = [(k, float(k % 3), None if k % 2 else float(k // 3 % 4), "train") for k in range(240)]
+    df = spark.createDataFrame(rows, "_rid long, a double, b double, _split string")
+    got = {r["_rid"]: r["b"] for r in NN.impute_knn(df, ["a", "b"], k=3).collect()}
+    for k, a, b, _ in rows:
+        given = sorted(j for j, x, y, _ in rows if x == a and y is not None)[:3]
+        assert got[k] == (b if b is not None else sum(rows[j][2] for j in given) / 3)
+    assert len(met) <= 8
