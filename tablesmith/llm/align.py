@@ -10,7 +10,7 @@ of its units in a row.
 Pair counts are a grouped sum over the blocks' own tables of distinct pairs.  The sums go back to
 the blocks by a join on the pair, in which adaptive execution can split a common pair, and each
 block measures its texts.  Measures reach the documents by a join on the text's SHA-256, in which
-the documents of a hot text can be split.  A block holds about 32 MB of text whatever the corpus
+the documents of a hot text can be split.  A block holds about 12 MB of text whatever the corpus
 holds; nothing of it passes the driver.
 
 Defined cases: null and empty texts, and texts that the tokenizers do not give back byte for byte
@@ -37,6 +37,8 @@ from .tokens import blocks, encode_units, encoder, public_path, ragged, sums, un
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 ALIGNED = ("block long, key binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
            "units binary, links binary, ends binary, pairs array<struct<a:int,b:int,n:long>>")
+#: text of a block: its ids, marks, links and digits take some 40 times as much
+BLOCK_BYTES = 12 << 20
 SCHEMA = pa.schema([("block", pa.int64()), ("key", pa.binary()), *((c, pa.int64()) for c in MEASURES[:4]),
                     ("groups_sha256", pa.string()), ("units", pa.binary()), ("links", pa.binary()), ("ends", pa.binary()),
                     ("pairs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])))])
@@ -160,7 +162,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     def run(batches):
         enc_a, enc_b = encoder(path_a, True), encoder(path_b)
         block = TaskContext.get().partitionId() << 32
-        for b in blocks(batches):
+        for b in blocks(batches, BLOCK_BYTES):
             texts = utf8(b.column(2))
             rows, total, links, ends, codes, n = align_block(
                 enc_a, enc_b, texts, b.column(1).to_numpy(), digest)
