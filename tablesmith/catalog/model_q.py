@@ -14,7 +14,7 @@ from ..operators import knn as NN
 from ..operators import sample as D
 from ..operators import score as Z
 from ..operators import train as M
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint, ensure_checkpoint_dir
 from ..sources import io as IO
 from ..sources.tables import view, with_views
 from . import register, rounded, sql_round
@@ -25,6 +25,7 @@ LI_F = ["l_quantity", "l_discount", "l_tax"]
 
 def _docs(spark, sf):
     d = view(spark, sf, "docs").where(F.col("quality").isNotNull()).select("_rid", *DOC_F, "quality", "toxic", "lang")
+    d = checkpoint(d)       # the split reads it several times, and it holds lengths of whole texts
     return D.split_stratified(d, "quality", 0.2, 42)
 
 
