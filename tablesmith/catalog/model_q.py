@@ -83,6 +83,7 @@ def train_gbt_large(spark, sf):
     share = [(F.try_divide(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))), F.length(text))).alias(f"f{i}")
              for i, x in enumerate(LETTERS)]
     d = view(spark, sf, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("_rid"), "lang", *share)
+    d = checkpoint(d)       # the texts are searched for letters once, not in every pass
     t = M.train_gbt_large(D.split_stratified(d, "lang", 0.2, 42), "lang", [f"f{i}" for i in range(len(LETTERS))],
                           "classification", rounds=100, depth=3)
     return rounded(t.leaderboard)

@@ -111,6 +111,12 @@ def fit_edges(df: DataFrame, features: list[str], bins: int = 64, accuracy: int
     return [np.unique(np.array(e or [], np.float64)) for e in row]
 
 
+def unpacked(b: pa.RecordBatch, n_features: int, n_trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and scores of a batch's rows."""
+    x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, n_features)
+    return x, b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, n_trees)
+
+
 def level_sums(rows: DataFrame, model: Boosted, since: list, growing: list[Tree], level: int, tasks: int) -> np.ndarray:
     """(2, trees, nodes of the level, features, bins): sums of first and second derivatives."""
     n_trees, n_features = len(model.base), len(model.features)
@@ -123,8 +129,8 @@ def level_sums(rows: DataFrame, model: Boosted, since: list, growing: list[Tree]
         m, replay, trees = held.value
         total = np.zeros((2, n_trees, size // n_trees))
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, n_features)
-            s = np.array(b.column(2).to_pylist(), np.float64).reshape(b.num_rows, n_trees) + m.scores(x, replay)
+            x, s = unpacked(b, n_features, n_trees)
+            s = s + m.scores(x, replay)
             g, h = gradients(s, b.column(0).to_numpy(), m.task, m.classes)
             for k, t in enumerate(trees):
                 node = leaves(t, x)
@@ -197,9 +203,10 @@ def fit_boosted(df: DataFrame, label: str, features: list[str], task: str = "cla
         def add(batches):
             m, replay = held
             for b in batches:
-                x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, len(features))
-                s = np.array(b.column(2).to_pylist(), np.float64).reshape(b.num_rows, len(base)) + m.scores(x, replay)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.tolist(), pa.list_(pa.float64()))],
+                x, s = unpacked(b, len(features), len(base))
+                s = s + m.scores(x, replay)
+                ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(base))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(s.ravel()))],
                                                  ["label", "bins", "scores"])
         return add
 
