@@ -115,7 +115,7 @@ def batch_score(spark, sf):
 def model_roundtrip(spark, sf):
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import VectorAssembler
-    d = _li(spark, sf)
+    d = checkpoint(_li(spark, sf))      # the fit and both models read it
     va = VectorAssembler(inputCols=LI_F, outputCol=M.FEATURES)
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import LinearRegression
