@@ -86,8 +86,10 @@ class Trained:
 def train_simple(df: DataFrame, target: str, features: list[str], task: str,
                  models=("RandomForest", "GradientBoosting", "LogisticRegression"), refit: bool = True) -> Trained:
     """M-1: fit each model on train, score on the hash hold-out, refit the best on all rows."""
+    from ..session import checkpoint
+
     data, pm = prepare(df, target, features, task)
-    data = data.select(LABEL, FEATURES, "_split")
+    data = checkpoint(data.select(LABEL, FEATURES, "_split"))       # every fit and score reads it several times
     tr = data.where(F.col("_split") == "train")
     te = data.where(F.col("_split") == "test")
     k = tr.select(F.count_distinct(LABEL)).first()[0] if task == "classification" else 0
