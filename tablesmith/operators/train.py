@@ -260,8 +260,8 @@ def search_preprocess_model(df: DataFrame, target: str, num_cols: list[str], cat
     # recomputing the fold ranking for each of the many small fit jobs
     from ..session import checkpoint
     data = checkpoint(data)
-    rows = []
     combos = [("mean", "standard"), ("median", "standard"), ("mean", "minmax"), ("median", "minmax"), ("mode", "standard")]
+    tried = []
     for imp, sc in combos:
         imp_cols = [f"{x}__imp" for x in num_cols]
         stages = [Imputer(inputCols=num_cols, outputCols=imp_cols, strategy=imp),
@@ -271,12 +271,14 @@ def search_preprocess_model(df: DataFrame, target: str, num_cols: list[str], cat
         if cat_cols:
             stages += ml_onehot_stages(cat_cols)
         stages.append(VectorAssembler(inputCols=["__nums"] + [f"{x}__ohe" for x in cat_cols], outputCol=FEATURES))
-        for mname, est in models:
-            pipe = Pipeline(stages=stages + [est])
-            cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                                foldCol="_fold", numFolds=folds, parallelism=4, seed=seed)
-            m = cv.fit(data)
-            rows.append((imp, sc, mname, float(m.avgMetrics[0])))
+        tried += [(imp, sc, mname, stages + [est]) for mname, est in models]
+    # one validator tries all pipelines: a fold is cached once for them, they are fitted side by side, and only
+    # the best is fitted on all rows
+    pipe = Pipeline(stages=[])
+    grid = ParamGridBuilder().addGrid(pipe.stages, [t[3] for t in tried]).build()
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="_fold", numFolds=folds,
+                        parallelism=len(grid), seed=seed)
+    rows = [(imp, sc, mname, float(score)) for (imp, sc, mname, _), score in zip(tried, cv.fit(data).avgMetrics, strict=True)]
     return df.sparkSession.createDataFrame(rows, "imputer string, scaler string, model string, cv_score double")
 
 
