@@ -153,3 +153,20 @@ def test_knn_imputation_of_copies_takes_few_rounds(spark, monkeypatch):
         given = sorted(j for j, x, y, _ in rows if x == a and y is not None)[:3]
         assert got[k] == (b if b is not None else sum(rows[j][2] for j in given) / 3)
     assert len(met) <= 8
+
+
+def test_docs_measures_texts_before_the_join(spark):
+    from tablesmith.sources.tables import view
+    plan = view(spark, SF_CHECK, "docs")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("length(text")
+
+
+def test_preprocessing_search_is_one_validator(spark, monkeypatch):
+    from pyspark.ml import tuning
+    from tablesmith.operators import train as M
+    made, plain = [], tuning.CrossValidator
+    monkeypatch.setattr(tuning, "CrossValidator", lambda **k: made.append(len(k["estimatorParamMaps"])) or plain(**k))
+    df = spark.createDataFrame([(k, float(k % 7), "xy"[k % 2], k % 2) for k in range(80)], "_rid long, a double, b string, y int")
+    got = M.search_preprocess_model(df, "y", ["a"], ["b"], "classification", folds=2, trees=2).collect()
+    assert made == [10] and len({(r["imputer"], r["scaler"], r["model"]) for r in got}) == 10
+    assert all(r["cv_score"] > 0.9 for r in got if r["model"] == "LogisticRegression")
