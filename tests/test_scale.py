@@ -164,8 +164,8 @@ def test_docs_measures_texts_before_the_join(spark):
 def test_preprocessing_search_is_one_validator(spark, monkeypatch):
     from pyspark.ml import tuning
     from tablesmith.operators import train as M
-    made, plain = [], tuning.CrossValidator
-    monkeypatch.setattr(tuning, "CrossValidator", lambda **k: made.append(len(k["estimatorParamMaps"])) or plain(**k))
+    made, plain = [], tuning.CrossValidator.fit
+    monkeypatch.setattr(tuning.CrossValidator, "fit", lambda cv, d: made.append(len(cv.getEstimatorParamMaps())) or plain(cv, d))
     df = spark.createDataFrame([(k, float(k % 7), "xy"[k % 2], k % 2) for k in range(80)], "_rid long, a double, b string, y int")
     got = M.search_preprocess_model(df, "y", ["a"], ["b"], "classification", folds=2, trees=2).collect()
     assert made == [10] and len({(r["imputer"], r["scaler"], r["model"]) for r in got}) == 10
