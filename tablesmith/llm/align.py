@@ -37,7 +37,7 @@ from .tokens import blocks, encode_units, encoder, public_path, ragged, sums, un
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 ALIGNED = ("block long, key binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
            "units binary, links binary, ends binary, pairs array<struct<a:int,b:int,n:long>>")
-#: text of a block: its ids, marks, links and digits take some 40 times as much
+#: text of a block: its ids, marks, links and digits took some 20 times as much on short texts
 BLOCK_BYTES = 12 << 20
 SCHEMA = pa.schema([("block", pa.int64()), ("key", pa.binary()), *((c, pa.int64()) for c in MEASURES[:4]),
                     ("groups_sha256", pa.string()), ("units", pa.binary()), ("links", pa.binary()), ("ends", pa.binary()),
