@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
-from ..functions.types import c, columns_of, qcols
+from ..functions.types import c, columns_of
 from .profile import missing_profile, top_values
 from .quantiles import long_values, quantiles_of_long
+from .sample import few_or_written, low_hashes
 
 
 def chart_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -36,11 +37,10 @@ def chart_histogram(df: DataFrame, cols: list[str] | None = None, bins: int = 20
 
 
 def chart_sample(df: DataFrame, cols: list[str] | None = None, n: int = 50, seed=42, key: str = "_rid") -> DataFrame:
-    """C-3: n non-null values per numeric column, picked by hash rank (partial top-k)."""
+    """C-3: n non-null values per numeric column, picked by hash rank among the rows of low hashes."""
     cols = cols if cols is not None else columns_of(df, "numeric")
-    lv = df.select(key, *[c(x).cast("double").alias(x) for x in cols]).unpivot([key], qcols(cols), "column", "value") \
-        .where(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy(hash_int(key, seed), key)
+    lv = low_hashes(df.select(key, *[c(x).cast("double").alias(x) for x in cols]), cols, n, key, seed)
+    w = Window.partitionBy("column").orderBy("_h", key)
     return lv.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("column", key, "value")
 
 

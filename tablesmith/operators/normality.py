@@ -1,7 +1,7 @@
 """Shapiro–Wilk normality flag per column (P-8).
 
 Each numeric column contributes a bounded, hash-chosen sample of ≤ 5,000 values (exact
-rank by hash in long form, so no column is gathered beyond the cap), and one
+rank by hash among the rows of the lowest hashes), and one
 ``groupBy(column).applyInPandas`` computes W and its p-value per column in parallel with
 Royston's (1995) approximation.  The statistic is only ever computed on the bounded
 sample, as in the definition of the check.
@@ -13,12 +13,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import norm_cdf_np, norm_ppf_np
-from ..functions.types import c, qcols
-from .sample import take_by_hash
+from ..functions.types import c
+from .sample import low_hashes
 
 
 def shapiro_w(x: np.ndarray) -> tuple[float, float]:
@@ -67,10 +67,10 @@ def shapiro_w(x: np.ndarray) -> tuple[float, float]:
 
 def shapiro_flags(df: DataFrame, cols: list[str], sample: int = 5000, seed=42, key: str = "_rid") -> DataFrame:
     """(column, n, w, p_value, is_normal): constant columns count as normal."""
-    lv = df.select(key, *[c(x).cast("double").alias(x) for x in cols]).unpivot([key], qcols(cols), "column", "value") \
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-    quota = lv.groupBy("column").agg(F.least(F.count(F.lit(1)), F.lit(sample)).alias("take"))
-    s = take_by_hash(lv, quota, key, seed, ["column"]).where("_take").select("column", "value")
+    x = [c(n).cast("double") for n in cols]
+    lv = low_hashes(df.select(key, *[F.when(~F.isnan(v), v).alias(n) for n, v in zip(cols, x, strict=True)]), cols, sample, key, seed)
+    w = Window.partitionBy("column").orderBy("_h", key)     # rows of one id come together, as in take_by_hash
+    s = lv.withColumn("_r", F.rank().over(w)).where(F.col("_r") <= sample).select("column", "value")
 
     def per_column(pdf: pd.DataFrame) -> pd.DataFrame:
         vals = pdf["value"].to_numpy()
