@@ -67,12 +67,14 @@ def chart_box(df: DataFrame, col: str, group: str | None = None, quantiles: str
     g = c(group).cast("string") if group else F.lit("all")
     lv = df.select(g.alias("column"), c(col).cast("double").alias("value")).where(F.col("value").isNotNull() &
                                                                                 F.col("column").isNotNull())
-    q = quantiles_of_long(lv, [0.25, 0.5, 0.75], quantiles, few_keys=group is None).groupBy("column").pivot("p", [0.25, 0.5, 0.75]) \
-        .agg(F.first("value")).toDF("column", "q1", "median", "q3")
+    q = quantiles_of_long(lv, [0.25, 0.5, 0.75], quantiles, few_keys=group is None)
+    # read by the fences and by the result: a row a group
+    q = few_or_written(q.groupBy("column").pivot("p", [0.25, 0.5, 0.75]) \
+        .agg(F.first("value")).toDF("column", "q1", "median", "q3"))
     f = q.withColumn("lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
         .withColumn("hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     fences = f.select("column", "lo", "hi")
-    w = lv.join(fences if group else F.broadcast(fences), "column") \
+    w = lv.join(few_or_written(fences), "column") \
         .groupBy("column").agg(F.min(F.when(F.col("value") >= F.col("lo"), F.col("value"))).alias("whisker_low"),
                                F.max(F.when(F.col("value") <= F.col("hi"), F.col("value"))).alias("whisker_high"))
     return q.join(w, "column").withColumnRenamed("column", "group")
