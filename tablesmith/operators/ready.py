@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.stats import rnd
 from ..functions.types import c, columns_of, type_class
+from ..session import checkpoint
 from . import profile as P
 from .relate import class_distribution, corr_matrix
 
@@ -155,7 +156,7 @@ def prep_summary(df: DataFrame, target: str, n_raw: int | None = None) -> DataFr
 def report_tables(df: DataFrame, target: str) -> dict[str, DataFrame]:
     """What a stored report says of a table, as small tables: summary, numeric, missing, distinct, target."""
     cols = [x for x in df.columns if not x.startswith("_")]
-    d = df.select(*[c(x) for x in cols])
+    d = checkpoint(df.select(*[c(x) for x in cols]))        # every table reads it
     classes = d.where(c(target).isNotNull()).groupBy(c(target)).agg(F.count(F.lit(1)).alias("k"))
     ratio = F.max("k") / F.min("k")
     return {"summary": P.duplicate_rows(d, cols).select("n_rows", F.lit(len(cols)).cast("long").alias("n_columns"), "duplicate_rows"),
