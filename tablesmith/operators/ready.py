@@ -11,19 +11,23 @@ from ..functions.stats import rnd
 from ..functions.types import c, columns_of, type_class
 from ..session import checkpoint
 from . import profile as P
+from .common import materialize_small
 from .relate import class_distribution, corr_matrix
 
 
-def quality_warnings(df: DataFrame, target: str | None = None, static: bool = True) -> DataFrame:
+def quality_warnings(df: DataFrame, target: str | None = None, static: bool = True,
+                     known: dict[str, DataFrame] | None = None) -> DataFrame:
     """(type, column, value) — one row per triggered rule and column (P-16): rows < 100,
     rows < columns, missing > 0.5, constant, high-cardinality categorical (> 0.5·n
     distinct), unique per row (static), IQR outlier ratio > 0.05, non-normal (static,
-    Jarque–Bera), class imbalance ≥ 3 (classification target)."""
+    Jarque–Bera), class imbalance ≥ 3 (classification target).  ``known``: profiles of the same
+    columns that the caller has already (missing, low_variance, numeric)."""
+    known = known or {}
     spark = df.sparkSession
     cols = [x for x in df.columns if not x.startswith("_")]
     n = df.select(F.count(F.lit(1))).scalar()
-    miss = P.missing_profile(df, cols)
-    lowv = P.low_variance(df, cols)
+    miss = known["missing"] if "missing" in known else P.missing_profile(df, cols)
+    lowv = known["low_variance"] if "low_variance" in known else P.low_variance(df, cols)
     kinds = spark.createDataFrame([(f.name, type_class(f.dataType)) for f in df.schema.fields if f.name in cols],
                                   "column string, kind string")
     num = columns_of(df, "numeric")
@@ -43,7 +47,7 @@ def quality_warnings(df: DataFrame, target: str | None = None, static: bool = Tr
         parts.append(lowv.where(F.col("is_unique_per_row")).select(F.lit("unique_per_row").alias("type"), "column",
                                                                    F.col("unique_count").cast("double").alias("value")))
     if num:
-        prof = P.numeric_profile(df, num)
+        prof = known["numeric"] if "numeric" in known else P.numeric_profile(df, num)
         parts.append(prof.where(F.col("outlier_ratio") > 0.05).select(F.lit("high_outlier_ratio").alias("type"), "column",
                                                                       F.col("outlier_ratio").alias("value")))
         if static:
@@ -65,8 +69,12 @@ def report(df: DataFrame, target: str | None = None, cols: list[str] | None = No
     """P-22: the stage report as (section, column, metric, value) rows: missing and distinct values, numbers, low
     variance, most frequent values, date ranges (seconds since 1970), correlations, classes and warnings."""
     cols = cols or [x for x in df.columns if not x.startswith("_")]
-    d = df.select(*[c(x) for x in cols])
+    d = checkpoint(df.select(*[c(x) for x in cols]))        # every section reads it
     numbers = columns_of(d, "numeric")
+    # a row a column each; the warnings read them too
+    known = {"missing": materialize_small(P.missing_profile(d)), "low_variance": materialize_small(P.low_variance(d))}
+    if numbers:
+        known["numeric"] = materialize_small(P.numeric_profile(d, numbers))
 
     def long(section, table, metrics):
         return table.select("column", *[F.col(m).cast("double").alias(m) for m in metrics]) \
@@ -75,10 +83,10 @@ def report(df: DataFrame, target: str | None = None, cols: list[str] | None = No
     def pairs(section, table, column, metric, value):
         return table.select(F.lit(section).alias("section"), column, metric, value.cast("double").alias("value"))
 
-    parts = [long("missing", P.missing_profile(d), ["missing_count", "missing_ratio"]),
-             long("low_variance", P.low_variance(d), ["unique_count", "top_share", "is_constant", "is_near_constant", "is_unique_per_row"])]
+    parts = [long("missing", known["missing"], ["missing_count", "missing_ratio"]),
+             long("low_variance", known["low_variance"], ["unique_count", "top_share", "is_constant", "is_near_constant", "is_unique_per_row"])]
     if numbers:
-        parts.append(long("numeric", P.numeric_profile(d, numbers), [
+        parts.append(long("numeric", known["numeric"], [
             "count", "mean", "std", "min", "max", "q1", "median", "q3", "iqr", "zero_count", "skewness", "kurtosis",
             "outlier_count", "outlier_ratio"]))
         parts.append(pairs("correlation", corr_matrix(d, numbers), F.col("a").alias("column"), F.col("b").alias("metric"), F.col("corr")))
@@ -90,7 +98,7 @@ def report(df: DataFrame, target: str | None = None, cols: list[str] | None = No
                   for m in ("min_date", "max_date")]
     if target is not None:
         parts.append(pairs("classes", class_distribution(d, target), F.lit(target).alias("column"), F.col("class").alias("metric"), F.col("count")))
-    parts.append(pairs("warnings", quality_warnings(d, target), F.col("column"), F.col("type").alias("metric"), F.col("value")))
+    parts.append(pairs("warnings", quality_warnings(d, target, known=known), F.col("column"), F.col("type").alias("metric"), F.col("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
