@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
+from ..session import checkpoint
 from ..sources.tables import view, with_views
 from . import register, rounded, sql_round
 
@@ -145,7 +146,7 @@ def feature_select_topk(spark, sf):
 
 @register("recipe_supplement")
 def recipe_supplement(spark, sf):
-    d = view(spark, sf, "li")
+    d = checkpoint(view(spark, sf, "li"))       # the steps read it a dozen times
     gen = FE.generate_recipes(d, TGT, SRC, 6, 30)
     sup = FE.supplement_recipes(_user_recipes(spark), gen, d.columns, 12)
     st = FE.materialize(d, sup, TGT)
