@@ -21,8 +21,10 @@ T = "l_returnflag"
 
 
 def li_split(spark, sf, *cols):
-    """The stratified split; with columns for fits, which read it several times, it is written once."""
-    out = D.split_stratified(view(spark, sf, "li").select("_rid", T, *cols), T, 0.2, 42)
+    """The stratified split; with columns for fits, which read it several times, it is written once, and so are the
+    rows with their hashed ids, which the split scans three times."""
+    d = view(spark, sf, "li").select("_rid", T, *cols)
+    out = D.split_stratified(checkpoint(d) if cols else d, T, 0.2, 42)
     return checkpoint(out) if cols else out
 
 
