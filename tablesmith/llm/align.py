@@ -10,7 +10,7 @@ of its units in a row.
 Pair counts are a grouped sum over the blocks' own tables of distinct pairs.  The sums go back to
 the blocks by a join on the pair, in which adaptive execution can split a common pair, and each
 block measures its texts.  Measures reach the documents by a join on the text's SHA-256, in which
-the documents of a hot text can be split.  A block holds about 12 MB of text whatever the corpus
+the documents of a hot text can be split.  A block holds about 6 MB of text whatever the corpus
 holds; nothing of it passes the driver.
 
 Defined cases: null and empty texts, and texts that the tokenizers do not give back byte for byte
@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, from_planes, planes, ship
-from .tokens import blocks, encode_units, encoder, public_path, ragged, sums, units_of, utf8
+from .tokens import Units, blocks, calls, encode_units, encoder, public_path, ragged, sums, units_of, utf8
 
 #: tokens a and b of one group each: the links of a group are the stretches between token ends
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 ALIGNED = ("block long, key binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
            "units binary, links binary, ends binary, pairs array<struct<a:int,b:int,n:long>>")
-#: text of a block: its ids, marks, links and digits took some 20 times as much on short texts
-BLOCK_BYTES = 12 << 20
+#: text of a block: its units, links and pairs are held at once
+BLOCK_BYTES = 6 << 20
+#: distinct text whose marks are held at once
+SLICE_BYTES = 1 << 19
 SCHEMA = pa.schema([("block", pa.int64()), ("key", pa.binary()), *((c, pa.int64()) for c in MEASURES[:4]),
                     ("groups_sha256", pa.string()), ("units", pa.binary()), ("links", pa.binary()), ("ends", pa.binary()),
                     ("pairs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])))])
@@ -72,7 +74,7 @@ def digits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Alignment:
-    """The distinct units of a block, aligned: ids, links and groups by unit."""
+    """Some distinct units of a block, aligned: ids, links and groups by unit."""
 
     def __init__(self, enc_a, enc_b, units):
         ids_a, end_a = encode_units(enc_a, units)
@@ -124,24 +126,38 @@ class Alignment:
         self.groups = [flat[x:y] for x, y in zip(cutoff[:-1], cutoff[1:], strict=True)]
 
 
+def align_units(enc_a, enc_b, units: Units) -> tuple[dict[str, np.ndarray], list[bytes], np.ndarray]:
+    """(measures and ``good`` of each distinct unit, its groups as text, the pairs of all links in a row).
+
+    Marks and digits are numbers for every byte of text, so ``SLICE_BYTES`` of the units are aligned at a time."""
+    parts, groups, pairs = [], [], []
+    for i, j in calls(units, SLICE_BYTES):
+        x = Alignment(enc_a, enc_b, Units(units.distinct[i:j], units.size[i:j], units.which[:0], units.first[:0]))
+        parts.append([getattr(x, c) for c in ["good", *MEASURES[:4]]])
+        groups += x.groups
+        pairs.append(x.link_a.astype(np.int64) << 32 | x.link_b)
+    each = [np.concatenate([np.zeros(0, t), *p]) for t, *p in zip([bool, *[np.int64] * 4], *parts)]
+    return dict(zip(["good", *MEASURES[:4]], each, strict=True)), groups, np.concatenate([np.zeros(0, np.int64), *pairs])
+
+
 def align_block(enc_a, enc_b, texts: list[bytes], copies: np.ndarray, digest: bool = True):
     """Rows of one block: its texts, then the block's links and distinct pairs."""
     units = units_of(texts, True, enc_a.safe_cuts and enc_b.safe_cuts)
-    x = Alignment(enc_a, enc_b, units)
-    good = (sums(~x.good[units.which], units.first) == 0) & (np.diff(units.first) > 0)
+    x, spelled_groups, pairs = align_units(enc_a, enc_b, units)
+    good = (sums(~x["good"][units.which], units.first) == 0) & (np.diff(units.first) > 0)
     first = units.first.tolist()
     rows = []
-    total = {c: np.where(good, sums(getattr(x, c)[units.which], units.first), 0) for c in MEASURES[:4]}
+    total = {c: np.where(good, sums(x[c][units.which], units.first), 0) for c in MEASURES[:4]}
     for k, ok in enumerate(good.tolist()):
         which = units.which[first[k]:first[k + 1]] if ok else units.which[:0]
-        groups = b"".join(map(x.groups.__getitem__, which.tolist()))[:-1]
+        groups = b"".join(map(spelled_groups.__getitem__, which.tolist()))[:-1]
         rows.append(((hashlib.sha256(groups).hexdigest() if digest else groups.decode()) if ok else "", planes(which)))
     weight = np.bincount(units.which, np.repeat(np.where(good, copies, 0), np.diff(units.first)),
                          len(units.distinct)).astype(np.int64)
-    codes, which = np.unique(x.link_a.astype(np.int64) << 32 | x.link_b, return_inverse=True)
+    codes, which = np.unique(pairs, return_inverse=True)
     n = np.zeros(len(codes), np.int64)
-    np.add.at(n, which, np.repeat(weight, x.n_links))
-    return rows, total, which.astype(np.int32), x.link_ends.astype(np.int32), codes, n
+    np.add.at(n, which, np.repeat(weight, x["n_links"]))
+    return rows, total, which.astype(np.int32), np.append(0, np.cumsum(x["n_links"])).astype(np.int32), codes, n
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, digest: bool = True,

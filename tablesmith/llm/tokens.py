@@ -185,12 +185,12 @@ def units_of(texts: list[bytes], spaced: bool, cuts: bool) -> Units:
                  coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.searchsorted(at, start))
 
 
-def calls(units: Units):
-    """Ranges of distinct units holding about CALL_BYTES bytes each; one longer unit is a call alone."""
+def calls(units: Units, limit: int = CALL_BYTES):
+    """Ranges of distinct units holding about ``limit`` bytes each; one longer unit is a call alone."""
     ends = np.append(0, np.cumsum(units.size))
     i, n = 0, len(units.size)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + CALL_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, "right")) - 1)
         yield i, j
         i = j
 
@@ -219,8 +219,9 @@ def blocks(batches, limit: int = BLOCK_BYTES):
         held.append(b)
         size += b.column(b.num_columns - 1).nbytes
         if size >= limit:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
+            held, size = pa.Table.from_batches(held).combine_chunks(), 0       # the batches are not held beside it
+            yield held
+            held = []
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

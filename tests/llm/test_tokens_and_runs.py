@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -252,6 +253,31 @@ def test_alignment_gives_groups_and_survives_many_blocks(spark, small, monkeypat
     assert len(codes) == len(set(codes.tolist())) and ends[-1] == len(links)
 
 
+def test_alignment_in_slices_is_that_of_the_whole_block_in_less_memory(monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 14)))
+    texts = [" ".join(word() for _ in range(2000)) for _ in range(80)] + ["naïve ▁ x", "", "  ", "日本語 text"]
+    texts = [t.encode() for t in texts]
+    a, b = tokens.encoder(BYTE, True), tokens.encoder(PIECE)
+    copies = np.arange(1, len(texts) + 1)
+    align.align_block(a, b, texts[-4:], copies[-4:])        # loads the tokenizers
+
+    def peak():
+        tracemalloc.start()
+        out = align.align_block(a, b, texts, copies)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    got, least = peak()
+    assert least < 100 * sum(map(len, texts))       # 71, and 150 in one piece
+    monkeypatch.setattr(align, "SLICE_BYTES", 1 << 40)
+    want, _ = peak()
+    assert got[0] == want[0]
+    assert all((got[1][c] == want[1][c]).all() for c in align.MEASURES[:4])
+    assert all((x == y).all() for x, y in zip(got[2:], want[2:], strict=True))
+
+
 def test_alignment_odd_cases(odd, empty):
     rows = [tuple(r) for r in align.align(odd).collect()]
     assert len(rows) == odd.count()
