@@ -205,6 +205,18 @@ class Searched:
     assembler: PipelineModel
 
 
+DEEP = 5            # from deeper forests on, rows keep their nodes: a number for every row and tree
+
+
+def kept_nodes(est):
+    """A deep forest's estimator that stores the node of each row in each tree, and does not walk from the root again
+    for every level.  The model is the same.  The nodes are not written as checkpoints: a lost one is found again by
+    one walk of at most ``maxDepth`` steps."""
+    if isinstance(est, (RandomForestClassifier, RandomForestRegressor)) and est.getMaxDepth() > DEEP:
+        return est.setCacheNodeIds(True).setCheckpointInterval(-1)
+    return est
+
+
 def train_search(df: DataFrame, target: str, features: list[str], task: str,
                  models=("RandomForest", "GradientBoosting"), n_trials: int = 30, seed: int = 42,
                  spaces: dict | None = None) -> Searched:
@@ -219,11 +231,14 @@ def train_search(df: DataFrame, target: str, features: list[str], task: str,
     k = tr.select(F.count_distinct(LABEL)).first()[0] if task == "classification" else 0
     names = list(models) if task == "classification" else [m.replace("LogisticRegression", "LinearRegression") for m in models]
     rows = []
+
+    def fitted(m, p, on):
+        return kept_nodes(model_factory(m, task, p, n_classes=k)).fit(on)
+
     for name in names:
         space = (spaces or SEARCH_SPACES).get(name, {})
         rows += [(name, *t) for t in search(
-            space, lambda p, m=name: score_predictions(model_factory(m, task, p, n_classes=k).fit(tr).transform(te), task),
-            n_trials, f"{seed}:{name}")]
+            space, lambda p, m=name: score_predictions(fitted(m, p, tr).transform(te), task), n_trials, f"{seed}:{name}")]
     trials = df.sparkSession.createDataFrame(
         [(m, i, ",".join(f"{x}={v:.6g}" for x, v in sorted(p.items())), s, e) for m, i, p, s, e in rows],
         "model string, trial int, params string, score double, error string")
@@ -233,7 +248,7 @@ def train_search(df: DataFrame, target: str, features: list[str], task: str,
         best = t.leaderboard.orderBy(F.desc("score"), "model").first()
         return Searched(trials, t.best_name, {}, best["score"], t.model, "defaults", t.assembler)
     m, _, p, s, _ = max(scored, key=lambda r: r[3])
-    return Searched(trials, m, p, s, model_factory(m, task, p, n_classes=k).fit(data), "search", pm)
+    return Searched(trials, m, p, s, fitted(m, p, data), "search", pm)
 
 
 def search_preprocess_model(df: DataFrame, target: str, num_cols: list[str], cat_cols: list[str], task: str,

@@ -135,6 +135,20 @@ def test_train_search_falls_back_to_defaults(spark, three):
     assert good.method == "search" and good.best_score == max(r["score"] for r in good.trials.collect())
 
 
+def test_deep_forests_of_a_search_keep_the_nodes_of_rows_and_are_the_same(spark, three, monkeypatch):
+    seen, fit = [], M.RandomForestClassifier.fit
+    monkeypatch.setattr(M.RandomForestClassifier, "fit", lambda self, *a: (seen.append(
+        (self.getMaxDepth(), self.getCacheNodeIds())), fit(self, *a))[1])
+    space = {"RandomForest": {"numTrees": ("int", 4, 8), "maxDepth": ("choice", [4, 9])}}
+    got = M.train_search(three, "y", ["a", "b", "c"], "classification", ("RandomForest",), 5, spaces=space)
+    assert len(seen) == 6 and {d for d, _ in seen} == {4, 9} and all(kept == (d > M.DEEP) for d, kept in seen)
+    data, _ = M.prepare(three, "y", ["a", "b", "c"], "classification")
+    p = {"numTrees": 8, "maxDepth": 9}
+    one, two = (wrap(M.model_factory("RandomForest", "classification", p, n_classes=3)).fit(data) for wrap in (M.kept_nodes, lambda e: e))
+    assert one.toDebugString.split("\n", 1)[1] == two.toDebugString.split("\n", 1)[1] and one.totalNumNodes > 8
+    assert len(got.trials.collect()) == 5
+
+
 def test_portfolio_scores_no_row_by_a_model_that_saw_it(spark, three):
     from tablesmith.operators.sample import kfold_assign
     data, _ = M.prepare(three, "y", ["a", "b", "c"], "classification")
