@@ -229,7 +229,8 @@ def smote_lsh(spark, sf):
 
 @register("adasyn")
 def adasyn(spark, sf):
-    return rounded(NN.adasyn_allocation(_emb(spark, sf), "label"))
+    """B-6 whole: every row's share and number of synthetic rows, and the rows made from it."""
+    return rounded(NN.adasyn_samples(_emb(spark, sf), "label"))
 
 
 @register("adasyn_rows", """

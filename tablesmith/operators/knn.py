@@ -370,45 +370,75 @@ def smote(df: DataFrame, target: str, vec: str = "features", key: str = "_rid",
     return _between(df, base, target, vec, key, k)
 
 
-def _between(df: DataFrame, base: DataFrame, target: str, vec: str, key: str, k: int) -> DataFrame:
-    """The rows of ``df`` and one synthetic row for each of ``base`` (class, id, _pick, _gap): a point at ``_gap``
-    of the way to the picked one of the row's same-class neighbours; the only row of a class is copied."""
+def _picked(df: DataFrame, base: DataFrame, target: str, vec: str, key: str, k: int) -> DataFrame:
+    """``base`` (id, _pick, _gap, …) with ``nb_id``, the picked one of the row's same-class neighbours; null where
+    it has none."""
     nb = knn_join(df.withColumnRenamed(key, "id"), df.withColumnRenamed(key, "id"), k, "id", vec,
                   same_group=target)
     kf = nb.groupBy("id").agg(F.count(F.lit(1)).alias("kf"))
     b2 = base.join(kf, "id", "left").withColumn("nb_rank", F.when(F.col("kf") > 0, F.pmod("_pick", "kf") + 1))
-    pairs = b2.join(nb.select("id", F.col("nb_id"), F.col("rank").alias("nb_rank")), ["id", "nb_rank"], "left")
-    arr = df.select(F.col(key).alias("id"), vector_to_array(vec).alias("x"))
-    synth = (pairs.join(arr, "id").join(arr.select(F.col("id").alias("nb_id"), F.col("x").alias("y")), "nb_id", "left")
-             .select(target, F.when(F.col("y").isNull(), F.col("x"))
-                     .otherwise(F.zip_with("x", "y", lambda a, b: a + F.col("_gap") * (b - a))).alias("features"),
-                     F.lit(True).alias("synthetic")))
+    return b2.join(nb.select("id", F.col("nb_id"), F.col("rank").alias("nb_rank")), ["id", "nb_rank"], "left")
+
+
+def _point() -> Column:
+    """``_gap`` of the way from _x to its neighbour _y, or _x itself."""
+    return F.when(F.col("_y").isNull(), F.col("_x")).otherwise(F.zip_with("_x", "_y", lambda a, b: a + F.col("_gap") * (b - a)))
+
+
+def _between(df: DataFrame, base: DataFrame, target: str, vec: str, key: str, k: int) -> DataFrame:
+    """The rows of ``df`` and one synthetic row for each of ``base`` (class, id, _pick, _gap): a point at ``_gap``
+    of the way to the picked one of the row's same-class neighbours; the only row of a class is copied."""
+    arr = df.select(F.col(key).alias("id"), vector_to_array(vec).alias("_x"))
+    synth = (_picked(df, base, target, vec, key, k).join(arr, "id")
+             .join(arr.select(F.col("id").alias("nb_id"), F.col("_x").alias("_y")), "nb_id", "left")
+             .select(target, _point().alias("features"), F.lit(True).alias("synthetic")))
     orig = df.select(target, vector_to_array(vec).alias("features"), F.lit(False).alias("synthetic"))
     return orig.unionByName(synth)
 
 
+def _allocated_draws(need: DataFrame, seed) -> DataFrame:
+    """``n_i`` draws (_pick, _gap) of each row of ``need`` (id, n_i, …)."""
+    tag = F.concat_ws(":", F.col("id").cast("string"), F.col("_j").cast("string"))
+    return need.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), "n_i"))) \
+        .withColumns({"_pick": hash_int(tag, f"{seed}:2"), "_gap": uniform(tag, f"{seed}:3")}).drop("_j")
+
+
 def adasyn(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5,
            seed: int = 42) -> DataFrame:
     """B-6: as ``smote``, with ``adasyn_allocation`` synthetic rows for each row: more where other classes are near."""
     known = df.where(F.col(target).isNotNull())
     need = adasyn_allocation(known, target, vec, key, k).where("n_i > 0")
-    tag = F.concat_ws(":", F.col("id").cast("string"), F.col("_j").cast("string"))
-    base = need.select(F.col("class").alias(target), "id", F.explode(F.sequence(F.lit(1).cast("long"), "n_i")).alias("_j")) \
-        .select(target, "id", hash_int(tag, f"{seed}:2").alias("_pick"), uniform(tag, f"{seed}:3").alias("_gap"))
+    base = _allocated_draws(need, seed).select(F.col("class").alias(target), "id", "_pick", "_gap")
     return _between(df, base, target, vec, key, k)
 
 
-def adasyn_allocation(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5) -> DataFrame:
+def adasyn_samples(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5,
+                   seed: int = 42) -> DataFrame:
+    """B-6 from the allocation to the rows made: (id, class, r, n_i, synthetic, features) of every row that has a class,
+    and of the ``n_i`` synthetic rows made from it, which have its id, r and n_i."""
+    known = df.where(F.col(target).isNotNull())
+    rows = checkpoint(adasyn_allocation(known, target, vec, key, k, vectors=True))
+    draws = _allocated_draws(rows.where("n_i > 0"), seed)
+    # rows that share an id are one neighbour, so that a draw makes one row
+    y = known.groupBy(F.col(key).alias("nb_id")).agg(F.min(vector_to_array(vec)).alias("_y"))
+    made = _picked(known, draws, target, vec, key, k).join(y, "nb_id", "left") \
+        .select("id", "class", "r", "n_i", F.lit(True).alias("synthetic"), _point().alias("features"))
+    return rows.select("id", "class", "r", "n_i", F.lit(False).alias("synthetic"), F.col("_x").alias("features")).unionByName(made)
+
+
+def adasyn_allocation(df: DataFrame, target: str, vec: str = "features", key: str = "_rid", k: int = 5,
+                      vectors: bool = False) -> DataFrame:
     """B-6: per minority row, the share r_i of other-class rows among its k neighbours,
     weights r_i / Σ r (uniform when Σ r = 0), and n_i by largest remainder of
-    (max − n_c)·weight within the class.  Returns (id, class, r, n_i)."""
+    (max − n_c)·weight within the class.  Returns (id, class, r, n_i), with ``vectors`` the row's numbers _x too."""
     nb = knn_join(df.withColumnRenamed(key, "id"), df.withColumnRenamed(key, "id"), k, "id", vec)
     lab = df.select(F.col(key).alias("id"), F.col(target).alias("cls"))
     j = nb.join(lab, "id").join(lab.select(F.col("id").alias("nb_id"), F.col("cls").alias("nb_cls")), "nb_id")
     r = j.groupBy("id", "cls").agg(F.avg((F.col("cls") != F.col("nb_cls")).cast("double")).alias("r"))
     cc = df.groupBy(F.col(target).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
     mx = cc.select(F.max("n")).scalar()
-    rows = lab.join(r.drop("cls"), "id", "left").fillna(0.0, ["r"])
+    held = df.select(F.col(key).alias("id"), F.col(target).alias("cls"), vector_to_array(vec).alias("_x")) if vectors else lab
+    rows = held.join(r.drop("cls"), "id", "left").fillna(0.0, ["r"])
     # per-class totals by aggregate (one row per class, broadcast back), no class-wide window
     tot = rows.groupBy("cls").agg(F.sum("r").alias("tot"), F.count(F.lit(1)).alias("cnt")).join(cc, "cls")
     a = rows.join(F.broadcast(tot), "cls")
@@ -420,4 +450,4 @@ def adasyn_allocation(df: DataFrame, target: str, vec: str = "features", key: st
     order = F.floor((F.lit(1.0) - F.col("_rem")) * F.lit(4294967295.0))
     t = take_by_hash(a, left, key="id", group=["cls"], order_value=order)
     return t.select("id", F.col("cls").alias("class"), "r",
-                    (F.col("_base") + F.col("_take").cast("long")).cast("long").alias("n_i"))
+                    (F.col("_base") + F.col("_take").cast("long")).cast("long").alias("n_i"), *(["_x"] if vectors else []))
