@@ -176,7 +176,9 @@ def fit_forest(data: DataFrame, label: str, vector: str, trees: int = 100, depth
     n_features = len(data.select(vector).first()[0])
     wide = data.select(label, *[vector_to_array(vector)[k].alias(f"x{k}") for k in range(n_features)])
     edges = fit_edges(wide, [f"x{k}" for k in range(n_features)], bins + 1)     # bins - 1 edges
-    mean, var = data.agg(F.avg(label), F.var_pop(label)).first()
+    mean, var, gaps = data.agg(F.avg(label), F.var_pop(label), F.count_if(F.col(label).isNull() | F.isnan(label))).first()
+    if gaps:
+        raise ValueError(f"{gaps} labels are NULL or NaN")
     size = (1 << (depth + 1)) - 1
     forest = Forest(edges, vector, np.full((trees, size), -1), np.zeros((trees, size), np.int64), np.zeros((trees, size)),
                     np.zeros((trees, n_features)))

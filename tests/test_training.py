@@ -127,6 +127,8 @@ def test_large_forests_of_numbers_are_grown_on_histograms(spark, monkeypatch):
     assert abs(scores["RandomForest"] - small.leaderboard.first()["score"]) < 0.08       # seeds differ by 0.06
     one, two = (dict(M.feature_importance(t.model, ["a", "b", "c"])) for t in (small, M.train_simple(df, "y", ["a", "b", "c"], "regression", models=("RandomForest",))))
     assert max(abs(one[k] - two[k]) for k in "abc") < 0.05 and abs(sum(two.values()) - 1) < 1e-9
+    with pytest.raises(ValueError, match="1 labels"):       # as MLlib's
+        R.fit_forest(M.prepare(df.limit(9).unionByName(df.limit(1).withColumn("y", F.lit(None))), "y", ["a"], "regression")[0], M.LABEL, M.FEATURES)
     w = np.bincount(R.poisson_weights().astype(int)) / R.DRAWN
     assert all(abs(w[k] - np.exp(-1) / math.factorial(k)) < 2 / R.DRAWN for k in range(8))
 
